@@ -298,3 +298,37 @@ def with_ctes(*names: str, recursive: bool = False) -> str:
     for name in names:
         visit(name)
     return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(CTES[n][0] for n in order)
+
+
+def met(spark, sf) -> DataFrame:
+    """met_daily on a 10 x 18 latitude/longitude grid, from the orders table; (i, j) are grid indices."""
+    o = table(spark, sf, "orders")
+    i, j = (F.col("o_custkey") % 10).cast("int"), (F.col("o_orderkey") % 18).cast("int")
+    frame = (F.year("o_orderdate") - 1995) * 4 + F.quarter("o_orderdate") - 1
+    g = o.groupBy(plus_days(frame).alias("date"), i.alias("i"), j.alias("j")).agg(
+        F.sum(whole_cents("o_totalprice")).alias("cents"), F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("s"))
+    return g.select(
+        "date", "i", "j", (F.col("i") * 4 + 50.0).alias("lat"), (F.col("j") * 20 - 180.0).alias("lon"),
+        (96000.0 + F.floor(F.col("cents").cast("double") / F.col("n") / 8192.0)).alias("msl"),
+        ((F.col("s") % 41 - 20) / 2.0).alias("u10"), ((F.col("s") % 37 - 18) / 2.0).alias("v10"),
+    )
+
+
+MET = """met AS (SELECT date, i, j, i * 4 + 50.0::DOUBLE AS lat, j * 20 - 180.0::DOUBLE AS lon, 96000.0::DOUBLE + floor(CAST(cents AS DOUBLE) / n / 8192.0::DOUBLE) AS msl,
+  CAST(s % 41 - 20 AS DOUBLE) / 2.0::DOUBLE AS u10, CAST(s % 37 - 18 AS DOUBLE) / 2.0::DOUBLE AS v10
+  FROM (SELECT DATE '1995-01-01' + CAST((year(o_orderdate) - 1995) * 4 + quarter(o_orderdate) - 1 AS INTEGER) AS date, CAST(o_custkey % 10 AS INTEGER) AS i, CAST(o_orderkey % 18 AS INTEGER) AS j,
+  sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS cents, count(*) AS n, sum(o_orderkey) AS s FROM orders GROUP BY 1, 2, 3))"""
+CTES["met"] = (MET, ())
+
+
+def plane_points(spark, sf) -> DataFrame:
+    """points on the projected strip, one per supplier, dated on the frames of ``field``."""
+    k = F.col("s_suppkey")
+    return table(spark, sf, "supplier").select(
+        numbered_id("PAN", k, 6).alias("point_id"), plus_days(k % 22 + 5).alias("event_date"),
+        ((k * 7 % 40) * 25000.0 - 500000.0 + 9000.0).alias("px_m"), (F.lit(300000.0) - (k * 3 % 25) * 25000.0 + 4000.0).alias("py_m"))
+
+
+def met_points(spark, sf) -> DataFrame:
+    k = F.substring("event_id", 4, 20).cast("bigint")
+    return pan(spark, sf).select(F.col("event_id").alias("point_id"), plus_days(k % 27).alias("sample_date"), F.col("centroid_lon").alias("lon"), F.col("centroid_lat").alias("lat"))
