@@ -176,7 +176,7 @@ means AS (SELECT a.point_id, a.sample_date, r AS buffer_km, avg(value) AS mean,
 def _(spark, sf):
     p = I.plane_points(spark, sf)
     pairs = J.plane_pairs(p, I.grid(spark, sf), 100.0)
-    want = p.select("point_id", F.date_add("event_date", F.explode(F.array(*[F.lit(v) for v in (-3, -1, 0, 1, 5)]))).alias("sample_date"))
+    want = p.withColumn("lag", F.explode(F.array(*[F.lit(v) for v in (-3, -1, 0, 1, 5)]))).select("point_id", F.date_add("event_date", F.col("lag")).alias("sample_date"))
     asks = want.unionByName(want.select("point_id", F.date_sub("sample_date", 5).alias("sample_date"))).distinct()
     return J.buffer_means(pairs, asks, I.field(spark, sf), (50, 100)).withColumn("mean", R("mean"))
 
