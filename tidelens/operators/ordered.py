@@ -108,3 +108,19 @@ def broadcast_quantile(df: DataFrame, keys: Sequence[str], value: str, probs: di
         return df.join(q, keys, "left")
     one = q.select(F.struct(*probs).alias("q")).scalar()
     return df.withColumn("_q", one).select(df["*"], *[F.col("_q")[name].alias(name) for name in probs])
+
+
+def suffix_min(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], value: str, out: str, buckets: int | None = None) -> DataFrame:
+    """Smallest ``value`` over this and all later rows of the key, from bucket minima and a window inside each bucket."""
+    keys = list(keys)
+    placed = durable(df.repartitionByRange(buckets or shuffle_width(df), *[F.col(k) for k in keys], *order).withColumn("_bucket", F.spark_partition_id()))
+    low = placed.groupBy(*keys, "_bucket").agg(F.min(value).alias("_m"))
+    wk = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
+    later = low.select(
+        *[F.col(k).alias(f"_o_{k}") for k in keys], F.col("_bucket").alias("_o_bucket"),
+        F.min("_m").over(wk.orderBy("_bucket").rowsBetween(1, W.unboundedFollowing)).alias("_later"))
+    local = placed.withColumn("_local", F.min(value).over(W.partitionBy("_bucket", *keys).orderBy(*order).rowsBetween(0, W.unboundedFollowing)))
+    cond = F.col("_bucket") == F.col("_o_bucket")
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_o_{k}"))
+    return local.join(later, cond).withColumn(out, F.least("_local", "_later")).drop("_local", "_later", "_bucket", "_o_bucket", *[f"_o_{k}" for k in keys])
