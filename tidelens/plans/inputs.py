@@ -247,14 +247,14 @@ def lagged(spark, sf) -> DataFrame:
         (F.lit(100) + (ok % 2) * 200).cast("int").alias("buffer_km"),
         F.year("o_orderdate").alias("year"),
         lag.cast("int").alias("lag"),
-        (whole_cents("o_totalprice") / 67108864.0).alias("v1"),
-        F.when(ok % 11 != 0, (ok % 97) / 64.0).alias("v2"),
+        (whole_cents("o_totalprice") / 16777216.0).alias("v1"),
+        F.when(ok % 11 != 0, (ok % 97) / 64.0 + F.when((ok % 9).isin(4, 5) & (k % 5 < 3), 0.5).otherwise(0.0)).alias("v2"),
     )
 
 
 LAGGED = """lagged AS (SELECT 'E' || lpad(CAST(o_custkey AS VARCHAR), 8, '0') AS event_id, 'R' || (o_custkey % 5) AS region, CAST(100 + (o_orderkey % 2) * 200 AS INTEGER) AS buffer_km,
   CAST(year(o_orderdate) AS INTEGER) AS year, CAST([-10, -7, -5, -3, -1, 0, 1, 3, 5][o_orderkey % 9 + 1] AS INTEGER) AS lag,
-  CAST(round(o_totalprice * 100) AS BIGINT) / 67108864.0::DOUBLE AS v1, CASE WHEN o_orderkey % 11 <> 0 THEN (o_orderkey % 97) / 64.0::DOUBLE END AS v2 FROM orders)"""
+  CAST(round(o_totalprice * 100) AS BIGINT) / 16777216.0::DOUBLE AS v1, CASE WHEN o_orderkey % 11 <> 0 THEN (o_orderkey % 97) / 64.0::DOUBLE + CASE WHEN o_orderkey % 9 IN (4, 5) AND o_custkey % 5 < 3 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END END AS v2 FROM orders)"""
 
 
 def diffs(spark, sf) -> DataFrame:

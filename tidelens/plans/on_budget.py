@@ -346,7 +346,8 @@ def _(spark, sf):
     return c.select("event_total", "event_evaluable", *rr(["coverage", "sign_agreement", "signed_bias"]), "before_n", "split_n", *rr(["median_rel", "p90_rel", "rho_all", "rho_split"]))
 
 
-@query("evi_08_closure_gate", CONC + ", CASE WHEN count(*) > 0 THEN 'STOP' END AS gate, 'detector_source_diagnose_first' AS route FROM ok")
+@query("evi_08_closure_gate", "WITH base AS (" + CONC + """ FROM ok) SELECT *, CASE WHEN coverage >= 0.95 AND median_rel <= 0.15 AND p90_rel <= 0.30 AND sign_agreement >= 0.95 AND rho_all >= 0.90 THEN 'PASS' WHEN coverage < 0.95 OR median_rel > 0.20 OR p90_rel > 0.40 OR sign_agreement < 0.90 OR rho_all < 0.80 THEN 'STOP' ELSE 'WARN' END AS gate,
+ CASE WHEN coverage >= 0.95 AND median_rel <= 0.15 AND p90_rel <= 0.30 AND sign_agreement >= 0.95 AND rho_all >= 0.90 THEN 'exact_detector_attribution' ELSE 'detector_source_diagnose_first' END AS route FROM base""")
 def _(spark, sf):
     c = B.closure_gate(B.concordance(pairs(spark, sf), split_year=1995))
     return c.select("event_total", "event_evaluable", *rr(["coverage", "sign_agreement", "signed_bias"]), "before_n", "split_n", *rr(["median_rel", "p90_rel", "rho_all", "rho_split"]), "gate", "route")
