@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import fixed, scalar as S
 from ..sources.catalog import first_per_group
+from ..session import durable
 from . import joins as J, ordered, resample as RS
 
 
@@ -51,7 +52,8 @@ def select_control_windows(events: DataFrame, daily: DataFrame, readable: DataFr
     pairs = pairs.withColumn("selected_tier_days", tier).withColumn("_full", full)
     inside = F.coalesce(F.col("abs_day_difference") <= F.col("selected_tier_days"), F.lit(False))
     rank = F.row_number().over(w.orderBy(F.when(inside, 0).otherwise(1), "abs_initial_difference", "anchor"))
-    pairs = pairs.withColumn("selected_rank", F.when(inside, rank)).withColumn("_keep", inside & (~F.col("_full") | (rank <= target)))
+    # read by the summary and by the anchors: cut once
+    pairs = durable(pairs.withColumn("selected_rank", F.when(inside, rank)).withColumn("_keep", inside & (~F.col("_full") | (rank <= target))))
     head = pairs.groupBy("_d").agg(F.any_value("event_initial").alias("event_initial"), *[F.max(f"candidate_count_{t}").alias(f"candidate_count_{t}") for t in tiers],
                                    F.max("selected_tier_days").alias("selected_tier_days"), F.count_if("_keep").alias("selected_control_count"), F.bool_or("_full").alias("_full"))
     n = F.col("selected_control_count")
@@ -111,7 +113,7 @@ def select_control_events(classified: DataFrame, tiers: Sequence[int] = fixed.CO
     p = p.withColumn("_tier", S.ladder([(F.col(f"candidate_count_{t}") >= target, F.lit(t)) for t in tiers], F.lit(None).cast("int")))
     inside = F.col("kn").isNotNull() & F.coalesce(F.col("season_day_distance") <= F.col("_tier"), F.lit(True))
     before = F.coalesce(F.sum(F.when(inside, F.col("kn")).otherwise(0)).over(w.orderBy("abs_initial_difference", "abs_year_difference", "season_day_distance", "k_date").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    p = p.withColumn("_inside", inside).withColumn("_before", before)
+    p = durable(p.withColumn("_inside", inside).withColumn("_before", before))
     head = p.groupBy(r, "event_date").agg(*[F.max(f"candidate_count_{t}").alias(f"candidate_count_{t}") for t in tiers], F.max("candidate_count_all").alias("candidate_count_all"), F.max("_tier").alias("_tier"),
                                           F.least(F.sum(F.when(F.col("_inside"), F.col("kn")).otherwise(0)), F.lit(target)).alias("n_selected_controls"))
     head = head.withColumn("selected_tier", F.coalesce(F.col("_tier").cast("string"), F.lit("all"))).withColumn("matching_status", status_of(F.col("n_selected_controls"), target, least)).drop("_tier")
@@ -170,7 +172,7 @@ def balance(differences: DataFrame, universe: DataFrame, descriptors: Sequence[s
     """AGG-38: matched difference of each descriptor against the inter-quartile range of the eligible universe."""
     flat = universe.select(F.inline(F.array(*[F.struct(F.lit(d).alias("metric"), F.col(d).cast("double").alias("_v")) for d in descriptors])))
     q = ordered.quantiles(flat, ["metric"], "_v", {"a": 0.25, "b": 0.75}).select("metric", (F.col("b") - F.col("a")).alias("eligible_universe_iqr"))
-    d = differences.filter(F.col("metric").isin(*descriptors)).join(F.broadcast(q), "metric")
+    d = durable(differences.filter(F.col("metric").isin(*descriptors))).join(F.broadcast(q), "metric")
     d = d.withColumn("_s", F.abs(F.try_divide("difference", F.when(F.col("eligible_universe_iqr") > 0, F.col("eligible_universe_iqr")))))
     a = d.groupBy("metric").agg(F.count("difference").alias("n_cases"), F.avg("difference").alias("mean_difference"), F.avg("_s").alias("mean_abs_scaled"), F.count_if(F.col("difference").isNull()).alias("missing_count"),
                                 F.avg(F.col("difference").isNull().cast("int")).alias("missing_fraction"), F.max("eligible_universe_iqr").alias("eligible_universe_iqr"))
@@ -182,7 +184,7 @@ def balance(differences: DataFrame, universe: DataFrame, descriptors: Sequence[s
 def infer_family(differences: DataFrame, reps: int, seed: int, unit: str, alternatives: dict[str, str], family="family", metric="metric", value="difference", extra: Sequence[str] = (), least: int = 10) -> DataFrame:
     """STA-06: per metric n, mean, median, interval and sign-flip p; false discovery inside the family; status."""
     keys = [*extra, family, metric]
-    d = differences.filter(F.col(value).isNotNull())
+    d = durable(differences.filter(F.col(value).isNotNull()).select(*keys, unit, value))
     a = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_events"), F.avg(value).alias("mean_difference"))
     a = a.join(ordered.quantiles(d, keys, value, {"median_difference": 0.5}).drop("n_values"), keys).join(RS.bootstrap_ci(d, keys, value, unit, reps, seed), keys)
     alt = S.ladder([(F.col(family) == f, v) for f, v in alternatives.items()], "two-sided")
@@ -193,7 +195,7 @@ def infer_family(differences: DataFrame, reps: int, seed: int, unit: str, altern
 
 def count_sensitivity(differences: DataFrame, primary_count: int, reps: int, seed: int, unit: str, alternatives: dict[str, str], metric="metric") -> DataFrame:
     """STA-07: inference for every control count with direction and status compared to the primary count."""
-    t = infer_family(differences, reps, seed, unit, alternatives, metric=metric, extra=["control_count"])
+    t = durable(infer_family(differences, reps, seed, unit, alternatives, metric=metric, extra=["control_count"]))
     p = t.filter(F.col("control_count") == primary_count).select("family", metric, F.col("mean_difference").alias("_m"), F.col("status").alias("_s"))
     out = t.join(p, ["family", metric], "left")
     return (out.withColumn("direction_consistent_with_primary", F.signum("mean_difference") == F.signum("_m")).withColumn("status_consistent_with_primary", F.col("status") == F.col("_s"))
@@ -203,6 +205,7 @@ def count_sensitivity(differences: DataFrame, primary_count: int, reps: int, see
 def adjustment_models(rows: DataFrame, outcomes: Sequence[str], base: str, extended: Sequence[str], year: str, reps: int, seed: int, min_cases: int = 100, max_condition: float = 30.0) -> DataFrame:
     """STA-13: intercept of each outcome after adjusting for the focal difference alone (BASE) and with all descriptors (EXTENDED)."""
     flat = rows.select(year, base, *[c for c in extended if c != base], F.inline(F.array(*[F.struct(F.lit(o).alias("outcome"), F.col(o).alias("_y")) for o in outcomes])))
+    flat = durable(flat)
     parts = []
     for label, xs in (("BASE", [base]), ("EXTENDED", list(extended))):
         f = RS.least_squares(flat, ["outcome"], "_y", xs)

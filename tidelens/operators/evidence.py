@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
 from ..functions import fixed, scalar as S
+from ..session import durable
 from . import joins as J, resample as RS
 
 # The evidence schema.
@@ -51,7 +52,8 @@ def lag_differences(df: DataFrame, keys: Sequence[str], event: str, variables: S
 
 def test_differences(diffs: DataFrame, keys: Sequence[str], unit: str, reps: int, seed: int, family: Sequence[str] = ()) -> DataFrame:
     """One-sample tests per key with bootstrap interval and false discovery over the family (the whole table by default)."""
-    t = RS.one_sample(diffs, keys, "difference", unit, reps, seed)
+    # the differences feed the moments and the resampling: cut once
+    t = RS.one_sample(durable(diffs), keys, "difference", unit, reps, seed)
     return RS.fdr_bh(t, family).withColumn("ci_excludes_zero", excludes_zero())
 
 
@@ -94,7 +96,7 @@ def paired_specificity(source: DataFrame, displaced: DataFrame, supported: DataF
     a = RS.event_minus_background(source, ["region", "buffer_km"], "event_id", variables, ev, bg).select("region", "buffer_km", "event_id", "variable", F.col("difference").alias("source_difference"))
     b = RS.event_minus_background(displaced, ["region", "sample_region", "buffer_km"], "event_id", variables, ev, bg).select("region", "sample_region", "buffer_km", "event_id", "variable", F.col("difference").alias("wrong_difference"))
     p = b.join(a, ["region", "buffer_km", "event_id", "variable"])
-    p = p.withColumn("specificity", F.abs("source_difference") - F.abs("wrong_difference"))
+    p = durable(p.withColumn("specificity", F.abs("source_difference") - F.abs("wrong_difference")))
     keys = ["region", "sample_region", "buffer_km", "variable"]
     ok = p.filter("specificity is not null")
     t = p.groupBy(*keys).agg(F.count("specificity").alias("paired_n"), F.avg(F.when(F.col("specificity").isNotNull(), F.col("source_difference"))).alias("source_effect"),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..operators import budget as B, controls as C, timeseries as ts
+from ..session import durable
 from . import inputs as I
 from .on_series import FILLED
 from .registry import query
@@ -70,7 +71,7 @@ def forward_metrics(spark, sf):
     rows = p.select("pan_event_id", F.lit(0).alias("selected_rank"), F.col("event_date").alias("date")).unionByName(a.select("pan_event_id", "selected_rank", F.col("control_anchor_date").alias("date")))
     days = rows.select("date").distinct()
     c = B.change_cells(I.field(spark, sf), I.grid(spark, sf), 5, days)
-    rb = B.region_window_budget(c)
+    rb = durable(B.region_window_budget(c))
     m = I.members(spark, sf)
     major = B.class_cells(p.select(F.col("event_date").alias("date")).distinct(), m, I.patch_cells(spark, sf), "cdr").filter("class = 3").select(F.col("date").alias("event_date"), "y", "x")
     rows = rows.withColumn("window_id", F.concat_ws("#", "pan_event_id", "selected_rank"))
@@ -79,7 +80,7 @@ def forward_metrics(spark, sf):
     own = link.select("event_date", "date").distinct().withColumn("pair", F.concat_ws("#", "event_date", "date"))
     src = B.aligned_members(p.select(F.col("event_date").alias("date")).distinct(), m.filter("level = 3"), "cdr").select(F.col("window_date").alias("event_date"), F.col("event_region_code").alias("region_code")).distinct()
     d = B.domain_budgets(own.select("pair", "date"), rb, own.join(major, "event_date").select("pair", "date", "y", "x"), c, own.join(src, "event_date").select("pair", "region_code"), "pair")
-    return link.withColumn("pair", F.concat_ws("#", "event_date", "date")).join(d.drop("date"), "pair").drop("pair"), rb, link
+    return durable(link.withColumn("pair", F.concat_ws("#", "event_date", "date")).join(d.drop("date"), "pair").drop("pair")), rb, link
 
 
 MET = ["global_loss", "residual_loss", "other_region_loss", "residual_compensation_ratio"]
