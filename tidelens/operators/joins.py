@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import scalar as S
+from ..session import durable
 from . import ordered
 
 
@@ -146,27 +147,42 @@ def nearest_within(src: DataFrame, tgt: DataFrame, tolerance: int, km: float, id
     return src.join(near, cond, "left").drop("_sd", "_slon", "_slat")
 
 
+def nearest_gap(src: DataFrame, tgt: DataFrame, widest: int, name: str, keys: Sequence[str] = (), date: str = "event_date") -> DataFrame:
+    """Smallest day gap to a target (sharing ``keys``) up to ``widest``; null when none.  One join serves every tolerance.
+
+    Targets shrink to one row per (day, keys) before the join.
+    """
+    keys = list(keys)
+    offs = F.explode(F.sequence(F.lit(-widest), F.lit(widest)))
+    days = tgt.select(*keys, date).distinct().withColumn("_o", offs).groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys], F.date_add(date, F.col("_o")).alias("_day")).agg(F.min(F.abs("_o")).alias(name))
+    cond = F.col(date) == F.col("_day")
+    for k in keys:
+        cond = cond & (F.col(k) == F.col(f"_k_{k}"))
+    return src.join(days, cond, "left").drop("_day", *[f"_k_{k}" for k in keys])
+
+
 def match_matrix(pairs: Sequence[tuple[str, DataFrame, str, DataFrame]], adjacent: DataFrame, tolerances=(0, 1, 3), radii=(300, 500)) -> DataFrame:
     """JOI-10: share of source events with a match under every rule and tolerance, with distance quantiles."""
     rows = None
     widest = max(tolerances)
+    cols = ["event_id", "region", "event_date", "centroid_lon", "centroid_lat"]
     for s_name, s, t_name, t in pairs:
-        cols = ["event_id", "region", "event_date", "centroid_lon", "centroid_lat"]
         x = nearest_within(s.select(cols), t.select(cols), widest, max(radii), split_days=tolerances)
-        for k in tolerances:
-            x = flag_near_day(x, t, k, f"time_{k}")
-            x = flag_near_day_region(x, t.select(cols), adjacent, k, f"region_{k}")
+        x = nearest_gap(x, t, widest, "_any")
+        x = nearest_gap(x, with_neighbour_regions(t.select("region", "event_date").distinct(), adjacent), widest, "_reg", ["region"])
         options = []
+        hit = lambda c, k: F.coalesce(F.col(c) <= k, F.lit(False))
         for k in tolerances:
             none = F.lit(None).cast("double")
-            options.append(F.struct(F.lit(f"time-only_pm{k}d").alias("rule"), F.col(f"time_{k}").alias("hit"), none.alias("km")))
-            options.append(F.struct(F.lit(f"time+region_pm{k}d").alias("rule"), F.col(f"region_{k}").alias("hit"), none.alias("km")))
+            options.append(F.struct(F.lit(f"time-only_pm{k}d").alias("rule"), hit("_any", k).alias("hit"), none.alias("km")))
+            options.append(F.struct(F.lit(f"time+region_pm{k}d").alias("rule"), hit("_reg", k).alias("hit"), none.alias("km")))
             for r in radii:
                 km = F.when(F.col(f"nearest_km_{k}d") <= r, F.col(f"nearest_km_{k}d"))
                 options.append(F.struct(F.lit(f"time+centroid_{r}km_pm{k}d").alias("rule"), km.isNotNull().alias("hit"), km.alias("km")))
         flat = x.select(F.lit(s_name).alias("source"), F.lit(t_name).alias("target"), F.inline(F.array(*options)))
         rows = flat if rows is None else rows.unionByName(flat)
     keys = ["source", "target", "rule"]
+    rows = durable(rows)
     counts = rows.groupBy(*keys).agg(F.count_if("hit").alias("numerator"), F.count(F.lit(1)).alias("denominator"))
     q = ordered.quantiles(rows.filter("km is not null"), keys, "km", {"median_km": 0.5, "p90_km": 0.9}).drop("n_values")
     return counts.join(q, keys, "left").withColumn("ratio", S.ratio("numerator", "denominator"))
