@@ -94,6 +94,16 @@ def flag_overlap_any(rows: DataFrame, windows: DataFrame, name: str, start="wind
     return rows.join(hit, [start, end], "left").withColumn(name, F.coalesce(name, F.lit(False)))
 
 
+def flag_membership(rows: DataFrame, table: DataFrame, keys: dict[str, str], name: str) -> DataFrame:
+    """JOI-24: is the row's key among the distinct keys of another table?"""
+    t = table.select(*[F.col(b).alias(f"_m_{a}") for a, b in keys.items()]).distinct().withColumn(name, F.lit(True))
+    cond = None
+    for a in keys:
+        c = F.col(a) == F.col(f"_m_{a}")
+        cond = c if cond is None else cond & c
+    return rows.join(t, cond, "left").drop(*[f"_m_{a}" for a in keys]).withColumn(name, F.coalesce(name, F.lit(False)))
+
+
 # ---- place --------------------------------------------------------------
 
 def cube(lon, lat, side_km: float) -> list[Column]:

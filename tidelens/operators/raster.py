@@ -323,7 +323,7 @@ def region_medoid(grid: DataFrame, code="region_code", codes: Sequence[int] | No
     g = g.withColumn("ex", ex).withColumn("ey", ey)
     centre = g.groupBy(code).agg(F.avg("ex").alias("_cx"), F.avg("ey").alias("_cy"), F.count(F.lit(1)).alias("cells"))
     d2 = F.pow(F.col("ex") - F.col("_cx"), 2) + F.pow(F.col("ey") - F.col("_cy"), 2)
-    best = g.join(centre, code).groupBy(code).agg(F.min_by(F.struct("y", "x", "lon", "lat", "ex", "ey"), F.struct(F.round(d2, 3), F.col("y"), F.col("x"))).alias("m"), F.max("cells").alias("cells"))
+    best = g.join(centre, code).groupBy(code).agg(F.min_by(F.struct("y", "x", "lon", "lat", "ex", "ey"), F.struct(F.round(d2 / 1e6, 3), F.col("y"), F.col("x"))).alias("m"), F.max("cells").alias("cells"))
     return best.select(code, "m.*", "cells")
 
 

@@ -280,6 +280,23 @@ def _(spark, sf):
     return T.track_summary(tracks(spark, sf))
 
 
+@query("agg_32_summary_given_tracks", I.with_ctes("member", "patch") + """ SELECT unique_local_event_id AS track_id, min(p.date) AS start_date, max(p.date) AS end_date, count(DISTINCT p.date) AS track_length_days, min(min_sic_change) AS min_center_pressure_hpa, max(mean_sic_change) AS max_depth_hpa, round(avg(centroid_lat), 6) + 0.0 AS mean_lat, round(avg(centroid_lon), 6) + 0.0 AS mean_lon FROM member JOIN patch p USING (object_id) GROUP BY 1""")
+def _(spark, sf):
+    p = I.patches(spark, sf).join(I.members(spark, sf).select("object_id", F.col("unique_local_event_id").alias("track_id")), "object_id")
+    s = T.track_summary(p.select("track_id", "date", F.col("min_sic_change").alias("center_pressure_hpa"), F.col("mean_sic_change").alias("depth_hpa"), F.col("centroid_lat").alias("lat"), F.col("centroid_lon").alias("lon")))
+    return s.withColumn("mean_lat", R("mean_lat")).withColumn("mean_lon", R("mean_lon"))
+
+
+@query("agg_08_roll_up_given_clusters", I.with_ctes("ev") + """, c AS (SELECT dominant_region || '-' || (max_area_cells % 40) AS cluster_id, * FROM ev), p AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY cumulative_loss DESC, event_start, dominant_region, unique_local_event_id) AS rl, row_number() OVER (PARTITION BY cluster_id ORDER BY max_intensity DESC, event_start, dominant_region, unique_local_event_id) AS ri FROM c)
+SELECT cluster_id, min(event_start) AS start_date, max(event_end) AS end_date, max(event_end) - min(event_start) + 1 AS duration_days, count(*) AS member_event_count, sum(cumulative_loss) AS total_cumulative_loss, max(max_area_km2) AS max_area, max(unique_local_event_id) FILTER (rl = 1) AS representative_event_id, max(event_start) FILTER (ri = 1) AS peak_intensity_date,
+ max(track_centroid_lon) FILTER (rl = 1) AS representative_lon, bool_or(overlap_with_regional_vrile_v1) AS matches_regional, round(1.0::DOUBLE, 6) AS loss_dominant_region_fraction FROM p GROUP BY 1""")
+def _(spark, sf):
+    e = I.events(spark, sf).withColumn("cluster_id", F.concat_ws("-", "dominant_region", (F.col("max_area_cells") % 40).cast("string")))
+    e = e.withColumn("event_date", F.col("event_start")).withColumn("running_lon", F.col("track_centroid_lon")).withColumn("running_lat", F.col("track_centroid_lat"))
+    c = T.cluster_roll_up(e, ORDER)
+    return c.select("cluster_id", "start_date", "end_date", "duration_days", "member_event_count", "total_cumulative_loss", "max_area", "representative_event_id", "peak_intensity_date", "representative_lon", "matches_regional", R("loss_dominant_region_fraction").alias("loss_dominant_region_fraction"))
+
+
 @query("win_08_day_index", I.with_ctes("member") + """, d AS (SELECT DISTINCT unique_local_event_id AS track_id, date FROM member) SELECT track_id, date, CAST(row_number() OVER (PARTITION BY track_id ORDER BY date) AS INTEGER) AS track_day_index, count(*) OVER (PARTITION BY track_id) AS track_length_days FROM d""")
 def _(spark, sf):
     d = I.members(spark, sf).select(F.col("unique_local_event_id").alias("track_id"), "date").distinct()

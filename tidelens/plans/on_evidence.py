@@ -60,6 +60,25 @@ def _(spark, sf):
     return loc(spark, sf).select("region", "buffer_km", "variable", "n_units", *rr(["mean_difference", "standardized_mean_difference_zero", "p_raw", "p_fdr", "ci_low", "ci_high"]), "supported")
 
 
+@query("sca_17_t_test_p", LOC + " SELECT region, buffer_km, variable, round(p_raw, 8) + 0.0 AS p_raw FROM loc")
+def _(spark, sf):
+    u = RS.event_minus_background(I.lagged(spark, sf), ["region", "buffer_km"], "event_id", VARS, fixed.EVENT_LAGS, fixed.BACKGROUND_LAGS)
+    return RS.one_sample(u, ["region", "buffer_km", "variable"], "difference").select("region", "buffer_km", "variable", R("p_raw", 8).alias("p_raw"))
+
+
+@query("flt_14_schema_projection", I.with_ctes("lagged") + " SELECT region, CAST(buffer_km AS INTEGER) AS buffer_km, count(*) AS n, CAST(NULL AS VARCHAR) AS wrong_region, CAST(NULL AS DOUBLE) AS effect FROM lagged GROUP BY 1, 2")
+def _(spark, sf):
+    g = I.lagged(spark, sf).groupBy("region", "buffer_km").agg(F.count(F.lit(1)).alias("n_units"))
+    return E.to_schema(g).select("region", "buffer_km", F.col("n_units").alias("n"), "wrong_region", "effect")
+
+
+@query("joi_27_template_join", LOC + f" SELECT region, variable, buffer_km, n_units, round(m, 6) + 0.0 AS effect, round(p_fdr, 6) + 0.0 AS p_fdr, {SUPP} AS supported_or_significant, true AS evaluated FROM loc")
+def _(spark, sf):
+    keys = E.key_grid(spark, "location_buffer", region=REGIONS, variable=VARS, buffer_km=BUFFERS)
+    rows = E.fill_family(keys, loc(spark, sf), ["region", "variable", "buffer_km"], F.col("supported"), F.lit(""))
+    return rows.select("region", "variable", "buffer_km", "n_units", *rr(["effect", "p_fdr"]), "supported_or_significant", "evaluated")
+
+
 @query("flt_13_supported_rows", LOC + f" SELECT region, buffer_km, variable FROM loc WHERE {SUPP}")
 def _(spark, sf):
     return loc(spark, sf).filter(E.is_supported()).select("region", "buffer_km", "variable")

@@ -207,6 +207,15 @@ def _(spark, sf):
     return J.displaced_points(e, refs).select("event_id", "region", "sample_region", "ref_lon", "ref_lat")
 
 
+@query("joi_24_overlap_flags", I.with_ctes("ev", "pan") + """, f AS (SELECT dominant_region, event_start, event_start IN (SELECT event_date FROM pan) AS d, EXISTS (SELECT 1 FROM pan WHERE region = dominant_region AND event_date = event_start) AS rd FROM ev)
+SELECT dominant_region, bool_or(d) AS any_date, count(*) FILTER (d) AS n_date, count(*) FILTER (rd) AS n_region_date FROM f GROUP BY 1""")
+def _(spark, sf):
+    e, p = I.events(spark, sf), I.pan(spark, sf)
+    e = J.flag_membership(e, p, {"event_start": "event_date"}, "d")
+    e = J.flag_membership(e, p, {"dominant_region": "region", "event_start": "event_date"}, "rd")
+    return e.groupBy("dominant_region").agg(F.bool_or("d").alias("any_date"), F.count_if("d").alias("n_date"), F.count_if("rd").alias("n_region_date"))
+
+
 # ---- predicates -----------------------------------------------------------
 
 @query("flt_05_patch_filter", I.with_ctes("patch") + " SELECT object_id FROM patch WHERE window_days = 3 AND abs(threshold + 0.1) <= 1e-8 + 1e-5 * 0.1 AND object_area_cells >= 20")

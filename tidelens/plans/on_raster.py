@@ -286,7 +286,13 @@ def _(spark, sf):
     return locate.strongest(I.patches(spark, sf)).select("region", "date", "object_id")
 
 
-@query("top_05_region_medoid")
+LAEA = """, le AS (SELECT sqrt(f * (2 - f)) AS e FROM (SELECT 1 / 298.257223563::DOUBLE AS f)), lq AS (SELECT g.*, e, sin(radians(lat)) AS s, e * e AS e2 FROM grid g, le WHERE region_code BETWEEN 1 AND 18),
+lr AS (SELECT *, 6378137.0::DOUBLE * sqrt(greatest((1 - e2) * (1 / (1 - e2) - 1 / (2 * e) * ln((1 - e) / (1 + e))) - (1 - e2) * (s / (1 - e2 * s * s) - 1 / (2 * e) * ln((1 - e * s) / (1 + e * s))), 0)) AS rho FROM lq),
+lx AS (SELECT *, rho * sin(radians(lon)) AS ex, -rho * cos(radians(lon)) AS ey FROM lr), lc AS (SELECT *, avg(ex) OVER w AS cx, avg(ey) OVER w AS cy, count(*) OVER w AS cells FROM lx WINDOW w AS (PARTITION BY region_code)),
+lk AS (SELECT *, row_number() OVER (PARTITION BY region_code ORDER BY round((pow(ex - cx, 2) + pow(ey - cy, 2)) / 1e6, 3), y, x) AS rn FROM lc)"""
+
+
+@query("top_05_region_medoid", I.with_ctes("grid") + LAEA + " SELECT region_code, y, x, cells FROM lk WHERE rn = 1")
 def _(spark, sf):
     m = RA.region_medoid(I.grid(spark, sf), codes=list(range(1, 19)))
     return m.select("region_code", "y", "x", "cells")
@@ -310,11 +316,22 @@ def _(spark, sf):
     return a.join(b, "date").join(before, "date", "left").select("date", "coded_extent", "field_extent", R(F.col("coded_extent") - F.col("p"), 9).alias("change_3d"))
 
 
-@query("sca_03_projection")
+_A, _B = fixed.GRID_SEMI_MAJOR_M, fixed.GRID_SEMI_MINOR_M
+PS = I.with_ctes("ev") + f""", k AS (SELECT sqrt(1 - pow({_B}::DOUBLE / {_A}::DOUBLE, 2)) AS e, radians(70.0::DOUBLE) AS ts), f AS (SELECT unique_local_event_id AS event_id, radians(track_centroid_lat) AS p, radians(track_centroid_lon + 45.0::DOUBLE) AS l, e, ts FROM ev, k),
+t AS (SELECT *, tan(pi() / 4 - p / 2) / pow((1 - e * sin(p)) / (1 + e * sin(p)), e / 2) AS t, tan(pi() / 4 - ts / 2) / pow((1 - e * sin(ts)) / (1 + e * sin(ts)), e / 2) AS tt, cos(ts) / sqrt(1 - pow(e * sin(ts), 2)) AS mc FROM f),
+q AS (SELECT event_id, {_A}::DOUBLE * mc * t / tt * sin(l) AS px, -{_A}::DOUBLE * mc * t / tt * cos(l) AS py FROM t)"""
+
+
+@query("sca_03_projection", PS + f" SELECT event_id, round(px, 3) + 0.0 AS px, round(py, 3) + 0.0 AS py, round((degrees(atan2(px, -py)) - 45 + 180 + 360) % 360 - 180, 6) + 0.0 AS sphere_lon, round(degrees(pi() / 2 - 2 * atan(sqrt(px * px + py * py) * sqrt((1 + sin(radians(70))) / (1 - sin(radians(70)))) / (2 * {_A}::DOUBLE))), 6) + 0.0 AS sphere_lat FROM q")
 def _(spark, sf):
-    e = I.events(spark, sf)
     x, y = G.stereographic_forward("track_centroid_lon", "track_centroid_lat")
-    p = e.select(F.col("unique_local_event_id").alias("event_id"), "track_centroid_lon", "track_centroid_lat", x.alias("px"), y.alias("py"))
-    lon, lat = G.stereographic_inverse("px", "py")
+    p = I.events(spark, sf).select(F.col("unique_local_event_id").alias("event_id"), x.alias("px"), y.alias("py"))
     slon, slat = G.stereographic_inverse_sphere("px", "py", fixed.GRID_SEMI_MAJOR_M)
-    return p.select("event_id", R("px", 3).alias("px"), R("py", 3).alias("py"), R(lon).alias("lon"), R(lat).alias("lat"), R(slon).alias("sphere_lon"), R(slat).alias("sphere_lat"))
+    return p.select("event_id", R("px", 3).alias("px"), R("py", 3).alias("py"), R(slon).alias("sphere_lon"), R(slat).alias("sphere_lat"))
+
+
+@query("sca_03_round_trip", PS + " SELECT event_id, round(track_centroid_lat, 6) + 0.0 AS lat FROM q JOIN ev ON unique_local_event_id = event_id")
+def _(spark, sf):
+    x, y = G.stereographic_forward("track_centroid_lon", "track_centroid_lat")
+    p = I.events(spark, sf).select(F.col("unique_local_event_id").alias("event_id"), x.alias("px"), y.alias("py"))
+    return p.select("event_id", R(G.stereographic_inverse("px", "py")[1]).alias("lat"))

@@ -106,9 +106,9 @@ def units(spark, sf, keys=("region", "buffer_km")):
     return RS.event_minus_background(I.lagged(spark, sf), list(keys), "event_id", ["v1", "v2"], fixed.EVENT_LAGS, fixed.BACKGROUND_LAGS)
 
 
-@query("agg_35_event_minus_background", L + EMB + " SELECT region, buffer_km, event_id, variable, event_observations, background_observations, round(event_mean - background_mean, 6) + 0.0 AS difference FROM em")
+@query("agg_35_event_minus_background", L + EMB + " SELECT region, buffer_km, event_id, variable, event_observations, background_observations, round(event_mean - background_mean, 9) + 0.0 AS difference FROM em")
 def _(spark, sf):
-    return units(spark, sf).select("region", "buffer_km", "event_id", "variable", "event_observations", "background_observations", R("difference").alias("difference"))
+    return units(spark, sf).select("region", "buffer_km", "event_id", "variable", "event_observations", "background_observations", R("difference", 9).alias("difference"))
 
 
 @query("agg_33_lag_composites", L + " SELECT region, buffer_km, lag, round(avg(v1), 6) + 0.0 AS v1, round(avg(v2), 6) + 0.0 AS v2 FROM lagged GROUP BY 1, 2, 3")
@@ -125,11 +125,6 @@ def _(spark, sf):
     return s.select("region", "buffer_km", "variable", "n_units", R("mean_difference").alias("mean_difference"), R("standardized_mean_difference_zero").alias("standardized"))
 
 
-@query("sca_17_t_test_p")
-def _(spark, sf):
-    return RS.one_sample(units(spark, sf), ["region", "buffer_km", "variable"], "difference").select("region", "buffer_km", "variable", R("p_raw", 9).alias("p_raw"))
-
-
 @query("agg_34_buffer_sensitivity", L + ONE + " SELECT region, variable, round(max(abs(m / sd)), 6) + 0.0 AS max_abs_effect, CAST(max(n_units) AS BIGINT) AS max_units FROM st GROUP BY 1, 2")
 def _(spark, sf):
     s = RS.one_sample(units(spark, sf), ["region", "buffer_km", "variable"], "difference")
