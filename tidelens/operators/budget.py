@@ -124,7 +124,8 @@ def track_windows(dates: DataFrame, track: str) -> DataFrame:
 
 def aligned_members(dates: DataFrame, members: DataFrame, track: str) -> DataFrame:
     """Members inside the window of each distinct event date (JOI-14); ``window_date`` is the event date."""
-    return J.interval_members(track_windows(dates, track), members)
+    # distinct days only: bounded by the calendar, so a crowded day is not shuffled to one task
+    return J.interval_members(F.broadcast(track_windows(dates, track)), members)
 
 
 def class_cells(dates: DataFrame, members: DataFrame, patch_cells: DataFrame, track: str) -> DataFrame:
@@ -317,10 +318,11 @@ def floor_components(field: DataFrame, grid: DataFrame, days: int, threshold: fl
     filters on the component table.  Dates without components keep a row.
     """
     from ..sources.catalog import with_floors
-    d = with_floors(change_cells(field, grid, days, dates), "start_value", floors)
-    cells = RA.label(RA.closed_mask(d.filter(F.col("delta") <= threshold), d, ["date", "scenario"]), ["date", "scenario"])
-    w = d.withColumn("w", F.col("loss") * F.col("area_km2"))
-    comp = cells.join(w.select("date", "scenario", "y", "x", "w"), ["date", "scenario", "y", "x"]).groupBy("date", "scenario", "component").agg(F.count(F.lit(1)).alias("cell_count"), F.sum("w").alias("loss"))
+    d = with_floors(change_cells(field, grid, days, dates), "start_value", floors).withColumn("w", F.col("loss") * F.col("area_km2"))
+    keys = ["date", "scenario"]
+    w = d
+    cells = RA.label(RA.closed_mask(d.filter(F.col("delta") <= threshold), d, keys, grid=grid, carry=["w"]), keys, carry=["w"])
+    comp = cells.groupBy("date", "scenario", "component").agg(F.count(F.lit(1)).alias("cell_count"), F.sum("w").alias("loss"))
     fits = F.explode(F.array_compact(F.array(*[F.when(F.col("cell_count") > n, F.lit(n)) for n in sizes])))
     each = comp.withColumn("min_cells", fits)
     m = composition(each, ["date", "scenario", "min_cells"], "loss").withColumnRenamed("total", "resolved_loss")

@@ -83,17 +83,18 @@ def expand_mask(mask: DataFrame, keys: Sequence[str], steps: int, ny: int, nx: i
     return out
 
 
-def closed_mask(mask: DataFrame, valid: DataFrame, keys: Sequence[str], y="y", x="x") -> DataFrame:
-    """RAS-02: 3 x 3 closing of a cell set inside the grid of ``valid``; outside counts as unset, so the border erodes.
+def closed_mask(mask: DataFrame, valid: DataFrame, keys: Sequence[str], y="y", x="x", grid: DataFrame | None = None, carry: Sequence[str] = ()) -> DataFrame:
+    """RAS-02: 3 x 3 closing of a cell set; outside the grid counts as unset, so the border erodes.
 
-    ``valid`` holds the cells that may stay (finite and inside the domain), with the
-    frame keys, and ``ny``/``nx`` bound the grid.
+    ``valid`` holds the cells that may stay (finite and inside the domain) with the frame
+    keys; ``carry`` names its columns to return.  The static ``grid`` gives the bounds
+    without another pass over the field.
     """
     grown = _filled(mask.select(*keys, y, x), keys, 1, y, x, "s").select(*keys, y, x)
-    bounds = valid.select(F.max(y).alias("my"), F.max(x).alias("mx")).select(F.struct("my", "mx")).scalar()
+    bounds = (valid if grid is None else grid).select(F.max(y).alias("my"), F.max(x).alias("mx")).select(F.struct("my", "mx")).scalar()
     grown = grown.withColumn("_b", bounds).filter((F.col(y) >= 0) & (F.col(x) >= 0) & (F.col(y) <= F.col("_b.my")) & (F.col(x) <= F.col("_b.mx"))).drop("_b")
     shrunk = _filled(grown, keys, 1, y, x, "is_set").filter("is_set and n_near = 8").select(*keys, y, x)
-    return shrunk.join(valid.select(*keys, y, x), [*keys, y, x], "left_semi")
+    return shrunk.join(valid.select(*keys, y, x, *carry), [*keys, y, x])
 
 
 def strict_minima(df: DataFrame, keys: Sequence[str], value: str, y="y", x="x") -> DataFrame:
@@ -166,13 +167,14 @@ def _label_tile(ys: np.ndarray, xs: np.ndarray, offsets) -> np.ndarray:
             return root
 
 
-def label(mask: DataFrame, keys: Sequence[str], connectivity: int = 8, y="y", x="x", tile: int = TILE) -> DataFrame:
+def label(mask: DataFrame, keys: Sequence[str], connectivity: int = 8, y="y", x="x", tile: int = TILE, carry: Sequence[str] = ()) -> DataFrame:
     """RAS-03 / RAS-04: add ``component``, the raster position (y * 2^32 + x) of the component's first cell.
 
     Tiles are labelled on their own in grouped-map tasks of bounded size; only tile-border
     cells then enter a distributed component search that joins labels across tiles.
+    ``carry`` names columns that ride along, so the field is not joined again.
     """
-    keys = list(keys)
+    keys, carry = list(keys), list(carry)
     ahead = [(0, 1), (1, 0)] if connectivity == 4 else [(0, 1), (1, -1), (1, 0), (1, 1)]
     types = {f.name: f.dataType.simpleString() for f in mask.schema.fields}
 
@@ -180,12 +182,12 @@ def label(mask: DataFrame, keys: Sequence[str], connectivity: int = 8, y="y", x=
         pdf = pdf.sort_values([y, x], kind="stable")
         ys, xs = pdf[y].to_numpy(np.int64), pdf[x].to_numpy(np.int64)
         first = _label_tile(ys, xs, ahead)
-        out = pdf[[*keys, y, x]].copy()
+        out = pdf[[*keys, y, x, *carry]].copy()
         out["_part"] = (ys * (1 << 32) + xs)[first]
         return out
 
-    schema = ", ".join([*[f"{k} {types[k]}" for k in keys], f"{y} {types[y]}", f"{x} {types[x]}", "_part bigint"])
-    at = mask.select(*keys, y, x).withColumn("_ty", F.floor(F.col(y) / tile)).withColumn("_tx", F.floor(F.col(x) / tile))
+    schema = ", ".join([*[f"{k} {types[k]}" for k in keys], *[f"{c} {types[c]}" for c in (y, x, *carry)], "_part bigint"])
+    at = mask.select(*keys, y, x, *carry).withColumn("_ty", F.floor(F.col(y) / tile)).withColumn("_tx", F.floor(F.col(x) / tile))
     parts = durable(at.groupBy(*keys, "_ty", "_tx").applyInPandas(run, schema))
     inner = F.lit(tile - 1)
     my, mx = F.pmod(F.col(y), F.lit(tile)), F.pmod(F.col(x), F.lit(tile))
@@ -305,13 +307,11 @@ def detect_patches(delta: DataFrame, grid: DataFrame, threshold: float, min_cell
     """
     keys = list(keys)
     hit = F.col(value) < threshold if strict_threshold else F.col(value) <= threshold
-    mask = delta.filter(hit).select(*keys, "y", "x")
+    mask = delta.filter(hit).select(*keys, "y", "x", value)
     if closing:
-        mask = closed_mask(mask, delta, keys)
-    cells = label(mask, keys, connectivity)
-    kept = raster_numbers(cells, keys, min_cells, strict_size)
-    lab = cells.join(kept, [*keys, "component"])
-    return lab.join(delta.select(*keys, "y", "x", value), [*keys, "y", "x"]).join(grid, ["y", "x"])
+        mask = closed_mask(mask, delta, keys, grid=grid, carry=[value])
+    cells = label(mask, keys, connectivity, carry=[value])
+    return cells.join(raster_numbers(cells, keys, min_cells, strict_size), [*keys, "component"]).join(grid, ["y", "x"])
 
 
 # ---- medoid, perimeter -----------------------------------------------------------
