@@ -35,15 +35,15 @@ def signatures(df: DataFrame, keys: Sequence[str], part: str) -> DataFrame:
 
 # ---- budgets and footprints --------------------------------------------------------
 
-def no_lookahead(members: DataFrame, relation: DataFrame, date: str = "event_date") -> DataFrame:
-    """QA-01: per event, the latest member day against the event day, and whether the recomputed ids equal the relation table.
+def no_lookahead(members: DataFrame, relation: DataFrame, key: str = "pan_event_id", date: str = "event_date") -> DataFrame:
+    """QA-01: per event (or per event day), the latest member day against it, and whether the recomputed ids equal the relation table.
 
-    members (pan_event_id, event_date, unique_local_event_id, date); relation (pan_event_id, unique_local_event_id).
+    members (key, event_date, unique_local_event_id, date); relation (key, unique_local_event_id).
     """
-    late = members.groupBy("pan_event_id").agg(F.max(F.datediff("date", F.col(date))).alias("max_days_after"), F.count_if(F.col("date") > F.col(date)).alias("future_rows"))
-    ids = shared_counts(members.select("pan_event_id", "unique_local_event_id").distinct(), relation.select("pan_event_id", "unique_local_event_id").distinct(), ["pan_event_id"], ["unique_local_event_id"])
+    late = members.groupBy(key).agg(F.max(F.datediff("date", F.col(date))).alias("max_days_after"), F.count_if(F.col("date") > F.col(date)).alias("future_rows"))
+    ids = shared_counts(members.select(key, "unique_local_event_id").distinct(), relation.select(key, "unique_local_event_id").distinct(), [key], ["unique_local_event_id"])
     ok = (F.coalesce("future_rows", F.lit(0)) == 0) & (F.col("only_a") == 0) & (F.col("only_b") == 0)
-    return late.join(ids, "pan_event_id", "full_outer").withColumn("status", F.when(ok, "PASS").otherwise("FAIL"))
+    return late.join(ids, key, "full_outer").withColumn("status", F.when(ok, "PASS").otherwise("FAIL"))
 
 
 def budget_gate(budget: DataFrame, fractions: Sequence[str], total: str, key: str = "date") -> DataFrame:

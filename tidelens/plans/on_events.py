@@ -178,12 +178,13 @@ def _(spark, sf):
     return I.grid(spark, sf).groupBy(F.col("region_code").alias("surface_code")).agg(F.count(F.lit(1)).alias("cell_count")).withColumn("classification", kind)
 
 
-@query("sev_06_taxonomy", """WITH f(n) AS (VALUES ('central_arctic'), ('beaufort_sea'), ('laptev_sea'), ('kara_sea'), ('barents_sea')), c AS (SELECT count(*) AS n FROM customer)
-SELECT 'focus' AS kind, count(*) + 0 * any_value(c.n) AS regions, any_value(c.n) AS customers FROM f, c UNION ALL SELECT 'other', 15, any_value(c.n) FROM c""")
+@query("sev_06_taxonomy", I.with_ctes("ev") + """, n AS (SELECT CASE dominant_region WHEN 'R0' THEN 'beaufort_sea' WHEN 'R1' THEN 'kara_sea' WHEN 'R2' THEN 'hudson_bay' WHEN 'R3' THEN 'pan_arctic' ELSE 'pan_arctic_reference' END AS region, cumulative_loss FROM ev)
+SELECT CASE WHEN region LIKE 'pan%' THEN 'aggregate_reference' ELSE 'physical_region' END AS region_type, count(*) AS n_events, count(*) FILTER (region NOT LIKE 'pan%') AS n_ranked, count(*) FILTER (region <> 'pan_arctic_reference') AS n_matched, count(*) FILTER (region IN ('beaufort_sea', 'kara_sea')) AS n_classified FROM n GROUP BY 1""")
 def _(spark, sf):
-    t = SV.taxonomy(spark)
-    n = I.table(spark, sf, "customer").agg(F.count(F.lit(1)).alias("customers")).scalar()
-    return t.groupBy(F.when(F.col("used_in_mechanism_classification"), "focus").otherwise("other").alias("kind")).agg(F.count(F.lit(1)).alias("regions")).withColumn("customers", n)
+    r = F.col("dominant_region")
+    name = S.ladder([(r == "R0", "beaufort_sea"), (r == "R1", "kara_sea"), (r == "R2", "hudson_bay"), (r == "R3", "pan_arctic")], "pan_arctic_reference")
+    e = I.events(spark, sf).select(name.alias("region_name")).join(F.broadcast(SV.taxonomy(spark)), "region_name")
+    return e.groupBy("region_type").agg(F.count(F.lit(1)).alias("n_events"), F.count_if("used_in_ranking").alias("n_ranked"), F.count_if("used_in_matching").alias("n_matched"), F.count_if("used_in_mechanism_classification").alias("n_classified"))
 
 
 # ---- tracking ----------------------------------------------------------------------
@@ -327,10 +328,12 @@ c AS (SELECT DISTINCT pan_event_id, unique_local_event_id FROM panf JOIN member
 j AS (SELECT coalesce(d.pan_event_id, c.pan_event_id) AS pan_event_id, d.pan_event_id IS NOT NULL AS a, c.pan_event_id IS NOT NULL AS b FROM d FULL OUTER JOIN c USING (pan_event_id, unique_local_event_id))
 SELECT pan_event_id, count(*) FILTER (a AND b) AS shared, count(*) FILTER (a AND NOT b) AS only_a, count(*) FILTER (NOT a AND b) AS only_b FROM j GROUP BY 1""")
 def _(spark, sf):
-    from ..operators import joins as J, quality as Q
-    from .on_joins import windows
-    pick = lambda t: J.interval_members(windows(spark, sf, t), I.members(spark, sf)).select("pan_event_id", "unique_local_event_id").distinct()
-    return Q.shared_counts(pick("detector"), pick("cdr"), ["pan_event_id"], ["unique_local_event_id"])
+    from ..operators import budget as B, quality as Q
+    p = I.pan_frames(spark, sf)
+    days = p.select(F.col("event_date").alias("date"))
+    pick = lambda t: B.aligned_members(days, I.members(spark, sf), t).select("window_date", "unique_local_event_id").distinct()
+    counts = Q.shared_counts(pick("detector"), pick("cdr"), ["window_date"], ["unique_local_event_id"])
+    return p.join(counts, F.col("event_date") == F.col("window_date")).select("pan_event_id", "shared", "only_a", "only_b")
 
 
 @query("set_06_membership_signatures", I.with_ctes("member") + """, k AS (SELECT unique_local_event_id, object_id || '|' || strftime(date, '%Y-%m-%d') AS k FROM member), s AS (SELECT unique_local_event_id, count(*) AS n, string_agg(k, ';' ORDER BY k) AS sig FROM k GROUP BY 1)

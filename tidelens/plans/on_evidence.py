@@ -178,10 +178,10 @@ fb AS (SELECT analysis_tier, region, event_id, variable, avg(v) AS b FROM fv WHE
 fd AS (SELECT analysis_tier, region, event_id, variable, lag_group, e - b AS difference FROM fg JOIN fb USING (analysis_tier, region, event_id, variable)), """ + tests_sql("fd", ["analysis_tier", "region", "variable", "lag_group"], "fr", ["analysis_tier"])
 
 
-@query("sta_18_front_tests", FRONT + """ SELECT analysis_tier, region, variable, lag_group, n_units, round(m, 6) + 0.0 AS mean_difference, round(p_fdr, 6) + 0.0 AS p_fdr, CASE WHEN coalesce(p_fdr < 0.05 AND ci_excludes_zero AND n_units >= 3, false) THEN CASE analysis_tier WHEN 'primary' THEN 'statistically_supported_dynamic_indicator' ELSE 'sensitivity_dependent_suggestive' END ELSE 'weak_or_insufficient' END AS mechanism_evidence_status FROM fr""")
+@query("sta_18_front_tests", FRONT + """ SELECT analysis_tier, region, variable, lag_group, n_units, round(m, 9) + 0.0 AS mean_difference, round(p_fdr, 6) + 0.0 AS p_fdr, CASE WHEN coalesce(p_fdr < 0.05 AND ci_excludes_zero AND n_units >= 3, false) THEN CASE analysis_tier WHEN 'primary' THEN 'statistically_supported_dynamic_indicator' ELSE 'sensitivity_dependent_suggestive' END ELSE 'weak_or_insufficient' END AS mechanism_evidence_status FROM fr""")
 def _(spark, sf):
     t = E.front_tests(front_rows(spark, sf), B, SEED, variables=("outward_edge_normal_wind_ms", "wind_speed_ms"))
-    return t.filter("n_units > 0").select("analysis_tier", "region", "variable", "lag_group", "n_units", *rr(["mean_difference", "p_fdr"]), "mechanism_evidence_status")
+    return t.filter("n_units > 0").select("analysis_tier", "region", "variable", "lag_group", "n_units", R("mean_difference", 9).alias("mean_difference"), R("p_fdr").alias("p_fdr"), "mechanism_evidence_status")
 
 
 @query("sta_18_front_status", FRONT + """, s AS (SELECT region, count(*) FILTER (n_units >= 3 AND p_fdr IS NOT NULL) AS n, string_agg(CASE WHEN n_units >= 3 AND m > 0 AND p_fdr < 0.05 AND ci_excludes_zero THEN lag_group END, ';' ORDER BY lag_group) AS g FROM fr WHERE variable = 'outward_edge_normal_wind_ms' AND analysis_tier = 'primary' AND lag_group IN ('pre-event', 'event-time') GROUP BY 1)

@@ -154,8 +154,11 @@ def windows(spark, sf, track):
 
 @query("joi_14_interval_members", I.with_ctes("panf", "member") + """ SELECT pan_event_id, unique_local_event_id, count(*) AS n FROM panf JOIN member m ON m.start_date <= event_date AND m.date >= event_date - 5 AND m.date <= event_date GROUP BY 1, 2""")
 def _(spark, sf):
-    hit = J.interval_members(windows(spark, sf, "cdr"), I.members(spark, sf))
-    return hit.groupBy("pan_event_id", "unique_local_event_id").agg(F.count(F.lit(1)).alias("n"))
+    from ..operators import budget as B
+    p = I.pan_frames(spark, sf)
+    # events of one day share a window: relate and count per distinct window, attach events last
+    per = B.aligned_members(p.select(F.col("event_date").alias("date")), I.members(spark, sf), "cdr").groupBy("window_date", "unique_local_event_id").agg(F.count(F.lit(1)).alias("n"))
+    return p.join(per, F.col("event_date") == F.col("window_date")).select("pan_event_id", "unique_local_event_id", "n")
 
 
 @query("joi_15_interval_exclusion", I.with_ctes("ev", "pan") + """ SELECT unique_local_event_id AS event_id, EXISTS (SELECT 1 FROM pan WHERE event_start - 5 <= event_date AND event_date - 5 <= event_start) AS excluded FROM ev""")

@@ -9,22 +9,23 @@ from ..operators import budget as B, joins as J, quality as Q, raster as RA
 from ..sources import catalog, cells as C
 from . import inputs as I
 from .on_budget import BASE2, CDR, cells, classes, dates
-from .on_joins import windows
 from .registry import query
 
 R = S.rounded
 
 
 def aligned(spark, sf):
-    p = I.pan_frames(spark, sf)
-    return J.interval_members(windows(spark, sf, "cdr"), I.members(spark, sf)).join(p, "pan_event_id")
+    """members per distinct event day"""
+    days = I.pan_frames(spark, sf).select(F.col("event_date").alias("date"))
+    return B.aligned_members(days, I.members(spark, sf), "cdr").withColumnRenamed("window_date", "event_date")
 
 
 @query("qa_01_no_lookahead", I.with_ctes("panf", "member") + """, m AS (SELECT pan_event_id, event_date, unique_local_event_id, m.date FROM panf JOIN member m ON m.start_date <= event_date AND m.date BETWEEN event_date - 5 AND event_date)
 SELECT pan_event_id, CAST(max(date - event_date) AS INTEGER) AS max_days_after, count(*) FILTER (date > event_date) AS future_rows, count(DISTINCT unique_local_event_id) AS shared, 0 AS only_a, 0 AS only_b, 'PASS' AS status FROM m GROUP BY 1""")
 def _(spark, sf):
     m = aligned(spark, sf)
-    return Q.no_lookahead(m, m.select("pan_event_id", "unique_local_event_id"))
+    audit = Q.no_lookahead(m, m.select("event_date", "unique_local_event_id").distinct(), key="event_date")
+    return I.pan_frames(spark, sf).join(audit, "event_date").drop("event_date")
 
 
 @query("qa_02_budget_gate", BASE2 + " SELECT DISTINCT event_date AS date, false AS negative_amount, true AS closes, true AS fractions_close FROM panf")
