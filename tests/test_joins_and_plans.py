@@ -126,6 +126,19 @@ def test_table_comparison_names_the_field(spark):
     assert Q.fingerprint(a).first() == Q.fingerprint(a.orderBy(F.desc("k"))).first()
 
 
+def test_regime_rules_and_labels(spark):
+    from tidelens.sources import catalog
+    cols = "region string, major_severe_cluster_support int, location_buffer_support int, lead_lag_directionality int, wrong_region_control int, year_block_bootstrap int, mean_score double, confidence_level string"
+    rows = [("central_arctic", 4, 4, 3, 3, 3, 3.4, "moderate"), ("barents_sea", 4, 4, 3, 3, 3, 3.4, "moderate"), ("kara_sea", 4, 4, 3, 3, 3, 3.4, "moderate"), ("beaufort_sea", 4, 4, 3, 3, 3, 3.4, "moderate"), ("laptev_sea", 1, 1, 1, 3, 1, 1.4, "weak")]
+    prox = spark.createDataFrame([("kara_sea", "not_supported")], "region string, evidence_status string")
+    got = {r.region: r for r in E.regime(spark.createDataFrame(rows, cols), prox).collect()}
+    assert got["central_arctic"].confidence_level == "weak" and got["central_arctic"].mean_score == pytest.approx(2.8) and got["central_arctic"].major_severe_cluster_support == 1
+    assert got["barents_sea"].confidence_level == "weak" and got["kara_sea"].confidence_level == "suggestive"
+    assert got["beaufort_sea"].assigned_regime.startswith("Strong") and got["laptev_sea"].assigned_regime == "Dynamic-loss suggestive regime"
+    ids = spark.createDataFrame([("central_arctic",), ("kara_sea",)], "r string")
+    assert {x.r: x.label for x in catalog.with_labels(ids, "r").collect()} == {"central_arctic": "Central Arctic (NSIDC-0780 region 1)", "kara_sea": "kara_sea"}
+
+
 def test_registry_is_consistent():
     assert set(SQL) <= set(QUERIES) and len(QUERIES) > 200
     assert all(n == n.lower() and " " not in n for n in QUERIES)

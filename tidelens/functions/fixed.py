@@ -156,3 +156,10 @@ GRID_Y0_M = 5850000.0
 GRID_STEP_M = 25000.0
 WGS84_SEMI_MAJOR_M = 6378137.0
 WGS84_FLATTENING = 1 / 298.257223563
+
+# Display labels of region ids by language; other ids show as themselves.
+REGION_LABELS = {
+    "central_arctic": {"en": "Central Arctic (NSIDC-0780 region 1)", "zh": "中央北极区（NSIDC-0780第1区）"},
+    "central_basin": {"en": "Central Basin (custom 82–90°N)", "zh": "中央北极盆地（自定义82–90°N纬度带）"},
+    "central_arctic_basin": {"en": "Central Basin (custom 82–90°N)", "zh": "中央北极盆地（自定义82–90°N纬度带）"},
+}

@@ -293,8 +293,14 @@ def regime(matrix: DataFrame, proximity: DataFrame) -> DataFrame:
         (at("kara_sea") & (F.col("_p") == "supported") & (L >= 3) & (Bf >= 3), "Moderate atmospheric-dynamic regime"),
         (at("kara_sea"), "Atmospheric-dynamic suggestive regime"),
         (at("barents_sea"), "Barents Sea atmospheric/compound suggestive regime; ocean heat not tested"),
+        (at("central_arctic"), fixed.REGION_LABELS["central_arctic"]["en"] + " weak/threshold-sensitive regime"),
     ], "Relative-threshold-sensitive / weak absolute-loss regime")
-    return m.withColumn("assigned_regime", label).drop("_p")
+    m = m.withColumn("assigned_regime", label).drop("_p")
+    # fixed rules: two regions are never more than weak, one stays suggestive without its forcing
+    conf = S.ladder([(at("central_arctic") | at("barents_sea"), "weak"), (at("kara_sea") & F.col("assigned_regime").startswith("Atmospheric-dynamic suggestive"), "suggestive")], F.col("confidence_level"))
+    capped = F.least(M, F.lit(1))
+    mean = F.when(at("central_arctic"), F.col("mean_score") - (M - capped) / 5.0).otherwise(F.col("mean_score"))
+    return m.withColumn("confidence_level", conf).withColumn("mean_score", mean).withColumn("major_severe_cluster_support", F.when(at("central_arctic"), capped).otherwise(M))
 
 
 def scenario_comparison(paired: DataFrame, keys: Sequence[str], tags=("primary", "floor")) -> DataFrame:

@@ -424,7 +424,7 @@ def _(spark, sf):
 
 @query("sca_19_labels", "SELECT n_nationkey, coalesce(CASE n_name WHEN 'NATION_1' THEN 'One' WHEN 'NATION_2' THEN 'Two' END, n_name) AS label, count(c_custkey) AS n FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1, 2")
 def _(spark, sf):
-    names = spark.createDataFrame([("NATION_1", "One"), ("NATION_2", "Two")], "n_name string, label string")
+    from ..sources import catalog
     c = I.table(spark, sf, "customer").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"))
-    n = I.table(spark, sf, "nation").join(F.broadcast(names), "n_name", "left")
-    return n.join(c, n.n_nationkey == c.c_nationkey, "left").select("n_nationkey", F.coalesce("label", "n_name").alias("label"), F.coalesce("n", F.lit(0)).alias("n"))
+    n = catalog.with_labels(I.table(spark, sf, "nation"), "n_name", labels={"NATION_1": {"en": "One"}, "NATION_2": {"en": "Two"}})
+    return n.join(c, n.n_nationkey == c.c_nationkey, "left").select("n_nationkey", "label", F.coalesce("n", F.lit(0)).alias("n"))

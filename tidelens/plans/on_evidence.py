@@ -259,8 +259,10 @@ def floored(spark, sf):
     return I.lagged(spark, sf).withColumn("v1", F.when(F.col("v1") >= 0.75, F.col("v1")))
 
 
-FLOOR = FL + EM + ", fl2 AS (SELECT region, buffer_km, event_id, lag, variable, CASE WHEN variable = 'v2' OR v >= 0.75 THEN v END AS v FROM fl), em2 AS (SELECT region, buffer_km, event_id, variable, avg(v) FILTER (lag IN (-1, 0)) - avg(v) FILTER (lag IN (-10, -7, -5)) AS difference FROM fl2 GROUP BY 1, 2, 3, 4), " + tests_sql("em", ["region", "buffer_km", "variable"], "loc", []) + ", " + tests_sql("em2", ["region", "buffer_km", "variable"], "lof", []) + f""",
+FL2 = ", fl2 AS (SELECT region, buffer_km, event_id, lag, variable, CASE WHEN variable = 'v2' OR v >= 0.75 THEN v END AS v FROM fl), em2 AS (SELECT region, buffer_km, event_id, variable, avg(v) FILTER (lag IN (-1, 0)) - avg(v) FILTER (lag IN (-10, -7, -5)) AS difference FROM fl2 GROUP BY 1, 2, 3, 4), " + tests_sql("em2", ["region", "buffer_km", "variable"], "lof", [])
+CMP = """,
 cmp AS (SELECT region, buffer_km, variable, l.m AS primary_effect, f.m AS floor_effect, coalesce(l.n_units >= 3 AND l.p_fdr < 0.05 AND l.ci_excludes_zero AND abs(l.std) >= 0.2, false) AS primary_supported, coalesce(f.n_units >= 3 AND f.p_fdr < 0.05 AND f.ci_excludes_zero AND abs(f.std) >= 0.2, false) AS floor_supported FROM loc l JOIN lof f USING (region, buffer_km, variable))"""
+FLOOR = LOC + FL2 + CMP
 
 
 def scenario_rows(spark, sf):
@@ -279,7 +281,8 @@ def _(spark, sf):
     return E.comparison_by_region(scenario_rows(spark, sf).withColumn("diagnostic", F.lit("location_buffer")))
 
 
-@query("evi_04_stable_specificity")
+@query("evi_04_stable_specificity", SPEC.replace(EM, YB, 1) + FL2 + CMP + """, g4 AS (SELECT region, buffer_km, variable, count(*) FILTER (control_passed) = 4 AS sp FROM st GROUP BY 1, 2, 3)
+SELECT region, buffer_km, variable, primary_supported, floor_supported, sp AS primary_specific, sp AS floor_specific, lo * hi > 0 AS primary_confirmed, lo * hi > 0 AS floor_confirmed, primary_supported AND floor_supported AND sp AND lo * hi > 0 AS stable_spatial_specificity FROM cmp JOIN g4 USING (region, buffer_km, variable) JOIN yc USING (region, buffer_km, variable)""")
 def _(spark, sf):
     keys = ["region", "buffer_km", "variable"]
     rows = scenario_rows(spark, sf).select(*keys, "primary_supported", "floor_supported")
@@ -288,7 +291,14 @@ def _(spark, sf):
     return E.stable_specificity(rows, sp, y)[0]
 
 
-@query("evi_05_score_matrix")
+SCORES = SPEC.replace(EM, YB, 1) + LEAD[len(FL):] + ", " + I.EVENTS + """, c0 AS (SELECT dominant_region AS region, avg(CAST(cumulative_loss > 400 AS INTEGER)) AS f, count(*) FILTER (cumulative_loss > 400) AS n, count(*) AS k FROM ev GROUP BY 1),
+s0 AS (SELECT region, count(DISTINCT variable) AS sv FROM sup GROUP BY 1), g4 AS (SELECT region, buffer_km, variable FROM st GROUP BY 1, 2, 3 HAVING count(*) FILTER (control_passed) = 4), s1 AS (SELECT DISTINCT region FROM sup JOIN g4 USING (region, buffer_km, variable)), s2 AS (SELECT DISTINCT region FROM sup JOIN yc USING (region, buffer_km, variable) WHERE lo * hi > 0), s3 AS (SELECT DISTINCT region FROM lc WHERE significant AND lag_group IN ('pre-event', 'event-time')),
+m0 AS (SELECT c0.region, CASE WHEN f >= 0.2 AND n >= 30 AND k >= 25 THEN 4 WHEN f >= 0.1 AND n >= 20 AND k >= 15 THEN 3 ELSE 1 END AS a, CASE WHEN coalesce(sv, 0) >= 3 THEN 4 WHEN coalesce(sv, 0) >= 1 THEN 3 ELSE 1 END AS b, CASE WHEN s3.region IS NOT NULL THEN 3 ELSE 1 END AS l, CASE WHEN s1.region IS NOT NULL THEN 3 ELSE 1 END AS w, CASE WHEN s2.region IS NOT NULL THEN 3 ELSE 1 END AS y
+ FROM c0 LEFT JOIN s0 ON s0.region = c0.region LEFT JOIN s1 ON s1.region = c0.region LEFT JOIN s2 ON s2.region = c0.region LEFT JOIN s3 ON s3.region = c0.region)"""
+
+
+@query("evi_05_score_matrix", SCORES + """ SELECT region, a AS major_severe_cluster_support, b AS location_buffer_support, l AS lead_lag_directionality, w AS wrong_region_control, y AS year_block_bootstrap, round((a + b + l + w + y) / 5.0::DOUBLE, 6) AS mean_score,
+ CASE WHEN (a + b + l + w + y) / 5.0 >= 3.5 THEN 'strong' WHEN (a + b + l + w + y) / 5.0 >= 2.7 THEN 'moderate' WHEN (a + b + l + w + y) / 5.0 >= 1.8 THEN 'suggestive' ELSE 'weak' END AS confidence_level, 'Relative-threshold-sensitive / weak absolute-loss regime' AS assigned_regime FROM m0""")
 def _(spark, sf):
     e = I.events(spark, sf).withColumnRenamed("dominant_region", "region")
     counts = e.groupBy("region").agg(F.avg((F.col("cumulative_loss") > 400).cast("int")).alias("fraction"), F.count_if(F.col("cumulative_loss") > 400).alias("major"), F.count(F.lit(1)).alias("clusters"))
@@ -298,7 +308,7 @@ def _(spark, sf):
     yb = year_tests(spark, sf).select(*keys, F.col("ci_excludes_zero").alias("ok"))
     m = E.score_matrix(counts, sup, ctl, yb, lead(spark, sf))
     prox = E.proximity_status(E.proximity_tests(prox_rows(spark, sf), B, SEED), counts.select("region"))
-    return E.regime(m, prox)
+    return E.regime(m, prox).withColumn("mean_score", R("mean_score"))
 
 
 @query("evi_07_cross_scale_map", I.with_ctes("ev", "pan") + ", " + EVF + f""", c AS (SELECT e.event_id, {hav('e.', 'q.')} AS km FROM evf e JOIN pnf q ON abs(q.event_date - e.event_date) <= 3), n AS (SELECT event_id, min(km) AS km FROM c GROUP BY 1)

@@ -100,3 +100,13 @@ def readable(df: DataFrame, field: DataFrame, anchor: str, back: int) -> DataFra
 def in_range(df: DataFrame, date: str, first: int, last: int, months="annual", region="region") -> DataFrame:
     """FLT-16."""
     return df.filter(F.year(date).between(first, last) & S.in_months(date, months)).withColumn(region, F.coalesce(region, F.lit("unknown")))
+
+
+def with_labels(df: DataFrame, id_col: str, out: str = "label", language: str = "en", labels: dict | None = None) -> DataFrame:
+    """SCA-19: display label by id and language; an id without one shows as itself.  The dictionary is a few fixed rows."""
+    table = fixed.REGION_LABELS if labels is None else labels
+    if language not in ("en", "zh"):
+        raise ValueError("language must be en or zh")
+    rows = [(k, v[language]) for k, v in table.items()]
+    dim = df.sparkSession.createDataFrame(rows, "_id string, _label string")
+    return df.join(F.broadcast(dim), F.col(id_col) == F.col("_id"), "left").withColumn(out, F.coalesce("_label", F.col(id_col))).drop("_id", "_label")
