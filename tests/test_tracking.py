@@ -96,7 +96,7 @@ def test_cluster_roll_up_peak_and_dominant_region(spark):
     d = dt.date
     rows = [("E1", "R0", d(2001, 6, 1), d(2001, 6, 3), 2.0, 10.0, 5.0, 0.0, 75.0), ("E2", "R1", d(2001, 6, 2), d(2001, 6, 2), 2.0, 20.0, 6.0, 1.0, 75.0), ("E3", "R1", d(2001, 6, 3), d(2001, 6, 6), 0.5, 5.0, 1.0, 1.0, 75.0)]
     df = spark.createDataFrame(rows, "unique_local_event_id string, dominant_region string, event_start date, event_end date, cumulative_loss double, max_area_km2 double, max_intensity double, track_centroid_lon double, track_centroid_lat double")
-    df = df.withColumn("overlap_with_panarctic_vrile", F.lit(False)).withColumn("overlap_with_regional_vrile_v1", F.col("unique_local_event_id") == "E3")
+    df = df.withColumn("overlap_with_series_event", F.lit(False)).withColumn("overlap_with_regional_event_v1", F.col("unique_local_event_id") == "E3")
     c = T.cluster_roll_up(T.cluster_events(df, {"R0": ("R1",)}), ["R0", "R1"]).collect()
     assert len(c) == 1
     c = c[0]

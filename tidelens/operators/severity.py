@@ -148,8 +148,8 @@ def medians(df: DataFrame, keys: Sequence[str], cols: Sequence[str], prefix: str
 def severe_summary(broad: DataFrame, severe: DataFrame, region="dominant_region") -> DataFrame:
     """AGG-10: broad against severe counts and medians per region, with the interpretation flag."""
     b = broad.groupBy(region).agg(F.count(F.lit(1)).alias("broad_event_count")).join(medians(broad, [region], ["cumulative_loss", "max_area_cells"], "broad_median_"), region)
-    s = severe.groupBy(region).agg(F.count(F.lit(1)).alias("severe_event_count"), F.count_if("overlap_with_panarctic_vrile").alias("severe_overlap_panarctic"),
-                                   F.count_if("overlap_with_regional_vrile_v1").alias("severe_overlap_regional"))
+    s = severe.groupBy(region).agg(F.count(F.lit(1)).alias("severe_event_count"), F.count_if("overlap_with_series_event").alias("severe_overlap_panarctic"),
+                                   F.count_if("overlap_with_regional_event_v1").alias("severe_overlap_regional"))
     s = s.join(medians(severe, [region], ["cumulative_loss", "max_area_cells"], "severe_median_"), region)
     out = b.join(s, region, "left").fillna(0).withColumn("severe_fraction_of_broad", S.ratio("severe_event_count", "broad_event_count"))
     flag = S.ladder([(F.col("severe_event_count") == 0, "weak_or_not_supported_by_severe_definition"),
@@ -169,7 +169,7 @@ def patch_summary(patches: DataFrame, events: DataFrame) -> DataFrame:
     p = patches.groupBy("region").agg(F.count(F.lit(1)).alias("daily_patch_count"))
     e = events.groupBy(F.col("dominant_region").alias("region")).agg(
         F.count(F.lit(1)).alias("unique_event_count"), F.avg("duration_days").alias("mean_duration_days"), F.avg("max_area_km2").alias("mean_max_area_km2"),
-        F.avg("cumulative_loss").alias("mean_cumulative_loss"), F.avg(F.col("overlap_with_panarctic_vrile").cast("int")).alias("panarctic_overlap_fraction"))
+        F.avg("cumulative_loss").alias("mean_cumulative_loss"), F.avg(F.col("overlap_with_series_event").cast("int")).alias("panarctic_overlap_fraction"))
     out = p.join(e, "region", "full_outer").fillna(0, ["daily_patch_count", "unique_event_count"])
     return out.withColumn("patch_to_event_ratio", S.ratio("daily_patch_count", "unique_event_count"))
 
@@ -180,7 +180,7 @@ def object_summary(objects: DataFrame, regions: Sequence[str], whole: str = "pan
     a = sets.groupBy("region").agg(
         F.count(F.lit(1)).alias("object_count"), F.count_distinct(F.year("date")).alias("years_with_objects"), F.avg("object_area_km2").alias("mean_area_km2"),
         F.avg("mean_sic_change").alias("mean_sic_change"), F.avg("cumulative_sic_loss").alias("mean_cumulative_sic_loss"),
-        F.avg(F.col("overlap_with_panarctic_vrile").cast("int")).alias("panarctic_overlap_fraction"))
+        F.avg(F.col("overlap_with_series_event").cast("int")).alias("panarctic_overlap_fraction"))
     want = objects.sparkSession.createDataFrame([(r,) for r in regions], "region string")
     return want.join(a, "region", "left").fillna(0, ["object_count", "years_with_objects"])
 

@@ -151,7 +151,7 @@ def roll_up(linked: DataFrame, keys: Sequence[str] = ("unique_local_event_id",),
         F.max("object_area_cells").alias("max_area_cells"), F.max("object_area_km2").alias("max_area_km2"), F.max(-F.col("mean_sic_change")).alias("max_intensity"),
         F.min("min_sic_change").alias("min_sic_change"), F.avg("mean_sic_change").alias("mean_sic_change"), F.sum("cumulative_sic_loss").alias("cumulative_loss"),
         F.min("window_days").alias("window_days"), F.min("threshold").alias("sic_change_threshold"), F.min("object_area_cells").alias("min_cells"),
-        F.bool_or("overlap_with_panarctic_vrile").alias("overlap_with_panarctic_vrile"), F.bool_or("overlap_with_regional_vrile").alias("overlap_with_regional_vrile_v1"))
+        F.bool_or("overlap_with_series_event").alias("overlap_with_series_event"), F.bool_or("overlap_with_regional_event").alias("overlap_with_regional_event_v1"))
     geo = RA.circular_gaps(linked, keys, "centroid_lon")
     if distributed == "skip":
         geo = geo.filter("geometry_class <> 'LONGITUDE_DISTRIBUTED'")
@@ -225,7 +225,7 @@ def cluster_roll_up(members: DataFrame, region_order: Sequence[str], keys: Seque
         F.sum("cumulative_loss").alias("total_cumulative_loss"), F.max("max_area_km2").alias("max_area"), F.max("max_intensity").alias("max_intensity"),
         F.min_by(peak, F.struct(-F.col("cumulative_loss"), pos)).alias("_p"), F.min_by("event_date", F.struct(-F.col("max_intensity"), pos)).alias("peak_intensity_date"),
         F.min_by("dominant_region", pos).alias("legacy_first_member_region"), F.max_by(last, pos).alias("_c"),
-        F.bool_or("overlap_with_regional_vrile_v1").alias("matches_regional"), F.bool_or("overlap_with_panarctic_vrile").alias("matches_panarctic"))
+        F.bool_or("overlap_with_regional_event_v1").alias("matches_regional"), F.bool_or("overlap_with_series_event").alias("matches_panarctic"))
     a = a.withColumn("duration_days", F.datediff("end_date", "start_date") + 1)
     reps = a.select(*keys, F.col("_p.dominant_region").alias("representative_region"))
     reg = dominant_by_loss(m, reps, region_order, keys)

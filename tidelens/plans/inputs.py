@@ -127,8 +127,8 @@ def events(spark, sf) -> DataFrame:
             ((k * 37) % 360 - 180.0).alias("track_centroid_lon"),
             ((k * 17) % 40 + 50.0).alias("track_centroid_lat"),
             F.lit(-0.125).alias("sic_change_threshold"),
-            (k % 3 == 0).alias("overlap_with_panarctic_vrile"),
-            (k % 4 == 0).alias("overlap_with_regional_vrile_v1"),
+            (k % 3 == 0).alias("overlap_with_series_event"),
+            (k % 4 == 0).alias("overlap_with_regional_event_v1"),
         )
     )
 
@@ -138,7 +138,7 @@ EVENTS = """ev AS (SELECT 'E' || lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS uni
   (n * 20 + c_custkey % 13) * 625.0::DOUBLE AS max_area_km2, CAST(top AS DOUBLE) / 134217728.0::DOUBLE AS max_intensity,
   -0.125::DOUBLE - (c_custkey % 5) * 0.0625::DOUBLE AS min_sic_change, CAST(cents AS DOUBLE) / 65536.0::DOUBLE AS cumulative_loss,
   (c_custkey * 37) % 360 - 180.0::DOUBLE AS track_centroid_lon, (c_custkey * 17) % 40 + 50.0::DOUBLE AS track_centroid_lat, -0.125::DOUBLE AS sic_change_threshold,
-  c_custkey % 3 = 0 AS overlap_with_panarctic_vrile, c_custkey % 4 = 0 AS overlap_with_regional_vrile_v1
+  c_custkey % 3 = 0 AS overlap_with_series_event, c_custkey % 4 = 0 AS overlap_with_regional_event_v1
   FROM (SELECT o_custkey, min(CAST(o_orderdate AS DATE)) AS event_start, count(*) AS n, sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS cents,
         max(CAST(round(o_totalprice * 100) AS BIGINT)) AS top FROM orders GROUP BY 1) p
   JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)"""
@@ -189,8 +189,8 @@ def patches(spark, sf) -> DataFrame:
         (F.round(F.col("value") * 100).cast("bigint") / 128.0).alias("cumulative_sic_loss"),
         F.lit(3).alias("window_days"),
         F.lit(-0.1).alias("threshold"),
-        (e % 5 == 0).alias("overlap_with_panarctic_vrile"),
-        (u % 4 == 0).alias("overlap_with_regional_vrile"),
+        (e % 5 == 0).alias("overlap_with_series_event"),
+        (u % 4 == 0).alias("overlap_with_regional_event"),
         e.alias("k"), u.alias("u"),
     )
 
@@ -201,7 +201,7 @@ PATCHES = """patch AS (SELECT 'OBJ' || lpad(CAST(event_id AS VARCHAR), 8, '0') A
   CAST(4 + event_id % 40 AS INTEGER) AS object_area_cells, (4 + event_id % 40) * 625.0::DOUBLE AS object_area_km2,
   -0.125::DOUBLE - (event_id % 9) * 0.03125::DOUBLE AS mean_sic_change, -0.25::DOUBLE - (event_id % 7) * 0.0625::DOUBLE AS min_sic_change,
   CAST(round(value * 100) AS BIGINT) / 128.0::DOUBLE AS cumulative_sic_loss, 3 AS window_days, -0.1::DOUBLE AS threshold,
-  event_id % 5 = 0 AS overlap_with_panarctic_vrile, user_id % 4 = 0 AS overlap_with_regional_vrile, event_id AS k, user_id AS u FROM events)"""
+  event_id % 5 = 0 AS overlap_with_series_event, user_id % 4 = 0 AS overlap_with_regional_event, event_id AS k, user_id AS u FROM events)"""
 
 
 def patch_cells(spark, sf) -> DataFrame:

@@ -117,7 +117,7 @@ def _(spark, sf):
 
 
 @query("agg_10_severe_summary", SEVERE + """, b AS (SELECT dominant_region, count(*) AS broad_event_count, quantile_cont(cumulative_loss, 0.5) AS bl, quantile_cont(max_area_cells, 0.5) AS ba FROM ev GROUP BY 1),
-s AS (SELECT dominant_region, count(*) AS n, quantile_cont(cumulative_loss, 0.5) AS sl, quantile_cont(max_area_cells, 0.5) AS sa, count(*) FILTER (overlap_with_panarctic_vrile) AS op, count(*) FILTER (overlap_with_regional_vrile_v1) AS orr FROM severe GROUP BY 1)
+s AS (SELECT dominant_region, count(*) AS n, quantile_cont(cumulative_loss, 0.5) AS sl, quantile_cont(max_area_cells, 0.5) AS sa, count(*) FILTER (overlap_with_series_event) AS op, count(*) FILTER (overlap_with_regional_event_v1) AS orr FROM severe GROUP BY 1)
 SELECT b.dominant_region AS region, broad_event_count, coalesce(n, 0) AS severe_event_count, round(bl, 6) + 0.0 AS broad_median_cumulative_loss, round(coalesce(sl, 0), 6) + 0.0 AS severe_median_cumulative_loss, round(coalesce(sa, 0), 6) + 0.0 AS severe_median_max_area_cells,
  coalesce(op, 0) AS severe_overlap_panarctic, coalesce(orr, 0) AS severe_overlap_regional, round(coalesce(n, 0) / CAST(broad_event_count AS DOUBLE), 6) + 0.0 AS severe_fraction_of_broad,
  CASE WHEN coalesce(n, 0) = 0 THEN 'weak_or_not_supported_by_severe_definition' WHEN n / CAST(broad_event_count AS DOUBLE) < 0.05 THEN 'broad-dominated_or_threshold-sensitive' ELSE 'supported_by_severe_definition' END AS interpretation_flag FROM b LEFT JOIN s USING (dominant_region)""")
@@ -138,7 +138,7 @@ def _(spark, sf):
 
 @query("agg_10_object_summary", I.with_ctes("patch") + """, s AS (SELECT * FROM patch UNION ALL SELECT * REPLACE ('pan_arctic' AS region) FROM patch)
 SELECT r.region, count(object_id) AS object_count, count(DISTINCT year(date)) AS years_with_objects, round(avg(object_area_km2), 6) + 0.0 AS mean_area_km2, round(avg(mean_sic_change), 6) + 0.0 AS mean_sic_change, round(avg(cumulative_sic_loss), 6) + 0.0 AS mean_cumulative_sic_loss,
- round(avg(CAST(overlap_with_panarctic_vrile AS INTEGER)), 6) + 0.0 AS panarctic_overlap_fraction FROM (VALUES ('pan_arctic'), ('click'), ('error'), ('none_such')) r(region) LEFT JOIN s ON s.region = r.region GROUP BY 1""")
+ round(avg(CAST(overlap_with_series_event AS INTEGER)), 6) + 0.0 AS panarctic_overlap_fraction FROM (VALUES ('pan_arctic'), ('click'), ('error'), ('none_such')) r(region) LEFT JOIN s ON s.region = r.region GROUP BY 1""")
 def _(spark, sf):
     o = SV.object_summary(I.patches(spark, sf), ["pan_arctic", "click", "error", "none_such"])
     return o.select("region", "object_count", "years_with_objects", *[R(c).alias(c) for c in ("mean_area_km2", "mean_sic_change", "mean_cumulative_sic_loss", "panarctic_overlap_fraction")])
@@ -154,10 +154,10 @@ def _(spark, sf):
     return SV.level_counts(m.withColumn("level", level))
 
 
-@query("agg_12_two_by_two", I.with_ctes("ev") + """, f AS (SELECT overlap_with_panarctic_vrile AS a, overlap_with_regional_vrile_v1 AS b FROM ev) SELECT 'both' AS cell_label, count(*) FILTER (a AND b) AS n_events FROM f UNION ALL SELECT 'temporal_only', count(*) FILTER (a AND NOT b) FROM f
+@query("agg_12_two_by_two", I.with_ctes("ev") + """, f AS (SELECT overlap_with_series_event AS a, overlap_with_regional_event_v1 AS b FROM ev) SELECT 'both' AS cell_label, count(*) FILTER (a AND b) AS n_events FROM f UNION ALL SELECT 'temporal_only', count(*) FILTER (a AND NOT b) FROM f
  UNION ALL SELECT 'footprint_only', count(*) FILTER (NOT a AND b) FROM f UNION ALL SELECT 'neither', count(*) FILTER (NOT a AND NOT b) FROM f UNION ALL SELECT 'temporal_margin', count(*) FILTER (a) FROM f UNION ALL SELECT 'footprint_margin', count(*) FILTER (b) FROM f""")
 def _(spark, sf):
-    return SV.two_by_two(I.events(spark, sf), "overlap_with_panarctic_vrile", "overlap_with_regional_vrile_v1")
+    return SV.two_by_two(I.events(spark, sf), "overlap_with_series_event", "overlap_with_regional_event_v1")
 
 
 @query("agg_13_half_month_grid", MAJOR + """, c AS (SELECT ev.event_start, CASE WHEN m.unique_local_event_id IS NOT NULL THEN 'major_severe' WHEN s.unique_local_event_id IS NOT NULL THEN 'severe_nonmajor' ELSE 'broad_only' END AS cls FROM ev LEFT JOIN severe s USING (unique_local_event_id) LEFT JOIN major m USING (unique_local_event_id)),
@@ -209,7 +209,7 @@ def _(spark, sf):
 
 
 ROLL = I.with_ctes("member", "patch") + """ SELECT unique_local_event_id, min(m.date) AS event_start, max(m.date) AS event_end, max(m.date) - min(m.date) + 1 AS duration_days, count(*) AS n_daily_patches, max(object_area_cells) AS max_area_cells, max(-mean_sic_change) AS max_intensity, min(min_sic_change) AS min_sic_change,
- round(avg(mean_sic_change), 6) + 0.0 AS mean_sic_change, sum(p.cumulative_sic_loss) AS cumulative_loss, bool_or(overlap_with_panarctic_vrile) AS overlap_with_panarctic_vrile,
+ round(avg(mean_sic_change), 6) + 0.0 AS mean_sic_change, sum(p.cumulative_sic_loss) AS cumulative_loss, bool_or(overlap_with_series_event) AS overlap_with_series_event,
  round(CASE WHEN sum(p.cumulative_sic_loss) > 0 THEN sum(p.cumulative_sic_loss * centroid_lat) / sum(p.cumulative_sic_loss) ELSE avg(centroid_lat) END, 6) + 0.0 AS track_centroid_lat FROM member m JOIN patch p USING (object_id) GROUP BY 1"""
 
 
@@ -217,10 +217,10 @@ ROLL = I.with_ctes("member", "patch") + """ SELECT unique_local_event_id, min(m.
 def _(spark, sf):
     p = I.patches(spark, sf).join(I.members(spark, sf).select("object_id", "unique_local_event_id"), "object_id")
     r = T.roll_up(p, distributed="skip")
-    return r.select("unique_local_event_id", "event_start", "event_end", "duration_days", "n_daily_patches", "max_area_cells", "max_intensity", "min_sic_change", R("mean_sic_change").alias("mean_sic_change"), "cumulative_loss", "overlap_with_panarctic_vrile", R("track_centroid_lat").alias("track_centroid_lat"))
+    return r.select("unique_local_event_id", "event_start", "event_end", "duration_days", "n_daily_patches", "max_area_cells", "max_intensity", "min_sic_change", R("mean_sic_change").alias("mean_sic_change"), "cumulative_loss", "overlap_with_series_event", R("track_centroid_lat").alias("track_centroid_lat"))
 
 
-@query("agg_10_patch_summary", I.with_ctes("patch", "member") + """, e AS (SELECT unique_local_event_id, any_value(region) AS region, max(p.date) - min(p.date) + 1 AS d, max(object_area_km2) AS a, sum(p.cumulative_sic_loss) AS l, CAST(bool_or(overlap_with_panarctic_vrile) AS INTEGER) AS o FROM member JOIN patch p USING (object_id) GROUP BY 1),
+@query("agg_10_patch_summary", I.with_ctes("patch", "member") + """, e AS (SELECT unique_local_event_id, any_value(region) AS region, max(p.date) - min(p.date) + 1 AS d, max(object_area_km2) AS a, sum(p.cumulative_sic_loss) AS l, CAST(bool_or(overlap_with_series_event) AS INTEGER) AS o FROM member JOIN patch p USING (object_id) GROUP BY 1),
  s AS (SELECT region, count(*) AS unique_event_count, avg(d) AS d, avg(a) AS a, avg(l) AS l, avg(o) AS o FROM e GROUP BY 1), c AS (SELECT region, count(*) AS daily_patch_count FROM patch GROUP BY 1)
 SELECT region, daily_patch_count, unique_event_count, round(daily_patch_count / CAST(unique_event_count AS DOUBLE), 6) + 0.0 AS patch_to_event_ratio, round(d, 6) + 0.0 AS mean_duration_days, round(a, 6) + 0.0 AS mean_max_area_km2, round(l, 6) + 0.0 AS mean_cumulative_loss, round(o, 6) + 0.0 AS panarctic_overlap_fraction FROM c JOIN s USING (region)""")
 def _(spark, sf):
@@ -290,7 +290,7 @@ def _(spark, sf):
 
 @query("agg_08_roll_up_given_clusters", I.with_ctes("ev") + """, c AS (SELECT dominant_region || '-' || (max_area_cells % 40) AS cluster_id, * FROM ev), p AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY cumulative_loss DESC, event_start, dominant_region, unique_local_event_id) AS rl, row_number() OVER (PARTITION BY cluster_id ORDER BY max_intensity DESC, event_start, dominant_region, unique_local_event_id) AS ri FROM c)
 SELECT cluster_id, min(event_start) AS start_date, max(event_end) AS end_date, max(event_end) - min(event_start) + 1 AS duration_days, count(*) AS member_event_count, sum(cumulative_loss) AS total_cumulative_loss, max(max_area_km2) AS max_area, max(unique_local_event_id) FILTER (rl = 1) AS representative_event_id, max(event_start) FILTER (ri = 1) AS peak_intensity_date,
- max(track_centroid_lon) FILTER (rl = 1) AS representative_lon, bool_or(overlap_with_regional_vrile_v1) AS matches_regional, round(1.0::DOUBLE, 6) AS loss_dominant_region_fraction FROM p GROUP BY 1""")
+ max(track_centroid_lon) FILTER (rl = 1) AS representative_lon, bool_or(overlap_with_regional_event_v1) AS matches_regional, round(1.0::DOUBLE, 6) AS loss_dominant_region_fraction FROM p GROUP BY 1""")
 def _(spark, sf):
     e = I.events(spark, sf).withColumn("cluster_id", F.concat_ws("-", "dominant_region", (F.col("max_area_cells") % 40).cast("string")))
     e = e.withColumn("event_date", F.col("event_start")).withColumn("running_lon", F.col("track_centroid_lon")).withColumn("running_lat", F.col("track_centroid_lat"))

@@ -314,7 +314,7 @@ def _(spark, sf):
 @query("evi_07_cross_scale_map", I.with_ctes("ev", "pan") + ", " + EVF + f""", c AS (SELECT e.event_id, {hav('e.', 'q.')} AS km FROM evf e JOIN pnf q ON abs(q.event_date - e.event_date) <= 3), n AS (SELECT event_id, min(km) AS km FROM c GROUP BY 1)
 SELECT evf.event_id, n.event_id IS NOT NULL AS temporal_link, coalesce(km <= 300, false) AS link_300km, coalesce(km <= 500, false) AS link_500km, CAST(evf.event_id[2:] AS BIGINT) % 3 = 0 AS footprint_linked FROM evf LEFT JOIN n USING (event_id)""")
 def _(spark, sf):
-    links = I.events(spark, sf).filter("overlap_with_panarctic_vrile").select(F.col("unique_local_event_id").alias("event_id"))
+    links = I.events(spark, sf).filter("overlap_with_series_event").select(F.col("unique_local_event_id").alias("event_id"))
     m = E.cross_scale_map(ev_frame(spark, sf), I.pan(spark, sf), links)
     return m.select("event_id", "temporal_link", "link_300km", "link_500km", "footprint_linked")
 
