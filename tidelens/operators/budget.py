@@ -249,10 +249,11 @@ def footprint_components(prints: DataFrame, components: DataFrame, cells: DataFr
     weighed = cells.select("date", "y", "x", (F.col("loss") * F.col("area_km2")).alias("lw"))
     comp = components.select("date", "component", "y", "x").join(g, ["y", "x"]).join(weighed, ["date", "y", "x"], "left")
     ctot = comp.groupBy("date", "component").agg(F.sum("area_km2").alias("comp_area"), F.sum(F.coalesce("lw", F.lit(0.0))).alias("comp_loss"))
-    p = prints.select("date", "unique_local_event_id", "y", "x")  # one row per cell already
-    ptot = p.join(g, ["y", "x"]).groupBy("date", "unique_local_event_id").agg(F.sum("area_km2").alias("own_area"))
-    hit = p.join(comp, ["date", "y", "x"]).groupBy("date", "unique_local_event_id", "component").agg(F.count(F.lit(1)).alias("intersection_cells"), F.sum("area_km2").alias("intersection_area_km2"), F.sum(F.coalesce("lw", F.lit(0.0))).alias("intersection_loss"))
-    r = hit.join(ctot, ["date", "component"]).join(ptot, ["date", "unique_local_event_id"])
+    # footprint cells are read once: cells outside every component keep a null component and count for the own area
+    p = prints.select("date", "unique_local_event_id", "y", "x").join(g, ["y", "x"]).join(comp.select("date", "y", "x", "component", "lw"), ["date", "y", "x"], "left")
+    a = p.groupBy("date", "unique_local_event_id", "component").agg(F.count(F.lit(1)).alias("intersection_cells"), F.sum("area_km2").alias("intersection_area_km2"), F.sum(F.coalesce("lw", F.lit(0.0))).alias("intersection_loss"))
+    a = a.withColumn("own_area", F.sum("intersection_area_km2").over(W.partitionBy("date", "unique_local_event_id")))
+    r = a.filter("component is not null").join(ctot, ["date", "component"])
     i = F.col("intersection_area_km2")
     return r.select("date", "unique_local_event_id", "component", "intersection_cells", "intersection_area_km2", "intersection_loss",
                     S.ratio(i, F.col("own_area") + F.col("comp_area") - i).alias("iou"), S.ratio(i, "own_area").alias("local_capture"), S.ratio(i, "comp_area").alias("component_capture"),
