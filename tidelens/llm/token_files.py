@@ -27,7 +27,7 @@ from tokenizers import Tokenizer
 from .common import shared_folder, staged
 
 #: White space as the pre-tokenizer's pattern understands it (fixed values).
-BLANKS = r"\t\n\x0b\x0c\r \x85\xa0  -     　"
+BLANKS = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 CHUNK = re.compile(f"[{BLANKS}]*[^{BLANKS}]+|[{BLANKS}]+")
 #: Entries of a worker's table of known chunks before it starts anew.
 KNOWN = 400_000
