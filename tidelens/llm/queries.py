@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import pieces, token_files
+from . import pieces, secrets, token_files
 from .common import documents, sha_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,3 +37,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, index = token_files.write_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
     return token_files.read_crc(folder, index).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@query("op6_secrets")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, spans = secrets.scan(documents(spark, sf_dir)), F.col("spans")
+    base = F.filter(spans, lambda s: s["kind"] != "novel")
+    return found.select("doc_id", *[secrets.count_of(spans, k).alias(f"n_{k}") for k in secrets.KINDS],
+                        sha_of(secrets.digest(base)).alias("base_sha256"), secrets.digest(spans).alias("spans"))
