@@ -4,8 +4,9 @@ A BPE piece of the models handled here never holds a whitespace marker after ano
 other characters.  Merges therefore stay inside a *chunk*: a run of markers with the characters up to the next marker or
 line break.  The job is
 
-1. split: every task cuts its texts into blocks, numbers the distinct chunks of a block and writes each text as the
-   positions of its chunks in that list (one table in the shared folder, read by both sides below);
+1. split: every task cuts its texts into blocks, numbers the distinct chunks of a block and turns each text into the
+   positions of its chunks in that list; lists and positions are made by one rule in two passes over the input, whose
+   fingerprints must agree, so that neither has to be stored;
 2. segment: the block lists meet by hash of the chunk, each distinct chunk is segmented once by the library;
 3. join back: ids return to their block and replace the positions.
 
@@ -25,7 +26,7 @@ import sentencepiece
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from .common import BLOCK_CHARS, pack, ragged, staged, text_blocks, unpack, width
+from .common import BLOCK_CHARS, pack, ragged, text_blocks, unpack, width
 
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
@@ -64,17 +65,40 @@ class _Numbered(dict):
         return out
 
 
-def _split(buckets: int, block_chars: int):
+def _numbered_blocks(batches: Iterator[pa.RecordBatch], block_chars: int):
+    """(block, fingerprint of its chunk list, rows, chunk list, positions of every text's chunks in the list)."""
+    for block, rows, texts in text_blocks(batches, "text", block_chars):
+        table = _Numbered({"\n": 0})
+        look = table.__getitem__
+        places = [np.fromiter(map(look, parts), np.uint32, len(parts)) for parts in map(chunks, texts)]
+        words = list(table)[1:]
+        yield block, zlib.crc32("\n".join(words).encode()), rows, words, places
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """Numbers packed byte plane by byte plane: the high planes are nearly constant and vanish."""
+    return pack(values.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+
+
+def _from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(unpack(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
+def _positions(block_chars: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, mark, rows, _, places in _numbered_blocks(batches, block_chars):
+            rows, n = rows.column("row").combine_chunks(), len(places)
+            for i in range(0, n, 256):
+                part = places[i : i + 256]
+                yield pa.record_batch({"block": pa.array([block], pa.int64()), "mark": pa.array([mark], pa.int64()), "rows": pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), rows.slice(i, len(part))),
+                                       "n": pa.array([[len(p) for p in part]], pa.list_(pa.int32())), "payload": pa.array([_planes(np.concatenate(part))], pa.binary())})
+
+    return run
+
+
+def _chunk_lists(buckets: int, block_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, rows, texts in text_blocks(batches, "text", block_chars):
-            table = _Numbered({"\n": 0})
-            look = table.__getitem__
-            payload = [pack(np.fromiter(map(look, parts), np.uint32, len(parts))) for parts in map(chunks, texts)]
-            rows = rows.select(["row"]).combine_chunks()
-            n = rows.num_rows
-            yield from pa.table({"block": pa.array([block] * n, pa.int64()), "bucket": pa.nulls(n, pa.int32()), "row": rows.column("row"),
-                                 "at": pa.nulls(n, pa.binary()), "payload": pa.array(payload, pa.binary())}).to_batches(max_chunksize=2000)
-            words = list(table)[1:]
+        for block, mark, _, words, _ in _numbered_blocks(batches, block_chars):
             home = np.fromiter((zlib.crc32(w.encode()) % buckets for w in words), np.int64, len(words))
             order = np.argsort(home, kind="stable")
             cuts = np.flatnonzero(np.diff(home[order], prepend=-1))
@@ -82,11 +106,11 @@ def _split(buckets: int, block_chars: int):
             for lo, hi in zip(cuts, [*cuts[1:], len(order)]):
                 mine = order[lo:hi]
                 out["bucket"].append(int(home[mine[0]]))
-                out["at"].append(pack(np.diff(mine + 1, prepend=0).astype(np.uint32)))
-                out["payload"].append(zstandard.ZstdCompressor(level=1).compress("\n".join([words[i] for i in mine]).encode()))
+                out["at"].append(_planes(np.diff(mine + 1, prepend=0)))
+                out["payload"].append(zstandard.ZstdCompressor(level=3).compress("\n".join([words[i] for i in mine]).encode()))
             m = len(out["bucket"])
             if m:
-                yield pa.record_batch({"block": pa.array([block] * m, pa.int64()), "bucket": pa.array(out["bucket"], pa.int32()), "row": pa.nulls(m, rows.schema.field("row").type),
+                yield pa.record_batch({"block": pa.array([block] * m, pa.int64()), "mark": pa.array([mark] * m, pa.int64()), "bucket": pa.array(out["bucket"], pa.int32()),
                                        "at": pa.array(out["at"], pa.binary()), "payload": pa.array(out["payload"], pa.binary())})
 
     return run
@@ -104,35 +128,39 @@ def _segment_bucket(model: str):
         size = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.concatenate(ids)
         first = np.cumsum(size) - size
-        return pa.table({"block": rows.column("block"), "at": rows.column("at"),
-                         "n": pa.array([pack(size[w].astype(np.uint32)) for w in where], pa.binary()),
-                         "ids": pa.array([pack(flat[ragged(first[w], size[w])]) for w in where], pa.binary())})
+        return pa.table({"block": rows.column("block"), "mark": rows.column("mark"), "at": rows.column("at"),
+                         "n": pa.array([_planes(size[w]) for w in where], pa.binary()),
+                         "ids": pa.array([_planes(flat[ragged(first[w], size[w])]) for w in where], pa.binary())})
 
     return run
 
 
 def _join_back(model: str):
     def run(docs: pa.Table, found: pa.Table) -> pa.Table:
+        if set(docs.column("mark").to_pylist()) | set(found.column("mark").to_pylist()) != {docs.column("mark")[0].as_py()}:
+            raise RuntimeError("the input gave other rows when it was read again; write it to a table first")
         parts = [np.array(processor(model).encode("\n")[1:], np.uint32)]
         at, n = [np.zeros(1, np.int64)], [np.ones(1, np.int64) * len(parts[0])]
         for row in found.select(["at", "n", "ids"]).to_pylist():
-            at.append(np.cumsum(unpack(row["at"], np.uint32), dtype=np.int64))
-            n.append(unpack(row["n"], np.uint32).astype(np.int64))
-            parts.append(unpack(row["ids"], np.uint32))
+            at.append(np.cumsum(_from_planes(row["at"]), dtype=np.int64))
+            n.append(_from_planes(row["n"]).astype(np.int64))
+            parts.append(_from_planes(row["ids"]))
         at, n, flat = np.concatenate(at), np.concatenate(n), np.concatenate(parts).astype(np.int32)
         size, first = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
         size[at], first[at] = n, np.cumsum(n) - n
-        texts = [unpack(p.as_py(), np.uint32) for p in docs.column("payload")]
-        place = np.concatenate(texts) if texts else np.zeros(0, np.uint32)
-        lengths = size[place]
-        ends = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)]
-        ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat[ragged(first[place], lengths)], pa.int32()))
-        return pa.table({"row": docs.column("row").combine_chunks(), "ids": ids})
+        out = []
+        for row, counts, payload in zip(docs.column("rows"), docs.column("n"), docs.column("payload")):
+            place = _from_planes(payload.as_py())
+            lengths = size[place]
+            ends = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(counts.values.to_numpy())]).astype(np.int64)]
+            ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat[ragged(first[place], lengths)], pa.int32()))
+            out.append(pa.table({"row": row.values, "ids": ids}))
+        return pa.concat_tables(out)
 
     return run
 
 
-def encode(docs: DataFrame, model: str, text: str = "text", keep: Sequence[str] = ("doc_id",), block_chars: int = BLOCK_CHARS) -> DataFrame:
+def encode(docs: DataFrame, model: str, text: str = "text", keep: Sequence[str] = ("doc_id",), block_chars: int = 4 * BLOCK_CHARS) -> DataFrame:
     """Columns ``keep`` of every row with ``ids``: what the library's ``encode`` gives for the whole text.
 
     Null and empty texts have an empty array; repeated rows and null keys stay as they are; an empty table gives an empty
@@ -142,10 +170,9 @@ def encode(docs: DataFrame, model: str, text: str = "text", keep: Sequence[str]
     spark = docs.sparkSession
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(f"`{text}`").alias("text"))
     kind = rows.schema["row"].dataType.simpleString()
-    split = staged(rows.mapInArrow(_split(width(spark), block_chars), f"block long, bucket int, row {kind}, at binary, payload binary"), "chunks")
-    words = split.filter("bucket is not null").select("bucket", "block", "at", "payload")
-    found = words.groupBy("bucket").applyInArrow(_segment_bucket(model), "block long, at binary, n binary, ids binary")
-    texts = split.filter("bucket is null").select("block", "row", "payload")
+    words = rows.mapInArrow(_chunk_lists(width(spark), block_chars), "block long, mark long, bucket int, at binary, payload binary")
+    found = words.groupBy("bucket").applyInArrow(_segment_bucket(model), "block long, mark long, at binary, n binary, ids binary")
+    texts = rows.mapInArrow(_positions(block_chars), f"block long, mark long, rows array<{kind}>, n array<int>, payload binary")
     out = texts.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_join_back(model), f"row {kind}, ids array<int>")
     return out.select("row.*", "ids")
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import pieces, secrets, token_files
+from . import pieces, secrets, substrings, token_files
 from .common import documents, sha_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,3 +45,9 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter(spans, lambda s: s["kind"] != "novel")
     return found.select("doc_id", *[secrets.count_of(spans, k).alias(f"n_{k}") for k in secrets.KINDS],
                         sha_of(secrets.digest(base)).alias("base_sha256"), secrets.digest(spans).alias("spans"))
+
+
+@query("op10_substrings")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.remove_repeats(documents(spark, sf_dir))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
