@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import pieces, secrets, substrings, token_files
+from . import pieces, secrets, substrings, token_files, vectors
 from .common import documents, sha_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +33,18 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2(F.encode(F.array_join(F.col("ids").cast("array<string>"), ","), "UTF-8"), 256).alias("ids_sha256"), sha_of(F.col("decoded")).alias("decoded_sha256"))
 
 
+@query("op4_vectors", """
+    WITH pairs AS (SELECT a.vec_id AS x, b.vec_id AS y FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id
+                   WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.95),
+    n AS (SELECT x, count(*) AS n FROM pairs GROUP BY x),
+    reach AS (SELECT vec_id AS x, vec_id AS y FROM embeddings),
+    grown AS (WITH RECURSIVE r(x, y) AS (SELECT x, y FROM reach UNION SELECT r.x, p.y FROM r JOIN pairs p ON p.x = r.y) SELECT x, min(y) AS c FROM r GROUP BY x)
+    SELECT e.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, g.c AS component_id, e.vec_id = g.c AS kept
+    FROM embeddings e LEFT JOIN n ON n.x = e.vec_id JOIN grown g ON g.x = e.vec_id""")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 @query("op5_token_files")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, index = token_files.write_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
