@@ -52,20 +52,21 @@ def text_blocks(batches: Iterator[pa.RecordBatch], column: str, most: int = BLOC
     A null text counts as empty.
     """
     number, held, texts, chars = block_base(), [], [], 0
-    for batch in batches:
-        values = batch.column(column).to_pylist()
-        start = 0
-        for i, value in enumerate(values):
-            value = value or ""
-            if texts and chars + len(value) > most:
-                if i > start:
-                    held.append(batch.slice(start, i - start))
-                yield number, pa.Table.from_batches(held), texts
-                number, held, texts, chars, start = number + 1, [], [], 0, i
-            texts.append(value)
-            chars += len(value)
-        if len(values) > start:
-            held.append(batch.slice(start))
+    for whole in batches:
+        for at in range(0, whole.num_rows, 256):
+            batch, start = whole.slice(at, 256), 0
+            values = batch.column(column).to_pylist()
+            for i, value in enumerate(values):
+                value = value or ""
+                if texts and chars + len(value) > most:
+                    if i > start:
+                        held.append(batch.slice(start, i - start))
+                    yield number, pa.Table.from_batches(held), texts
+                    number, held, texts, chars, start = number + 1, [], [], 0, i
+                texts.append(value)
+                chars += len(value)
+            if len(values) > start:
+                held.append(batch.slice(start))
     if texts:
         yield number, pa.Table.from_batches(held), texts
 

@@ -154,13 +154,13 @@ def _join_back(model: str):
             lengths = size[place]
             ends = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(counts.values.to_numpy())]).astype(np.int64)]
             ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat[ragged(first[place], lengths)], pa.int32()))
-            out.append(pa.table({"row": row.values, "ids": ids}))
-        return pa.concat_tables(out)
+            out.append(pa.record_batch({"row": row.values, "ids": ids}))
+        return pa.Table.from_batches(out)
 
     return run
 
 
-def encode(docs: DataFrame, model: str, text: str = "text", keep: Sequence[str] = ("doc_id",), block_chars: int = 4 * BLOCK_CHARS) -> DataFrame:
+def encode(docs: DataFrame, model: str, text: str = "text", keep: Sequence[str] = ("doc_id",), block_chars: int = 2 * BLOCK_CHARS) -> DataFrame:
     """Columns ``keep`` of every row with ``ids``: what the library's ``encode`` gives for the whole text.
 
     Null and empty texts have an empty array; repeated rows and null keys stay as they are; an empty table gives an empty
