@@ -98,5 +98,26 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - lengths), lengths)
 
 
+class Forest:
+    """Union of linked places; edges are added in bulk, only new ones cost a step."""
+
+    def __init__(self, n: int):
+        self.root = np.arange(n)
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        while True:
+            x, y = self.root[a], self.root[b]
+            new = x != y
+            if not new.any():
+                return
+            a, b, x, y = a[new], b[new], x[new], y[new]
+            np.minimum.at(self.root, np.maximum(x, y), np.minimum(x, y))
+            while True:
+                up = self.root[self.root]
+                if (up == self.root).all():
+                    break
+                self.root = up
+
+
 def sha_of(column) -> F.Column:
     return F.sha2(F.encode(column, "UTF-8"), 256)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import pieces, quality, secrets, substrings, token_files, vectors
+from . import jaccard, personal, pieces, quality, secrets, substrings, tiling, token_files, vectors
 from .common import documents, sha_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +33,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2(F.encode(F.array_join(F.col("ids").cast("array<string>"), ","), "UTF-8"), 256).alias("ids_sha256"), sha_of(F.col("decoded")).alias("decoded_sha256"))
 
 
+@query("op2_decontamination")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiling.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 @query("op3_quality")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -65,6 +70,35 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
                         sha_of(secrets.digest(base)).alias("base_sha256"), secrets.digest(spans).alias("spans"))
 
 
+#: Word sets of five and their classes, links and groups, pair by pair.
+JACCARD_SQL = r"""
+    WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^ \t\n\r\f\v]+') AS w FROM documents),
+    sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+             ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) END AS g FROM words),
+    grams AS (SELECT doc_id, unnest(g) AS gram FROM sets),
+    sizes AS (SELECT doc_id, len(g) AS n FROM sets WHERE len(g) > 0),
+    common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM grams a JOIN grams b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+    links AS (SELECT x, y, c, p.n AS nx, q.n AS ny FROM common JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE c / (p.n + q.n - c) >= 0.8),
+    reach(x, y) AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y),
+    counts AS (SELECT x, count(*) AS n, min(CASE WHEN c = nx AND c = ny THEN y END) AS same FROM links GROUP BY x),
+    groups AS (SELECT x, min(y) AS g FROM reach GROUP BY x)
+    SELECT d.doc_id, least(d.doc_id, coalesce(c.same, d.doc_id)) AS class_id, coalesce(c.n, 0)::BIGINT AS n_links, least(d.doc_id, coalesce(g.g, d.doc_id)) AS group_id
+    FROM documents d LEFT JOIN counts c ON c.x = d.doc_id LEFT JOIN groups g ON g.x = d.doc_id"""
+
+
+@query("op7_jaccard", JACCARD_SQL)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(documents(spark, sf_dir))
+
+
+@query("op8_personal")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, spans = personal.scan(documents(spark, sf_dir)), F.col("spans")
+    base = F.filter(spans, lambda s: s["kind"].isin(*personal.BASE))
+    return found.select("doc_id", *[secrets.count_of(spans, k).alias(f"n_{k}") for k in personal.KINDS],
+                        sha_of(secrets.digest(base)).alias("base_sha256"), secrets.digest(spans).alias("spans"))
+
+
 @query("op10_substrings")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substrings.remove_repeats(documents(spark, sf_dir))

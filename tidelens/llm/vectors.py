@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.graph import components
-from .common import staged
+from .common import Forest, staged
 
 #: Room for rounding in screens; the last word has the exact cosine.
 SLACK = 1e-9
@@ -77,27 +77,6 @@ def _cells(least: float, wide: int, grid: int, full: bool):
     return run
 
 
-class _Forest:
-    """Union of linked places; edges are added in bulk, only new ones cost a step."""
-
-    def __init__(self, n: int):
-        self.root = np.arange(n)
-
-    def add(self, a: np.ndarray, b: np.ndarray) -> None:
-        while True:
-            x, y = self.root[a], self.root[b]
-            new = x != y
-            if not new.any():
-                return
-            a, b, x, y = a[new], b[new], x[new], y[new]
-            np.minimum.at(self.root, np.maximum(x, y), np.minimum(x, y))
-            while True:
-                up = self.root[self.root]
-                if (up == self.root).all():
-                    break
-                self.root = up
-
-
 def _tile(least: float, wide: int):
     def run(rows: pa.Table) -> pa.Table:
         size, number = rows.column("size")[0].as_py(), rows.column("block")[0].as_py()
@@ -111,7 +90,7 @@ def _tile(least: float, wide: int):
         square = (near**2).sum(1)
         left, diagonal = rows.column("left").to_numpy(zero_copy_only=False), rows.column("diagonal")[0].as_py()
         ones, others = np.flatnonzero(left), np.flatnonzero(~left)
-        links, forest = np.zeros(len(node), np.int64), _Forest(len(node))
+        links, forest = np.zeros(len(node), np.int64), Forest(len(node))
 
         def compare(a: np.ndarray, b: np.ndarray, upper: bool) -> None:
             close = square[a][:, None] + square[b][None, :] - 2 * near[a] @ near[b].T <= limit
