@@ -33,10 +33,13 @@ PIECE = 400_000
 class _Bucket(dict):
     """Bucket of each word; a bounded table of words seen."""
 
+    def __init__(self, buckets: int):
+        self.buckets = buckets
+
     def __missing__(self, word):
         if len(self) > 300_000:
             self.clear()
-        out = self[word] = zlib.crc32(word.encode()) % BUCKETS
+        out = self[word] = zlib.crc32(word.encode()) % self.buckets
         return out
 
 
@@ -46,9 +49,9 @@ def index_vectors() -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(0, DIMS, (BUCKETS, MARKS)), rng.choice([-1.0, 1.0], (BUCKETS, MARKS))
 
 
-def word_runs(texts: Iterator[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def word_runs(texts: Iterator[str | None], buckets: int = BUCKETS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(buckets, ends) of whole texts, many at a time; a text longer than a piece comes alone."""
-    table = _Bucket()
+    table = _Bucket(buckets)
     look, parts, ends, n = table.__getitem__, [], [], 0
     for text in texts:
         words = WORD.findall(text or "")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import jaccard, personal, pieces, quality, secrets, substrings, tiling, token_files, vectors
+from . import jaccard, personal, pieces, quality, scoring, secrets, substrings, tiling, token_files, vectors
 from .common import documents, sha_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,6 +99,12 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
                         sha_of(secrets.digest(base)).alias("base_sha256"), secrets.digest(spans).alias("spans"))
 
 
+@query("op9_pseudo_likelihood")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return scoring.score(docs, scoring.fit(docs))
+
+
 @query("op10_substrings")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substrings.remove_repeats(documents(spark, sf_dir))
