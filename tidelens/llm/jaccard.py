@@ -188,3 +188,16 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", least: float
     linked = signed.filter("n > 0").select("id", "h1", "h2").join(named, ["h1", "h2"]).select("id", F.col("first").alias("class_id"), "n_links", F.col("smallest").alias("group_id"))
     alone = signed.filter("n = 0").select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("group_id"))
     return linked.unionByName(alone).withColumnRenamed("id", key)
+
+
+def one_per_group(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
+    """Rows of ``docs``, with all their columns: of every group of linked rows the one with the smallest key.
+
+    Rows with equal key and text count as one, null keys as smallest, rows that link with nothing stay.
+    """
+    mark = F.xxhash64(F.col(f"`{text}`"))
+    named = docs.select(F.struct(F.col(f"`{key}`").alias("key"), mark.alias("mark")).alias("id"), F.col(f"`{text}`").alias("text"))
+    kept = join(named, "text", "id", **options).filter("id = group_id").select("id.*").distinct()
+    marked = docs.withColumn("__mark", mark)
+    out = marked.join(kept, marked[key].eqNullSafe(kept["key"]) & (marked["__mark"] == kept["mark"]), "left_semi")
+    return out.dropDuplicates([key, "__mark"]).drop("__mark")
