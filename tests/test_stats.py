@@ -72,7 +72,7 @@ def test_resampling_does_not_depend_on_partitions_or_path(spark):
     old = spark.conf.get("spark.sql.shuffle.partitions")
     try:
         spark.conf.set("spark.sql.shuffle.partitions", "3")
-        assert means(b) == base and means(b, pack_limit=2) == base
+        assert means(b) == base and means(b, page=2) == base
         flip = lambda df: {r.rep: round(r["mean"], 12) for r in RS.sign_flip_means(df, ["g"], "d", "u", 50, 7).collect()}
         assert flip(a) == flip(b) and len(flip(a)) == 50
     finally:

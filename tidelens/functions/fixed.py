@@ -163,3 +163,24 @@ REGION_LABELS = {
     "central_basin": {"en": "Central Basin (custom 82–90°N)", "zh": "中央北极盆地（自定义82–90°N纬度带）"},
     "central_arctic_basin": {"en": "Central Basin (custom 82–90°N)", "zh": "中央北极盆地（自定义82–90°N纬度带）"},
 }
+
+# fixed values: variables whose lead counts as dynamic forcing
+DYNAMIC_VARIABLES = ("era5_msl_buffer", "era5_u10_buffer", "era5_v10_buffer", "era5_wspd10_buffer")
+
+# fixed values: wording of a region's regime; the first row whose region, least scores and proximity status hold applies
+REGIME_RULES = (
+    ("beaufort_sea", {"major_severe_cluster_support": 4, "location_buffer_support": 4, "wrong_region_control": 3, "year_block_bootstrap": 3}, None, "Strong preconditioned/compound regime"),
+    ("beaufort_sea", {"major_severe_cluster_support": 3, "location_buffer_support": 3, "wrong_region_control": 3}, None, "Moderate preconditioned/compound regime"),
+    ("beaufort_sea", {"major_severe_cluster_support": 3, "location_buffer_support": 3, "year_block_bootstrap": 3}, None, "Moderate preconditioned/compound regime"),
+    ("beaufort_sea", {}, None, "Preconditioned/compound suggestive regime"),
+    ("laptev_sea", {"lead_lag_directionality": 3, "wrong_region_control": 2}, None, "Dynamic-loss regime with contemporaneous forcing"),
+    ("laptev_sea", {}, None, "Dynamic-loss suggestive regime"),
+    ("kara_sea", {"lead_lag_directionality": 3, "location_buffer_support": 3}, "supported", "Moderate atmospheric-dynamic regime"),
+    ("kara_sea", {}, None, "Atmospheric-dynamic suggestive regime"),
+    ("barents_sea", {}, None, "Barents Sea atmospheric/compound suggestive regime; ocean heat not tested"),
+    ("central_arctic", {}, None, REGION_LABELS["central_arctic"]["en"] + " weak/threshold-sensitive regime"),
+)
+REGIME_OTHERWISE = "Relative-threshold-sensitive / weak absolute-loss regime"
+# fixed values: most confidence of a region (all regimes, or only those that begin so), and the most its severity score may count
+CONFIDENCE_CAPS = (("central_arctic", "", "weak"), ("barents_sea", "", "weak"), ("kara_sea", "Atmospheric-dynamic suggestive", "suggestive"))
+SCORE_CAPS = (("central_arctic", "major_severe_cluster_support", 1),)

@@ -133,9 +133,22 @@ def day_number(date: str | Column) -> Column:
 
 # ---- keys ----------------------------------------------------------------
 
+def significant_text(c: str | Column, digits: int = 12) -> Column:
+    """Text of a number rounded to ``digits`` significant digits, without trailing zeros; an exponent below 1e-4 and from
+    10 ** digits on (-0.1, 2, 1.5e-08, 3e+12)."""
+    value = col(c).cast("double")
+    parts = F.split(F.format_string(f"%.{digits - 1}e", value), "e")
+    mantissa, power = F.get(parts, F.lit(0)), F.get(parts, F.lit(1)).cast("int")
+    trim = lambda t: F.regexp_replace(F.regexp_replace(t, "(\\.[0-9]*?)0+$", "$1"), "\\.$", "")
+    plain = trim(F.concat_ws("e", mantissa, power.cast("string")).try_cast("decimal(38,20)").cast("string"))
+    scientific = F.concat(trim(mantissa), F.lit("e"), F.when(power < 0, "-").otherwise("+"), F.format_string("%02d", F.abs(power)))
+    text = F.when((power < -4) | (power >= digits), scientific).otherwise(plain)
+    return F.when(F.isnan(value), "nan").when(F.abs(value) == float("inf"), F.when(value > 0, "inf").otherwise("-inf")).when(value == 0, "0").otherwise(text)
+
+
 def threshold_text(c: str | Column) -> Column:
-    """Shortest decimal text of a threshold that has at most six decimals (-0.1, 0.25, 2)."""
-    return F.regexp_replace(F.regexp_replace(F.round(col(c), 6).cast("decimal(18,6)").cast("string"), "0+$", ""), "\\.$", "")
+    """Text of a threshold in a key: six significant digits (-0.1, 0.25, 2)."""
+    return significant_text(c, 6)
 
 
 def patch_key(object_id="object_id", date="date", start="start_date", window="window_days", threshold="threshold") -> Column:

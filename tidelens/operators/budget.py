@@ -125,7 +125,7 @@ def track_windows(dates: DataFrame, track: str) -> DataFrame:
 def aligned_members(dates: DataFrame, members: DataFrame, track: str) -> DataFrame:
     """Members inside the window of each distinct event date (JOI-14); ``window_date`` is the event date."""
     # distinct days only: bounded by the calendar, so a crowded day is not shuffled to one task
-    return J.interval_members(F.broadcast(track_windows(dates, track)), members)
+    return J.interval_members(track_windows(dates, track), members)
 
 
 def class_cells(dates: DataFrame, members: DataFrame, patch_cells: DataFrame, track: str) -> DataFrame:
@@ -343,7 +343,7 @@ def scenario_summary(rows: DataFrame, keys: Sequence[str], metrics: Sequence[str
     for k, v in primary.items():
         is_primary = is_primary & (F.col(k) == v)
     base = q.filter(is_primary).select("metric", F.col("median").alias("_base"))
-    q = q.join(F.broadcast(base), "metric", "left").withColumn("median_change", F.col("median") - F.col("_base")).withColumn("median_relative_change", F.try_divide(F.col("median") - F.col("_base"), F.when(F.col("_base") != 0, F.col("_base")))).drop("_base")
+    q = q.join(base, "metric", "left").withColumn("median_change", F.col("median") - F.col("_base")).withColumn("median_relative_change", F.try_divide(F.col("median") - F.col("_base"), F.when(F.col("_base") != 0, F.col("_base")))).drop("_base")
     ref = flat.filter(is_primary & (F.col("metric") == metrics[0])).select(unit, F.col("v").alias("_p"))
     pair = flat.filter(F.col("metric") == metrics[0]).join(ref, unit).filter("v is not null and _p is not null")
     rho = spearman(pair, keys, "v", "_p", "rank_correlation")

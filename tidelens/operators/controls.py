@@ -172,7 +172,7 @@ def balance(differences: DataFrame, universe: DataFrame, descriptors: Sequence[s
     """AGG-38: matched difference of each descriptor against the inter-quartile range of the eligible universe."""
     flat = universe.select(F.inline(F.array(*[F.struct(F.lit(d).alias("metric"), F.col(d).cast("double").alias("_v")) for d in descriptors])))
     q = ordered.quantiles(flat, ["metric"], "_v", {"a": 0.25, "b": 0.75}).select("metric", (F.col("b") - F.col("a")).alias("eligible_universe_iqr"))
-    d = durable(differences.filter(F.col("metric").isin(*descriptors))).join(F.broadcast(q), "metric")
+    d = durable(differences.filter(F.col("metric").isin(*descriptors))).join(q, "metric")
     d = d.withColumn("_s", F.abs(F.try_divide("difference", F.when(F.col("eligible_universe_iqr") > 0, F.col("eligible_universe_iqr")))))
     a = d.groupBy("metric").agg(F.count("difference").alias("n_cases"), F.avg("difference").alias("mean_difference"), F.avg("_s").alias("mean_abs_scaled"), F.count_if(F.col("difference").isNull()).alias("missing_count"),
                                 F.avg(F.col("difference").isNull().cast("int")).alias("missing_fraction"), F.max("eligible_universe_iqr").alias("eligible_universe_iqr"))

@@ -206,18 +206,18 @@ def family_counts(rows: DataFrame, expected: dict[str, int]) -> DataFrame:
     return want.join(have, "diagnostic_family", "full_outer").fillna(0).withColumn("status", F.when(F.col("expected") == F.col("actual"), "PASS").otherwise("FAIL"))
 
 
-def twelve(c: str) -> Column:
-    """Shortest text of a number with at most six decimals, NA when missing."""
-    return F.coalesce(S.threshold_text(c), F.lit("NA"))
+def number_text(c: str) -> Column:
+    """Text of a number with twelve significant digits, NA when missing."""
+    return F.coalesce(S.significant_text(c, 12), F.lit("NA"))
 
 
 def region_summary(rows: DataFrame, specificity: DataFrame) -> DataFrame:
     """EVI-02: one row per (region, variable): primary text, lag-group text, specificity, confirmation and the status ladder."""
     sup = F.col("supported_or_significant")
     fam = lambda f: F.col("diagnostic_family") == f
-    item = F.struct("buffer_km", F.concat(F.col("buffer_km").cast("string"), F.lit("km:effect="), twelve("effect"), F.lit(",CI=["), twelve("ci_low"), F.lit(","), twelve("ci_high"), F.lit("],p_FDR="), twelve("p_fdr")).alias("t"))
+    item = F.struct("buffer_km", F.concat(F.col("buffer_km").cast("string"), F.lit("km:effect="), number_text("effect"), F.lit(",CI=["), number_text("ci_low"), F.lit(","), number_text("ci_high"), F.lit("],p_FDR="), number_text("p_fdr")).alias("t"))
     # the design gives three radii, three lag groups and three blocks per key
-    lag_text = lambda g: F.max(F.when(fam("lead_lag") & (F.col("lag_group") == g), F.concat(F.lit("significant="), sup.cast("string"), F.lit(";effect="), twelve("effect"))))
+    lag_text = lambda g: F.max(F.when(fam("lead_lag") & (F.col("lag_group") == g), F.concat(F.lit("significant="), sup.cast("string"), F.lit(";effect="), number_text("effect"))))
     year = F.struct("buffer_km", F.concat(F.col("buffer_km").cast("string"), F.lit("km:confirmed="), sup.cast("string")).alias("t"))
     text = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(c)), lambda s: s["t"]), ";")
     a = rows.groupBy("region", "variable").agg(
@@ -251,20 +251,18 @@ def stable_specificity(location: DataFrame, specificity: DataFrame, year: DataFr
     return c, n
 
 
-SCORE_NAMES = {4: "strong", 3: "moderate", 2: "suggestive", 1: "weak"}
-
-
-def score_matrix(counts: DataFrame, supported: DataFrame, controlled: DataFrame, confirmed: DataFrame, leads: DataFrame) -> DataFrame:
+def score_matrix(counts: DataFrame, supported: DataFrame, controlled: DataFrame, confirmed: DataFrame, leads: DataFrame, dynamic_variables: Sequence[str] = fixed.DYNAMIC_VARIABLES) -> DataFrame:
     """EVI-05: five scores per region, their mean and the confidence ladder.
 
     counts (region, fraction, major, clusters); supported (region, variable, buffer_km);
-    controlled / confirmed (region, variable, buffer_km, ok); leads (region, variable, lag_group, significant).
+    controlled / confirmed (region, variable, buffer_km, ok); leads (region, variable, lag_group, significant), of which
+    only ``dynamic_variables`` count.
     """
     pairs = ["region", "variable", "buffer_km"]
     sup = supported.groupBy("region").agg(F.count_distinct("variable").alias("_sv"))
     ctl = supported.join(controlled.filter("ok"), pairs, "left_semi").select("region").distinct().withColumn("_c", F.lit(True))
     yb = supported.join(confirmed.filter("ok"), pairs, "left_semi").select("region").distinct().withColumn("_y", F.lit(True))
-    ld = leads.filter(F.col("significant") & F.col("lag_group").isin("pre-event", "event-time")).select("region").distinct().withColumn("_l", F.lit(True))
+    ld = leads.filter(F.col("significant") & F.col("variable").isin(*dynamic_variables) & F.col("lag_group").isin("pre-event", "event-time")).select("region").distinct().withColumn("_l", F.lit(True))
     m = counts.join(sup, "region", "left").join(ctl, "region", "left").join(yb, "region", "left").join(ld, "region", "left").fillna(0, ["_sv"]).fillna(False, ["_c", "_y", "_l"])
     f, n, k = F.col("fraction"), F.col("major"), F.col("clusters")
     m = m.withColumn("major_severe_cluster_support", S.ladder([((f >= 0.2) & (n >= 30) & (k >= 25), 4), ((f >= 0.1) & (n >= 20) & (k >= 15), 3)], 1))
@@ -278,29 +276,23 @@ def score_matrix(counts: DataFrame, supported: DataFrame, controlled: DataFrame,
     return m.withColumn("confidence_level", conf).select("region", *cols, "mean_score", "confidence_level")
 
 
-def regime(matrix: DataFrame, proximity: DataFrame) -> DataFrame:
-    """EVI-05: regime label per focus region from a fixed ladder over its scores."""
+def regime(matrix: DataFrame, proximity: DataFrame, rules=fixed.REGIME_RULES, otherwise: str = fixed.REGIME_OTHERWISE, confidence_caps=fixed.CONFIDENCE_CAPS, score_caps=fixed.SCORE_CAPS, n_scores: int = 5) -> DataFrame:
+    """EVI-05: regime label per region by the first rule that holds; then capped scores, their mean, and capped confidence."""
     m = matrix.join(proximity.select("region", F.col("evidence_status").alias("_p")), "region", "left")
-    at = lambda r: F.col("region") == r
-    M, Bf, C, Y, L = (F.col(c) for c in ("major_severe_cluster_support", "location_buffer_support", "wrong_region_control", "year_block_bootstrap", "lead_lag_directionality"))
-    # fixed values: regime wording by region
-    label = S.ladder([
-        (at("beaufort_sea") & (M >= 4) & (Bf >= 4) & (C >= 3) & (Y >= 3), "Strong preconditioned/compound regime"),
-        (at("beaufort_sea") & (M >= 3) & (Bf >= 3) & ((C >= 3) | (Y >= 3)), "Moderate preconditioned/compound regime"),
-        (at("beaufort_sea"), "Preconditioned/compound suggestive regime"),
-        (at("laptev_sea") & (L >= 3) & (C >= 2), "Dynamic-loss regime with contemporaneous forcing"),
-        (at("laptev_sea"), "Dynamic-loss suggestive regime"),
-        (at("kara_sea") & (F.col("_p") == "supported") & (L >= 3) & (Bf >= 3), "Moderate atmospheric-dynamic regime"),
-        (at("kara_sea"), "Atmospheric-dynamic suggestive regime"),
-        (at("barents_sea"), "Barents Sea atmospheric/compound suggestive regime; ocean heat not tested"),
-        (at("central_arctic"), fixed.REGION_LABELS["central_arctic"]["en"] + " weak/threshold-sensitive regime"),
-    ], "Relative-threshold-sensitive / weak absolute-loss regime")
-    m = m.withColumn("assigned_regime", label).drop("_p")
-    # fixed rules: two regions are never more than weak, one stays suggestive without its forcing
-    conf = S.ladder([(at("central_arctic") | at("barents_sea"), "weak"), (at("kara_sea") & F.col("assigned_regime").startswith("Atmospheric-dynamic suggestive"), "suggestive")], F.col("confidence_level"))
-    capped = F.least(M, F.lit(1))
-    mean = F.when(at("central_arctic"), F.col("mean_score") - (M - capped) / 5.0).otherwise(F.col("mean_score"))
-    return m.withColumn("confidence_level", conf).withColumn("mean_score", mean).withColumn("major_severe_cluster_support", F.when(at("central_arctic"), capped).otherwise(M))
+
+    def holds(region, least, status):
+        out = F.col("region") == region
+        for name, score in least.items():
+            out = out & (F.col(name) >= score)
+        return out if status is None else out & F.coalesce(F.col("_p") == status, F.lit(False))
+
+    m = m.withColumn("assigned_regime", S.ladder([(holds(*r[:3]), r[3]) for r in rules], otherwise)).drop("_p")
+    caps = [((F.col("region") == r) & F.col("assigned_regime").startswith(begins), level) for r, begins, level in confidence_caps]
+    m = m.withColumn("confidence_level", S.ladder(caps, F.col("confidence_level")))
+    for region, name, most in score_caps:
+        over = F.when((F.col("region") == region) & (F.col(name) > most), F.col(name) - most).otherwise(0)
+        m = m.withColumn("mean_score", F.col("mean_score") - over / float(n_scores)).withColumn(name, F.col(name) - over)
+    return m
 
 
 def scenario_comparison(paired: DataFrame, keys: Sequence[str], tags=("primary", "floor")) -> DataFrame:

@@ -15,12 +15,13 @@ def _fingerprint(edges: DataFrame, cols: Sequence[str]) -> tuple:
     return row["n"], row["h"], row["s"]
 
 
-def components(edges: DataFrame, a: str, b: str, scope: Sequence[str] = (), max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str, b: str, scope: Sequence[str] = ()) -> DataFrame:
     """Smallest node id reachable from every node that has an edge: (scope, node, root).
 
     Each round is two grouped minima and joins; the edge set is cut through the
     checkpoint folder after every round, so lineage stays flat and a lost
-    executor costs one round.  Nodes without an edge are not returned.
+    executor costs one round.  It runs until a round changes nothing; the number of rounds
+    grows with the logarithm of the longest path.  Nodes without an edge are not returned.
     """
     scope = list(scope)
     cols = [*scope, "u", "v"]
@@ -28,7 +29,7 @@ def components(edges: DataFrame, a: str, b: str, scope: Sequence[str] = (), max_
     mark = _fingerprint(e, cols)
     if mark[0] == 0:
         return e.select(*scope, F.col("u").alias("node"), F.col("v").alias("root"))
-    for _ in range(max_rounds):
+    while True:
         both = e.unionByName(e.select(*scope, F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy(*scope, "u").agg(F.min("v").alias("m"))
         large = (
@@ -50,7 +51,5 @@ def components(edges: DataFrame, a: str, b: str, scope: Sequence[str] = (), max_
         if now == mark:
             break
         mark = now
-    else:
-        raise RuntimeError("component search did not settle")
     roots = e.select(*scope, F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return e.select(*scope, F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)

@@ -42,7 +42,7 @@ def flag_near_day(src: DataFrame, tgt: DataFrame, tolerance: int, name: str, key
 
 def with_neighbour_regions(tgt: DataFrame, adjacent: DataFrame, region: str = "region") -> DataFrame:
     """Target rows repeated for their own region and for each region that lists it as a neighbour (one hop)."""
-    hop = tgt.join(F.broadcast(adjacent.select(F.col("b").alias(region), F.col("a").alias("_from"))), region).withColumn(region, F.col("_from")).drop("_from")
+    hop = tgt.join(adjacent.select(F.col("b").alias(region), F.col("a").alias("_from")), region).withColumn(region, F.col("_from")).drop("_from")
     return tgt.unionByName(hop)
 
 
@@ -88,7 +88,7 @@ def covered_days(windows: DataFrame, start: str, end: str) -> DataFrame:
 
 def flag_overlap_any(rows: DataFrame, windows: DataFrame, name: str, start="window_start", end="window_end", w_start="window_start", w_end="window_end") -> DataFrame:
     """JOI-15: does the row's interval touch any window?  Both sides are compared through day sets."""
-    busy = F.broadcast(covered_days(windows, w_start, w_end))
+    busy = covered_days(windows, w_start, w_end)
     spans = rows.select(start, end).distinct().withColumn("_day", F.explode(F.sequence(start, end)))
     hit = spans.join(busy, "_day", "left_semi").select(start, end).distinct().withColumn(name, F.lit(True))
     return rows.join(hit, [start, end], "left").withColumn(name, F.coalesce(name, F.lit(False)))

@@ -1,8 +1,8 @@
 """Resampling statistics on grouped differences: bootstrap, sign flip, year blocks, false discovery, least squares.
 
 Draws are hashes of (seed, group, replicate, block), so results are the same for any
-partitioning.  Work is spread over (group, replicate); a group that fits in one small
-array travels with its draws, a larger one is joined by index.
+partitioning.  Work is spread over (group, replicate); the units of a group lie in pages of a
+fixed size, and the draws of a replicate meet each page once.
 """
 
 from __future__ import annotations
@@ -17,7 +17,8 @@ from ..functions import scalar as S, stats as ST
 from ..session import shuffle_width
 from . import ordered
 
-PACK_LIMIT = 50_000
+#: Units on a page.
+PAGE = 1024
 
 
 def _replicates(groups: DataFrame, reps: int, slots: Column) -> DataFrame:
@@ -33,36 +34,26 @@ def _text(keys: Sequence[str]) -> list[Column]:
     return [F.col(k).cast("string") for k in keys]
 
 
-def resampled_means(df: DataFrame, keys: Sequence[str], value: str, unit: str, reps: int, seed: int, weight: str | None = None, pack_limit: int = PACK_LIMIT) -> DataFrame:
+def resampled_means(df: DataFrame, keys: Sequence[str], value: str, unit: str, reps: int, seed: int, weight: str | None = None, page: int = PAGE) -> DataFrame:
     """Replicate means (keys, rep, mean): as many units drawn with replacement as the group has.
 
     With ``weight`` a unit is a block: its value and weight are sums, and a replicate mean
-    is the ratio of their totals.
+    is the ratio of their totals.  Units are numbered in order and laid in pages; a task that
+    deals a replicate gathers its draws by page before they are exchanged.
     """
     keys = list(keys)
     w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
     rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(unit).cast("string").alias("_u"), F.col(value).cast("double").alias("_v"), w.alias("_w"))
+    at = F.col("_i") - 1
+    numbered = ordered.row_numbers(rows, keys, ["_u"], "_i").select(*keys, F.floor(at / page).alias("_page"), at.alias("_at"), "_v", "_w")
+    pages = numbered.groupBy(*keys, "_page").agg(F.array_sort(F.collect_list(F.struct("_at", "_v", "_w"))).alias("_a"))
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    sized = rows.join(sizes, keys)
-    draws = lambda g: _replicates(g, reps, F.col("_n")).withColumn("_h", ST.draw_block(seed, *_text(keys), F.col("rep"), F.col("_block")))
-    slot_ok = lambda p: F.col("_block") * 4 + p < F.col("_n")
-    at = lambda p: ST.u32(F.col("_h"), p) % F.col("_n")
-
-    packed = sized.filter(F.col("_n") <= pack_limit).groupBy(*keys, "_n").agg(F.array_sort(F.collect_list(F.struct("_u", "_v", "_w"))).alias("_a"))
-    pick = lambda p, f: F.when(slot_ok(p), F.get(F.col("_a"), at(p).cast("int"))[f]).otherwise(0.0)
-    d = draws(packed)
-    small = d.select(*keys, "rep", sum((pick(p, "_v") for p in (1, 2, 3)), pick(0, "_v")).alias("_s"), sum((pick(p, "_w") for p in (1, 2, 3)), pick(0, "_w")).alias("_c"))
-
-    large_sizes = sizes.filter(F.col("_n") > pack_limit)
-    sums = small
-    if not large_sizes.isEmpty():
-        big = sized.filter(F.col("_n") > pack_limit).drop("_n")
-        # index in unit order, as the packed arrays have it
-        idx = ordered.row_numbers(big, keys, ["_u"], "_i").withColumn("_i", F.col("_i") - 1).select(*keys, "_i", "_v", "_w")
-        each = F.array_compact(F.array(*[F.when(slot_ok(p), at(p)) for p in range(4)]))
-        asked = draws(large_sizes).select(*keys, "rep", F.explode(each).alias("_i"))
-        sums = small.unionByName(asked.join(idx, [*keys, "_i"]).select(*keys, "rep", F.col("_v").alias("_s"), F.col("_w").alias("_c")))
-    return sums.groupBy(*keys, "rep").agg((F.sum("_s") / F.sum("_c")).alias("mean"))
+    draws = _replicates(sizes, reps, F.col("_n")).withColumn("_h", ST.draw_block(seed, *_text(keys), F.col("rep"), F.col("_block")))
+    slots = F.array_compact(F.array(*[F.when(F.col("_block") * 4 + p < F.col("_n"), ST.u32(F.col("_h"), p) % F.col("_n")) for p in range(4)]))
+    asked = draws.select(*keys, "rep", F.explode(slots).alias("_i")).groupBy(*keys, "rep", F.floor(F.col("_i") / page).alias("_page")).agg(F.collect_list((F.col("_i") % page).cast("int")).alias("_picks"))
+    total = lambda f: F.aggregate("_picks", F.lit(0.0), lambda acc, i: acc + F.get("_a", i)[f])
+    met = asked.join(pages, [*keys, "_page"]).select(*keys, "rep", total("_v").alias("_s"), total("_w").alias("_c"))
+    return met.groupBy(*keys, "rep").agg((F.sum("_s") / F.sum("_c")).alias("mean"))
 
 
 def bootstrap_ci(df: DataFrame, keys: Sequence[str], value: str, unit: str, reps: int, seed: int, min_units: int = 1, **kw) -> DataFrame:

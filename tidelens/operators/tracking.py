@@ -143,7 +143,12 @@ def membership(linked: DataFrame) -> DataFrame:
 
 
 def roll_up(linked: DataFrame, keys: Sequence[str] = ("unique_local_event_id",), distributed: str = "error") -> DataFrame:
-    """AGG-07: one row per event from its member patches, with the centroid rule for its longitude class."""
+    """AGG-07: one row per event from its member patches, with the centroid rule for its longitude class.
+
+    An event whose longitudes spread over more than half the globe is an error, or with
+    ``distributed="flag"`` a row without centroid that says so in ``needs_decision``;
+    ``"skip"`` leaves the flag out.
+    """
     keys = list(keys)
     base = linked.groupBy(*keys).agg(
         F.any_value("region").alias("dominant_region"), F.min("date").alias("event_start"), F.max("date").alias("event_end"),
@@ -153,10 +158,13 @@ def roll_up(linked: DataFrame, keys: Sequence[str] = ("unique_local_event_id",),
         F.min("window_days").alias("window_days"), F.min("threshold").alias("sic_change_threshold"), F.min("object_area_cells").alias("min_cells"),
         F.bool_or("overlap_with_series_event").alias("overlap_with_series_event"), F.bool_or("overlap_with_regional_event").alias("overlap_with_regional_event_v1"))
     geo = RA.circular_gaps(linked, keys, "centroid_lon")
-    if distributed == "skip":
+    kinds = geo.select(*keys, F.col("geometry_class").alias("track_longitude_geometry_class"))
+    if distributed != "error":
         geo = geo.filter("geometry_class <> 'LONGITUDE_DISTRIBUTED'")
     c = RA.weighted_centroid(linked, keys, "cumulative_sic_loss", "centroid_lon", "centroid_lat", None, None, distributed="error", geometry=geo)
     c = c.select(*keys, F.col("centroid_lon").alias("track_centroid_lon"), F.col("centroid_lat").alias("track_centroid_lat"), F.col("geometry_class").alias("track_longitude_geometry_class"))
+    if distributed == "flag":
+        c = kinds.join(c.drop("track_longitude_geometry_class"), keys, "left").withColumn("needs_decision", F.col("track_longitude_geometry_class") == "LONGITUDE_DISTRIBUTED")
     return base.join(c, keys, "left" if distributed == "skip" else "inner")
 
 
@@ -173,7 +181,7 @@ def _cluster_rule(adjacent: dict[str, tuple[str, ...]]):
                 live.keep(alive)
                 first_gap[0] = day
             here = row["dominant_region"]
-            allowed = np.asarray([r == here or here in adjacent.get(r, ()) for r in regions], dtype=bool)
+            allowed = np.asarray([r is not None and here is not None and (r == here or here in adjacent.get(r, ())) for r in regions], dtype=bool)
             lon, lat, w = row["track_centroid_lon"], row["track_centroid_lat"], max(row["cumulative_loss"], 1.0)
             n, _ = live.nearest(lon, lat, km, allowed) if live.ids else (None, 0.0)
             if n is None:
@@ -195,7 +203,7 @@ def cluster_events(events: DataFrame, adjacent: dict[str, tuple[str, ...]], sett
 
     In (date, region, id) order an event joins the nearest cluster whose running
     loss-weighted centroid is within reach, whose last event is at most ``gap`` days old and
-    whose first region equals or touches its own.  The running centroid is kept as three
+    whose first region equals or touches its own; a missing region matches none.  The running centroid is kept as three
     sums.  Units are runs of days without a longer pause, per setting.
     """
     each = F.explode(F.array(*[F.struct(F.lit(int(g)).alias("gap_days"), F.lit(float(d)).alias("distance_km")) for g, d in settings]))

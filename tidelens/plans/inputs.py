@@ -88,10 +88,10 @@ GRID = """grid AS (SELECT CAST(r.y AS INTEGER) AS y, c.x, c.x * 25000.0::DOUBLE
 def coded(spark, sf) -> DataFrame:
     """coded_daily: 1 where the field is at least 0.5, 0 below, 254 on land, 255 where a cell has no value."""
     f, g = field(spark, sf), grid(spark, sf)
-    frames = f.select("date").distinct()
-    full = g.select("y", "x", "region_code", F.explode(F.sequence(F.lit(0), F.lit(27))).alias("k")).withColumn("date", plus_days(F.col("k")))
+    frames = f.select(F.array_sort(F.collect_set("date"))).scalar()  # one entry per day of the calendar
+    full = g.select("y", "x", "region_code", F.explode(frames).alias("date"))
     return (
-        full.join(F.broadcast(frames), "date", "left_semi").join(f, ["date", "y", "x"], "left")
+        full.join(f, ["date", "y", "x"], "left")
         .select("date", "y", "x", F.when(F.col("region_code") > 18, 254).when(F.col("value").isNull(), 255)
                 .when(F.col("value") >= 0.5, 1).otherwise(0).cast("int").alias("code"))
     )
@@ -112,7 +112,7 @@ def events(spark, sf) -> DataFrame:
     )
     k = F.col("c_custkey")
     return (
-        per.join(c, per.o_custkey == c.c_custkey).join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey"))
+        per.join(c, per.o_custkey == c.c_custkey).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
         .select(
             numbered_id("E", k, 8).alias("unique_local_event_id"),
             F.concat(F.lit("R"), F.col("n_regionkey")).alias("dominant_region"),
@@ -148,7 +148,7 @@ def pan(spark, sf) -> DataFrame:
     """series events with a place: one per supplier."""
     s, n = table(spark, sf, "supplier"), table(spark, sf, "nation")
     k = F.col("s_suppkey")
-    return s.join(F.broadcast(n), F.col("s_nationkey") == F.col("n_nationkey")).select(
+    return s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(
         numbered_id("PAN", k, 6).alias("event_id"),
         F.concat(F.lit("R"), F.col("n_regionkey")).alias("region"),
         plus_days((k * 23) % 2400).alias("event_date"),

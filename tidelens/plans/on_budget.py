@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..operators import budget as B, raster as RA
-from . import inputs as I
+from . import inputs as I, walks as WK
 from .on_raster import label_sql
 from .registry import query
 
@@ -373,7 +373,7 @@ def _(spark, sf):
     return I.pan(spark, sf).join(d.select(F.col("date").alias("event_date"), "delta"), "event_date", "left").select("event_id", "event_date", R("delta").alias("delta"))
 
 
-@query("ras_18_floor_catalogue")
+@query("ras_18_floor_catalogue", I.with_ctes("patch", recursive=True) + ", fl AS (SELECT patch.*, s AS scenario FROM patch JOIN (VALUES ('none', -1.0::DOUBLE), ('0.15', 0.15::DOUBLE), ('0.3', 0.3::DOUBLE)) v(s, least_) ON k % 10 / 10.0::DOUBLE >= least_), " + WK.patch_walk("fl", "scenario, region") + " SELECT scenario, region, count(*) AS patches, count(*) FILTER (opener = object_id) AS events FROM linked GROUP BY 1, 2")
 def _(spark, sf):
     from ..operators import tracking as T
     from ..sources.catalog import with_floors

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F, Window as W
 
 from ..functions import fixed, scalar as S
 from ..operators import ordered, pressure as P, severity as SV, tracking as T
-from . import inputs as I
-from .on_raster import cands
+from . import inputs as I, walks as WK
+from .on_raster import CAND, cands
 from .registry import query
 
 R = S.rounded
@@ -183,7 +183,7 @@ SELECT CASE WHEN region LIKE 'pan%' THEN 'aggregate_reference' ELSE 'physical_re
 def _(spark, sf):
     r = F.col("dominant_region")
     name = S.ladder([(r == "R0", "beaufort_sea"), (r == "R1", "kara_sea"), (r == "R2", "hudson_bay"), (r == "R3", "pan_arctic")], "pan_arctic_reference")
-    e = I.events(spark, sf).select(name.alias("region_name")).join(F.broadcast(SV.taxonomy(spark)), "region_name")
+    e = I.events(spark, sf).select(name.alias("region_name")).join(SV.taxonomy(spark), "region_name")
     return e.groupBy("region_type").agg(F.count(F.lit(1)).alias("n_events"), F.count_if("used_in_ranking").alias("n_ranked"), F.count_if("used_in_matching").alias("n_matched"), F.count_if("used_in_mechanism_classification").alias("n_classified"))
 
 
@@ -193,7 +193,7 @@ def tracked(spark, sf):
     return T.track_patches(I.patches(spark, sf))
 
 
-@query("seq_01_patch_tracking")
+@query("seq_01_patch_tracking", WK.NUMBERED + " SELECT object_id, unique_local_event_id, opener FROM lk")
 def _(spark, sf):
     return tracked(spark, sf).select("object_id", "unique_local_event_id", "opener")
 
@@ -203,9 +203,13 @@ def _(spark, sf):
     return T.membership(tracked(spark, sf)).select("object_id", "patch_key")
 
 
-@query("agg_07_event_roll_up")
+@query("agg_07_event_roll_up", WK.NUMBERED + ", " + WK.EVENT_GEOMETRY + """ SELECT unique_local_event_id, any_value(region) AS dominant_region, min(date) AS event_start, max(date) AS event_end, max(date) - min(date) + 1 AS duration_days, count(*) AS n_daily_patches, max(object_area_cells) AS max_area_cells, max(object_area_km2) AS max_area_km2,
+ max(-mean_sic_change) AS max_intensity, min(min_sic_change) AS min_sic_change, round(avg(mean_sic_change), 6) + 0.0 AS mean_sic_change, sum(cumulative_sic_loss) AS cumulative_loss, min(window_days) AS window_days, min(threshold) AS sic_change_threshold, min(object_area_cells) AS min_cells,
+ bool_or(overlap_with_series_event) AS overlap_with_series_event, bool_or(overlap_with_regional_event) AS overlap_with_regional_event_v1, any_value(kind) AS track_longitude_geometry_class, any_value(kind) = 'LONGITUDE_DISTRIBUTED' AS needs_decision,
+ round(any_value(CASE kind WHEN 'ORDINARY' THEN x WHEN 'WRAP_ONLY' THEN (x + 540) % 360 - 180 END), 6) + 0.0 AS track_centroid_lon, round(any_value(CASE WHEN kind <> 'LONGITUDE_DISTRIBUTED' THEN y END), 6) + 0.0 AS track_centroid_lat FROM lk JOIN ce ON ce.e = unique_local_event_id GROUP BY 1""")
 def _(spark, sf):
-    return T.roll_up(tracked(spark, sf), distributed="skip")
+    r = T.roll_up(tracked(spark, sf), distributed="flag")
+    return r.withColumns({c: R(c) for c in ("mean_sic_change", "track_centroid_lon", "track_centroid_lat")})
 
 
 ROLL = I.with_ctes("member", "patch") + """ SELECT unique_local_event_id, min(m.date) AS event_start, max(m.date) AS event_end, max(m.date) - min(m.date) + 1 AS duration_days, count(*) AS n_daily_patches, max(object_area_cells) AS max_area_cells, max(-mean_sic_change) AS max_intensity, min(min_sic_change) AS min_sic_change,
@@ -229,14 +233,22 @@ def _(spark, sf):
     return SV.patch_summary(p, e).select("region", "daily_patch_count", "unique_event_count", *[R(c).alias(c) for c in ("patch_to_event_ratio", "mean_duration_days", "mean_max_area_km2", "mean_cumulative_loss", "panarctic_overlap_fraction")])
 
 
-@query("sev_04_tracking_sensitivity")
+SENSITIVE = I.with_ctes("patch", recursive=True) + ", asks AS (SELECT * FROM (VALUES (1, 5), (2, 20)) v(setting, least_)), sp_ AS (SELECT patch.*, setting FROM patch JOIN asks ON object_area_cells >= least_ WHERE window_days = 3), " + WK.patch_walk("sp_", "setting, region")
+
+
+@query("sev_04_tracking_sensitivity", SENSITIVE + """ SELECT 3 AS window_days, -0.1::DOUBLE AS sic_change_threshold, CAST(least_ AS INTEGER) AS min_cells, count(*) AS daily_patch_count, count(*) FILTER (opener = object_id) AS unique_event_count, 'ok' AS status FROM linked JOIN asks USING (setting) GROUP BY least_
+ UNION ALL SELECT 3, -0.2::DOUBLE, CAST(least_ AS INTEGER), NULL, NULL, 'not_available_in_existing_daily_object_file' FROM asks WHERE NOT EXISTS (SELECT 1 FROM patch WHERE threshold = -0.2)""")
 def _(spark, sf):
     return T.tracking_sensitivity(I.patches(spark, sf), [3], [-0.1, -0.2], [5, 20])
 
 
-@query("seq_02_event_clusters")
+CLUSTERED = I.with_ctes("ev", recursive=True) + ", ev1 AS (SELECT *, 1 AS one FROM ev), " + WK.cluster_walk("ev1", "one", "5", "500.0", WK.RING_TOUCHES) + """,
+cn AS (SELECT unique_local_event_id AS opener, 'CL' || lpad(CAST(row_number() OVER (ORDER BY event_start, dominant_region, unique_local_event_id) AS VARCHAR), 5, '0') AS cluster_id FROM clustered WHERE opener = unique_local_event_id), cl AS (SELECT clustered.*, cluster_id FROM clustered JOIN cn USING (opener))"""
+
+
+@query("seq_02_event_clusters", CLUSTERED + " SELECT unique_local_event_id, cluster_id, round(running_lon, 6) + 0.0 AS running_lon, round(running_lat, 6) + 0.0 AS running_lat FROM cl")
 def _(spark, sf):
-    return T.cluster_events(I.events(spark, sf), RING).select("unique_local_event_id", "cluster_id", "running_lon", "running_lat")
+    return T.cluster_events(I.events(spark, sf), RING).select("unique_local_event_id", "cluster_id", R("running_lon").alias("running_lon"), R("running_lat").alias("running_lat"))
 
 
 @query("agg_08_cluster_roll_up")
@@ -244,7 +256,7 @@ def _(spark, sf):
     return T.cluster_roll_up(T.cluster_events(I.events(spark, sf), RING), ORDER)
 
 
-@query("agg_08_member_lists")
+@query("agg_08_member_lists", CLUSTERED + """, nb AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY event_start, dominant_region, unique_local_event_id) AS rn FROM cl) SELECT cluster_id, CAST((rn - 1) // 1000 AS INTEGER) AS part, list(unique_local_event_id ORDER BY rn) AS member_event_ids FROM nb GROUP BY 1, 2""")
 def _(spark, sf):
     return T.cluster_member_lists(T.cluster_events(I.events(spark, sf), RING))
 
@@ -260,7 +272,8 @@ def _(spark, sf):
     return d.select("cluster_id", "dominant_region", "tie_count", "tie_break", R("loss_dominant_region_fraction").alias("loss_dominant_region_fraction"))
 
 
-@query("sev_05_cluster_sensitivity")
+@query("sev_05_cluster_sensitivity", SEVERE.replace("WITH ", "WITH RECURSIVE ", 1) + ", sx AS (SELECT severe.*, g AS gap_days, d AS distance_km FROM severe, (VALUES (3), (5), (7)) a(g), (VALUES (300.0::DOUBLE), (500.0::DOUBLE), (700.0::DOUBLE)) b(d)), " + WK.cluster_walk("sx", "gap_days, distance_km", "gap_days", "distance_km", WK.RING_TOUCHES) + """,
+ n AS (SELECT gap_days, distance_km, opener, count(*) AS n FROM clustered GROUP BY 1, 2, 3) SELECT CAST(gap_days AS INTEGER) AS gap_days, distance_km, count(*) AS cluster_count, round(avg(CAST(n > 1 AS INTEGER)), 6) + 0.0 AS multi_event_cluster_fraction FROM n GROUP BY 1, 2""")
 def _(spark, sf):
     c = T.cluster_events(severe(spark, sf), RING, [(g, d) for g in (3, 5, 7) for d in (300.0, 500.0, 700.0)])
     n = c.groupBy("gap_days", "distance_km", "cluster_id").agg(F.count(F.lit(1)).alias("n"))
@@ -271,14 +284,18 @@ def tracks(spark, sf):
     return T.link_tracks(P.thin(cands(spark, sf), 1500.0, 6), 2500.0)
 
 
-@query("seq_03_link_tracks")
+WALKED = CAND.replace("WITH ", "WITH RECURSIVE ", 1) + ", " + WK.thin_walk("cand", 1500.0, 6) + ", " + WK.track_walk("thinned", 2500.0)
+
+
+@query("seq_03_link_tracks", WALKED + " SELECT date, i, j, track_id, track_length_days, CAST(track_day_index AS INTEGER) AS track_day_index, round(link_distance_km, 4) + 0.0 AS link_distance_km FROM tracked")
 def _(spark, sf):
-    return tracks(spark, sf)
+    return tracks(spark, sf).select("date", "i", "j", "track_id", "track_length_days", "track_day_index", R("link_distance_km", 4).alias("link_distance_km"))
 
 
-@query("agg_32_track_summary")
+@query("agg_32_track_summary", WALKED + """ SELECT track_id, min(date) AS start_date, max(date) AS end_date, count(DISTINCT date) AS track_length_days, round(min(center_pressure_hpa), 4) + 0.0 AS min_center_pressure_hpa, round(max(depth_hpa), 6) + 0.0 AS max_depth_hpa, round(avg(lat), 6) + 0.0 AS mean_lat, round(avg(lon), 6) + 0.0 AS mean_lon FROM tracked GROUP BY 1""")
 def _(spark, sf):
-    return T.track_summary(tracks(spark, sf))
+    s = T.track_summary(tracks(spark, sf))
+    return s.withColumns({"min_center_pressure_hpa": R("min_center_pressure_hpa", 4), "max_depth_hpa": R("max_depth_hpa"), "mean_lat": R("mean_lat"), "mean_lon": R("mean_lon")})
 
 
 @query("agg_32_summary_given_tracks", I.with_ctes("member", "patch") + """ SELECT unique_local_event_id AS track_id, min(p.date) AS start_date, max(p.date) AS end_date, count(DISTINCT p.date) AS track_length_days, min(min_sic_change) AS min_center_pressure_hpa, max(mean_sic_change) AS max_depth_hpa, round(avg(centroid_lat), 6) + 0.0 AS mean_lat, round(avg(centroid_lon), 6) + 0.0 AS mean_lon FROM member JOIN patch p USING (object_id) GROUP BY 1""")

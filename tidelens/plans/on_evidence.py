@@ -292,13 +292,21 @@ def _(spark, sf):
 
 
 SCORES = SPEC.replace(EM, YB, 1) + LEAD[len(FL):] + ", " + I.EVENTS + """, c0 AS (SELECT dominant_region AS region, avg(CAST(cumulative_loss > 400 AS INTEGER)) AS f, count(*) FILTER (cumulative_loss > 400) AS n, count(*) AS k FROM ev GROUP BY 1),
-s0 AS (SELECT region, count(DISTINCT variable) AS sv FROM sup GROUP BY 1), g4 AS (SELECT region, buffer_km, variable FROM st GROUP BY 1, 2, 3 HAVING count(*) FILTER (control_passed) = 4), s1 AS (SELECT DISTINCT region FROM sup JOIN g4 USING (region, buffer_km, variable)), s2 AS (SELECT DISTINCT region FROM sup JOIN yc USING (region, buffer_km, variable) WHERE lo * hi > 0), s3 AS (SELECT DISTINCT region FROM lc WHERE significant AND lag_group IN ('pre-event', 'event-time')),
+s0 AS (SELECT region, count(DISTINCT variable) AS sv FROM sup GROUP BY 1), g4 AS (SELECT region, buffer_km, variable FROM st GROUP BY 1, 2, 3 HAVING count(*) FILTER (control_passed) = 4), s1 AS (SELECT DISTINCT region FROM sup JOIN g4 USING (region, buffer_km, variable)), s2 AS (SELECT DISTINCT region FROM sup JOIN yc USING (region, buffer_km, variable) WHERE lo * hi > 0), s3 AS (SELECT DISTINCT region FROM lc WHERE significant AND variable = 'v1' AND lag_group IN ('pre-event', 'event-time')),
 m0 AS (SELECT c0.region, CASE WHEN f >= 0.2 AND n >= 30 AND k >= 25 THEN 4 WHEN f >= 0.1 AND n >= 20 AND k >= 15 THEN 3 ELSE 1 END AS a, CASE WHEN coalesce(sv, 0) >= 3 THEN 4 WHEN coalesce(sv, 0) >= 1 THEN 3 ELSE 1 END AS b, CASE WHEN s3.region IS NOT NULL THEN 3 ELSE 1 END AS l, CASE WHEN s1.region IS NOT NULL THEN 3 ELSE 1 END AS w, CASE WHEN s2.region IS NOT NULL THEN 3 ELSE 1 END AS y
  FROM c0 LEFT JOIN s0 ON s0.region = c0.region LEFT JOIN s1 ON s1.region = c0.region LEFT JOIN s2 ON s2.region = c0.region LEFT JOIN s3 ON s3.region = c0.region)"""
 
 
-@query("evi_05_score_matrix", SCORES + """ SELECT region, a AS major_severe_cluster_support, b AS location_buffer_support, l AS lead_lag_directionality, w AS wrong_region_control, y AS year_block_bootstrap, round((a + b + l + w + y) / 5.0::DOUBLE, 6) AS mean_score,
- CASE WHEN (a + b + l + w + y) / 5.0 >= 3.5 THEN 'strong' WHEN (a + b + l + w + y) / 5.0 >= 2.7 THEN 'moderate' WHEN (a + b + l + w + y) / 5.0 >= 1.8 THEN 'suggestive' ELSE 'weak' END AS confidence_level, 'Relative-threshold-sensitive / weak absolute-loss regime' AS assigned_regime FROM m0""")
+FOCUS = {"R0": "beaufort_sea", "R1": "laptev_sea", "R2": "kara_sea", "R3": "barents_sea", "R4": "central_arctic"}
+REGIME = """, pxs AS (SELECT region, bool_or(coalesce(n_units >= 3 AND p_fdr < 0.05 AND ci_excludes_zero AND CASE WHEN variable LIKE 'nearest%' THEN m < 0 ELSE m > 0 END, false)) AS supported FROM prx GROUP BY 1),
+m1 AS (SELECT CASE m0.region WHEN 'R0' THEN 'beaufort_sea' WHEN 'R1' THEN 'laptev_sea' WHEN 'R2' THEN 'kara_sea' WHEN 'R3' THEN 'barents_sea' ELSE 'central_arctic' END AS region, a, b, l, w, y, coalesce(pxs.supported, false) AS px FROM m0 LEFT JOIN pxs USING (region)),
+m2 AS (SELECT *, CASE region WHEN 'beaufort_sea' THEN CASE WHEN a >= 4 AND b >= 4 AND w >= 3 AND y >= 3 THEN 'Strong preconditioned/compound regime' WHEN a >= 3 AND b >= 3 AND (w >= 3 OR y >= 3) THEN 'Moderate preconditioned/compound regime' ELSE 'Preconditioned/compound suggestive regime' END
+ WHEN 'laptev_sea' THEN CASE WHEN l >= 3 AND w >= 2 THEN 'Dynamic-loss regime with contemporaneous forcing' ELSE 'Dynamic-loss suggestive regime' END WHEN 'kara_sea' THEN CASE WHEN px AND l >= 3 AND b >= 3 THEN 'Moderate atmospheric-dynamic regime' ELSE 'Atmospheric-dynamic suggestive regime' END
+ WHEN 'barents_sea' THEN 'Barents Sea atmospheric/compound suggestive regime; ocean heat not tested' ELSE '@CENTRAL weak/threshold-sensitive regime' END AS assigned_regime, CASE WHEN region = 'central_arctic' THEN least(a, 1) ELSE a END AS a2, (a + b + l + w + y) / 5.0 AS mean0 FROM m1)""".replace("@CENTRAL", fixed.REGION_LABELS["central_arctic"]["en"])
+
+
+@query("evi_05_score_matrix", SCORES + PROX[len(I.with_ctes("lagged")):] + REGIME + """ SELECT region, a2 AS major_severe_cluster_support, b AS location_buffer_support, l AS lead_lag_directionality, w AS wrong_region_control, y AS year_block_bootstrap, round((a2 + b + l + w + y) / 5.0::DOUBLE, 6) AS mean_score,
+ CASE WHEN region IN ('central_arctic', 'barents_sea') THEN 'weak' WHEN assigned_regime = 'Atmospheric-dynamic suggestive regime' THEN 'suggestive' WHEN mean0 >= 3.5 THEN 'strong' WHEN mean0 >= 2.7 THEN 'moderate' WHEN mean0 >= 1.8 THEN 'suggestive' ELSE 'weak' END AS confidence_level, assigned_regime FROM m2""")
 def _(spark, sf):
     e = I.events(spark, sf).withColumnRenamed("dominant_region", "region")
     counts = e.groupBy("region").agg(F.avg((F.col("cumulative_loss") > 400).cast("int")).alias("fraction"), F.count_if(F.col("cumulative_loss") > 400).alias("major"), F.count(F.lit(1)).alias("clusters"))
@@ -306,9 +314,10 @@ def _(spark, sf):
     sup = loc(spark, sf).filter("supported").select(*keys)
     ctl = E.specificity_summary(spec(spark, sf)).select(*keys, F.col("all_passed").alias("ok"))
     yb = year_tests(spark, sf).select(*keys, F.col("ci_excludes_zero").alias("ok"))
-    m = E.score_matrix(counts, sup, ctl, yb, lead(spark, sf))
+    m = E.score_matrix(counts, sup, ctl, yb, lead(spark, sf), dynamic_variables=("v1",))
     prox = E.proximity_status(E.proximity_tests(prox_rows(spark, sf), B, SEED), counts.select("region"))
-    return E.regime(m, prox).withColumn("mean_score", R("mean_score"))
+    named = lambda t: t.replace(FOCUS, subset=["region"])  # the focus regions have rules of their own
+    return E.regime(named(m), named(prox)).withColumn("mean_score", R("mean_score"))
 
 
 @query("evi_07_cross_scale_map", I.with_ctes("ev", "pan") + ", " + EVF + f""", c AS (SELECT e.event_id, {hav('e.', 'q.')} AS km FROM evf e JOIN pnf q ON abs(q.event_date - e.event_date) <= 3), n AS (SELECT event_id, min(km) AS km FROM c GROUP BY 1)

@@ -10,7 +10,7 @@ from ..functions import fixed, geometry as G, scalar as S
 from ..operators import pressure as P, raster as RA
 from ..session import ensure_checkpoint_dir
 from ..sources import cells as C
-from . import inputs as I
+from . import inputs as I, walks as WK
 from .on_joins import hav
 from .registry import query
 
@@ -175,9 +175,9 @@ def _(spark, sf):
     return cands(spark, sf).select("date", "i", "j", "lat", "lon", R("center_pressure_hpa", 4).alias("center_pressure_hpa"), R("depth_hpa").alias("depth_hpa"))
 
 
-@query("top_03_thinned_centres")
+@query("top_03_thinned_centres", CAND.replace("WITH ", "WITH RECURSIVE ", 1) + ", " + WK.thin_walk("cand", 1500.0, 6) + " SELECT date, i, j, lat, lon, round(center_pressure_hpa, 4) + 0.0 AS center_pressure_hpa, round(depth_hpa, 6) + 0.0 AS depth_hpa FROM thinned")
 def _(spark, sf):
-    return P.thin(cands(spark, sf), 1500.0, 6)
+    return P.thin(cands(spark, sf), 1500.0, 6).select("date", "i", "j", "lat", "lon", R("center_pressure_hpa", 4).alias("center_pressure_hpa"), R("depth_hpa").alias("depth_hpa"))
 
 
 LAGS = "(VALUES (-1), (0), (1)) l(lag)"

@@ -33,9 +33,9 @@ def _(spark, sf):
     return RS.bootstrap_ci(I.diffs(spark, sf), KEYS, "difference", "unit_id", B, SEED).select(*KEYS, *rr(["ci_low", "ci_high"]))
 
 
-@query("sta_02_bootstrap_ci_joined", BOOT + " SELECT family, metric, round(ci_low, 6) + 0.0 AS ci_low, round(ci_high, 6) + 0.0 AS ci_high FROM ci")
+@query("sta_02_bootstrap_ci_pages", BOOT + " SELECT family, metric, round(ci_low, 6) + 0.0 AS ci_low, round(ci_high, 6) + 0.0 AS ci_high FROM ci")
 def _(spark, sf):
-    return RS.bootstrap_ci(I.diffs(spark, sf), KEYS, "difference", "unit_id", B, SEED, pack_limit=10).select(*KEYS, *rr(["ci_low", "ci_high"]))
+    return RS.bootstrap_ci(I.diffs(spark, sf), KEYS, "difference", "unit_id", B, SEED, page=10).select(*KEYS, *rr(["ci_low", "ci_high"]))
 
 
 @query("sta_02_bootstrap_difference", DI + f""", s AS (SELECT metric, CASE WHEN year < 1996 THEN 'a' ELSE 'b' END AS side, unit_id, difference FROM diffs), ix AS (SELECT *, row_number() OVER (PARTITION BY metric, side ORDER BY unit_id) - 1 AS i, count(*) OVER (PARTITION BY metric, side) AS n FROM s),

@@ -54,18 +54,3 @@ def durable(df: DataFrame) -> DataFrame:
 
 def shuffle_width(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
-BROADCAST_ROWS = 200_000
-
-
-def small_or_plain(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only after a bounded count shows the side is small.
-
-    The probe reads at most ``max_rows + 1`` rows; a larger side keeps the
-    shuffle join that Spark would plan anyway.
-    """
-    from pyspark.sql import functions as F
-
-    probe = df.select(F.lit(1).alias("one")).limit(max_rows + 1).count()
-    return F.broadcast(df) if probe <= max_rows else df

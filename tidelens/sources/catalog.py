@@ -58,7 +58,7 @@ def resolve_regions(df: DataFrame, word: str) -> DataFrame:
     key = F.regexp_replace(F.lower(F.trim(F.col(word))), "[ -]", "_")
     dim = region_table(df.sparkSession).withColumnRenamed("word", "_word")
     box = F.transform(F.split(F.col(word), ","), lambda v: F.trim(v).try_cast("double"))
-    hit = df.withColumn("_key", F.when(F.coalesce(F.col(word), F.lit("")) == "", "pan_arctic").otherwise(key)).join(F.broadcast(dim), F.col("_key") == F.col("_word"), "left")
+    hit = df.withColumn("_key", F.when(F.coalesce(F.col(word), F.lit("")) == "", "pan_arctic").otherwise(key)).join(dim, F.col("_key") == F.col("_word"), "left")
     is_box = F.col("region_name").isNull() & (F.size(box) == 4) & ~F.exists(box, lambda v: v.isNull())
     bad = F.raise_error(F.concat(F.lit("unknown region "), F.col(word)))
     named = F.when(F.col("region_name").isNotNull(), F.col("region_name")).when(is_box, F.lit("custom_bbox")).otherwise(bad)
@@ -109,4 +109,4 @@ def with_labels(df: DataFrame, id_col: str, out: str = "label", language: str =
         raise ValueError("language must be en or zh")
     rows = [(k, v[language]) for k, v in table.items()]
     dim = df.sparkSession.createDataFrame(rows, "_id string, _label string")
-    return df.join(F.broadcast(dim), F.col(id_col) == F.col("_id"), "left").withColumn(out, F.coalesce("_label", F.col(id_col))).drop("_id", "_label")
+    return df.join(dim, F.col(id_col) == F.col("_id"), "left").withColumn(out, F.coalesce("_label", F.col(id_col))).drop("_id", "_label")
