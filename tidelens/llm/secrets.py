@@ -10,6 +10,7 @@ Every document is judged by itself, so the job is one pass over the rows without
 
 from __future__ import annotations
 
+import random
 import re
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
@@ -40,8 +41,8 @@ IDENTIFIERS = (
     "update upload user username value variable vector version void volume while window your_api_key your_password changeme xxxxxxxx 0123456789 abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 )
 CONTEXT = 400
-#: Least marginal bytes per character of a reported string; a random hexadecimal digit costs 0.5, a random base-64 digit 0.75.
-NOVELTY = 0.7
+#: Least marginal bytes per character of a reported string: words and paths cost 0.3 to 0.7, random letters and digits about 1.
+NOVELTY = 0.8
 
 
 def hints(text: str) -> bool:
@@ -62,7 +63,10 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 @lru_cache(maxsize=2)
 def coder(identifiers: str) -> zstandard.ZstdCompressor:
-    known = zstandard.ZstdCompressionDict(identifiers.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    """Compressor primed with a dictionary made of identifiers in lines of code; it knows how often their letters occur, too."""
+    words, pick = identifiers.split(), random.Random(3)
+    lines = [pick.choice((" ", "_", ".", "-")).join(pick.choices(words, k=pick.randrange(3, 9))) + pick.choice((" = ", "(", ": ", "\n", ";")) for _ in range(2000)]
+    known = zstandard.train_dictionary(3000, [x.encode() for x in lines])
     return zstandard.ZstdCompressor(level=19, dict_data=known, write_content_size=False, write_checksum=False, write_dict_id=False)
 
 
@@ -73,7 +77,7 @@ def marginal(candidate: str, before: str, after: str, identifiers: str = IDENTIF
 
 
 def novel_spans(text: str, taken: Sequence[tuple[str, int, int]], least: float = NOVELTY) -> list[tuple[str, int, int]]:
-    """Strings after a sensitive word that no base span touches, mix at least two of lower, upper and digits, and are novel."""
+    """Strings after a sensitive word that no base span touches, hold digits and at least a quarter letters, and are novel."""
     out, end = [], -1
     if not hints(text):
         return out
@@ -86,7 +90,7 @@ def novel_spans(text: str, taken: Sequence[tuple[str, int, int]], least: float =
                 b = CANDIDATE.match(text, a).end()
             value = text[a:b]
             kinds = sum(any(map(test, value)) for test in (str.islower, str.isupper, str.isdigit))
-            if a < end or kinds < 2 or not any(c.isdigit() for c in value) or any(x < b and a < y for _, x, y in taken):
+            if a < end or kinds < 2 or not any(c.isdigit() for c in value) or 4 * sum(map(str.isalpha, value)) < len(value) or any(x < b and a < y for _, x, y in taken):
                 continue
             if marginal(value, text[max(0, a - CONTEXT) : a], text[b : b + CONTEXT]) >= least:
                 out.append(("novel", a, b))
