@@ -10,7 +10,7 @@ from ..functions import scalar as S
 from ..operators import timeseries as ts
 from ..session import ensure_checkpoint_dir
 from ..sources import series as src
-from . import inputs as I
+from . import inputs as I, walks as WK
 from .registry import query
 
 R = S.rounded
@@ -159,15 +159,22 @@ def _(spark, sf):
     return d.select("series_id", "date", R("value").alias("value"), R("delta").alias("delta"), "year", "month", "day", "method", R("event_value").alias("event_value"), R("threshold").alias("threshold"))
 
 
-@query("seq_04_highpass")
+HIGHPASS = BASE.replace("WITH ", "WITH RECURSIVE ", 1) + ", " + WK.highpass_walk(18.0, 12)
+
+
+@query("seq_04_highpass", HIGHPASS + " SELECT series_id, date, round(delta_highpass, 6) + 0.0 AS delta_highpass FROM hp")
 def _(spark, sf):
     base = ts.prepared(_daily(spark, sf), SETTINGS)
     return ts.highpass(base).select("series_id", "date", R("delta_highpass").alias("delta_highpass"))
 
 
-@query("seq_05_detect_both")
+@query("seq_05_detect_both", DETECT.replace("WITH ", "WITH RECURSIVE ", 1) + ", " + WK.highpass_walk(18.0, 12) + """, hc AS (SELECT series_id, quantile_cont(delta_highpass, 0.1) AS threshold FROM hp GROUP BY 1),
+both_ AS (SELECT series_id, date, value, delta, 'mean_removed' AS method, delta_mean_removed AS event_value, threshold FROM hit UNION ALL SELECT b.series_id, b.date, b.value, b.delta, 'butterworth', delta_highpass, threshold FROM base b JOIN hp ON hp.series_id = b.series_id AND hp.date = b.date JOIN hc ON hc.series_id = b.series_id WHERE candidate AND delta_highpass <= threshold),
+nb AS (SELECT *, lead(date) OVER (PARTITION BY series_id ORDER BY date, method) AS nd2 FROM both_)
+SELECT series_id, date, method, round(value, 6) + 0.0 AS value, round(delta, 6) + 0.0 AS delta, CAST(year(date) AS INTEGER) AS year, CAST(month(date) AS INTEGER) AS month, CAST(day(date) AS INTEGER) AS day, round(event_value, 6) + 0.0 AS event_value, round(threshold, 6) + 0.0 AS threshold FROM nb WHERE nd2 IS NULL OR nd2 - date > 1""")
 def _(spark, sf):
-    return ts.detect(_daily(spark, sf), SETTINGS, "both")
+    d = ts.detect(_daily(spark, sf), SETTINGS, "both")
+    return d.select("series_id", "date", "method", *[R(c).alias(c) for c in ("value", "delta")], "year", "month", "day", *[R(c).alias(c) for c in ("event_value", "threshold")])
 
 
 @query("set_01_union_of_branches", BASE + ANOM + """, cut AS (SELECT series_id, quantile_cont(delta_mean_removed, 0.1) FILTER (candidate) AS t1, quantile_cont(delta, 0.1) AS t2 FROM mr GROUP BY 1),

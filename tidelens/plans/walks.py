@@ -79,3 +79,33 @@ kw AS (SELECT rn_, rn_ AS track, NULL::DOUBLE AS dist, [{{'id': rn_, 'd': date,
   FROM (SELECT *, list_min(ds) AS best, coalesce(list_min(ds) <= {reach}, false) AS hit, list_position(ds, list_min(ds)) AS n_ FROM (SELECT p.*, list_transform(alive, lambda l: CASE WHEN l.d = p.date - 1 THEN {d} ELSE 1e9::DOUBLE END) AS ds FROM (SELECT p.*, list_filter(w.live, lambda l: p.date - l.d <= 1) AS alive FROM kw w JOIN ks p ON p.rn_ = w.rn_ + 1) p))),
 tl AS (SELECT track, count(DISTINCT date) AS n FROM kw JOIN ks USING (rn_) GROUP BY 1), ti AS (SELECT track, n, row_number() OVER (ORDER BY track) AS track_id FROM tl WHERE n >= 2),
 tracked AS (SELECT ks.* EXCLUDE (rn_), kw.dist AS link_distance_km, ti.n AS track_length_days, ti.track_id, row_number() OVER (PARTITION BY ti.track ORDER BY ks.date) AS track_day_index FROM kw JOIN ks USING (rn_) JOIN ti USING (track))"""
+
+
+def highpass_walk(cutoff_days: float, order: int) -> str:
+    """CTEs that turn ``base`` (series_id, date, delta) into hp (series_id, date, delta_highpass): forward and backward pass with odd padding."""
+    import numpy as np
+
+    from ..operators.timeseries import highpass_coefficients
+
+    b, a = highpass_coefficients(cutoff_days, order)
+    companion = np.eye(order, k=1)
+    companion[:, 0] = -a[1:]
+    rest = np.linalg.solve(np.eye(order) - companion, b[1:] - a[1:] * b[0])
+    numbers = lambda v: "[" + ", ".join(f"CAST('{float(x)!r}' AS DOUBLE)" for x in v) + "]"
+    pad, n = 3 * (order + 1), order
+    step = f"list_transform(range(1, {n + 1}), lambda i: CASE WHEN i < {n} THEN z[i + 1] + B[i + 1] * v - A[i + 1] * y ELSE B[{n + 1}] * v - A[{n + 1}] * y END)"
+
+    def walk(name: str, source: str) -> str:
+        return f"""{name} AS (SELECT series_id, 0::BIGINT AS q, NULL::DOUBLE AS y, list_transform(R, lambda r: r * w[1]) AS z FROM {source}, co
+ UNION ALL SELECT series_id, q, y, {step} FROM (SELECT *, B[1] * v + z[1] AS y FROM (SELECT {name}.series_id, {name}.q + 1 AS q, z, w[{name}.q + 1] AS v, A, B FROM {name} JOIN {source} USING (series_id), co WHERE {name}.q < len(w))))"""
+
+    return f"""co AS (SELECT {numbers(a)} AS A, {numbers(b)} AS B, {numbers(rest)} AS R),
+h0 AS (SELECT series_id, date, delta, row_number() OVER (PARTITION BY series_id ORDER BY date) AS p FROM base),
+h1 AS (SELECT *, last_value(CASE WHEN delta IS NOT NULL THEN p END IGNORE NULLS) OVER u AS pa, last_value(delta IGNORE NULLS) OVER u AS va, first_value(CASE WHEN delta IS NOT NULL THEN p END IGNORE NULLS) OVER d AS pb, first_value(delta IGNORE NULLS) OVER d AS vb FROM h0
+ WINDOW u AS (PARTITION BY series_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), d AS (PARTITION BY series_id ORDER BY p ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+hx AS (SELECT series_id, list(CASE WHEN delta IS NOT NULL THEN delta WHEN pa IS NULL THEN vb WHEN pb IS NULL THEN va ELSE (vb - va) / (pb - pa) * (p - pa) + va END ORDER BY p) AS x FROM h1 GROUP BY 1),
+hw AS (SELECT series_id, len(x) AS n, list_concat(list_concat(list_transform(range(1, {pad + 1}), lambda q: 2 * x[1] - x[{pad + 2} - q]), x), list_transform(range(1, {pad + 1}), lambda q: 2 * x[len(x)] - x[len(x) - q])) AS w FROM hx),
+{walk("wf", "hw")},
+hb AS (SELECT series_id, list(y ORDER BY q DESC) AS w FROM wf WHERE q > 0 GROUP BY 1),
+{walk("wb", "hb")},
+hp AS (SELECT h0.series_id, h0.date, wb.y AS delta_highpass FROM h0 JOIN hw USING (series_id) JOIN wb ON wb.series_id = h0.series_id AND wb.q = hw.n + 2 * {pad} + 1 - (h0.p + {pad}))"""
