@@ -12,7 +12,7 @@ from tidelens.plans import inputs as I
 
 def test_significant_text_matches_printf(spark):
     r = random.Random(4)
-    values = [0.0, -0.1, 0.25, 2.0, 1e-8, -3.5e-5, 1e-4, 123456789012.0, 1234567890123.0, 999999999999.9, 0.1 + 0.2, 1 / 3, -2e300, 1e-300]
+    values = [0.0, -0.1, 0.25, 2.0, 1e-8, -3.5e-5, 1e-4, 123456789012.0, 1234567890123.0, 999999999999.9, 0.1 + 0.2, 1 / 3, -2e300, 1e-300, 999999.5, 9.9999999999996, 0.5 + 2.0**-13, 4349.3051910400390625, *[k / 1024 + 0.0009765625 / 2 for k in range(900, 960)]]
     values += [r.uniform(-1, 1) * 10.0 ** r.randint(-12, 14) for _ in range(300)]
     rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", S.significant_text("v", 12).alias("a"), S.significant_text("v", 6).alias("b")).collect()
     for row in rows:

@@ -135,10 +135,13 @@ def day_number(date: str | Column) -> Column:
 
 def significant_text(c: str | Column, digits: int = 12) -> Column:
     """Text of a number rounded to ``digits`` significant digits, without trailing zeros; an exponent below 1e-4 and from
-    10 ** digits on (-0.1, 2, 1.5e-08, 3e+12)."""
+    10 ** digits on (-0.1, 2, 1.5e-08, 3e+12).  Ties go to the even digit."""
     value = col(c).cast("double")
-    parts = F.split(F.format_string(f"%.{digits - 1}e", value), "e")
-    mantissa, power = F.get(parts, F.lit(0)), F.get(parts, F.lit(1)).cast("int")
+    parts = F.split(F.format_string("%.17e", value), "e")
+    exact = F.bround(F.get(parts, F.lit(0)).try_cast("decimal(20,17)"), digits - 1)
+    carried = F.abs(exact) >= 10
+    mantissa = F.when(carried, F.signum(exact).cast("int").cast("string")).otherwise(exact.cast("string"))
+    power = F.get(parts, F.lit(1)).try_cast("int") + F.when(carried, 1).otherwise(0)
     trim = lambda t: F.regexp_replace(F.regexp_replace(t, "(\\.[0-9]*?)0+$", "$1"), "\\.$", "")
     plain = trim(F.concat_ws("e", mantissa, power.cast("string")).try_cast("decimal(38,20)").cast("string"))
     scientific = F.concat(trim(mantissa), F.lit("e"), F.when(power < 0, "-").otherwise("+"), F.format_string("%02d", F.abs(power)))

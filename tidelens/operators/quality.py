@@ -123,16 +123,23 @@ def axis_order(grid: DataFrame, index: str, coord: str) -> DataFrame:
         "strict", (F.col("uneven") == 0) & (F.col("flat") == 0) & ((F.col("up") == 0) | (F.col("down") == 0)))
 
 
+def row_number_of(df: DataFrame, columns: Sequence[str]) -> Column:
+    """60-bit number of a row from the md5 of its values as text, which any engine can recompute; missing values are ``~``."""
+    kinds = {f.name: f.dataType.typeName() for f in df.schema.fields}
+    text = [F.coalesce(S.significant_text(c, 12) if kinds[c] in ("double", "float") else F.col(c).cast("string"), F.lit("~")) for c in columns]
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *text)), 1, 15), 16, 10).cast("bigint")
+
+
 def fingerprint(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """QA-09 / QA-11: order-free fingerprint of a table."""
     cols = list(columns or df.columns)
-    h = F.xxhash64(*cols)
+    h = row_number_of(df, cols)
     return df.agg(F.count(F.lit(1)).alias("n_rows"), F.bit_xor(h).alias("row_xor"), F.sum(h.cast("decimal(38,0)")).alias("row_sum"))
 
 
 def group_fingerprint(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """QA-15: fingerprint per group, for comparison with a stored table."""
-    h = F.xxhash64(*columns)
+    h = row_number_of(df, columns)
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"), F.bit_xor(h).alias("row_xor"), F.sum(h.cast("decimal(38,0)")).alias("row_sum"))
 
 

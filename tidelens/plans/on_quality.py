@@ -20,24 +20,34 @@ def aligned(spark, sf):
     return B.aligned_members(days, I.members(spark, sf), "cdr").withColumnRenamed("window_date", "event_date")
 
 
-@query("qa_01_no_lookahead", I.with_ctes("panf", "member") + """, m AS (SELECT pan_event_id, event_date, unique_local_event_id, m.date FROM panf JOIN member m ON m.start_date <= event_date AND m.date BETWEEN event_date - 5 AND event_date)
-SELECT pan_event_id, CAST(max(date - event_date) AS INTEGER) AS max_days_after, count(*) FILTER (date > event_date) AS future_rows, count(DISTINCT unique_local_event_id) AS shared, 0 AS only_a, 0 AS only_b, 'PASS' AS status FROM m GROUP BY 1""")
-def _(spark, sf):
-    m = aligned(spark, sf)
-    audit = Q.no_lookahead(m, m.select("event_date", "unique_local_event_id").distinct(), key="event_date")
+@query("qa_01_no_lookahead", I.with_ctes("panf", "member") + """, m0 AS (SELECT pan_event_id, event_date, unique_local_event_id AS u, m.date FROM panf JOIN member m ON m.start_date <= event_date AND m.date BETWEEN event_date - 5 AND event_date),
+m AS (SELECT *, CASE WHEN day(event_date) % 5 = 0 AND u LIKE 'L1%' THEN event_date + 1 ELSE date END AS d FROM m0)
+SELECT pan_event_id, CAST(max(d - event_date) AS INTEGER) AS max_days_after, count(*) FILTER (d > event_date) AS future_rows, count(DISTINCT u) FILTER (NOT (day(event_date) % 7 = 0 AND u LIKE 'L2%')) AS shared, count(DISTINCT u) FILTER (day(event_date) % 7 = 0 AND u LIKE 'L2%') AS only_a,
+ CASE WHEN any_value(day(event_date)) % 11 = 0 THEN 1 ELSE 0 END AS only_b, CASE WHEN count(*) FILTER (d > event_date) = 0 AND count(*) FILTER (day(event_date) % 7 = 0 AND u LIKE 'L2%') = 0 AND any_value(day(event_date)) % 11 <> 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM m GROUP BY 1""")
+def _(spark, sf):
+    m, day, uid = aligned(spark, sf), F.dayofmonth("event_date"), F.col("unique_local_event_id")
+    # defects: members dated after the event, ids missing from the relation, an id only there
+    late = m.withColumn("date", F.when((day % 5 == 0) & uid.startswith("L1"), F.date_add("event_date", 1)).otherwise(F.col("date")))
+    known = m.select("event_date", "unique_local_event_id").distinct()
+    relation = known.filter(~((day % 7 == 0) & uid.startswith("L2"))).unionByName(known.filter(day % 11 == 0).select("event_date", F.lit("none").alias("unique_local_event_id")).distinct())
+    audit = Q.no_lookahead(late, relation, key="event_date")
     return I.pan_frames(spark, sf).join(audit, "event_date").drop("event_date")
 
 
-@query("qa_02_budget_gate", BASE2 + " SELECT DISTINCT event_date AS date, false AS negative_amount, true AS closes, true AS fractions_close FROM panf")
+@query("qa_02_budget_gate", BASE2 + " SELECT DISTINCT event_date AS date, day(event_date) % 7 = 0 AS negative_amount, day(event_date) % 3 <> 0 AS closes, NOT (day(event_date) % 5 = 0 AND day(event_date) % 7 <> 0) AS fractions_close FROM panf")
 def _(spark, sf):
-    a = F.col("area_km2")
+    a, day = F.col("area_km2"), F.dayofmonth("date")
     b = B.class_budget(cells(spark, sf), classes(spark, sf, "cdr"), F.col("loss") * a, F.col("gain") * a)
-    return Q.budget_gate(b, [f"loss_fraction_{n}" for n in fixed.CLASS_NAMES.values()], "gross_loss")
+    fractions = [f"loss_fraction_{n}" for n in fixed.CLASS_NAMES.values()]
+    # defects: a negative total, an open sum, fractions that add to more than one
+    b = b.withColumn(fractions[0], F.col(fractions[0]) + F.when(day % 5 == 0, 0.01).otherwise(0.0)).withColumn("closure_status", F.when(day % 3 == 0, "FAIL").otherwise(F.col("closure_status")))
+    return Q.budget_gate(b.withColumn("gross_loss", F.when(day % 7 == 0, -1.0).otherwise(F.col("gross_loss"))), fractions, "gross_loss")
 
 
-@query("qa_03_component_reconciliation", I.with_ctes("patch", "pcell") + " SELECT object_id, '' AS mismatch_fields, 'PASS' AS status FROM patch")
+@query("qa_03_component_reconciliation", I.with_ctes("patch", "pcell") + ", n AS (SELECT object_id, count(*) AS n FROM pcell GROUP BY 1) SELECT object_id, CASE WHEN n <> object_area_cells + CASE WHEN k % 13 = 0 THEN 1 ELSE 0 END THEN 'object_area_cells' ELSE '' END AS mismatch_fields, CASE WHEN n <> object_area_cells + CASE WHEN k % 13 = 0 THEN 1 ELSE 0 END THEN 'FAIL' ELSE 'PASS' END AS status FROM patch JOIN n USING (object_id)")
 def _(spark, sf):
-    table = I.patches(spark, sf).select("object_id", "object_area_cells")
+    # defect: every thirteenth patch reports one cell too many
+    table = I.patches(spark, sf).select("object_id", (F.col("object_area_cells") + F.when(F.col("k") % 13 == 0, 1).otherwise(0)).alias("object_area_cells"))
     return Q.sums_match(I.patch_cells(spark, sf), table, ["object_id"], {"object_area_cells": F.count(F.lit(1)).cast("double")})
 
 
@@ -78,15 +88,25 @@ def _(spark, sf):
     return Q.sparse_store(I.patch_cells(spark, sf), 25, nx)
 
 
-@query("qa_08_grid_signature", I.with_ctes("coded", "field", "grid") + " SELECT count(*) AS n_dates, 1 AS n_signatures, min(c) AS n_cells FROM (SELECT date, count(*) AS c FROM coded GROUP BY 1)")
+@query("qa_08_grid_signature", I.with_ctes("coded", "field", "grid") + """, c AS (SELECT date, y, x FROM coded WHERE NOT (y = 3 AND x = 0 AND day(date) % 6 = 0) AND NOT (y = 4 AND x = 1 AND day(date) % 4 = 0)),
+s AS (SELECT date, count(*) AS n, md5(string_agg(y || ',' || x, ';' ORDER BY y, x)) AS h FROM c GROUP BY 1) SELECT count(*) AS n_dates, count(DISTINCT h) AS n_signatures, min(n) AS n_cells FROM s""")
 def _(spark, sf):
-    s = Q.grid_signature(I.coded(spark, sf))
+    day = F.dayofmonth("date")
+    # defect: cells missing on some days
+    holes = ((F.col("y") == 3) & (F.col("x") == 0) & (day % 6 == 0)) | ((F.col("y") == 4) & (F.col("x") == 1) & (day % 4 == 0))
+    s = Q.grid_signature(I.coded(spark, sf).filter(~holes))
     return s.agg(F.count(F.lit(1)).alias("n_dates"), F.count_distinct("n_cells", "grid_xor", "grid_sum").alias("n_signatures"), F.min("n_cells").alias("n_cells"))
 
 
-@query("qa_08_axis_order", I.with_ctes("grid") + " SELECT 'x_m' AS axis, 0 AS uneven, max(x) AS up, 0 AS down, 0 AS flat, true AS strict FROM grid UNION ALL SELECT 'y_m', 0, 0, 24, 0, true")
+AXIS = """{c}a AS (SELECT {i} AS i, min({c}) AS lo, max({c}) AS hi FROM bad GROUP BY 1), {c}s AS (SELECT *, lo - lag(lo) OVER (ORDER BY i) AS s FROM {c}a),
+{c}o AS (SELECT '{c}' AS axis, count(*) FILTER (lo <> hi) AS uneven, count(*) FILTER (s > 0) AS up, count(*) FILTER (s < 0) AS down, count(*) FILTER (s = 0) AS flat, count(*) FILTER (lo <> hi) = 0 AND count(*) FILTER (s = 0) = 0 AND (count(*) FILTER (s > 0) = 0 OR count(*) FILTER (s < 0) = 0) AS strict FROM {c}s)"""
+
+
+@query("qa_08_axis_order", I.with_ctes("grid") + ", bad AS (SELECT y, x, y_m, CASE WHEN x = 5 THEN x_m - 25000 WHEN x = 9 AND y = 2 THEN x_m + 1 ELSE x_m END AS x_m FROM grid), " + AXIS.format(c="x_m", i="x") + ", " + AXIS.format(c="y_m", i="y") + " SELECT * FROM x_mo UNION ALL SELECT * FROM y_mo")
 def _(spark, sf):
-    g = I.grid(spark, sf)
+    # defects on one axis: two indices with one coordinate, an index with two
+    x = F.col("x")
+    g = I.grid(spark, sf).withColumn("x_m", F.when(x == 5, F.col("x_m") - 25000).when((x == 9) & (F.col("y") == 2), F.col("x_m") + 1).otherwise(F.col("x_m")))
     return Q.axis_order(g, "x", "x_m").unionByName(Q.axis_order(g, "y", "y_m"))
 
 
@@ -96,16 +116,22 @@ def _(spark, sf):
     return Q.same_rows(p, p.filter("object_area_cells <> 10"))
 
 
-@query("qa_11_fingerprint")
+EVENT_COLUMNS = ["unique_local_event_id", "dominant_region", "event_start", "event_end", "duration_days", "max_area_cells", "max_area_km2", "max_intensity", "cumulative_loss", "track_centroid_lon", "track_centroid_lat", "overlap_with_series_event"]
+ROW = lambda cols, reals=(): "CAST('0x' || substr(md5(concat_ws('|', " + ", ".join(f"coalesce(printf('%.12g', {c}), '~')" if c in reals else f"coalesce(CAST({c} AS VARCHAR), '~')" for c in cols) + ")), 1, 15) AS BIGINT)"
+
+
+@query("qa_11_fingerprint", I.with_ctes("ev") + f", h AS (SELECT {ROW(EVENT_COLUMNS, ('max_area_km2', 'max_intensity', 'cumulative_loss', 'track_centroid_lon', 'track_centroid_lat'))} AS h FROM ev) SELECT count(*) AS n_rows, bit_xor(h) AS row_xor, CAST(sum(h) AS VARCHAR) AS row_sum FROM h")
 def _(spark, sf):
-    return Q.fingerprint(I.events(spark, sf))
+    return Q.fingerprint(I.events(spark, sf), EVENT_COLUMNS).withColumn("row_sum", F.col("row_sum").cast("string"))
 
 
-@query("qa_12_catalogue_counts", I.with_ctes("member") + """, e AS (SELECT DISTINCT unique_local_event_id, level FROM member) SELECT 'severe_in_broad' AS gate, 0 AS only_left, count(*) FILTER (level >= 2) AS shared FROM e UNION ALL SELECT 'major_in_severe', 0, count(*) FILTER (level >= 3) FROM e""")
+@query("qa_12_catalogue_counts", I.with_ctes("member") + """, e AS (SELECT DISTINCT unique_local_event_id AS u, level FROM member) SELECT 'severe_in_broad' AS gate, count(*) FILTER (level >= 2 AND u LIKE 'L4%') AS only_left, count(*) FILTER (level >= 2 AND u NOT LIKE 'L4%') AS shared FROM e
+ UNION ALL SELECT 'major_in_severe', count(*) FILTER (level >= 3 AND u LIKE 'L5%'), count(*) FILTER (level >= 3 AND u NOT LIKE 'L5%') FROM e""")
 def _(spark, sf):
-    m = I.members(spark, sf)
+    m, uid = I.members(spark, sf), F.col("unique_local_event_id")
     ids = lambda k: m.filter(F.col("level") >= k).select("unique_local_event_id")
-    return Q.subset_gate(ids(2), ids(1), "severe_in_broad").unionByName(Q.subset_gate(ids(3), ids(2), "major_in_severe"))
+    # defects: events that the wider catalogue lacks
+    return Q.subset_gate(ids(2), ids(1).filter(~uid.startswith("L4")), "severe_in_broad").unionByName(Q.subset_gate(ids(3), ids(2).filter(~uid.startswith("L5")), "major_in_severe"))
 
 
 @query("qa_13_grid_alignment", I.with_ctes("grid") + " SELECT 0 AS unmatched_cells, 500.0::DOUBLE AS max_shift_m, min(area_km2) AS min_area, max(area_km2) AS max_area, true AS alignment_pass FROM grid")
@@ -115,6 +141,13 @@ def _(spark, sf):
     return Q.grid_alignment(g, moved, 25000.0).select("unmatched_cells", "max_shift_m", "min_area", "max_area", "alignment_pass")
 
 
+@query("qa_13_grid_misalignment", I.with_ctes("grid") + ", b AS (SELECT y, x, x_m + CASE WHEN y = 3 THEN 1500 ELSE 0 END AS xm FROM grid WHERE NOT (y = 7 AND x < 9)) SELECT count(*) FILTER (b.y IS NULL) AS unmatched_cells, max(abs(xm - x_m)) AS max_shift_m, min(area_km2) AS min_area, max(area_km2) AS max_area, count(*) FILTER (b.y IS NULL) = 0 AND max(abs(xm - x_m)) < 1000 AS alignment_pass FROM grid LEFT JOIN b USING (y, x)".replace("b.y IS NULL", "xm IS NULL"))
+def _(spark, sf):
+    g = I.grid(spark, sf)
+    moved = g.filter("NOT (y = 7 AND x < 9)").withColumn("x_m", F.col("x_m") + F.when(F.col("y") == 3, 1500.0).otherwise(0.0))
+    return Q.grid_alignment(g, moved, 25000.0).select("unmatched_cells", "max_shift_m", "min_area", "max_area", "alignment_pass")
+
+
 @query("qa_14_geolocation_delta")
 def _(spark, sf):
     a = G.stereographic_inverse("x_m", "y_m")
@@ -123,9 +156,9 @@ def _(spark, sf):
     return q.select("n_values", *[R(c, 3).alias(c) for c in ("median_m", "p99_m", "max_m")])
 
 
-@query("qa_15_group_fingerprint")
+@query("qa_15_group_fingerprint", BASE2 + CDR + f", h AS (SELECT date, {ROW(['y', 'x', 'class'])} AS h FROM kc) SELECT date, count(*) AS n_rows, bit_xor(h) AS row_xor, CAST(sum(h) AS VARCHAR) AS row_sum FROM h GROUP BY 1")
 def _(spark, sf):
-    return Q.group_fingerprint(classes(spark, sf, "cdr"), ["date"], ["y", "x", "class"])
+    return Q.group_fingerprint(classes(spark, sf, "cdr"), ["date"], ["y", "x", "class"]).withColumn("row_sum", F.col("row_sum").cast("string"))
 
 
 @query("win_13_contiguous_offsets", I.with_ctes("patch") + """, o AS (SELECT region, object_id, object_area_cells AS n, coalesce(sum(object_area_cells) OVER (PARTITION BY region ORDER BY object_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + CASE WHEN k % 50 = 7 THEN 1 ELSE 0 END AS start_offset, k FROM patch) SELECT region, object_id, k % 50 <> 7 AS contiguous FROM o""")
