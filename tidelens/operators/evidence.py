@@ -213,6 +213,7 @@ def number_text(c: str) -> Column:
 
 def region_summary(rows: DataFrame, specificity: DataFrame) -> DataFrame:
     """EVI-02: one row per (region, variable): primary text, lag-group text, specificity, confirmation and the status ladder."""
+    rows = rows.filter(F.col("diagnostic_family").isin("location_buffer", "lead_lag", "wrong_region_control", "year_block_robustness"))
     sup = F.col("supported_or_significant")
     fam = lambda f: F.col("diagnostic_family") == f
     item = F.struct("buffer_km", F.concat(F.col("buffer_km").cast("string"), F.lit("km:effect="), number_text("effect"), F.lit(",CI=["), number_text("ci_low"), F.lit(","), number_text("ci_high"), F.lit("],p_FDR="), number_text("p_fdr")).alias("t"))

@@ -265,9 +265,18 @@ def _(spark, sf):
     return s.select("region", "variable", "primary_supported", "manuscript_status")
 
 
-@query("evi_02_region_summary_text")
+TEXT = lambda c: f"coalesce(printf('%.12g', {c} + 0.0), 'NA')"
+SUMMARY = FAMILIES + f""", t1 AS (SELECT region, variable, string_agg(buffer_km || 'km:effect=' || {TEXT('m')} || ',CI=[' || {TEXT('ci_low')} || ',' || {TEXT('ci_high')} || '],p_FDR=' || {TEXT('round(p_fdr, 9)')}, ';' ORDER BY buffer_km) AS primary_effect_ci_p_fdr, bool_or(coalesce({SUPP}, false)) AS primary_supported FROM loc GROUP BY 1, 2),
+t2 AS (SELECT region, variable, max(t) FILTER (lag_group = 'pre-event') AS pre_event_support, max(t) FILTER (lag_group = 'event-time') AS event_time_support, max(t) FILTER (lag_group = 'post-event') AS post_event_support, bool_or(significant) AS tmp FROM (SELECT *, 'significant=' || significant || ';effect=' || {TEXT('m')} AS t FROM lc) GROUP BY 1, 2),
+t3 AS (SELECT region, variable, string_agg(buffer_km || 'km:confirmed=' || (lo * hi > 0), ';' ORDER BY buffer_km) AS year_block_confirmation, bool_or(lo * hi > 0) AS yr FROM yc GROUP BY 1, 2),
+t4 AS (SELECT region, variable, string_agg(buffer_km || 'km:' || p || '/4;all=' || (p = 4), ';' ORDER BY buffer_km) AS wrong_region_specificity, bool_or(p = 4) AS spx FROM (SELECT region, buffer_km, variable, count(*) FILTER (control_passed) AS p FROM st GROUP BY 1, 2, 3) GROUP BY 1, 2)"""
+
+
+@query("evi_02_region_summary_text", SUMMARY + """ SELECT region, variable, primary_effect_ci_p_fdr, primary_supported, pre_event_support, event_time_support, post_event_support, year_block_confirmation, wrong_region_specificity,
+ CASE WHEN primary_supported AND tmp AND spx AND yr THEN 'SUPPORTED_WITH_ROBUSTNESS' WHEN primary_supported THEN 'SUPPORTED_PRIMARY_ONLY' ELSE 'NOT_SUPPORTED' END AS manuscript_status FROM t1 JOIN t2 USING (region, variable) JOIN t3 USING (region, variable) JOIN t4 USING (region, variable)""")
 def _(spark, sf):
-    return E.region_summary(families(spark, sf), E.specificity_summary(spec(spark, sf)))
+    # the SQL side knows small p values to nine decimals only
+    return E.region_summary(families(spark, sf).withColumn("p_fdr", R("p_fdr", 9)), E.specificity_summary(spec(spark, sf)))
 
 
 @query("evi_03_completeness", FAMILIES + """, kept AS (SELECT * FROM fam WHERE NOT (diagnostic_family = 'wrong_region_control' AND region = 'R2' AND buffer_km = (SELECT max(buffer_km) FROM loc))), p AS (SELECT region, variable, count(*) FILTER (diagnostic_family = 'location_buffer') AS location_buffer, count(*) FILTER (diagnostic_family = 'lead_lag') AS lead_lag, count(*) FILTER (diagnostic_family = 'wrong_region_control') AS wrong_region_control,
