@@ -365,12 +365,12 @@ def _(spark, sf):
     return B.ecdf(I.diffs(spark, sf), ["metric"], "difference").withColumn("cume_dist", R("cume_dist", 9))
 
 
-@query("joi_28_series_back_to_events", I.with_ctes("pan", "daily") + """, d AS (SELECT date, value, lead(value) OVER (ORDER BY date) - lag(value, 2) OVER (ORDER BY date) AS delta FROM daily WHERE series_id = '5-LOW') SELECT event_id, event_date, round(delta, 6) + 0.0 AS delta FROM pan LEFT JOIN d ON date = event_date""")
+@query("joi_28_series_back_to_events", I.with_ctes("pan", "daily") + """, d AS (SELECT series_id, date, value, lead(value) OVER w - lag(value, 2) OVER w AS delta FROM daily WINDOW w AS (PARTITION BY series_id ORDER BY date)) SELECT event_id, event_date, series_id, round(delta, 6) + 0.0 AS delta FROM pan LEFT JOIN d ON date = event_date""")
 def _(spark, sf):
     from pyspark.sql import Window as W
     w = W.partitionBy("series_id").orderBy("date")
-    d = I.daily(spark, sf).filter("series_id = '5-LOW'").withColumn("delta", F.lead("value").over(w) - F.lag("value", 2).over(w))
-    return I.pan(spark, sf).join(d.select(F.col("date").alias("event_date"), "delta"), "event_date", "left").select("event_id", "event_date", R("delta").alias("delta"))
+    d = I.daily(spark, sf).withColumn("delta", F.lead("value").over(w) - F.lag("value", 2).over(w))
+    return I.pan(spark, sf).join(d.select("series_id", F.col("date").alias("event_date"), "delta"), "event_date", "left").select("event_id", "event_date", "series_id", R("delta").alias("delta"))
 
 
 @query("ras_18_floor_catalogue", I.with_ctes("patch", recursive=True) + ", fl AS (SELECT patch.*, s AS scenario FROM patch JOIN (VALUES ('none', -1.0::DOUBLE), ('0.15', 0.15::DOUBLE), ('0.3', 0.3::DOUBLE)) v(s, least_) ON k % 10 / 10.0::DOUBLE >= least_), " + WK.patch_walk("fl", "scenario, region") + " SELECT scenario, region, count(*) AS patches, count(*) FILTER (opener = object_id) AS events FROM linked GROUP BY 1, 2")

@@ -226,14 +226,14 @@ def _(spark, sf):
 def local_windows(spark, sf):
     """local events dated by their last member on the frames, with their own footprint"""
     m = I.members(spark, sf)
-    last = m.groupBy("unique_local_event_id").agg(F.max("date").alias("date"), F.max("event_region_code").alias("region_code")).filter(F.col("date") < "1995-01-29").filter(F.col("date") >= "1995-01-06")
+    last = m.groupBy("unique_local_event_id").agg(F.max("date").alias("date"), F.max("event_region_code").alias("region_code"))
     own = m.join(last.select("unique_local_event_id", F.col("date").alias("_t")), "unique_local_event_id").filter((F.col("date") <= F.col("_t")) & (F.col("date") >= F.date_sub("_t", 5)) & (F.col("start_date") <= F.col("_t")))
     foot = own.select("unique_local_event_id", F.col("_t").alias("date"), "object_id").join(I.patch_cells(spark, sf).select("object_id", "y", "x"), "object_id").select("unique_local_event_id", "date", "y", "x").distinct()
     c = B.change_cells(I.field(spark, sf), I.grid(spark, sf), 5, last.select("date").distinct())
     return B.domain_budgets(last, B.region_window_budget(c), foot, c, last.select("unique_local_event_id", "region_code"), "unique_local_event_id")
 
 
-LW = I.with_ctes("field", "grid", "member", "pcell") + """, la AS (SELECT unique_local_event_id AS id, max(date) AS t, max(event_region_code) AS code FROM member GROUP BY 1 HAVING max(date) < DATE '1995-01-29' AND max(date) >= DATE '1995-01-06'),
+LW = I.with_ctes("field", "grid", "member", "pcell") + """, la AS (SELECT unique_local_event_id AS id, max(date) AS t, max(event_region_code) AS code FROM member GROUP BY 1),
 ft AS (SELECT DISTINCT id, t, p.y, p.x FROM la JOIN member m ON m.unique_local_event_id = la.id AND m.date BETWEEN t - 5 AND t AND m.start_date <= t JOIN pcell p USING (object_id)),
 cc AS (SELECT e.date, e.y, e.x, s.value AS start_value, greatest(s.value - e.value, 0) AS loss, greatest(e.value - s.value, 0) AS gain, area_km2, region_code FROM field e JOIN field s ON s.y = e.y AND s.x = e.x AND s.date = e.date - 5 JOIN grid g ON g.y = e.y AND g.x = e.x WHERE region_code <= 18),
 lm AS (SELECT la.id, sum(CASE WHEN ft.y IS NOT NULL THEN loss * area_km2 ELSE 0 END) AS local_loss, sum(CASE WHEN ft.y IS NOT NULL THEN start_value * area_km2 ELSE 0 END) AS li, sum(CASE WHEN ft.y IS NULL THEN loss * area_km2 ELSE 0 END) AS residual_loss, sum(CASE WHEN ft.y IS NULL THEN start_value * area_km2 ELSE 0 END) AS ri, sum(CASE WHEN region_code BETWEEN 1 AND 18 AND region_code <> code THEN loss * area_km2 ELSE 0 END) AS other_region_loss

@@ -251,9 +251,18 @@ def _(spark, sf):
     return T.cluster_events(I.events(spark, sf), RING).select("unique_local_event_id", "cluster_id", R("running_lon").alias("running_lon"), R("running_lat").alias("running_lat"))
 
 
-@query("agg_08_cluster_roll_up")
-def _(spark, sf):
-    return T.cluster_roll_up(T.cluster_events(I.events(spark, sf), RING), ORDER)
+@query("agg_08_cluster_roll_up", CLUSTERED + """, p AS (SELECT cl.cluster_id, cl.running_lon, cl.running_lat, ev.*, row_number() OVER (PARTITION BY cluster_id ORDER BY ev.cumulative_loss DESC, ev.event_start, ev.dominant_region, unique_local_event_id) AS rl,
+ row_number() OVER (PARTITION BY cluster_id ORDER BY ev.max_intensity DESC, ev.event_start, ev.dominant_region, unique_local_event_id) AS ri, row_number() OVER (PARTITION BY cluster_id ORDER BY ev.event_start, ev.dominant_region, unique_local_event_id) AS rf, row_number() OVER (PARTITION BY cluster_id ORDER BY ev.event_start DESC, ev.dominant_region DESC, unique_local_event_id DESC) AS rz FROM cl JOIN ev USING (unique_local_event_id)),
+g AS (SELECT cluster_id, dominant_region AS r, sum(cumulative_loss) AS w FROM p GROUP BY 1, 2), m AS (SELECT cluster_id, max(w) AS mx, sum(w) AS t FROM g GROUP BY 1),
+td AS (SELECT g.cluster_id, g.r, mx, t, q.dominant_region AS rep FROM g JOIN m USING (cluster_id) JOIN p q ON q.cluster_id = g.cluster_id AND q.rl = 1 WHERE abs(w - mx) <= 1e-12 * greatest(1, mx) + 1e-12 * mx),
+dr AS (SELECT cluster_id, CASE WHEN bool_or(r = rep) THEN any_value(rep) ELSE min(r) END AS dominant_region, CAST(count(*) AS INTEGER) AS tie_count, CASE WHEN count(*) = 1 THEN 'unique_maximum' WHEN bool_or(r = rep) THEN 'representative_region' ELSE 'physical_regions_order' END AS tie_break, max(mx / t) AS f FROM td GROUP BY 1)
+SELECT cluster_id, any_value(dr.dominant_region) AS dominant_region, max(p.dominant_region) FILTER (rf = 1) AS legacy_first_member_region, round(any_value(f), 6) + 0.0 AS loss_dominant_region_fraction, any_value(tie_count) AS tie_count, any_value(tie_break) AS tie_break, min(event_start) AS start_date, max(event_end) AS end_date, max(event_end) - min(event_start) + 1 AS duration_days,
+ count(*) AS member_event_count, round(sum(cumulative_loss), 6) + 0.0 AS total_cumulative_loss, max(max_area_km2) AS max_area, max(max_intensity) AS max_intensity, max(event_start) FILTER (rl = 1) AS peak_loss_date, max(event_start) FILTER (ri = 1) AS peak_intensity_date, max(event_start) FILTER (rl = 1) AS representative_date, max(unique_local_event_id) FILTER (rl = 1) AS representative_event_id,
+ max(p.dominant_region) FILTER (rl = 1) AS representative_region, max(track_centroid_lon) FILTER (rl = 1) AS representative_lon, max(track_centroid_lat) FILTER (rl = 1) AS representative_lat, round(max(running_lon) FILTER (rz = 1), 6) + 0.0 AS centroid_lon, round(max(running_lat) FILTER (rz = 1), 6) + 0.0 AS centroid_lat,
+ bool_or(overlap_with_regional_event_v1) AS matches_regional, bool_or(overlap_with_series_event) AS matches_panarctic FROM p JOIN dr USING (cluster_id) GROUP BY 1""")
+def _(spark, sf):
+    c = T.cluster_roll_up(T.cluster_events(I.events(spark, sf), RING), ORDER)
+    return c.withColumns({n: R(n) for n in ("loss_dominant_region_fraction", "total_cumulative_loss", "centroid_lon", "centroid_lat")})
 
 
 @query("agg_08_member_lists", CLUSTERED + """, nb AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY event_start, dominant_region, unique_local_event_id) AS rn FROM cl) SELECT cluster_id, CAST((rn - 1) // 1000 AS INTEGER) AS part, list(unique_local_event_id ORDER BY rn) AS member_event_ids FROM nb GROUP BY 1, 2""")

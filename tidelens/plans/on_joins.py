@@ -115,23 +115,24 @@ def _(spark, sf):
     return m.select("source", "target", "rule", "numerator", "denominator", R("ratio").alias("ratio"), R("median_km", 4).alias("median_km"), R("p90_km", 4).alias("p90_km"))
 
 
-@query("joi_11_nearest_day", I.with_ctes("pan", "daily") + """, h AS (SELECT DISTINCT date FROM daily WHERE series_id = '5-LOW' AND value > 0.3)
+@query("joi_11_nearest_day", I.with_ctes("pan", "daily") + """, h AS (SELECT date FROM daily GROUP BY 1 HAVING min(value) > 0.3)
 SELECT event_id, event_date, (SELECT date FROM h ORDER BY abs(date - event_date), date LIMIT 1) AS nearest FROM pan""")
 def _(spark, sf):
     p = I.pan(spark, sf)
-    have = I.daily(spark, sf).filter("series_id = '5-LOW' and value > 0.3")
+    have = I.daily(spark, sf).groupBy("date").agg(F.min("value").alias("value")).filter("value > 0.3")
     m = J.nearest_day_map(p, have.withColumnRenamed("date", "event_date"), "event_date")
     return p.join(m, "event_date", "left").select("event_id", "event_date", "nearest")
 
 
 @query("joi_12_nearest_latlon_node", I.with_ctes("ev", "met") + """, n AS (SELECT DISTINCT lat, lon FROM met)
 SELECT unique_local_event_id AS event_id, CAST(least(9, greatest(0, round_even((track_centroid_lat + 0.25 - 50) / 4, 0))) AS INTEGER) AS i, CAST(round_even(((track_centroid_lon + 180) % 360) / 20, 0) AS INTEGER) % 18 AS j, round(m.msl, 4) + 0.0 AS msl
-FROM ev LEFT JOIN met m ON m.date = DATE '1995-01-11' AND m.lat = 50 + 4 * least(9, greatest(0, round_even((track_centroid_lat + 0.25 - 50) / 4, 0))) AND m.lon = -180 + 20 * (CAST(round_even(((track_centroid_lon + 180) % 360) / 20, 0) AS INTEGER) % 18)""")
+FROM ev LEFT JOIN met m ON m.date = DATE '1995-01-01' + CAST(CAST(unique_local_event_id[2:] AS BIGINT) % 28 AS INTEGER) AND m.lat = 50 + 4 * least(9, greatest(0, round_even((track_centroid_lat + 0.25 - 50) / 4, 0))) AND m.lon = -180 + 20 * (CAST(round_even(((track_centroid_lon + 180) % 360) / 20, 0) AS INTEGER) % 18)""")
 def _(spark, sf):
     i, j = J.nearest_latlon_cell("track_centroid_lon", F.col("track_centroid_lat") + 0.25, -180.0, 50.0, 20.0, 4.0, 18, 10)
-    e = I.events(spark, sf).select(F.col("unique_local_event_id").alias("event_id"), i.alias("i"), j.alias("j"))
-    m = I.met(spark, sf).filter(F.col("date") == "1995-01-11").select("i", "j", "msl")
-    return e.join(m, ["i", "j"], "left").select("event_id", "i", "j", R("msl", 4).alias("msl"))
+    day = F.date_add(F.lit("1995-01-01").cast("date"), (F.substring("unique_local_event_id", 2, 20).cast("bigint") % 28).cast("int"))
+    e = I.events(spark, sf).select(F.col("unique_local_event_id").alias("event_id"), i.alias("i"), j.alias("j"), day.alias("date"))
+    m = I.met(spark, sf).select("date", "i", "j", "msl")
+    return e.join(m, ["date", "i", "j"], "left").select("event_id", "i", "j", R("msl", 4).alias("msl"))
 
 
 PTS = """pts AS (SELECT 'PAN' || lpad(CAST(s_suppkey AS VARCHAR), 6, '0') AS point_id, DATE '1995-01-01' + CAST(s_suppkey % 22 + 5 AS INTEGER) AS event_date,

@@ -69,16 +69,16 @@ def _(spark, sf):
     return C.read_footprints(spark, path, ids, [1995]).select("object_id", "y", "x", F.col("delta").cast("double").alias("delta"))
 
 
-@query("src_12_coverage", "WITH need AS (SELECT CAST(d AS DATE) AS date FROM (SELECT unnest(generate_series(TIMESTAMP '1995-01-01', TIMESTAMP '2001-12-31', INTERVAL 1 DAY)) AS d) WHERE month(d) IN (6, 7, 8)), have AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS date FROM orders WHERE o_orderpriority = '1-URGENT') SELECT CAST(year(n.date) AS INTEGER) AS year, count(*) AS required_days, count(h.date) AS present_days, min(CASE WHEN h.date IS NULL THEN n.date END) AS first_missing, CASE WHEN count(*) = count(h.date) THEN 'complete' ELSE 'incomplete' END AS status FROM need n LEFT JOIN have h ON n.date = h.date GROUP BY 1")
+@query("src_12_coverage", "WITH need AS (SELECT CAST(d AS DATE) AS date FROM (SELECT unnest(generate_series(TIMESTAMP '1995-01-01', TIMESTAMP '2001-12-31', INTERVAL 1 DAY)) AS d) WHERE month(d) IN (6, 7, 8)), have AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS date FROM orders) SELECT CAST(year(n.date) AS INTEGER) AS year, count(*) AS required_days, count(h.date) AS present_days, min(CASE WHEN h.date IS NULL THEN n.date END) AS first_missing, CASE WHEN count(*) = count(h.date) THEN 'complete' ELSE 'incomplete' END AS status FROM need n LEFT JOIN have h ON n.date = h.date GROUP BY 1")
 def _(spark, sf):
-    o = I.table(spark, sf, "orders").filter("o_orderpriority = '1-URGENT'").select(F.to_date("o_orderdate").alias("date"))
+    o = I.table(spark, sf, "orders").select(F.to_date("o_orderdate").alias("date"))
     return C.coverage(o, "1995-01-01", "2001-12-31", "jja")
 
 
 @query("src_13_required_inventory", I.with_ctes("pan", "daily") + """, w AS (SELECT event_id, event_date - 2 AS date, 'start' AS role FROM pan UNION ALL SELECT event_id, event_date + 1, 'end' FROM pan)
-SELECT w.date, string_agg(DISTINCT role, ';' ORDER BY role) AS roles, count(DISTINCT event_id) AS n_events, CASE WHEN w.date IN (SELECT date FROM daily WHERE series_id = '5-LOW') THEN 'present' ELSE 'missing' END AS status FROM w GROUP BY w.date""")
+SELECT w.date, string_agg(DISTINCT role, ';' ORDER BY role) AS roles, count(DISTINCT event_id) AS n_events, CASE WHEN w.date IN (SELECT date FROM daily) THEN 'present' ELSE 'missing' END AS status FROM w GROUP BY w.date""")
 def _(spark, sf):
-    return C.required_inventory(I.pan(spark, sf), I.daily(spark, sf).filter("series_id = '5-LOW'"))
+    return C.required_inventory(I.pan(spark, sf), I.daily(spark, sf).select("date").distinct())
 
 
 @query("src_15_schema_audit", """SELECT 'orders' AS input, '' AS missing_columns, count(*) AS n_rows, CASE WHEN count(*) = 0 THEN 'empty' ELSE 'available' END AS status FROM orders UNION ALL
