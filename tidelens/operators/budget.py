@@ -243,11 +243,17 @@ def footprint_sums(prints: DataFrame, cells: DataFrame, grid: DataFrame, keys: S
     return p.groupBy(*keys).agg(*aggs)
 
 
-def footprint_components(prints: DataFrame, components: DataFrame, cells: DataFrame, grid: DataFrame) -> DataFrame:
-    """JOI-22 / AGG-27: intersection of footprints with components: area, IoU, capture fractions, loss-weighted overlap."""
+def footprint_components(prints: DataFrame, components: DataFrame, cells: DataFrame | None, grid: DataFrame) -> DataFrame:
+    """JOI-22 / AGG-27: intersection of footprints with components: area, IoU, capture fractions, loss-weighted overlap.
+
+    Without ``cells`` the components bring ``loss`` and ``area_km2`` of their own.
+    """
     g = grid.select("y", "x", "area_km2")
-    weighed = cells.select("date", "y", "x", (F.col("loss") * F.col("area_km2")).alias("lw"))
-    comp = components.select("date", "component", "y", "x").join(g, ["y", "x"]).join(weighed, ["date", "y", "x"], "left")
+    if cells is None:
+        comp = components.select("date", "component", "y", "x", "area_km2", (F.col("loss") * F.col("area_km2")).alias("lw"))
+    else:
+        weighed = cells.select("date", "y", "x", (F.col("loss") * F.col("area_km2")).alias("lw"))
+        comp = components.select("date", "component", "y", "x").join(g, ["y", "x"]).join(weighed, ["date", "y", "x"], "left")
     ctot = comp.groupBy("date", "component").agg(F.sum("area_km2").alias("comp_area"), F.sum(F.coalesce("lw", F.lit(0.0))).alias("comp_loss"))
     # footprint cells are read once: cells outside every component keep a null component and count for the own area
     p = prints.select("date", "unique_local_event_id", "y", "x").join(g, ["y", "x"]).join(comp.select("date", "y", "x", "component", "lw"), ["date", "y", "x"], "left")

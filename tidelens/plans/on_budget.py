@@ -177,10 +177,9 @@ def _(spark, sf):
 
 
 def comps(spark, sf):
-    """components of the five-day change with loss and centroid"""
-    c = cells(spark, sf)
-    lab = RA.label(c.filter("delta <= -0.3125"), ["date"])
-    return lab.join(c, ["date", "y", "x"]).join(I.grid(spark, sf).select("y", "x", "lon", "lat"), ["y", "x"])
+    """components of the five-day change; loss, area and place ride along through labelling"""
+    c = cells(spark, sf).filter("delta <= -0.3125").join(I.grid(spark, sf).select("y", "x", "lon", "lat"), ["y", "x"])
+    return RA.label(c, ["date"], carry=["delta", "loss", "area_km2", "lon", "lat"])
 
 
 def comp_table(spark, sf):
@@ -238,7 +237,7 @@ def _(spark, sf):
     fp = B.footprints(dates(spark, sf), I.members(spark, sf), I.patch_cells(spark, sf))
     c = comps(spark, sf)
     big = c.groupBy("date", "component").agg(F.count(F.lit(1)).alias("n")).filter("n > 2")
-    out = B.footprint_components(fp, c.join(big, ["date", "component"], "left_semi"), cells(spark, sf), I.grid(spark, sf))
+    out = B.footprint_components(fp, c.join(big, ["date", "component"], "left_semi"), None, I.grid(spark, sf))
     return out.select("date", "unique_local_event_id", "component", "intersection_cells", "intersection_area_km2", *rr(["intersection_loss", "iou", "local_capture", "component_capture", "loss_weighted_overlap"]))
 
 
