@@ -127,10 +127,23 @@ def around(parts: Sequence[Column], reach: int = 1) -> Column:
     return grid
 
 
+def reachable(lon, lat, km: float) -> Column:
+    """Array of the cubes of side ``km`` that a ball of radius ``km`` around a point touches: its own and some of the 26 around it."""
+    p, q = F.radians(S.col(lat)), F.radians(S.col(lon))
+    axes = []
+    for c in (F.cos(p) * F.cos(q), F.cos(p) * F.sin(q), F.sin(p)):
+        u = c * S.EARTH_KM / km
+        at, part = F.floor(u).cast("int"), u - F.floor(u)
+        axes.append(F.array(*[F.struct((at + step).alias("c"), gap.alias("g")) for step, gap in ((-1, part * part), (0, F.lit(0.0)), (1, (1 - part) * (1 - part)))]))
+    box = lambda a, b, c: F.struct(a["c"].alias("cx"), b["c"].alias("cy"), c["c"].alias("cz"), (a["g"] + b["g"] + c["g"]).alias("g"))
+    boxes = F.flatten(F.transform(axes[0], lambda a: F.flatten(F.transform(axes[1], lambda b: F.transform(axes[2], lambda c: box(a, b, c))))))
+    return F.transform(F.filter(boxes, lambda s: s["g"] <= 1 + 1e-9), lambda s: F.struct(s["cx"].alias("cx"), s["cy"].alias("cy"), s["cz"].alias("cz")))
+
+
 def radius_pairs(src: DataFrame, tgt: DataFrame, km: float, src_lonlat=("lon", "lat"), tgt_lonlat=("lon", "lat"),
                  on: Sequence[tuple[str, str]] = (), dist: str = "distance_km") -> DataFrame:
     """JOI-09 core: pairs within ``km`` that also agree on ``on``; column names of the sides must differ."""
-    s = src.withColumn("_cell", F.explode(around(cube(*src_lonlat, km))))
+    s = src.withColumn("_cell", F.explode(reachable(*src_lonlat, km)))
     t = tgt.withColumn("_tcell", cube_key(cube(*tgt_lonlat, km)))
     cond = F.col("_cell") == F.col("_tcell")
     for a, b in on:
@@ -149,9 +162,13 @@ def nearest_within(src: DataFrame, tgt: DataFrame, tolerance: int, km: float, id
     split_days = list(split_days or [tolerance])
     s = src.select(F.col(date).alias("_sd"), F.col(lon).alias("_slon"), F.col(lat).alias("_slat")).distinct()
     t = tgt.select(F.col(date).alias("_td"), F.col(lon).alias("_tlon"), F.col(lat).alias("_tlat")).distinct()
-    probe = s.filter("_slon is not null and _slat is not null").withColumn("_day", near_days("_sd", tolerance))
-    pairs = radius_pairs(probe, t.filter("_tlon is not null and _tlat is not null"), km, ("_slon", "_slat"), ("_tlon", "_tlat"), [("_day", "_td")])
+    # slots of days as wide as the tolerance: a source looks into three at most
+    wide = max(int(tolerance), 1)
+    slot = lambda d: F.floor(d / wide).cast("int")
+    probe = s.filter("_slon is not null and _slat is not null").withColumn("_slot", F.explode(F.sequence(slot(S.day_number("_sd") - tolerance), slot(S.day_number("_sd") + tolerance))))
+    there = t.filter("_tlon is not null and _tlat is not null").withColumn("_tslot", slot(S.day_number("_td")))
     gap = F.abs(F.datediff("_sd", "_td"))
+    pairs = radius_pairs(probe, there, km, ("_slon", "_slat"), ("_tlon", "_tlat"), [("_slot", "_tslot")]).filter(gap <= tolerance)
     near = pairs.groupBy("_sd", "_slon", "_slat").agg(*[F.min(F.when(gap <= k, F.col("distance_km"))).alias(f"nearest_km_{k}d") for k in split_days])
     cond = (F.col(date) == F.col("_sd")) & (F.col(lon) == F.col("_slon")) & (F.col(lat) == F.col("_slat"))
     return src.join(near, cond, "left").drop("_sd", "_slon", "_slat")

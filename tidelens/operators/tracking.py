@@ -198,26 +198,45 @@ def _cluster_rule(adjacent: dict[str, tuple[str, ...]]):
     return fresh
 
 
+def _touching_parts(adjacent: dict[str, tuple[str, ...]]) -> dict[str, str]:
+    """Smallest region name of the part of the adjacency graph that each region lies in."""
+    part = {r: r for pair in ((a, *b) for a, b in adjacent.items()) for r in pair}
+    changed = True
+    while changed:
+        changed = False
+        for a, others in adjacent.items():
+            low = min(part[r] for r in (a, *others))
+            for r in (a, *others):
+                changed |= part[r] != low
+                part[r] = low
+    return part
+
+
 def cluster_events(events: DataFrame, adjacent: dict[str, tuple[str, ...]], settings: Sequence[tuple[int, float]] = ((5, 500.0),)) -> DataFrame:
     """SEQ-02 / SEV-05: events to clusters for every (gap, distance) setting in one pass.
 
     In (date, region, id) order an event joins the nearest cluster whose running
     loss-weighted centroid is within reach, whose last event is at most ``gap`` days old and
     whose first region equals or touches its own; a missing region matches none.  The running centroid is kept as three
-    sums.  Units are runs of days without a longer pause, per setting.
+    sums.  Units are runs of days without a longer pause, per setting and per part of the
+    regions that touch each other directly or through others.
     """
+    part = F.col("dominant_region")
+    named = [F.lit(v) for pair in sorted(_touching_parts(adjacent).items()) for v in pair]
+    if named:
+        part = F.coalesce(F.create_map(*named)[part], part)
     each = F.explode(F.array(*[F.struct(F.lit(int(g)).alias("gap_days"), F.lit(float(d)).alias("distance_km")) for g, d in settings]))
-    e = events.withColumn("event_date", F.col("event_start")).withColumn("_s", each).select("*", "_s.*").drop("_s")
+    e = events.withColumn("event_date", F.col("event_start")).withColumn("_part", F.coalesce(part, F.lit(""))).withColumn("_s", each).select("*", "_s.*").drop("_s")
     cut = None
     for gap in sorted({g for g, _ in settings}):
-        part = time_islands(e.filter(F.col("gap_days") == gap), gap, ["gap_days"], "event_date")
+        part = time_islands(e.filter(F.col("gap_days") == gap), gap, ["gap_days", "_part"], "event_date")
         cut = part if cut is None else cut.unionByName(part)
     order = ["event_date", "dominant_region", "unique_local_event_id"]
-    out = stream_units(cut, ["gap_days", "distance_km", "island"], order, _cluster_rule(adjacent), "opener string, running_lon double, running_lat double")
+    out = stream_units(cut, ["gap_days", "distance_km", "_part", "island"], order, _cluster_rule(adjacent), "opener string, running_lon double, running_lat double")
     opened = out.filter("opener = unique_local_event_id").select("gap_days", "distance_km", *order)
     numbers = ordered.row_numbers(opened, ["gap_days", "distance_km"], order, "_no").select(
         "gap_days", "distance_km", F.col("unique_local_event_id").alias("opener"), S.numbered_id("CL", "_no", 5).alias("cluster_id"))
-    return out.join(numbers, ["gap_days", "distance_km", "opener"]).drop("island")
+    return out.join(numbers, ["gap_days", "distance_km", "opener"]).drop("island", "_part")
 
 
 def cluster_roll_up(members: DataFrame, region_order: Sequence[str], keys: Sequence[str] = ("cluster_id",)) -> DataFrame:
@@ -298,10 +317,11 @@ def link_tracks(centres: DataFrame, km: float = 1000.0, min_days: int = 2) -> Da
     """SEQ-03: link daily centres to tracks; drop short tracks, renumber by opening order, add WIN-08 columns.
 
     Lowest pressure first, a centre takes the nearest unused track that ended the day
-    before.  Units are runs of consecutive days; thinning bounds the centres of a day.
+    before.  A link needs a track end of the day before within reach, so units are parts
+    of the space-time cells that touch; thinning bounds the centres of a day.
     """
     order = ["date", "center_pressure_hpa", "i", "j"]
-    cut = time_islands(centres, 1, [], "date")
+    cut = proximity_units(centres, [], "date", "lon", "lat", 1, km, "island")
     linked = stream_units(cut, ["island"], order, _track_rule(km), "track_key string, link_distance_km double")
     lengths = linked.groupBy("track_key").agg(F.count_distinct("date").alias("track_length_days"), F.min(F.struct(*order)).alias("_open")).filter(F.col("track_length_days") >= min_days)
     ids = ordered.row_numbers(lengths.select("track_key", "track_length_days", "_open"), [], ["_open"], "track_id").drop("n_total", "_open")
