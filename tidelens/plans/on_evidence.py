@@ -53,8 +53,8 @@ LOC = FL + EM + ", " + tests_sql("em", ["region", "buffer_km", "variable"], "loc
 SUPP = "coalesce(n_units >= 3 AND p_fdr < 0.05 AND ci_excludes_zero AND abs(std) >= 0.2, false)"
 
 
-def loc(spark, sf):
-    return E.location_tests(I.lagged(spark, sf), VARS, B, SEED)
+def loc(spark, sf, src=I.lagged):
+    return E.location_tests(src(spark, sf), VARS, B, SEED)
 
 
 @query("sta_15_location_tests", LOC + f" SELECT region, buffer_km, variable, n_units, round(m, 6) + 0.0 AS mean_difference, round(std, 6) + 0.0 AS standardized_mean_difference_zero, round(p_raw, 6) + 0.0 AS p_raw, round(p_fdr, 6) + 0.0 AS p_fdr, round(ci_low, 6) + 0.0 AS ci_low, round(ci_high, 6) + 0.0 AS ci_high, {SUPP} AS supported FROM loc")
@@ -93,8 +93,8 @@ ls AS (SELECT *, coalesce(ci_excludes_zero AND p_fdr < 0.05 AND n_units >= 3, fa
 lc AS (SELECT ls.*, CASE WHEN every THEN 'persistent background state' WHEN significant THEN CASE lag_group WHEN 'pre-event' THEN 'precondition / precursor' WHEN 'event-time' THEN 'contemporaneous forcing' ELSE 'response / adjustment' END ELSE 'weak / unreliable' END AS classification FROM ls JOIN la USING (region, variable))"""
 
 
-def lead(spark, sf):
-    return E.lead_lag_tests(I.lagged(spark, sf), VARS, B, SEED)
+def lead(spark, sf, src=I.lagged):
+    return E.lead_lag_tests(src(spark, sf), VARS, B, SEED)
 
 
 @query("sta_16_lead_lag_tests", LEAD + " SELECT region, variable, lag_group, n_units, round(m, 6) + 0.0 AS mean_difference, round(p_fdr, 6) + 0.0 AS p_fdr, round(ci_low, 6) + 0.0 AS ci_low, round(ci_high, 6) + 0.0 AS ci_high, significant, classification FROM lc")
@@ -108,9 +108,9 @@ def _(spark, sf):
     return E.strongest_lag_group(lead(spark, sf)).select("region", "variable", "lag_classification", *rr(["pre_event_mean", "event_time_mean", "post_event_mean"]), "n_pre_units")
 
 
-def displaced(spark, sf):
+def displaced(spark, sf, src=I.lagged):
     """every sample repeated at the four other regions with values damped by the distance in the ring"""
-    x = I.lagged(spark, sf).withColumn("_r", F.explode(F.array(*[F.lit(r) for r in REGIONS]))).filter("_r <> region")
+    x = src(spark, sf).withColumn("_r", F.explode(F.array(*[F.lit(r) for r in REGIONS]))).filter("_r <> region")
     step = F.pmod(F.substring("_r", 2, 1).cast("int") - F.substring("region", 2, 1).cast("int"), F.lit(5)) * 0.125
     return x.select("event_id", "region", F.col("_r").alias("sample_region"), "buffer_km", "lag", "year", (F.col("v1") * step).alias("v1"), (F.col("v2") * step).alias("v2"))
 
@@ -127,8 +127,8 @@ sup AS (SELECT region, buffer_km, variable FROM loc WHERE {SUPP}),
 st AS (SELECT sf.*, sup.region IS NOT NULL AS source_primary_supported, coalesce(paired_n >= 3 AND sup.region IS NOT NULL AND mean_specificity > 0 AND ci_low > 0 AND p_fdr < 0.05, false) AS control_passed FROM sf LEFT JOIN sup USING (region, buffer_km, variable))"""
 
 
-def spec(spark, sf):
-    return E.paired_specificity(I.lagged(spark, sf), displaced(spark, sf), loc(spark, sf).filter("supported"), VARS, B, SEED)
+def spec(spark, sf, src=I.lagged):
+    return E.paired_specificity(src(spark, sf), displaced(spark, sf, src), loc(spark, sf, src).filter("supported"), VARS, B, SEED)
 
 
 @query("sta_09_paired_specificity", SPEC + """ SELECT region, sample_region, buffer_km, variable, paired_n, round(mean_specificity, 6) + 0.0 AS mean_specificity, round(ci_low, 6) + 0.0 AS ci_low, round(ci_high, 6) + 0.0 AS ci_high, round(p_raw, 9) AS p_raw, round(p_fdr, 9) AS p_fdr, source_primary_supported, control_passed,
@@ -145,8 +145,8 @@ def _(spark, sf):
 
 # ---- pressure centres and fronts ------------------------------------------------------------
 
-def prox_rows(spark, sf):
-    x = I.lagged(spark, sf)
+def prox_rows(spark, sf, src=I.lagged):
+    x = src(spark, sf)
     return x.select("event_id", "region", "lag", (F.col("v1") * 100).alias("nearest_cyclone_distance_km"), (F.col("v2") + 990).alias("nearest_cyclone_pressure_hpa"),
                     F.floor("v1").alias("cyclone_count_500km"), (F.floor("v1") + F.floor("v2")).alias("cyclone_count_1000km"))
 
@@ -168,8 +168,8 @@ def _(spark, sf):
     return E.proximity_status(E.proximity_tests(prox_rows(spark, sf), B, SEED), regions).select("region", "evidence_status", "supported_variables", "evaluated_test_count")
 
 
-def front_rows(spark, sf):
-    x = I.lagged(spark, sf)
+def front_rows(spark, sf, src=I.lagged):
+    x = src(spark, sf)
     return x.select("event_id", "region", "lag", (F.col("v1") - 1).alias("outward_edge_normal_wind_ms"), F.col("v2").alias("wind_speed_ms"),
                     S.ladder([(F.col("v1") > 1.5, "ok"), (F.col("v1") > 0.5, "degraded")], "reject").alias("qa_status"))
 
@@ -201,29 +201,29 @@ yd AS (SELECT region, buffer_km, variable, rep.range AS rep, {U32("'11|' || regi
 yb AS (SELECT d.region, d.buffer_km, d.variable, rep, sum(s) / sum(c) AS mean_ FROM yd d JOIN yi i ON i.region = d.region AND i.buffer_km = d.buffer_km AND i.variable = d.variable AND i.i_ = d.j_ GROUP BY ALL), yc AS (SELECT region, buffer_km, variable, quantile_cont(mean_, 0.025) AS lo, quantile_cont(mean_, 0.975) AS hi FROM yb GROUP BY 1, 2, 3)"""
 
 
-def year_tests(spark, sf):
-    u = RS.event_minus_background(I.lagged(spark, sf), ["region", "buffer_km"], "event_id", VARS, fixed.EVENT_LAGS, fixed.BACKGROUND_LAGS)
-    first = I.lagged(spark, sf).groupBy("event_id").agg(F.min("year").alias("year"))
+def year_tests(spark, sf, src=I.lagged):
+    u = RS.event_minus_background(src(spark, sf), ["region", "buffer_km"], "event_id", VARS, fixed.EVENT_LAGS, fixed.BACKGROUND_LAGS)
+    first = src(spark, sf).groupBy("event_id").agg(F.min("year").alias("year"))
     u = u.join(first, "event_id")
     t = RS.year_block_ci(u, ["region", "buffer_km", "variable"], "difference", "year", B, SEED)
     return t.withColumn("mean_difference", F.col("primary_mean")).withColumn("n_units", F.col("n_years")).withColumn("ci_excludes_zero", E.excludes_zero())
 
 
-def families(spark, sf):
+def families(spark, sf, src=I.lagged):
     K = lambda f, **a: E.key_grid(spark, f, **a)
     sup = F.coalesce(F.col("supported"), F.lit(False))
-    loc_rows = E.fill_family(K("location_buffer", region=REGIONS, variable=VARS, buffer_km=BUFFERS), loc(spark, sf), ["region", "variable", "buffer_km"], sup, F.when(sup, "primary_location_buffer_supported").otherwise("not_primary_supported"))
-    lead_rows = E.fill_family(K("lead_lag", region=REGIONS, variable=VARS, lag_group=tuple(fixed.LAG_GROUPS)), lead(spark, sf), ["region", "variable", "lag_group"], F.col("significant"), F.col("classification"))
+    loc_rows = E.fill_family(K("location_buffer", region=REGIONS, variable=VARS, buffer_km=BUFFERS), loc(spark, sf, src), ["region", "variable", "buffer_km"], sup, F.when(sup, "primary_location_buffer_supported").otherwise("not_primary_supported"))
+    lead_rows = E.fill_family(K("lead_lag", region=REGIONS, variable=VARS, lag_group=tuple(fixed.LAG_GROUPS)), lead(spark, sf, src), ["region", "variable", "lag_group"], F.col("significant"), F.col("classification"))
     wrong_keys = K("wrong_region_control", region=REGIONS, wrong_region=REGIONS, variable=VARS, buffer_km=BUFFERS).filter("region <> wrong_region")
-    wrong_rows = E.fill_family(wrong_keys, spec(spark, sf).withColumnRenamed("sample_region", "wrong_region"), ["region", "wrong_region", "variable", "buffer_km"], F.col("control_passed"), F.col("control_status"), "paired_n", "mean_specificity")
+    wrong_rows = E.fill_family(wrong_keys, spec(spark, sf, src).withColumnRenamed("sample_region", "wrong_region"), ["region", "wrong_region", "variable", "buffer_km"], F.col("control_passed"), F.col("control_status"), "paired_n", "mean_specificity")
     y = F.col("ci_excludes_zero")
-    year_rows = E.fill_family(K("year_block_robustness", region=REGIONS, variable=VARS, buffer_km=BUFFERS), year_tests(spark, sf), ["region", "variable", "buffer_km"], y, F.when(y, "year_block_ci_excludes_zero").otherwise("year_block_ci_includes_zero"))
+    year_rows = E.fill_family(K("year_block_robustness", region=REGIONS, variable=VARS, buffer_km=BUFFERS), year_tests(spark, sf, src), ["region", "variable", "buffer_km"], y, F.when(y, "year_block_ci_excludes_zero").otherwise("year_block_ci_includes_zero"))
     regions = spark.createDataFrame([(r,) for r in REGIONS], "region string")
-    prox = E.proximity_tests(prox_rows(spark, sf), B, SEED)
+    prox = E.proximity_tests(prox_rows(spark, sf, src), B, SEED)
     near = F.coalesce((F.col("n_units") >= 3) & (F.col("p_fdr") < 0.05) & F.col("ci_excludes_zero") & S.matches_direction("mean_difference", S.ladder([(F.col("variable") == v, d) for v, d in fixed.CYCLONE_DIRECTION.items()], F.lit(None).cast("string"))), F.lit(False))
     prox = prox.join(E.proximity_status(prox, regions).select("region", "evidence_status"), "region")
     prox_rows_ = E.fill_family(K("cyclone_proximity", region=REGIONS, variable=tuple(fixed.CYCLONE_DIRECTION)), prox, ["region", "variable"], near, F.concat(F.lit("region_evidence_status="), F.col("evidence_status")), status=F.col("evidence_status"))
-    front = E.front_tests(front_rows(spark, sf), B, SEED, variables=WINDS)
+    front = E.front_tests(front_rows(spark, sf, src), B, SEED, variables=WINDS)
     front = front.join(E.front_status(front, regions).select("region", "evidence_status"), "region")
     front_rows_ = E.fill_family(K("ice_edge_relative_wind", analysis_tier=TIERS, region=REGIONS, variable=WINDS, lag_group=tuple(fixed.LAG_GROUPS)), front, ["analysis_tier", "region", "variable", "lag_group"],
                                 F.col("mechanism_evidence_status") == "statistically_supported_dynamic_indicator", F.col("mechanism_evidence_status"), status=F.col("evidence_status"))
@@ -310,6 +310,21 @@ def _(spark, sf):
     return scenario_rows(spark, sf).select("region", "buffer_km", "variable", *rr(["primary_effect", "floor_effect"]), "primary_supported", "floor_supported", "direction_preserved", "status_preserved")
 
 
+_LAGGED = I.with_ctes("lagged")
+FLOORED = _LAGGED.replace("lagged AS (", "lagged0 AS (", 1) + ", lagged AS (SELECT * REPLACE (CASE WHEN v1 >= 0.75 THEN v1 END AS v1) FROM lagged0)" + FAMILIES[len(_LAGGED):]
+KEY = ["diagnostic_family", "analysis_tier", "region", "wrong_region", "variable", "buffer_km", "lag_group"]
+
+
+@query("evi_10_scenario_families", f"WITH a AS ({FAMILIES} SELECT * FROM fam), b AS ({FLOORED} SELECT * FROM fam) SELECT " + ", ".join(f"CAST(a.{c} AS INTEGER) AS {c}" if c == "buffer_km" else f"a.{c}" for c in KEY) + """, round(a.effect, 6) + 0.0 AS primary_effect, round(b.effect, 6) + 0.0 AS floor_effect, a.supported AS primary_supported, b.supported AS floor_supported,
+ coalesce(sign(a.effect) = sign(b.effect), false) AS direction_preserved, a.supported = b.supported AS status_preserved FROM a JOIN b ON """ + " AND ".join(f"a.{c} IS NOT DISTINCT FROM b.{c}" for c in KEY))
+def _(spark, sf):
+    """all six families under both scenarios, row by row"""
+    pick = lambda t: t.select("evidence_id", *[F.nullif(F.col(c), F.lit("")).alias(c) if c in ("analysis_tier", "wrong_region", "lag_group") else F.col(c) for c in KEY], "effect", F.col("supported_or_significant").alias("supported"))
+    p = J.paired_tables(pick(families(spark, sf)), pick(families(spark, sf, floored)).drop(*KEY), ["evidence_id"])
+    r = E.scenario_comparison(p.withColumnsRenamed({f"primary_{c}": c for c in KEY}), ["evidence_id"])
+    return r.select(*KEY, *rr(["primary_effect", "floor_effect"]), "primary_supported", "floor_supported", F.coalesce("direction_preserved", F.lit(False)).alias("direction_preserved"), "status_preserved")
+
+
 @query("agg_42_comparison_by_region", FLOOR + " SELECT region, 'location_buffer' AS diagnostic, count(*) FILTER (primary_supported) AS n_primary_supported, count(*) FILTER (floor_supported) AS n_floor_supported, count(*) AS n_rows, bool_and(primary_supported = floor_supported) AS status_preserved, bool_and(sign(primary_effect) = sign(floor_effect)) AS direction_preserved FROM cmp GROUP BY 1")
 def _(spark, sf):
     return E.comparison_by_region(scenario_rows(spark, sf).withColumn("diagnostic", F.lit("location_buffer")))
