@@ -109,7 +109,7 @@ def _sets(size: int):
     return run
 
 
-def common_grams(sets: list[np.ndarray], wide: int = 1 << 17) -> np.ndarray:
+def common_grams(sets: list[np.ndarray], wide: int = 1 << 15) -> np.ndarray:
     """Size of the intersection of every two sets, by bit rows over the n-grams that two sets share."""
     sizes = [len(s) for s in sets]
     _, gram, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)

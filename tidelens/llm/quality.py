@@ -26,8 +26,9 @@ BUCKETS, DIMS, MARKS, REACH = 1 << 15, 64, 4, 2
 FEATURES = 2 * DIMS + 1
 SLICE = 512
 #: Most labelled rows that training takes, chosen by hash of the id.
-SAMPLE = 20_000
-PIECE = 400_000
+SAMPLE = 12_000
+#: Words that a task holds at a time, and of these, how many as vectors.
+PIECE, STEP = 200_000, 16_384
 
 
 class _Bucket(dict):
@@ -117,25 +118,26 @@ def unit(total: np.ndarray) -> np.ndarray:
 
 
 def pool(buckets: np.ndarray, ends: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Mean and standard deviation of the word vectors of each text, and mean cosine of neighbours; zeros for a text without words."""
-    out = np.zeros((len(ends), FEATURES), np.float32)
-    starts = np.concatenate([[0], ends[:-1]])
-    for at in range(0, len(ends), 64):
-        lo, hi = starts[at], ends[min(at + 64, len(ends)) - 1]
-        which = np.arange(at, min(at + 64, len(ends)))
-        full = which[ends[which] > starts[which]]
-        if len(full) == 0:
-            continue
-        v = vectors[buckets[lo:hi]]
-        n = (ends[full] - starts[full])[:, None]
-        mean = np.add.reduceat(v, starts[full] - lo, axis=0) / n
-        square = np.add.reduceat(v * v, starts[full] - lo, axis=0) / n
-        beside = np.zeros((len(v), 1), np.float32)
-        beside[1:, 0] = np.einsum("ij,ij->i", v[1:], v[:-1])
-        beside[starts[full] - lo] = 0
-        beside = np.add.reduceat(beside, starts[full] - lo, axis=0) / np.maximum(n - 1, 1)
-        out[full] = np.concatenate([mean, np.sqrt(np.maximum(square - mean**2, 0)), beside], axis=1)
-    return out
+    """Mean and standard deviation of the word vectors of each text, and mean cosine of neighbours; zeros for a text without words.
+
+    Words are taken a bounded number at a time, so a very long text needs no more memory than others.
+    """
+    n = len(ends)
+    sizes = np.diff(ends, prepend=0)
+    text = np.repeat(np.arange(n), sizes)
+    total, square, beside = np.zeros((n, DIMS)), np.zeros((n, DIMS)), np.zeros(n)
+    for lo in range(0, len(buckets), STEP):
+        v, t = vectors[buckets[max(0, lo - 1) : lo + STEP]], text[max(0, lo - 1) : lo + STEP]
+        near = np.einsum("ij,ij->i", v[1:], v[:-1])
+        beside += np.bincount(t[1:], np.where(t[1:] == t[:-1], near, 0), n)
+        own = int(lo > 0)  # the word before this piece is there for its neighbour only
+        v, t = v[own:], t[own:]
+        cut = np.flatnonzero(np.diff(t, prepend=-1))
+        total[t[cut]] += np.add.reduceat(v, cut, axis=0)
+        square[t[cut]] += np.add.reduceat(v * v, cut, axis=0)
+    count = np.maximum(sizes, 1)[:, None]
+    mean = total / count
+    return np.concatenate([mean, np.sqrt(np.maximum(square / count - mean**2, 0)), beside[:, None] / np.maximum(count - 1, 1)], axis=1).astype(np.float32)
 
 
 def _features(vectors):
@@ -231,8 +233,9 @@ def in_training(key: str = "doc_id"):
 def fit(table: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality", sample: int = SAMPLE) -> Network:
     """Train on at most ``sample`` labelled rows of ``table`` (struct ``row`` with the key, ``features``), in order of the id's hash."""
     known = labels.select(F.col(f"`{key}`").alias("id"), F.col(f"`{label}`").cast("double").alias("y")).filter(F.col("y").isin(0.0, 1.0)).filter(in_training("id"))
-    rows = table.select(F.col(f"row.`{key}`").alias("id"), "features").join(known, "id").orderBy(F.xxhash64("id"), "id", "y").limit(sample).select("features", "y").toPandas()
-    return train(np.stack(rows["features"].to_list()).astype(np.float64) if len(rows) else np.zeros((0, FEATURES)), rows["y"].to_numpy())
+    rows = table.select(F.col(f"row.`{key}`").alias("id"), "features").join(known, "id").orderBy(F.xxhash64("id"), "id", "y").limit(sample).select("features", "y").toArrow().combine_chunks()
+    x = np.concatenate([c.flatten().to_numpy() for c in rows.column("features").chunks] or [np.zeros(0)]).reshape(-1, FEATURES)
+    return train(x.astype(np.float64), rows.column("y").to_numpy())
 
 
 def score(table: DataFrame, network: Network) -> DataFrame:
@@ -260,7 +263,15 @@ def accepted(docs: DataFrame, labels: DataFrame, least: float = 0.3, text: str =
     """Rows of ``docs`` with all their columns whose score is ``least`` or more."""
     vectors = word_vectors(docs, text)
     network = fit(staged(features(docs, vectors, text, [key]), "features"), labels, key, label, sample)
-    columns = docs.columns
-    rows = docs.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)]).alias("all"), F.col(f"`{text}`").alias("text"))
-    scored = score(features(rows, vectors, "text", ["all"]), network)
-    return scored.filter(F.col("score") >= least).select(*[F.col(f"all.c{i}").alias(c) for i, c in enumerate(columns)])
+    rows = docs.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("row"), F.col(f"`{text}`").alias("text"))
+    table = docs.sparkSession.sparkContext.broadcast(vectors)  # BUCKETS x DIMS numbers
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
+                good = [s >= least for buckets, ends in word_runs(v.as_py() for v in batch.column("text")) for s in network(pool(buckets, ends, table.value).astype(np.float64))]
+                yield batch.select(["row"]).filter(pa.array(good, pa.bool_()))
+
+    out = rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}")
+    return out.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
