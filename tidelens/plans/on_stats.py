@@ -151,10 +151,18 @@ def _(spark, sf):
     return f.select("region", "n_cases", R(F.col("beta")[0], 5).alias("intercept"), R(F.col("beta")[1], 5).alias("slope"), "matrix_rank")
 
 
-@query("sta_10_least_squares_many")
+MANY = REG + """, m AS (SELECT region, count(*) AS n, sum(x1) AS s1, sum(x2) AS s2, sum(x1 * x1) AS s11, sum(x1 * x2) AS s12, sum(x2 * x2) AS s22, sum(y) AS t0, sum(x1 * y) AS t1, sum(x2 * y) AS t2 FROM g GROUP BY 1),
+d AS (SELECT *, n * (s11 * s22 - s12 * s12) - s1 * (s1 * s22 - s12 * s2) + s2 * (s1 * s12 - s11 * s2) AS det, (n + s11 + s22) / 3 AS q FROM m),
+e AS (SELECT *, sqrt(((n - q) * (n - q) + (s11 - q) * (s11 - q) + (s22 - q) * (s22 - q) + 2 * (s1 * s1 + s2 * s2 + s12 * s12)) / 6) AS p FROM d),
+f AS (SELECT *, acos(greatest(-1, least(1, ((n - q) * ((s11 - q) * (s22 - q) - s12 * s12) - s1 * (s1 * (s22 - q) - s12 * s2) + s2 * (s1 * s12 - (s11 - q) * s2)) / (2 * p * p * p)))) / 3 AS phi FROM e)"""
+
+
+@query("sta_10_least_squares_many", MANY + """ SELECT region, n AS n_cases, round((t0 * (s11 * s22 - s12 * s12) - s1 * (t1 * s22 - s12 * t2) + s2 * (t1 * s12 - s11 * t2)) / det, 6) + 0.0 AS intercept, round((n * (t1 * s22 - s12 * t2) - t0 * (s1 * s22 - s12 * s2) + s2 * (s1 * t2 - t1 * s2)) / det, 6) + 0.0 AS slope_1,
+ round((n * (s11 * t2 - t1 * s12) - s1 * (s1 * t2 - t1 * s2) + t0 * (s1 * s12 - s11 * s2)) / det, 6) + 0.0 AS slope_2, CAST(3 AS INTEGER) AS matrix_rank, round(sqrt((q + 2 * p * cos(phi)) / (q + 2 * p * cos(phi + 2 * pi() / 3))), 4) + 0.0 AS condition_number FROM f""")
 def _(spark, sf):
     f = RS.least_squares(reg(spark, sf), ["region"], "y", ["x1", "x2"])
-    return f.select("region", "n_cases", F.transform("beta", lambda b: F.round(b, 6)).alias("beta"), "matrix_rank", R("condition_number", 4).alias("condition_number"))
+    b = F.col("beta")
+    return f.select("region", "n_cases", *[R(b[i], 6).alias(n) for i, n in enumerate(("intercept", "slope_1", "slope_2"))], "matrix_rank", R("condition_number", 4).alias("condition_number"))
 
 
 @query("sta_11_year_block_intercept", REG + f""", per AS (SELECT region, year, count(*) AS n, sum(x1) AS sx, sum(x1 * x1) AS sxx, sum(y) AS sy, sum(x1 * y) AS sxy FROM g GROUP BY 1, 2), ix AS (SELECT *, row_number() OVER (PARTITION BY region ORDER BY year) - 1 AS i, count(*) OVER (PARTITION BY region) AS k FROM per),
