@@ -5,8 +5,8 @@ A file is an Arrow IPC stream whose batches hold ``tokens`` and ``mask`` as fixe
 known place of the memory-mapped file and is read without a copy.  The last sequence of a file is padded, mask 0.  An index
 table keeps the file, first token and length of every document; numbers over all files come from the files' totals.
 
-Text is cut where a blank follows another character, a border that the pre-tokenizer never crosses; a bounded table per
-worker keeps the ids of chunks seen before, and the tokenizers library encodes the rest.
+Text is cut where a blank follows another character and where a sign follows a letter, borders that the pre-tokenizer never
+crosses; a bounded table per worker keeps the ids of chunks seen before, and the tokenizers library encodes the rest.
 """
 
 from __future__ import annotations
@@ -28,7 +28,8 @@ from .common import shared_folder, staged
 
 #: White space as the pre-tokenizer's pattern understands it (fixed values).
 BLANKS = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-CHUNK = re.compile(f"[{BLANKS}]*[^{BLANKS}]+|[{BLANKS}]+")
+#: A word of plain letters that ends before an ASCII sign or blank is a pre-token by itself; anything else runs to the next blank.
+CHUNK = re.compile(f"[ ]?[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[ -/:-@\\[-`{{-~\\n]|\\Z)|[{BLANKS}]*[^{BLANKS}]+|[{BLANKS}]+")
 #: Entries of a worker's table of known chunks before it starts anew.
 KNOWN = 400_000
 
@@ -49,7 +50,7 @@ class Encoder:
             self.known[w] = np.array(self.library.encode(w, add_special_tokens=False).ids, self.dtype).tobytes()
         for i in range(0, len(plain), 4000):
             part = plain[i : i + 4000]
-            ids = np.array(self.library.encode(self.separator.join(part), add_special_tokens=False).ids, self.dtype)
+            ids = np.array(self.library.encode_batch_fast([self.separator.join(part)], add_special_tokens=False)[0].ids, self.dtype)
             data, size = ids.tobytes(), self.dtype.itemsize
             lo = 0
             for word, hi in zip(part, [*np.flatnonzero(ids == self.cut).tolist(), len(ids)]):
@@ -81,7 +82,7 @@ class SequenceWriter:
 
     def __init__(self, sink, dtype: np.dtype, length: int, batch: int):
         self.kind = pa.from_numpy_dtype(dtype)
-        self.schema = pa.schema([("tokens", pa.list_(self.kind, length)), ("mask", pa.list_(pa.uint8(), length))])
+        self.schema = pa.schema([("tokens", pa.list_(self.kind, length)), ("mask", pa.list_(pa.bool_(), length))])
         self.out, self.dtype, self.length, self.most = pa.ipc.new_stream(sink, self.schema), dtype, length, batch * length
         self.held, self.n, self.total = [], 0, 0
 
@@ -96,8 +97,8 @@ class SequenceWriter:
         for i in range(0, n, self.most):
             part = ids[i : min(i + self.most, n)]
             size = -(-len(part) // self.length) * self.length
-            tokens, mask = np.zeros(size, self.dtype), np.zeros(size, np.uint8)
-            tokens[: len(part)], mask[: len(part)] = part, 1
+            tokens, mask = np.zeros(size, self.dtype), np.arange(size) < len(part)
+            tokens[: len(part)] = part
             lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (tokens, mask)]
             self.out.write_batch(pa.record_batch(lists, schema=self.schema))
         self.total += n
@@ -117,14 +118,15 @@ class SequenceFile:
         source = pa.memory_map(path) if isinstance(fs, pafs.LocalFileSystem) else fs.open_input_file(path)
         self.batches = list(pa.ipc.open_stream(source))
         self.tokens = [b.column(0).flatten().to_numpy(zero_copy_only=True) for b in self.batches]
-        self.masks = [b.column(1).flatten().to_numpy(zero_copy_only=True) for b in self.batches]
+        self.masks = [b.column(1).flatten() for b in self.batches]
         self.length = self.batches[0].schema.field(0).type.list_size if self.batches else 1
         self.rows = self.batches[0].num_rows if self.batches else 1
 
     def __len__(self) -> int:
         return sum(b.num_rows for b in self.batches)
 
-    def sequence(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def sequence(self, k: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        """Views of the tokens and the mask (one bit each) of sequence ``k``."""
         batch, row = divmod(k, self.rows)
         cut = slice(row * self.length, (row + 1) * self.length)
         return self.tokens[batch][cut], self.masks[batch][cut]
