@@ -25,7 +25,7 @@ WORD = re.compile(r"\w+|[^\w\s]+")
 BUCKETS, DIMS, MARKS, REACH = 1 << 15, 64, 4, 2
 FEATURES = 2 * DIMS + 1
 SLICE = 512
-#: Most labelled rows that training takes, chosen by hash of the id.
+#: Labelled rows that training takes, chosen by hash of the id.
 SAMPLE = 12_000
 #: Words that a task holds at a time, and of these, how many as vectors.
 PIECE, STEP = 200_000, 16_384
@@ -231,9 +231,12 @@ def in_training(key: str = "doc_id"):
 
 
 def fit(table: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality", sample: int = SAMPLE) -> Network:
-    """Train on at most ``sample`` labelled rows of ``table`` (struct ``row`` with the key, ``features``), in order of the id's hash."""
-    known = labels.select(F.col(f"`{key}`").alias("id"), F.col(f"`{label}`").cast("double").alias("y")).filter(F.col("y").isin(0.0, 1.0)).filter(in_training("id"))
-    rows = table.select(F.col(f"row.`{key}`").alias("id"), "features").join(known, "id").orderBy(F.xxhash64("id"), "id", "y").limit(sample).select("features", "y").toArrow().combine_chunks()
+    """Train on about ``sample`` labelled rows of ``table`` (struct ``row`` with the key, ``features``): those whose id has the
+    smallest hashes, all of them if there are fewer.  What reaches the driver is bounded by twice ``sample``."""
+    known = labels.select(F.col(f"`{key}`").alias("id"), F.col(f"`{label}`").cast("double").alias("y")).filter(F.col("y").isin(0.0, 1.0)).filter(in_training("id")).distinct()
+    share = min(1.0, sample / max(1, known.count()))
+    chosen = known.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    rows = table.select(F.col(f"row.`{key}`").alias("id"), "features").join(chosen, "id").limit(2 * sample).toArrow().combine_chunks().sort_by([("id", "ascending"), ("y", "ascending")])
     x = np.concatenate([c.flatten().to_numpy() for c in rows.column("features").chunks] or [np.zeros(0)]).reshape(-1, FEATURES)
     return train(x.astype(np.float64), rows.column("y").to_numpy())
 
