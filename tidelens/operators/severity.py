@@ -138,11 +138,11 @@ def index_ranks(major: DataFrame) -> DataFrame:
 # ---- summaries --------------------------------------------------------------------
 
 def medians(df: DataFrame, keys: Sequence[str], cols: Sequence[str], prefix: str = "median_") -> DataFrame:
-    out = None
-    for c in cols:
-        q = ordered.quantiles(df, keys, c, {f"{prefix}{c}": 0.5}).drop("n_values")
-        out = q if out is None else out.join(q, list(keys), "full_outer")
-    return out
+    """Median of every column per key, all columns in one pass over the values."""
+    keys = list(keys)
+    values = F.inline(F.array(*[F.struct(F.lit(c).alias("_name"), F.col(c).cast("double").alias("_value")) for c in cols]))
+    q = ordered.quantiles(df.select(*keys, values), [*keys, "_name"], "_value", {"_median": 0.5})
+    return q.groupBy(*keys).agg(*[F.max(F.when(F.col("_name") == c, F.col("_median"))).alias(f"{prefix}{c}") for c in cols])
 
 
 def severe_summary(broad: DataFrame, severe: DataFrame, region="dominant_region") -> DataFrame:
