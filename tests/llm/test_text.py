@@ -1,7 +1,9 @@
 """Operators on single texts: token ids, secrets, personal data, repeated strings; each against the library or a plain rule."""
 
 import hashlib
+import random
 import re
+import string
 import zlib
 
 import numpy as np
@@ -94,6 +96,23 @@ def test_secrets_base_and_novel(spark):
     assert secrets.scan(empty(spark)).collect() == []
 
 
+def test_long_digit_free_and_broken_keys_are_secrets():
+    r = random.Random(4)
+    key = lambda letters, n: "".join(r.choices(letters, k=n))
+    base64, prose = string.ascii_letters + string.digits + "+/", "please read the manual before you change any of these settings, since the service restarts. " * 2
+    whole = lambda k, before: secrets.find(prose + before + k + " " + prose) == [("novel", len(prose + before), len(prose + before + k))]
+    for letters, n in ((base64, 2048), (string.ascii_lowercase + string.digits, 300), ("0123456789ABCDEF", 300), (string.ascii_letters, 32)):
+        assert all(whole(key(letters, n), "the credential is ") for _ in range(5)), (letters, n)
+    for head, line, end in (("", "\n", True), ("Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789ABCDEF0123456789ABCDEF\n\n", "\n", True), ("", "\\n", True), ("", "\n    ", True), ("", "\n", False)):
+        lines = ["MIIEpAIBAAKCAQEA" + key(base64, 48), *[key(base64, 64) for _ in range(20)], key(base64, 10) + "=="]
+        text = prose + "-----BEGIN RSA PRIVATE KEY-----" + line + head + line.join(lines) + line + ("-----END RSA PRIVATE KEY-----\n" if end else "") + "Thanks\n" + prose
+        assert [(text[a:b].split(line), kind) for kind, a, b in secrets.find(text)] == [(lines, "novel")]
+    lines = [key(base64, 64) for _ in range(4)] + [key(base64, 9)]
+    text = "token: " + "\n".join(lines) + "\nThanks a lot\n" + prose
+    assert [(kind, text[a:b].split("\n")) for kind, a, b in secrets.find(text)] == [("assign", ["token: " + lines[0]]), ("novel", lines[1:])]
+    assert secrets.find("the private key is\nnot_a_placeholder\nnot_the_password_\n" * 3000) == []
+
+
 def test_secrets_are_replaced_and_columns_stay(spark):
     docs = messy(spark)
     out = secrets.redact(docs)

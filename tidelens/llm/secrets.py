@@ -3,7 +3,8 @@
 Three base patterns report what looks like a secret by form.  The method adds ``novel`` spans: strings in a sensitive
 context (a word such as *key* or *credential* shortly before them) whose marginal cost is high, that is, which cost almost
 as many bytes as random text when a compressor already knows the surrounding text and a dictionary of identifiers.
-Prose, names and repeated identifiers compress; keys and passwords do not.
+Prose, names and repeated identifiers compress; keys and passwords do not.  A long string is coded in pieces, because a coder
+learns the letters of a long one.  A key that is broken into lines is one span, up to its END mark if it has one.
 
 Every document is judged by itself, so the job is one pass over the rows without a shuffle.
 """
@@ -29,6 +30,8 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 SENSITIVE = re.compile(r"(?:passphrase|passw(?:or)?d|secret|credential|bearer|authorization|private[ _-]?key|access[ _-]?key|api[ _-]?key|client[ _-]?key|auth[ _-]?token|token)", re.IGNORECASE | re.ASCII)
 REACH = 40
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=~!@#$%^&*-]{12,}")
+#: A mail address without digits is personal data (operator 8), not a secret.
+ADDRESS = re.compile(r"[A-Za-z._%+-]+@[A-Za-z-]+(?:\.[A-Za-z-]+)+", re.ASCII)
 #: Identifiers and words of code that are known beforehand.
 IDENTIFIERS = (
     "access account address admin api application argument array assert async authorization await base64 bearer begin boolean bucket bytes cache callback certificate class client code "
@@ -41,6 +44,15 @@ IDENTIFIERS = (
     "update upload user username value variable vector version void volume while window your_api_key your_password changeme xxxxxxxx 0123456789 abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 )
 CONTEXT = 400
+#: Most characters that are coded at a time.
+PIECE = 64
+#: Keys over several lines (line ends may be escaped, lines indented), and what stands between the words *private key* and the first line of one.
+EOL = r"[ \t]*(?:\r?\n|(?:\\r)?\\n)[ \t]*"
+LINE = re.compile(EOL + r"""([A-Za-z0-9+/=_-]+)(?=[ \t]*(?:\r?\n|\\r|\\n|["']|\Z))""", re.ASCII)
+KEY = re.compile(r"[A-Za-z0-9+/=_-]+", re.ASCII)
+BEGIN = re.compile(r"-----BEGIN [A-Z0-9 ]*\Z")
+HEAD = re.compile(rf"(?: BLOCK)?-----(?:{EOL}[A-Za-z][A-Za-z0-9-]*:[^\r\n\\]*)*(?:{EOL})*(?={EOL}[A-Za-z0-9+/=])")
+END = re.compile(EOL + "-----END ")
 #: Least marginal bytes per character of a reported string: words and paths cost 0.3 to 0.7, random letters and digits about 1.
 NOVELTY = 0.8
 
@@ -71,30 +83,79 @@ def coder(identifiers: str) -> zstandard.ZstdCompressor:
 
 
 def marginal(candidate: str, before: str, after: str, identifiers: str = IDENTIFIERS) -> float:
-    """Bytes per character that ``candidate`` adds to its surroundings for a compressor primed with identifiers."""
+    """Bytes per character that ``candidate``, in pieces of at most PIECE, adds to its surroundings for a compressor primed with identifiers."""
     size = coder(identifiers).compress
-    return (len(size((before + candidate + after).encode())) - len(size((before + after).encode()))) / len(candidate)
+    known, n = len(size((before + after).encode())), -(-len(candidate) // PIECE)
+    cuts = [len(candidate) * i // n for i in range(n + 1)]
+    return sum(len(size((before + candidate[a:b] + after).encode())) - known for a, b in zip(cuts, cuts[1:])) / len(candidate)
+
+
+def wrapped(text: str, first: int, end: int) -> list[tuple[int, int]]:
+    """Lines directly after the one from ``first`` to ``end`` that go on with its key: those of its width, and a shorter last one.
+
+    A shorter line counts after two of the same width or before an END mark.
+    """
+    out, width = [], end - first
+    while m := LINE.match(text, end):
+        if len(m[1]) > width or len(m[1]) < width and not (out or END.match(text, m.end())):
+            break
+        out.append(m.span(1))
+        end = m.end()
+        if len(m[1]) < width:
+            break
+    return out
+
+
+def block(text: str, word: re.Match) -> list[tuple[int, int]]:
+    """Lines of the key whose BEGIN mark ends with ``word``: all up to the END mark or, without one, those of ``wrapped``."""
+    head = BEGIN.search(text, max(0, word.start() - 40), word.start()) and HEAD.match(text, word.end())
+    if not head:
+        return []
+    lines, end = [], head.end()
+    while m := LINE.match(text, end):
+        lines.append(m.span(1))
+        end = m.end()
+    return lines if not lines or END.match(text, end) else [lines[0], *wrapped(text, *lines[0])]
 
 
 def novel_spans(text: str, taken: Sequence[tuple[str, int, int]], least: float = NOVELTY) -> list[tuple[str, int, int]]:
-    """Strings after a sensitive word that no base span touches, hold digits and at least a quarter letters, and are novel."""
+    """Strings after a sensitive word that no base span touches, hold at least a quarter letters, are no mail address and novel, with the lines that go on with them.
+
+    Of a base span that goes on in further lines, these are reported; a key between BEGIN and END marks is reported when one of its lines is novel.
+    """
     out, end = [], -1
     if not hints(text):
         return out
+    free = lambda a, b: not any(x < b and a < y for _, x, y in taken)
+    runs: dict[int, tuple[list[tuple[int, int]], int]] = {}
+
+    def novel(a: int, b: int, first: int, last: int) -> bool:
+        """Whether ``a`` to ``b`` is, given what stands around its key, which goes from ``first`` to ``last``."""
+        return marginal(text[a:b], text[max(0, first - CONTEXT) : first], text[last : last + CONTEXT]) >= least
+
     for word in SENSITIVE.finditer(text):
+        lines = block(text, word)
+        if lines and any(novel(*x, lines[0][0], lines[-1][1]) for x in lines):
+            end = lines[-1][1]
+            out.append(("novel", lines[0][0], end))
+            continue
         for m in CANDIDATE.finditer(text, word.end(), min(len(text), word.end() + REACH + 200)):
             if m.start() > word.end() + REACH:
                 break
             a, b = m.start(), m.end()
             if b == word.end() + REACH + 200:
                 b = CANDIDATE.match(text, a).end()
-            value = text[a:b]
-            kinds = sum(any(map(test, value)) for test in (str.islower, str.isupper, str.isdigit))
-            if a < end or kinds < 2 or not any(c.isdigit() for c in value) or 4 * sum(map(str.isalpha, value)) < len(value) or any(x < b and a < y for _, x, y in taken):
+            if a < end or 4 * sum(map(str.isalpha, text[a:b])) < b - a or ADDRESS.fullmatch(text, a, b):
                 continue
-            if marginal(value, text[max(0, a - CONTEXT) : a], text[b : b + CONTEXT]) >= least:
-                out.append(("novel", a, b))
-                end = b
+            if a not in runs:  # each run of lines is followed once
+                lines = wrapped(text, a, b) if KEY.fullmatch(text, a, b) else []
+                runs |= {x: (lines, i) for i, (x, _) in enumerate(lines, 1)} | {a: (lines, 0)}
+            lines, at = runs[a]
+            last = lines[-1][1] if at < len(lines) else b
+            first = a if free(a, b) else next((x for x, y in lines[at:] if free(x, y)), None)
+            if first is not None and novel(a, b, a, last):
+                end = last
+                out.append(("novel", first, end))
     return out
 
 
