@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import jaccard, personal, pieces, quality, scoring, secrets, substrings, tiling, token_files, vectors
+from . import jaccard, language, periodic, personal, pieces, quality, scoring, secrets, substrings, tiling, token_files, variants, vectors
 from .common import documents, sha_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +110,39 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substrings.remove_repeats(documents(spark, sf_dir))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def planted(row: dict, words: list[str]) -> list[str]:
+    """The words of a document, a tenth of the documents made periodic from some word on, as the contract of operator 11 says."""
+    n = len(words)
+    if row["doc_id"] is None or not n:
+        return words
+    h = zlib.crc32(str(row["doc_id"]).encode())
+    g = h // 10
+    if h % 10:
+        return words
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    period = words[a : a + p]
+    return words[:a] + (period * ((n - a) // p + 1))[: n - a]
+
+
+@query("op11_periodic")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, runs = periodic.scan(documents(spark, sf_dir), rewrite=planted), F.col("runs")
+    best = F.array_min(F.transform(runs, lambda r: F.struct((-r["length"]).alias("back"), r["start"], r["period"])))
+    rows = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), "runs", "collapsed")
+    listed = F.array_join(F.transform(runs, lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return rows.select("doc_id", "n_runs", F.col("best.start").alias("start"), (-F.col("best.back")).alias("length"), F.col("best.period").alias("period"),
+                       F.expr("-1000 * best.back div best.period").alias("exponent_milli"), sha_of(listed).alias("runs_sha256"), sha_of(F.col("collapsed")).alias("collapsed_sha256"))
+
+
+@query("op12_language")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return language.predict(docs, language.fit(docs)).select("doc_id", (~language.in_training()).alias("held_out"), "lang_pred", "score")
+
+
+@query("op13_variants")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group(variants.word_counts(documents(spark, sf_dir))).select("word", "form", "root", "n", "n_near", "form_n")
