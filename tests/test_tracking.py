@@ -165,3 +165,53 @@ def test_units_never_split_close_rows(spark):
             if abs((a[2] - b[2]).days) <= 2 and km(a[3], a[4], b[3], b[4]) <= 300:
                 assert u[a[0]] == u[b[0]]
     assert len(set(u.values())) > 1
+
+
+def thin_brute(rows, least, most):
+    out = set()
+    for d in {r[0] for r in rows}:
+        kept = []
+        for r in sorted((x for x in rows if x[0] == d), key=lambda x: (x[5], x[1], x[2])):
+            if len(kept) < most and all(km(r[4], r[3], k[4], k[3]) >= least for k in kept):
+                kept.append(r)
+        out |= {(r[0], r[1], r[2]) for r in kept}
+    return out
+
+
+def test_thinning_equals_plain_loop_in_few_rounds(spark):
+    g = np.random.default_rng(6)
+    rows = [(D0 + dt.timedelta(int(g.integers(4))), n, n % 7, float(g.uniform(55, 89)), float(g.uniform(-180, 180)), float(g.integers(960, 970)), 1.0) for n in range(160)]
+    df = spark.createDataFrame(rows, "date date, i int, j int, lat double, lon double, center_pressure_hpa double, depth_hpa double")
+    for least, most in ((800.0, 99), (1500.0, 3)):
+        out = P.thin(df, least, most)
+        assert {(r.date, r.i, r.j) for r in out.collect()} == thin_brute(rows, least, most) and out.columns == df.columns
+        assert "InPandas" not in out._jdf.queryExecution().toString()
+
+
+def test_links_of_many_equal_distances_follow_the_first_opened(spark):
+    """Places on a coarse lattice: most choices are between candidates at exactly equal distance."""
+    g = np.random.default_rng(12)
+    rows = [(f"O{i:04d}", "g", D0 + dt.timedelta(int(g.integers(8))), float(g.integers(0, 12)) * 4, 75.0 + float(g.integers(2)), float(g.integers(1, 4))) for i in range(220)]
+    df = spark.createDataFrame(rows, "object_id string, region string, date date, centroid_lon double, centroid_lat double, cumulative_sic_loss double")
+    assert {r.object_id: r.unique_local_event_id for r in T.track_patches(df).collect()} == track_brute(rows, 2, 300.0)
+
+
+def test_chains_have_their_heads(spark):
+    from tidelens.operators import graph
+
+    links = [(n, n - 1) for n in range(2, 300)] + [(n, n - 7) for n in range(1007, 1100)]
+    out = {r.n: r.head for r in graph.chain_heads(spark.createDataFrame(links, "n long, up long"), "n", "up").collect()}
+    assert out == {**{n: 1 for n in range(2, 300)}, **{n: 1000 + (n - 1000) % 7 for n in range(1007, 1100)}}
+
+
+def test_edges_of_a_hub_are_not_shuffled_to_one_task(spark):
+    from tidelens.operators import graph
+
+    star = spark.range(1, 20_001).select(F.lit(50_000).cast("long").alias("u"), F.col("id").alias("v"))
+    ends = star.unionByName(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    low = ends.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("d"))
+    both = graph._with_lowest(ends.repartition(8, "v"), low, ["u"], 40_000)
+    assert both.count() == 40_000 and both.filter("u = 50000 and m = 1").count() == 20_000
+    sizes = [r["n"] for r in both.filter("u = 50000").groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert max(sizes) < 20_000 / 2
+    assert {r.root for r in graph.components(star, "u", "v").collect()} == {1}

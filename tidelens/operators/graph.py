@@ -15,6 +15,23 @@ def _fingerprint(edges: DataFrame, cols: Sequence[str]) -> tuple:
     return row["n"], row["h"], row["s"]
 
 
+#: A node with more than this share of all edge ends is heavy; there are at most as many heavy nodes as the inverse of it says.
+HEAVY_SHARE = 1 / 1000
+
+
+def _with_lowest(edges: DataFrame, low: DataFrame, on: Sequence[str], n_edges: int) -> DataFrame:
+    """``edges`` with the columns of ``low``, one row a node with its number ``d`` of ``edges``, joined on the node.
+
+    The edges of a hub would meet in one task.  Heavy nodes, of which there are at most 1 / HEAVY_SHARE, are broadcast instead, and their
+    edges stay where they are; only those of the other nodes are shuffled.
+    """
+    on, most = list(on), max(1000, int(n_edges * HEAVY_SHARE))
+    heavy = F.broadcast(low.filter(F.col("d") > most).select(*on, F.col("m").alias("_heavy")))
+    marked = edges.join(heavy, on, "left")
+    light = marked.filter("_heavy is null").drop("_heavy").join(low.filter(F.col("d") <= most).drop("d"), on)
+    return light.unionByName(marked.filter("_heavy is not null").withColumnRenamed("_heavy", "m"))
+
+
 def components(edges: DataFrame, a: str, b: str, scope: Sequence[str] = ()) -> DataFrame:
     """Smallest node id reachable from every node that has an edge: (scope, node, root).
 
@@ -22,6 +39,7 @@ def components(edges: DataFrame, a: str, b: str, scope: Sequence[str] = ()) -> D
     checkpoint folder after every round, so lineage stays flat and a lost
     executor costs one round.  It runs until a round changes nothing; the number of rounds
     grows with the logarithm of the longest path.  Nodes without an edge are not returned.
+    Edges of a hub are spread over all tasks (``_with_lowest``).
     """
     scope = list(scope)
     cols = [*scope, "u", "v"]
@@ -31,16 +49,16 @@ def components(edges: DataFrame, a: str, b: str, scope: Sequence[str] = ()) -> D
         return e.select(*scope, F.col("u").alias("node"), F.col("v").alias("root"))
     while True:
         both = e.unionByName(e.select(*scope, F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy(*scope, "u").agg(F.min("v").alias("m"))
+        low = both.groupBy(*scope, "u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("d"))
         large = (
-            both.join(low, [*scope, "u"])
+            _with_lowest(both, low, [*scope, "u"], 2 * mark[0])
             .filter(F.col("v") > F.col("u"))
             .select(*scope, F.col("v").alias("u"), F.least("u", "m").alias("v"))
             .distinct()
         )
         down = large.filter(F.col("v") < F.col("u"))
-        low2 = down.groupBy(*scope, "u").agg(F.min("v").alias("m"))
-        kept = down.join(low2, [*scope, "u"])
+        low2 = down.groupBy(*scope, "u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("d"))
+        kept = _with_lowest(down, low2, [*scope, "u"], 2 * mark[0])
         small = (
             kept.filter(F.col("v") != F.col("m")).select(*scope, F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(low2.select(*scope, "u", F.col("m").alias("v")))
@@ -53,3 +71,18 @@ def components(edges: DataFrame, a: str, b: str, scope: Sequence[str] = ()) -> D
         mark = now
     roots = e.select(*scope, F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return e.select(*scope, F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
+
+
+def chain_heads(links: DataFrame, node: str, up: str) -> DataFrame:
+    """(node, head): where following ``up`` ends, for every node that has one.  No node may be the ``up`` of two.
+
+    Every round doubles how far a node has looked, and no node is looked at by more than one other, so no key is hot.
+    """
+    way = links.select(F.col(node).alias("n"), F.col(up).alias("u"))
+    first = way.join(way.select(F.col("n").alias("u"), F.lit(True).alias("_more")), "u", "left")
+    way = durable(first.select("n", "u", F.when(F.col("_more").isNull(), F.col("u")).alias("head")))
+    while not way.filter("head is null").isEmpty():
+        ahead = way.select(F.col("n").alias("u"), F.col("u").alias("_u"), F.col("head").alias("_head"))
+        moved = way.filter("head is null").join(ahead, "u").select("n", F.col("_u").alias("u"), F.col("_head").alias("head"))
+        way = durable(way.filter("head is not null").unionByName(moved))
+    return way.select(F.col("n").alias(node), "head")

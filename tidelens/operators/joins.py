@@ -106,13 +106,14 @@ def flag_membership(rows: DataFrame, table: DataFrame, keys: dict[str, str], nam
 
 # ---- place --------------------------------------------------------------
 
-def cube(lon, lat, side_km: float) -> list[Column]:
+def cube(lon, lat, side_km: float, shift: float = 0.0) -> list[Column]:
     """Cell of a point in a cube lattice around the globe; points within ``side_km`` differ by at most one step per axis.
+    ``shift`` moves the lattice by that part of a side.
 
     Works across the pole and the date line without special cases: a chord is never longer than its arc.
     """
     p, q = F.radians(S.col(lat)), F.radians(S.col(lon))
-    return [F.floor(c * S.EARTH_KM / side_km).cast("int") for c in (F.cos(p) * F.cos(q), F.cos(p) * F.sin(q), F.sin(p))]
+    return [F.floor(c * S.EARTH_KM / side_km + shift).cast("int") for c in (F.cos(p) * F.cos(q), F.cos(p) * F.sin(q), F.sin(p))]
 
 
 def cube_key(parts: Sequence[Column]) -> Column:

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import scalar as S
+from ..session import durable
 from . import joins as J, raster as R
 
 
@@ -32,21 +32,29 @@ def _km(lon1, lat1, lon2, lat2):
 def thin(df: DataFrame, min_km: float, max_count: int, keys: Sequence[str] = ("date",)) -> DataFrame:
     """TOP-03: lowest pressure first, keep a centre when it is far enough from all kept ones, up to ``max_count`` per time.
 
-    The choice is sequential within one time slice; a slice is bounded because strict
-    minima exclude their neighbours (at most a quarter of the grid nodes).
+    A centre can be decided as soon as none before it within ``min_km`` is undecided, so every round keeps
+    all centres of all times that are lower than their undecided neighbours and drops those around them.
+    What is kept of one time lies ``min_km`` apart and is few.
     """
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["center_pressure_hpa", "i", "j"], kind="stable")
-        lon, lat = pdf["lon"].to_numpy(float), pdf["lat"].to_numpy(float)
-        kept: list[int] = []
-        for n in range(len(pdf)):
-            if len(kept) >= max_count:
-                break
-            if not kept or _km(lon[n], lat[n], lon[kept], lat[kept]).min() >= min_km:
-                kept.append(n)
-        return pdf.iloc[kept]
-
-    return df.groupBy(*keys).applyInPandas(run, df.schema)
+    keys, order = list(keys), F.struct("center_pressure_hpa", "i", "j")
+    rows = durable(df.withColumn("_o", order))
+    later = rows.select(*keys, "_o", F.col("lon").alias("_lon"), F.col("lat").alias("_lat"))
+    first = rows.select(*[F.col(k).alias(f"_f_{k}") for k in keys], F.col("_o").alias("_first"), F.col("lon").alias("_flon"), F.col("lat").alias("_flat"))
+    near = J.radius_pairs(later, first, min_km, ("_lon", "_lat"), ("_flon", "_flat"), [(k, f"_f_{k}") for k in keys], "_km")
+    near = durable(near.filter((F.col("_first") < F.col("_o")) & (F.col("_km") < min_km)).select(*keys, "_first", "_o"))
+    ahead = lambda t: t.withColumnRenamed("_o", "_first")
+    open_, kept = rows.select(*keys, "_o"), None
+    while True:
+        now = open_.join(near.select(*keys, "_o").distinct(), [*keys, "_o"], "left_anti")
+        kept = now if kept is None else kept.unionByName(now)
+        beaten = near.join(ahead(now), [*keys, "_first"], "left_semi").select(*keys, "_o").distinct()
+        open_ = durable(near.select(*keys, "_o").distinct().join(beaten, [*keys, "_o"], "left_anti"))
+        if open_.isEmpty():
+            break
+        near = durable(near.join(ahead(open_), [*keys, "_first"], "left_semi").join(open_, [*keys, "_o"], "left_semi"))
+    place = F.row_number().over(W.partitionBy(*keys).orderBy("_o"))
+    best = kept.withColumn("_place", place).filter(F.col("_place") <= max_count)
+    return rows.join(best.select(*keys, "_o"), [*keys, "_o"], "left_semi").drop("_o")
 
 
 def nearest_centre(asks: DataFrame, points: DataFrame, radii=(500, 1000), id_cols: Sequence[str] = ("event_id", "lag"), day="sample_date") -> DataFrame:

@@ -1,8 +1,9 @@
 """Order-dependent linking: patches to events, events to clusters, centres to tracks.
 
-Each linker is a small sequential rule.  Spark first cuts the rows into units that
-cannot influence each other, then sorts every unit and streams it through the rule;
-a task holds only the live objects, never a whole unit.
+Patches and centres follow one another, so their links are a matching made first come, first
+served (``matching``).  Clusters move with all their members; their rule is sequential, and Spark
+cuts the events into units that cannot influence each other, sorts every unit and streams it
+through the rule; a task holds only the live clusters, never a whole unit.
 """
 
 from __future__ import annotations
@@ -14,7 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import scalar as S
-from . import graph, joins as J, ordered, raster as RA
+from ..session import durable
+from . import graph, joins as J, matching as M, ordered, raster as RA
 from .pressure import _km
 
 
@@ -100,25 +102,23 @@ def _day(value) -> int:
     return pd.Timestamp(value).toordinal()
 
 
-def _patch_rule(days: int, km: float):
-    def fresh():
-        live, today = _Live(), [None]
+def _first_come_links(rows: DataFrame, keys: Sequence[str], date: str, lon: str, lat: str, gaps: tuple[int, int], km: float) -> DataFrame:
+    """(p, q, cost, head) of (``_pos``, keys, date, place): each row takes the nearest row before it that is from ``gaps`` days before and
+    within ``km``, unless an earlier row took it.
 
-        def step(row):
-            day, lon, lat = _day(row["date"]), row["centroid_lon"], row["centroid_lat"]
-            if day != today[0]:
-                live.keep([day - d <= days for d in live.days])
-                today[0] = day
-            n, _ = live.nearest(lon, lat, km)
-            if n is None:
-                live.ids.append(row["object_id"]); live.days.append(day); live.lon.append(lon); live.lat.append(lat)
-                return (row["object_id"],)
-            live.days[n], live.lon[n], live.lat[n] = day, lon, lat
-            return (live.ids[n],)
-
-        return step
-
-    return fresh
+    Days lie in slots as wide as the longest gap, places in cubes as wide as the reach, so pairs come from an equality join.
+    """
+    keys, (least, most) = list(keys), gaps
+    wide = max(int(most), 1)
+    day = S.day_number(date)
+    slot = lambda d: F.floor(d / wide).cast("int")
+    blocks = M.block_of([F.lit(0), *keys], day, lambda shift: J.cube(lon, lat, 6 * km, shift), 16 * wide)
+    seen = rows.filter(F.col(lon).isNotNull() & F.col(lat).isNotNull())
+    q = seen.select(*[F.col(k).alias(f"_q_{k}") for k in keys], F.col("_pos").alias("q"), day.alias("_qday"), F.col(lon).alias("_qlon"), F.col(lat).alias("_qlat"), slot(day).alias("_qslot"), *blocks)
+    p = seen.select(*keys, F.col("_pos").alias("p"), day.alias("_day"), F.col(lon).alias("_lon"), F.col(lat).alias("_lat"), F.explode(F.sequence(slot(day - most), slot(day - least))).alias("_slot"))
+    gap = F.col("_day") - F.col("_qday")
+    pairs = J.radius_pairs(p, q, km, ("_lon", "_lat"), ("_qlon", "_qlat"), [(k, f"_q_{k}") for k in keys] + [("_slot", "_qslot")], "cost")
+    return M.first_come(pairs.filter((gap >= least) & (gap <= most) & (F.col("q") < F.col("p"))).select("p", "q", "cost", "even", "odd"))
 
 
 def track_patches(patches: DataFrame, days: int = 2, km: float = 300.0, keys: Sequence[str] = ("region",), id_prefix: str = "ULE") -> DataFrame:
@@ -127,14 +127,17 @@ def track_patches(patches: DataFrame, days: int = 2, km: float = 300.0, keys: Se
     Per key, in (date, loss descending, object id) order, a patch joins the nearest event
     whose last patch is at most ``days`` old and ``km`` away, else it opens an event.
     Patches of one day may chain into one event.  Ids number the openings over all keys.
+    An event is known by its last patch, and each patch is followed by one other at most, so
+    the links are a matching (``matching``), settled in blocks of space and time.
     """
     keys = list(keys)
-    order = ["date", F.col("cumulative_sic_loss").desc(), "object_id"]
-    units = proximity_units(patches, keys, "date", "centroid_lon", "centroid_lat", days, km)
-    linked = stream_units(units, [*keys, "unit"], order, _patch_rule(days, km), "opener string")
-    opened = linked.filter("opener = object_id").select(*keys, "date", "cumulative_sic_loss", "object_id")
-    numbers = ordered.row_numbers(opened, [], [*keys, *order], "_no").select(*keys, F.col("object_id").alias("opener"), S.numbered_id(id_prefix, "_no", 6).alias("unique_local_event_id"))
-    return linked.join(numbers, [*keys, "opener"]).drop("unit")
+    order = [*keys, "date", F.col("cumulative_sic_loss").desc(), "object_id"]
+    numbered = durable(ordered.row_numbers(patches, [], order, "_pos").drop("n_total"))
+    links = _first_come_links(numbered.select(*keys, "_pos", "date", "centroid_lon", "centroid_lat"), keys, "date", "centroid_lon", "centroid_lat", (0, days), km)
+    owner = numbered.select("_pos").join(links.select(F.col("p").alias("_pos"), "head"), "_pos", "left").withColumn("head", F.coalesce("head", "_pos"))
+    openers = numbered.select(F.col("_pos").alias("head"), F.col("object_id").alias("opener")).join(owner.filter("head = _pos").select("head"), "head", "left_semi")
+    numbers = ordered.row_numbers(openers, [], ["head"], "_no").select("head", "opener", S.numbered_id(id_prefix, "_no", 6).alias("unique_local_event_id"))
+    return numbered.join(owner.join(numbers, "head").drop("head"), "_pos").drop("_pos")
 
 
 def membership(linked: DataFrame) -> DataFrame:
@@ -288,45 +291,19 @@ def cluster_member_lists(members: DataFrame, keys: Sequence[str] = ("cluster_id"
     return n.groupBy(*keys, part).agg(ids.alias("member_event_ids"))
 
 
-def _track_rule(km: float):
-    def fresh():
-        live, used, today = _Live(), [], [None]
-
-        def step(row):
-            day, lon, lat = _day(row["date"]), row["lon"], row["lat"]
-            if day != today[0]:
-                live.keep([day - d == 1 for d in live.days])
-                used[:] = [False] * len(live.ids)
-                today[0] = day
-            yesterday = np.asarray([d == day - 1 for d in live.days]) & ~np.asarray(used, dtype=bool) if live.ids else None
-            n, dist = live.nearest(lon, lat, km, yesterday)
-            if n is None:
-                me = f"{day}:{row['i']}:{row['j']}"
-                live.ids.append(me); live.days.append(day); live.lon.append(lon); live.lat.append(lat); used.append(True)
-                return me, None
-            live.days[n], live.lon[n], live.lat[n] = day, lon, lat
-            used[n] = True
-            return live.ids[n], dist
-
-        return step
-
-    return fresh
-
-
 def link_tracks(centres: DataFrame, km: float = 1000.0, min_days: int = 2) -> DataFrame:
     """SEQ-03: link daily centres to tracks; drop short tracks, renumber by opening order, add WIN-08 columns.
 
-    Lowest pressure first, a centre takes the nearest unused track that ended the day
-    before.  A link needs a track end of the day before within reach, so units are parts
-    of the space-time cells that touch; thinning bounds the centres of a day.
+    Lowest pressure first, a centre takes the nearest track that ended the day before and that
+    no other took; of equally near ones the track that was opened first.
     """
-    order = ["date", "center_pressure_hpa", "i", "j"]
-    cut = proximity_units(centres, [], "date", "lon", "lat", 1, km, "island")
-    linked = stream_units(cut, ["island"], order, _track_rule(km), "track_key string, link_distance_km double")
-    lengths = linked.groupBy("track_key").agg(F.count_distinct("date").alias("track_length_days"), F.min(F.struct(*order)).alias("_open")).filter(F.col("track_length_days") >= min_days)
-    ids = ordered.row_numbers(lengths.select("track_key", "track_length_days", "_open"), [], ["_open"], "track_id").drop("n_total", "_open")
-    w = W.partitionBy("track_key").orderBy("date")
-    return linked.join(ids, "track_key").withColumn("track_day_index", F.row_number().over(w)).drop("island", "track_key")
+    numbered = durable(ordered.row_numbers(centres, [], ["date", "center_pressure_hpa", "i", "j"], "_pos").drop("n_total"))
+    links = _first_come_links(numbered.select("_pos", "date", "lon", "lat"), [], "date", "lon", "lat", (1, 1), km)
+    linked = numbered.join(links.select(F.col("p").alias("_pos"), F.col("cost").alias("link_distance_km"), "head"), "_pos", "left").withColumn("head", F.coalesce("head", "_pos"))
+    lengths = linked.groupBy("head").agg(F.count_distinct("date").alias("track_length_days")).filter(F.col("track_length_days") >= min_days)
+    ids = ordered.row_numbers(lengths, [], ["head"], "track_id").drop("n_total")
+    w = W.partitionBy("head").orderBy("date")
+    return linked.join(ids, "head").withColumn("track_day_index", F.row_number().over(w)).drop("head", "_pos")
 
 
 def track_summary(points: DataFrame) -> DataFrame:
