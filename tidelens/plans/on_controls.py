@@ -136,20 +136,21 @@ def _(spark, sf):
 
 # ---- reverse ---------------------------------------------------------------------------
 
-def low_series(spark, sf):
-    return ts.fill_days(I.daily(spark, sf).filter("series_id = '5-LOW'")).select("date", R("value", 9).alias("value"))
+def total_extent(spark, sf):
+    """Daily total over all series, gaps filled in each."""
+    return ts.fill_days(I.daily(spark, sf)).groupBy("date").agg(R(F.sum("value"), 9).alias("value"))
 
 
 def classified(spark, sf):
     e = I.events(spark, sf)
     linked = e.filter("overlap_with_series_event").select("unique_local_event_id", F.lit("PAN").alias("pan_event_id"))
-    pan = I.pan(spark, sf).filter("region = 'R0'")
-    return C.classify_events(e, linked, pan, low_series(spark, sf), low_series(spark, sf), (1, 2, 3, 4, 5, 6))
+    total = durable(total_extent(spark, sf))
+    return C.classify_events(e, linked, I.pan(spark, sf), total, total, (1, 2, 3, 4, 5, 6))
 
 
-CLS = I.with_ctes("ev", "pan", "daily") + ", " + FILLED + """, ls AS (SELECT date, round(value, 9) + 0.0 AS value FROM filled WHERE series_id = '5-LOW'),
+CLS = I.with_ctes("ev", "pan", "daily") + ", " + FILLED + """, ls AS (SELECT date, round(sum(value), 9) + 0.0 AS value FROM filled GROUP BY 1),
 cl AS (SELECT unique_local_event_id AS id, dominant_region, event_start AS d, overlap_with_series_event AS linked, s.value AS v, month(event_start) <= 6 AS okm, e.date IS NOT NULL AND s.date IS NOT NULL AS okr,
- NOT overlap_with_series_event AND EXISTS (SELECT 1 FROM pan WHERE region = 'R0' AND event_start - 5 <= event_date AND event_date - 5 <= event_start) AS excl,
+ NOT overlap_with_series_event AND EXISTS (SELECT 1 FROM pan WHERE event_start - 5 <= event_date AND event_date - 5 <= event_start) AS excl,
  CASE WHEN NOT (month(event_start) = 2 AND day(event_start) = 29) THEN CAST(dayofyear(make_date(2001, month(event_start), day(event_start))) AS INTEGER) END AS sd FROM ev LEFT JOIN ls s ON s.date = event_start - 5 LEFT JOIN ls e ON e.date = event_start),
 cs AS (SELECT *, okm AND okr AND v IS NOT NULL AS elig, NOT linked AND okm AND okr AND v IS NOT NULL AND NOT excl AS ctl FROM cl)"""
 

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W, functions as F
 from ..functions import fixed, geometry as G, scalar as S
 from ..operators import budget as B, joins as J, quality as Q, raster as RA
 from ..sources import catalog, cells as C
-from . import inputs as I
+from . import inputs as I, on_raster as ON_RASTER
 from .on_budget import BASE2, CDR, cells, classes, dates
 from .registry import query
 
@@ -181,12 +181,11 @@ def _(spark, sf):
     return Q.contiguous_offsets(idx, ["region"], ["object_id"], "start_offset", "object_area_cells").select("region", "object_id", "contiguous")
 
 
-@query("ras_16_patch_geometry", I.with_ctes("pcell", "grid") + """, c AS (SELECT p.object_id, lon, lat, greatest(-delta, 0) AS w FROM pcell p JOIN grid g ON g.y = p.y AND g.x = p.x), s AS (SELECT object_id, max(lon) - min(lon) AS span FROM c GROUP BY 1)
-SELECT object_id, round(sum(w * lat) / sum(w), 6) + 0.0 AS centroid_lat, round(sum(w * lon) / sum(w), 6) + 0.0 AS centroid_lon FROM c JOIN s USING (object_id) GROUP BY 1 HAVING any_value(span) <= 180""")
+@query("ras_16_patch_geometry", I.with_ctes("pcell", "grid") + ", pc AS (SELECT p.object_id, lon, lat, x_m, y_m, greatest(-delta, 0) AS w FROM pcell p JOIN grid g ON g.y = p.y AND g.x = p.x)" + ON_RASTER.GAPS.replace("date, label_id", "object_id").replace("GROUP BY 1, 2", "GROUP BY object_id") + " " + ON_RASTER.centroid_sql("object_id"))
 def _(spark, sf):
     c = I.patch_cells(spark, sf).join(I.grid(spark, sf), ["y", "x"]).withColumn("w", F.greatest(-F.col("delta"), F.lit(0.0)))
-    g = RA.weighted_centroid(c, ["object_id"], "w").filter("geometry_class = 'ORDINARY'")
-    return g.select("object_id", R("centroid_lat").alias("centroid_lat"), R("centroid_lon").alias("centroid_lon"))
+    g = RA.weighted_centroid(c, ["object_id"], "w")
+    return g.select("object_id", "geometry_class", R("centroid_lat").alias("centroid_lat"), R("centroid_lon").alias("centroid_lon"))
 
 
 @query("src_07_match_frames", I.with_ctes("ev", "pan", "daily") + """ SELECT unique_local_event_id AS event_id, 'severe' AS definition, dominant_region AS region, event_start AS event_date, event_start AS start_date, event_end AS end_date, track_centroid_lon AS centroid_lon, track_centroid_lat AS centroid_lat FROM ev

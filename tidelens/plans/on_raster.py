@@ -241,12 +241,33 @@ def _(spark, sf):
     return g.select("date", "label_id", "raw_span_deg", "covering_arc_deg", "largest_gap_deg", "arc_start_deg", "tie_count", "geometry_class")
 
 
-@query("sca_04_05_centroid_by_class", PATCH + GAPS + """ SELECT date, label_id, any_value(geometry_class) AS geometry_class,
- round(CASE any_value(geometry_class) WHEN 'ORDINARY' THEN sum(w * lon) / sum(w) ELSE (sum(w * CASE WHEN (lon + 360) % 360 < arc_start_deg - 1e-12 THEN (lon + 360) % 360 + 360 ELSE (lon + 360) % 360 END) / sum(w) + 180) % 360 - 180 END, 6) + 0.0 AS centroid_lon,
- round(sum(w * lat) / sum(w), 6) + 0.0 AS centroid_lat FROM pc JOIN geo USING (date, label_id) GROUP BY 1, 2 HAVING any_value(geometry_class) <> 'LONGITUDE_DISTRIBUTED'""")
+def inverse_sql(x: str, y: str) -> tuple[str, str]:
+    """(lon, lat) in SQL of polar stereographic metres: isometric colatitude, then the series from conformal to geodetic latitude."""
+    import math
+
+    e2 = 1 - (fixed.GRID_SEMI_MINOR_M / fixed.GRID_SEMI_MAJOR_M) ** 2
+    e, ts = math.sqrt(e2), math.radians(fixed.GRID_TRUE_SCALE_LAT)
+    tc = math.tan(math.pi / 4 - ts / 2) * ((1 + e * math.sin(ts)) / (1 - e * math.sin(ts))) ** (e / 2)
+    mc = math.cos(ts) / math.sqrt(1 - e2 * math.sin(ts) ** 2)
+    chi = f"(pi() / 2 - 2 * atan(sqrt(({x}) * ({x}) + ({y}) * ({y})) * {tc / (fixed.GRID_SEMI_MAJOR_M * mc)!r}::DOUBLE))"
+    series = (e2 / 2 + 5 * e2**2 / 24 + e2**3 / 12 + 13 * e2**4 / 360, 7 * e2**2 / 48 + 29 * e2**3 / 240 + 811 * e2**4 / 11520, 7 * e2**3 / 120 + 81 * e2**4 / 1120, 4279 * e2**4 / 161280)
+    lat = " + ".join([chi, *[f"{c!r}::DOUBLE * sin({2 * k + 2} * {chi})" for k, c in enumerate(series)]])
+    return f"(degrees(atan2({x}, -({y}))) + {fixed.GRID_LON_0} + 900) % 360 - 180", f"degrees({lat})"
+
+
+def centroid_sql(keys: str, classes: str = "geo") -> str:
+    """Centroid by longitude class of cells pc (keys, lon, lat, x_m, y_m, w): plain mean, mean on the unwrapped branch, projected barycentre."""
+    lon, lat = inverse_sql("mx", "my")
+    mean = lambda v: f"CASE WHEN sum(w) > 0 THEN sum(w * {v}) / sum(w) ELSE avg({v}) END"
+    branch = "CASE WHEN (lon + 360) % 360 < arc_start_deg - 1e-12 THEN (lon + 360) % 360 + 360 ELSE (lon + 360) % 360 END"
+    return f"""SELECT {keys}, geometry_class, round(CASE geometry_class WHEN 'ORDINARY' THEN ml WHEN 'WRAP_ONLY' THEN (mu + 180) % 360 - 180 ELSE {lon} END, 6) + 0.0 AS centroid_lon, round(CASE WHEN geometry_class = 'LONGITUDE_DISTRIBUTED' THEN {lat} ELSE mb END, 6) + 0.0 AS centroid_lat
+ FROM (SELECT {keys}, any_value(geometry_class) AS geometry_class, {mean("lon")} AS ml, {mean("lat")} AS mb, {mean(branch)} AS mu, {mean("x_m")} AS mx, {mean("y_m")} AS my FROM pc JOIN {classes} USING ({keys}) GROUP BY {keys})"""
+
+
+@query("sca_04_05_centroid_by_class", PATCH + GAPS + " " + centroid_sql("date, label_id"))
 def _(spark, sf):
     c = patch_cells(spark, sf).withColumn("w", F.greatest(-F.col("delta"), F.lit(0.0)))
-    g = RA.weighted_centroid(c, ["date", "label_id"], "w").filter("geometry_class <> 'LONGITUDE_DISTRIBUTED'")
+    g = RA.weighted_centroid(c, ["date", "label_id"], "w")
     return g.select("date", "label_id", "geometry_class", R("centroid_lon").alias("centroid_lon"), R("centroid_lat").alias("centroid_lat"))
 
 
