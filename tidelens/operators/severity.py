@@ -21,17 +21,19 @@ def _long(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = (), regio
     return df.select(*keep, F.inline(F.array(*whole, *local)))
 
 
-def with_cuts(events: DataFrame, percentiles: Sequence[float]) -> DataFrame:
+def with_cuts(events: DataFrame, percentiles: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """Attach global and region quantiles of loss, area and intensity for each percentile (WIN-06).
 
     All quantiles come from one distributed rank pass; they reach the rows through one
-    scalar row and one small join.
+    scalar row and one small join.  With ``by`` every catalogue has its own quantiles.
     """
-    probs = {f"q{i}": 1 - p / 100 for i, p in enumerate(percentiles)}
-    q = ordered.quantiles(_long(events, [LOSS, AREA, INTENSITY], regional=[LOSS, AREA]), ["metric", "scope"], "value", probs)
+    probs, by = {f"q{i}": 1 - p / 100 for i, p in enumerate(percentiles)}, list(by)
+    q = ordered.quantiles(_long(events, [LOSS, AREA, INTENSITY], by, regional=[LOSS, AREA]), [*by, "metric", "scope"], "value", probs)
     pick = lambda c, pre: F.max(F.when(F.col("metric") == c, F.struct(*probs))).alias(f"{pre}{c}")
-    whole = q.filter("scope = '*'").agg(*[pick(c, "_g_") for c in (LOSS, AREA, INTENSITY)])
-    local = q.filter("scope <> '*'").groupBy(F.substring("scope", 3, 10000).alias("dominant_region")).agg(*[pick(c, "_r_") for c in (LOSS, AREA)])
+    whole = q.filter("scope = '*'").groupBy(*by).agg(*[pick(c, "_g_") for c in (LOSS, AREA, INTENSITY)])
+    local = q.filter("scope <> '*'").groupBy(*by, F.substring("scope", 3, 10000).alias("dominant_region")).agg(*[pick(c, "_r_") for c in (LOSS, AREA)])
+    if by:
+        return events.join(whole, by).join(local, [*by, "dominant_region"], "left")
     out = events.withColumn("_q", whole.select(F.struct("*")).scalar())
     for c in (LOSS, AREA, INTENSITY):
         out = out.withColumn(f"_g_{c}", F.col(f"_q._g_{c}"))
@@ -50,9 +52,9 @@ def severe_flags(cut: DataFrame, at: int, min_cells, min_days, threshold) -> dic
     return {"global": glob, "region_normalized": reg, "primary_union": glob | reg}
 
 
-def mark_severe(events: DataFrame, percentile: float = 20.0, min_cells: int = 100, min_days: int = 2, threshold: float = -0.10) -> DataFrame:
-    """SEV-01."""
-    cut = with_cuts(events, [percentile])
+def mark_severe(events: DataFrame, percentile: float = 20.0, min_cells: int = 100, min_days: int = 2, threshold: float = -0.10, by: Sequence[str] = ()) -> DataFrame:
+    """SEV-01, for every catalogue named by ``by`` on its own."""
+    cut = with_cuts(events, [percentile], by)
     f = severe_flags(cut, 0, min_cells, min_days, threshold)
     return (cut.withColumn("severity_loss_threshold", F.col(f"_g_{LOSS}")["q0"]).withColumn("severity_area_threshold_cells", F.col(f"_g_{AREA}")["q0"])
             .withColumn("is_severe_global", f["global"]).withColumn("is_severe_region_normalized", f["region_normalized"]).withColumn("is_severe_primary", f["primary_union"])
@@ -80,24 +82,32 @@ def severity_grid(events: DataFrame, percentiles, sizes, days, thresholds) -> Da
 RANKED = ("cumulative_loss", "max_area_km2", "max_intensity", "duration_days")
 
 
-def with_severity_index(severe: DataFrame, id_col: str = "unique_local_event_id") -> DataFrame:
+def with_severity_index(severe: DataFrame, id_col: str = "unique_local_event_id", by: Sequence[str] = ()) -> DataFrame:
     """Average-rank percentiles (global and per region) and their means (WIN-05), from one rank pass."""
-    flat = _long(severe, RANKED, [id_col])
-    table = ordered.value_ranks(flat, ["metric", "scope"], "value")
+    by = list(by)
+    flat = _long(severe, RANKED, [*by, id_col])
+    table = ordered.value_ranks(flat, [*by, "metric", "scope"], "value")
     pct = (F.col("n_before") + (F.col("n_equal") + 1) / 2) / F.col("n_total")
-    seen = flat.join(table, ["metric", "scope", "value"]).withColumn("pct", pct)
+    seen = flat.join(table, [*by, "metric", "scope", "value"]).withColumn("pct", pct)
     one = lambda c, whole: F.max(F.when((F.col("metric") == c) & ((F.col("scope") == "*") == F.lit(whole)), F.col("pct")))
-    wide = seen.groupBy(id_col).agg(*[one(c, True).alias(f"global_rank_{c}") for c in RANKED], *[one(c, False).alias(f"region_rank_{c}") for c in RANKED])
-    out = severe.join(wide, id_col)
+    wide = seen.groupBy(*by, id_col).agg(*[one(c, True).alias(f"global_rank_{c}") for c in RANKED], *[one(c, False).alias(f"region_rank_{c}") for c in RANKED])
+    out = severe.join(wide, [*by, id_col])
     mean = lambda p: sum((F.col(f"{p}_rank_{c}") for c in RANKED[1:]), F.col(f"{p}_rank_{RANKED[0]}")) / 4
     return out.withColumn("severity_index_global", mean("global")).withColumn("severity_index_region", mean("region"))
 
 
-def major_rules(ranked: DataFrame) -> list[tuple[str, str, object]]:
-    """SEV-03: seven (family, name, condition) rules in the order in which they claim an event."""
-    probs = {"q80": 0.8, "q85": 0.85, "q90": 0.9}
-    q = ordered.quantiles(_long(ranked, ["cumulative_loss", "max_area_km2", "severity_index_global"], regional=[]), ["metric", "scope"], "value", probs)
-    cut = lambda c: q.filter(F.col("metric") == c).agg(F.max(F.struct(*probs))).scalar()
+def with_major_cuts(ranked: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Attach the quantiles that the major rules compare with, as ``_cuts``."""
+    probs, by = {"q80": 0.8, "q85": 0.85, "q90": 0.9}, list(by)
+    names = ("cumulative_loss", "max_area_km2", "severity_index_global")
+    q = ordered.quantiles(_long(ranked, names, by, regional=[]), [*by, "metric", "scope"], "value", probs)
+    wide = q.groupBy(*by).agg(F.struct(*[F.max(F.when(F.col("metric") == c, F.struct(*probs))).alias(c) for c in names]).alias("_cuts"))
+    return ranked.join(wide, by) if by else ranked.withColumn("_cuts", wide.scalar())
+
+
+def major_rules() -> list[tuple[str, str, object]]:
+    """SEV-03: seven (family, name, condition) rules in the order in which they claim an event; they read ``_cuts``."""
+    cut = lambda c: F.col("_cuts")[c]
     loss, area, index = cut("cumulative_loss"), cut("max_area_km2")["q80"], cut("severity_index_global")
     lasting = F.col("duration_days") >= 2
     rules = []
@@ -110,21 +120,22 @@ def major_rules(ranked: DataFrame) -> list[tuple[str, str, object]]:
     return rules
 
 
-def select_major(severe: DataFrame) -> tuple[DataFrame, DataFrame]:
+def select_major(severe: DataFrame, by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """SEV-03 / SET-02: events that satisfy at least one rule, carrying the first rule they met, and the counts per rule.
 
     One row per event goes in and at most one comes out: the first true rule is a
     conditional expression, so no union and no de-duplication is needed.
     """
-    ranked = durable(with_severity_index(durable(severe)))
-    rules = major_rules(ranked)
+    by = list(by)
+    ranked = durable(with_severity_index(durable(severe), by=by))
+    rules = major_rules()
     hits = F.array(*[F.coalesce(c, F.lit(False)) for *_, c in rules])
-    ranked = ranked.withColumn("_hits", hits)
+    ranked = with_major_cuts(ranked, by).withColumn("_hits", hits).drop("_cuts")
     names = F.array(*[F.lit(n) for _, n, _ in rules])
     first = F.get(F.filter(F.transform(F.arrays_zip(F.col("_hits").alias("h"), names.alias("n")), lambda z: F.when(z["h"], z["n"])), lambda v: v.isNotNull()), F.lit(0))
     major = ranked.withColumn("major_definition", first).filter(F.col("major_definition").isNotNull()).drop("_hits")
     tops = [10, 15, 10, 15, 10, 15, 20]
-    counts = ranked.agg(*[F.count_if(F.col("_hits")[i]).alias(f"c{i}") for i in range(len(rules))]).select(F.inline(F.array(*[
+    counts = ranked.groupBy(*by).agg(*[F.count_if(F.col("_hits")[i]).alias(f"c{i}") for i in range(len(rules))]).select(*by, F.inline(F.array(*[
         F.struct(F.lit(rules[i][0]).alias("family"), F.lit(tops[i] / 100).alias("threshold"), F.col(f"c{i}").alias("event_count")) for i in range(len(rules))])))
     return major, counts
 

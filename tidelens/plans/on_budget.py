@@ -372,15 +372,6 @@ def _(spark, sf):
     return I.pan(spark, sf).join(d.select("series_id", F.col("date").alias("event_date"), "delta"), "event_date", "left").select("event_id", "event_date", "series_id", R("delta").alias("delta"))
 
 
-@query("ras_18_floor_catalogue", I.with_ctes("patch", recursive=True) + ", fl AS (SELECT patch.*, s AS scenario FROM patch JOIN (VALUES ('none', -1.0::DOUBLE), ('0.15', 0.15::DOUBLE), ('0.3', 0.3::DOUBLE)) v(s, least_) ON k % 10 / 10.0::DOUBLE >= least_), " + WK.patch_walk("fl", "scenario, region") + " SELECT scenario, region, count(*) AS patches, count(*) FILTER (opener = object_id) AS events FROM linked GROUP BY 1, 2")
-def _(spark, sf):
-    from ..operators import tracking as T
-    from ..sources.catalog import with_floors
-    p = with_floors(I.patches(spark, sf).withColumn("start_value", F.col("k") % 10 / 10.0), "start_value", (None, 0.15, 0.3))
-    linked = T.track_patches(p, keys=["scenario", "region"])
-    return linked.groupBy("scenario", "region").agg(F.count(F.lit(1)).alias("patches"), F.count_if(F.col("opener") == F.col("object_id")).alias("events"))
-
-
 @query("ras_20_floor_branch_pairing", BASE2 + CDR + """, f AS (SELECT s, cc.date, coalesce(class, 0) AS k, loss * area_km2 AS l FROM cc LEFT JOIN kc ON kc.date = cc.date AND kc.y = cc.y AND kc.x = cc.x, (VALUES ('none', -1.0::DOUBLE), ('0.15', 0.15::DOUBLE)) v(s, fl) WHERE s = 'none' OR start_value >= fl),
 a AS (SELECT date, sum(l) AS gross_loss, sum(CASE WHEN k = 3 THEN l ELSE 0 END) AS m FROM f WHERE s = 'none' GROUP BY 1), b AS (SELECT date, sum(l) AS gross_loss, sum(CASE WHEN k = 3 THEN l ELSE 0 END) AS m FROM f WHERE s <> 'none' GROUP BY 1)
 SELECT coalesce(a.date, b.date) AS date, round(a.gross_loss, 6) + 0.0 AS primary_gross_loss, round(a.m, 6) + 0.0 AS primary_loss_major_severe, round(b.gross_loss, 6) + 0.0 AS floor_gross_loss, round(b.m, 6) + 0.0 AS floor_loss_major_severe, 'both' AS seen_in FROM a FULL OUTER JOIN b ON a.date = b.date""")

@@ -64,13 +64,14 @@ def _(spark, sf):
     return C.matching_quality(a, "pan_event_id").select("pan_event_id", "n_selected_controls", *rr(["median_abs", "p90_abs", "max_abs", "median_rel", "median_signed"], 9))
 
 
-def forward_metrics(spark, sf):
-    """STA-19: budgets of the event window and of every selected control window in one table"""
+def forward_metrics(spark, sf, floor=None):
+    """STA-19: budgets of the event window and of every selected control window in one table; ``floor`` leaves out cells that start below it"""
     p = pan_two(spark, sf)
     _, a = forward(spark, sf)
     rows = p.select("pan_event_id", F.lit(0).alias("selected_rank"), F.col("event_date").alias("date")).unionByName(a.select("pan_event_id", "selected_rank", F.col("control_anchor_date").alias("date")))
     days = rows.select("date").distinct()
     c = B.change_cells(I.field(spark, sf), I.grid(spark, sf), 5, days)
+    c = c if floor is None else c.filter(F.col("start_value") >= floor)
     rb = durable(B.region_window_budget(c))
     m = I.members(spark, sf)
     major = B.class_cells(p.select(F.col("event_date").alias("date")).distinct(), m, I.patch_cells(spark, sf), "cdr").filter("class = 3").select(F.col("date").alias("event_date"), "y", "x")
@@ -104,8 +105,8 @@ md AS (SELECT pan_event_id, metric, k, quantile_cont(v, 0.5) AS med, count(v) AS
 df AS (SELECT e.pan_event_id, e.event_date, e.metric, kk.k AS control_count, e.v AS case_value, coalesce(n, 0) AS n_valid_controls, CASE WHEN n >= {LEAST} THEN med END AS control_median, CASE WHEN n >= {LEAST} THEN e.v - med END AS difference FROM fu e JOIN kk ON true LEFT JOIN md ON md.pan_event_id = e.pan_event_id AND md.metric = e.metric AND md.k = kk.k WHERE e.rk = 0)"""
 
 
-def forward_differences(spark, sf):
-    m, _, _ = forward_metrics(spark, sf)
+def forward_differences(spark, sf, floor=None):
+    m, _, _ = forward_metrics(spark, sf, floor)
     case, ctl = m.filter("selected_rank = 0"), m.filter("selected_rank > 0")
     return C.case_minus_controls(case, ctl, "pan_event_id", MET, (5, 8), LEAST)
 

@@ -255,12 +255,12 @@ def inverse_sql(x: str, y: str) -> tuple[str, str]:
     return f"(degrees(atan2({x}, -({y}))) + {fixed.GRID_LON_0} + 900) % 360 - 180", f"degrees({lat})"
 
 
-def centroid_sql(keys: str, classes: str = "geo") -> str:
+def centroid_sql(keys: str, classes: str = "geo", digits: int = 6) -> str:
     """Centroid by longitude class of cells pc (keys, lon, lat, x_m, y_m, w): plain mean, mean on the unwrapped branch, projected barycentre."""
     lon, lat = inverse_sql("mx", "my")
     mean = lambda v: f"CASE WHEN sum(w) > 0 THEN sum(w * {v}) / sum(w) ELSE avg({v}) END"
     branch = "CASE WHEN (lon + 360) % 360 < arc_start_deg - 1e-12 THEN (lon + 360) % 360 + 360 ELSE (lon + 360) % 360 END"
-    return f"""SELECT {keys}, geometry_class, round(CASE geometry_class WHEN 'ORDINARY' THEN ml WHEN 'WRAP_ONLY' THEN (mu + 180) % 360 - 180 ELSE {lon} END, 6) + 0.0 AS centroid_lon, round(CASE WHEN geometry_class = 'LONGITUDE_DISTRIBUTED' THEN {lat} ELSE mb END, 6) + 0.0 AS centroid_lat
+    return f"""SELECT {keys}, geometry_class, round(CASE geometry_class WHEN 'ORDINARY' THEN ml WHEN 'WRAP_ONLY' THEN (mu + 180) % 360 - 180 ELSE {lon} END, {digits}) + 0.0 AS centroid_lon, round(CASE WHEN geometry_class = 'LONGITUDE_DISTRIBUTED' THEN {lat} ELSE mb END, {digits}) + 0.0 AS centroid_lat
  FROM (SELECT {keys}, any_value(geometry_class) AS geometry_class, {mean("lon")} AS ml, {mean("lat")} AS mb, {mean(branch)} AS mu, {mean("x_m")} AS mx, {mean("y_m")} AS my FROM pc JOIN {classes} USING ({keys}) GROUP BY {keys})"""
 
 
