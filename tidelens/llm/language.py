@@ -22,11 +22,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import pack, text_blocks, unpack
+from .common import pack, staged, text_blocks, unpack
 
 LONGEST = 3
 #: Labelled texts that the model learns from, all languages together.
 SAMPLE = 2_048
+#: Up to so many languages, their table goes to every task, so that no language's texts meet in one; beyond, no language is so common.
+FEW_LANGUAGES = 20_000
 #: Parts of the sample; each is held back once, and the temperature is fitted to what the others say about it.
 FOLDS = 3
 #: What a text without letters gets.
@@ -191,8 +193,11 @@ def in_training(key: str = "doc_id"):
 
 def _sampled(learn: DataFrame, sample: int) -> list[dict]:
     """Gram counts of about ``sample`` texts, the same number of each language, by hash; never more than twice ``sample``."""
-    sizes = learn.groupBy("lang").agg(F.count(F.lit(1)).alias("of_lang"))
-    quota = sizes.select("lang", (F.lit(sample / max(1, sizes.count())) / F.col("of_lang")).alias("share"))
+    sizes = staged(learn.groupBy("lang").agg(F.count(F.lit(1)).alias("of_lang")), "languages")
+    languages = sizes.count()
+    quota = sizes.select("lang", (F.lit(sample / max(1, languages)) / F.col("of_lang")).alias("share"))
+    if languages <= FEW_LANGUAGES:
+        quota = F.broadcast(quota)
     spread = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30))
     chosen = learn.withColumn("order", spread).join(quota, "lang").filter(F.col("order") < F.col("share") * (1 << 30)).select("order", "lang", "text")
 
