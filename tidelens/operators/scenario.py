@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import scalar as S
 from ..session import durable
 from ..sources.catalog import with_floors
-from . import budget as B, ordered, raster as RA, severity as SV, tracking as T
+from . import joins as J, ordered, raster as RA, severity as SV, tracking as T
 
 KEYS = ["scenario", "date", "component"]
 
@@ -131,3 +131,22 @@ def paired(table: DataFrame, keys: Sequence[str], columns: Sequence[str], primar
     side = lambda s, p: table.filter(F.col("scenario") == s).select(*keys, *[F.col(c).alias(f"{p}_{c}") for c in columns])
     both = side(primary, "primary").join(side(other, "floor"), list(keys), "full")
     return both.select("*", *[(F.col(f"floor_{c}") - F.col(f"primary_{c}")).alias(f"change_{c}") for c in columns])
+
+
+def event_points(linked: DataFrame, cells: DataFrame) -> DataFrame:
+    """(scenario, event, event_date, px_m, py_m): loss-weighted place of all of an event's cells on the projected plane, at its first day."""
+    key = ["scenario", "unique_local_event_id"]
+    c = cells.select("scenario", "date", "component", "x_m", "y_m", F.greatest(-F.col("delta"), F.lit(0.0)).alias("w"))
+    a = linked.select(*key, "date", "component").join(c, ["scenario", "date", "component"]).groupBy(*key).agg(
+        F.min("date").alias("event_date"), F.sum("w").alias("_w"), *[F.sum(F.col("w") * F.col(v)).alias(f"_{v}") for v in ("x_m", "y_m")])
+    return a.select(*key, "event_date", (F.col("_x_m") / F.col("_w")).alias("px_m"), (F.col("_y_m") / F.col("_w")).alias("py_m"))
+
+
+def event_samples(points: DataFrame, grid: DataFrame, field: DataFrame, lags: Sequence[int], radii: Sequence[int], change_days: int = 5) -> DataFrame:
+    """EVI-10: the field around every event of every scenario, at each lag and radius, with its change.
+
+    A place is paired with the grid once, whatever the lags; scenarios are told apart by the event only.
+    """
+    p = points.withColumn("point_id", F.struct("scenario", "unique_local_event_id"))
+    out = J.lag_buffers(p, J.plane_pairs(p, grid, float(max(radii))), field, lags, radii, change_days)
+    return out.select("point_id.scenario", "point_id.unique_local_event_id", "event_date", "lag", "buffer_km", "mean_buffer", "change_buffer")

@@ -1,13 +1,13 @@
-"""Floor scenarios from cells to tiers, overlap, composition and controls: RAS-18, RAS-20."""
+"""Floor scenarios from cells to tiers, overlap, composition, controls and evidence: RAS-18, RAS-20, EVI-10."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..operators import budget as B, scenario as SC, severity as SV
+from ..operators import budget as B, evidence as E, joins as J, scenario as SC, severity as SV
 from ..session import durable
-from . import inputs as I, on_controls as OC, on_events as OE, on_raster as RA, walks as WK
+from . import inputs as I, on_controls as OC, on_events as OE, on_evidence as OV, on_raster as RA, walks as WK
 from .registry import query
 
 R = S.rounded
@@ -166,3 +166,56 @@ def _(spark, sf):
     p = SC.paired(both, ["pan_event_id", "metric", "control_count"], ["difference"], "none", "0.15")
     p = p.select("pan_event_id", "metric", "control_count", *rr(["primary_difference", "floor_difference", "change_difference"]))
     return p.withColumn("direction_preserved", F.signum("primary_difference") == F.signum("floor_difference"))
+
+
+LAGS = (-10, -7, -5, -3, -1, 0, 1, 3, 5)
+
+
+def floor_samples(spark, sf):
+    """samples around the events of every catalogue, in the columns that the six diagnostics read"""
+    found = cells(spark, sf)
+    linked, events, _ = catalogues(spark, sf, found)
+    x = SC.event_samples(SC.event_points(linked, found), I.grid(spark, sf), I.field(spark, sf), LAGS, OV.BUFFERS, DAYS)
+    code = F.concat(F.lit("R"), F.coalesce(F.nullif("dominant_region", F.lit("")).cast("int"), F.lit(0)) % 5)
+    return x.join(events.select("scenario", "unique_local_event_id", code.alias("region")), ["scenario", "unique_local_event_id"]).select(
+        "scenario", F.col("unique_local_event_id").alias("event_id"), "region", "buffer_km", F.year("event_date").alias("year"), "lag", R(F.col("mean_buffer") * 4, 12).alias("v1"), R("change_buffer", 12).alias("v2"))
+
+
+SAMPLES = EVENTS + f""", pp AS (SELECT lk.scenario, unique_local_event_id, min(lk.date) AS event_date, sum(w * x_m) / sum(w) AS px, sum(w * y_m) / sum(w) AS py FROM lk JOIN pc ON pc.s = lk.scenario AND pc.date = lk.date AND pc.component = lk.component GROUP BY 1, 2),
+gpt AS (SELECT scenario, unique_local_event_id, g.y, g.x, sqrt(pow(x_m - px, 2) + pow(y_m - py, 2)) / 1000.0 AS km FROM pp, grid g WHERE sqrt(pow(x_m - px, 2) + pow(y_m - py, 2)) / 1000.0 <= {max(OV.BUFFERS)}),
+wt AS (SELECT scenario, unique_local_event_id, event_date, l AS lag, event_date + CAST(l AS INTEGER) AS sd FROM pp, (SELECT unnest({list(LAGS)}) AS l)), dy AS (SELECT scenario, unique_local_event_id, sd FROM wt UNION SELECT scenario, unique_local_event_id, sd - {DAYS} FROM wt),
+mn AS (SELECT dy.scenario, dy.unique_local_event_id, sd, b AS buffer_km, avg(value) AS m FROM dy JOIN gpt USING (scenario, unique_local_event_id) JOIN field f ON f.date = sd AND f.y = gpt.y AND f.x = gpt.x, (SELECT unnest({list(OV.BUFFERS)}) AS b) WHERE km <= b GROUP BY 1, 2, 3, 4),
+smp AS (SELECT wt.scenario, wt.unique_local_event_id AS event_id, 'R' || (coalesce(TRY_CAST(ev.dominant_region AS INTEGER), 0) % 5) AS region, CAST(q.b AS INTEGER) AS buffer_km, CAST(year(wt.event_date) AS INTEGER) AS year, CAST(lag AS INTEGER) AS lag, round(a.m * 4, 12) + 0.0 AS v1, round(a.m - c.m, 12) + 0.0 AS v2
+ FROM wt JOIN ev ON ev.scenario = wt.scenario AND ev.unique_local_event_id = wt.unique_local_event_id CROSS JOIN (SELECT unnest({list(OV.BUFFERS)}) AS b) q LEFT JOIN mn a ON a.scenario = wt.scenario AND a.unique_local_event_id = wt.unique_local_event_id AND a.sd = wt.sd AND a.buffer_km = q.b
+ LEFT JOIN mn c ON c.scenario = wt.scenario AND c.unique_local_event_id = wt.unique_local_event_id AND c.sd = wt.sd - {DAYS} AND c.buffer_km = q.b)"""
+_TESTS = OV.FAMILIES[len(I.with_ctes("lagged")):]
+_of = lambda s: f"(WITH lagged AS (SELECT * EXCLUDE (scenario) FROM smp WHERE scenario = '{s}'){_TESTS} SELECT * FROM fam)"
+EVIDENCE = SAMPLES + f", fa AS {_of('none')}, fb AS {_of('0.15')}, pe AS (SELECT " + ", ".join(f"a.{c}" for c in OV.KEY) + """, a.effect AS primary_effect, b.effect AS floor_effect, a.supported AS primary_supported, b.supported AS floor_supported,
+ coalesce(sign(a.effect) = sign(b.effect), false) AS direction_preserved, a.supported = b.supported AS status_preserved FROM fa a JOIN fb b ON """ + " AND ".join(f"a.{c} IS NOT DISTINCT FROM b.{c}" for c in OV.KEY) + ")"
+
+
+def paired_evidence(spark, sf):
+    """the six diagnostics on the catalogue without and with the floor, row by row"""
+    x = durable(floor_samples(spark, sf))
+    rows = lambda s: OV.families(spark, sf, lambda *_: x.filter(F.col("scenario") == s).drop("scenario"))
+    blank = ("analysis_tier", "wrong_region", "lag_group")
+    pick = lambda t: t.select("evidence_id", *[F.nullif(F.col(c), F.lit("")).alias(c) if c in blank else F.col(c) for c in OV.KEY], "effect", F.col("supported_or_significant").alias("supported"))
+    p = J.paired_tables(pick(rows("none")), pick(rows("0.15")).drop(*OV.KEY), ["evidence_id"])
+    r = E.scenario_comparison(p.withColumnsRenamed({f"primary_{c}": c for c in OV.KEY}), ["evidence_id"])
+    return r.withColumn("direction_preserved", F.coalesce("direction_preserved", F.lit(False)))
+
+
+@query("evi_10_floor_samples", SAMPLES + " SELECT * FROM smp")
+def _(spark, sf):
+    return floor_samples(spark, sf)
+
+
+@query("evi_10_floor_catalogue_families", EVIDENCE + " SELECT " + ", ".join(f"CAST({c} AS INTEGER) AS {c}" if c == "buffer_km" else c for c in OV.KEY) + ", round(primary_effect, 6) + 0.0 AS primary_effect, round(floor_effect, 6) + 0.0 AS floor_effect, primary_supported, floor_supported, direction_preserved, status_preserved FROM pe")
+def _(spark, sf):
+    r = paired_evidence(spark, sf)
+    return r.select(*OV.KEY, *rr(["primary_effect", "floor_effect"]), "primary_supported", "floor_supported", "direction_preserved", "status_preserved")
+
+
+@query("evi_10_floor_catalogue_summary", EVIDENCE + " SELECT region, diagnostic_family AS diagnostic, count(*) FILTER (primary_supported) AS n_primary_supported, count(*) FILTER (floor_supported) AS n_floor_supported, count(*) AS n_rows, bool_and(status_preserved) AS status_preserved, bool_and(direction_preserved) AS direction_preserved FROM pe GROUP BY 1, 2")
+def _(spark, sf):
+    return E.comparison_by_region(paired_evidence(spark, sf).withColumnRenamed("diagnostic_family", "diagnostic"))
