@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -61,16 +62,27 @@ def nearest_centre(asks: DataFrame, points: DataFrame, radii=(500, 1000), id_col
     """JOI-20: nearest centre of the day with its pressure, and counts within radii.
 
     A day without centres keeps the row: nearest columns null, counts 0.  Places and days
-    are collapsed before pairing; a day's centres are few by the thinning limit.
+    are collapsed before pairing.  Counts need the widest radius only; places without a centre in
+    it look twice as far each round, up to the antipode, and the first round that finds any has found the nearest.
     """
-    places = asks.select(day, F.col("lon").alias("_lon"), F.col("lat").alias("_lat")).distinct()
-    p = points.select(F.col("date").alias(day), F.col("lon").alias("_plon"), F.col("lat").alias("_plat"), "center_pressure_hpa")
-    d = places.join(p, day).withColumn("km", S.haversine_km("_lon", "_lat", "_plon", "_plat"))
-    m = d.groupBy(day, "_lon", "_lat").agg(
-        F.min("km").alias("nearest_cyclone_distance_km"),
-        F.min_by("center_pressure_hpa", F.struct("km", "center_pressure_hpa")).alias("nearest_cyclone_pressure_hpa"),
-        *[F.count_if(F.col("km") <= r).alias(f"cyclone_count_{r}km") for r in radii])
-    cond = (asks[day] == m[day]) & (F.col("lon") == F.col("_lon")) & (F.col("lat") == F.col("_lat"))
+    places = asks.select(day, F.col("lon").alias("_lon"), F.col("lat").alias("_lat")).filter("lon is not null and lat is not null").distinct()
+    p = points.select(F.col("date").alias("_pday"), F.col("lon").alias("_plon"), F.col("lat").alias("_plat"), "center_pressure_hpa")
+    at = [day, "_lon", "_lat"]
+
+    def within(t: DataFrame, reach: float) -> DataFrame:
+        d = J.radius_pairs(t, p, reach, ("_lon", "_lat"), ("_plon", "_plat"), [(day, "_pday")], "km")
+        return d.groupBy(*at).agg(
+            F.min("km").alias("nearest_cyclone_distance_km"),
+            F.min_by("center_pressure_hpa", F.struct("km", "center_pressure_hpa")).alias("nearest_cyclone_pressure_hpa"),
+            *[F.count_if(F.col("km") <= r).alias(f"cyclone_count_{r}km") for r in radii])
+
+    reach = float(max(radii))
+    m = durable(within(places, reach))
+    rest = durable(places.join(p.select(F.col("_pday").alias(day)).distinct(), day, "left_semi").join(m, at, "left_anti"))
+    while reach < math.pi * S.EARTH_KM and not rest.isEmpty():
+        reach = min(2 * reach, math.pi * S.EARTH_KM + 1)
+        found = durable(within(rest, reach))
+        m, rest = m.unionByName(found), durable(rest.join(found, at, "left_anti"))
     out = asks.join(m.withColumnRenamed(day, "_day"), (F.col(day) == F.col("_day")) & (F.col("lon") == F.col("_lon")) & (F.col("lat") == F.col("_lat")), "left")
     return out.drop("_day", "_lon", "_lat").fillna(0, [f"cyclone_count_{r}km" for r in radii])
 

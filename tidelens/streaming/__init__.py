@@ -1 +1 @@
-"""No streaming operator is in scope: every computation here is a batch job over complete tables."""
+"""Streaming forms of operators that a stream can feed."""
