@@ -42,12 +42,12 @@ def track_brute(rows, days, reach):
     return out
 
 
-@pytest.mark.parametrize("n,seed,spread", [(80, 1, 20.0), (150, 2, 60.0), (60, 3, 5.0)])
-def test_patch_tracking_equals_plain_loop(spark, n, seed, spread):
+@pytest.mark.parametrize("n,seed,spread,blocks", [(80, 1, 20.0, False), (80, 1, 20.0, True), (150, 2, 60.0, False), (150, 2, 60.0, True), (60, 3, 5.0, True)])
+def test_patch_tracking_equals_plain_loop(spark, n, seed, spread, blocks):
     rows, df = patches(spark, n, seed, spread)
-    got = {r.object_id: r.unique_local_event_id for r in T.track_patches(df).collect()}
+    got = {r.object_id: r.unique_local_event_id for r in T.track_patches(df, blocks=blocks).collect()}
     assert got == track_brute(rows, 2, 300.0)
-    again = {r.object_id: r.unique_local_event_id for r in T.track_patches(df.repartition(7)).collect()}
+    again = {r.object_id: r.unique_local_event_id for r in T.track_patches(df.repartition(7), blocks=blocks).collect()}
     assert again == got
 
 
@@ -193,7 +193,8 @@ def test_links_of_many_equal_distances_follow_the_first_opened(spark):
     g = np.random.default_rng(12)
     rows = [(f"O{i:04d}", "g", D0 + dt.timedelta(int(g.integers(8))), float(g.integers(0, 12)) * 4, 75.0 + float(g.integers(2)), float(g.integers(1, 4))) for i in range(220)]
     df = spark.createDataFrame(rows, "object_id string, region string, date date, centroid_lon double, centroid_lat double, cumulative_sic_loss double")
-    assert {r.object_id: r.unique_local_event_id for r in T.track_patches(df).collect()} == track_brute(rows, 2, 300.0)
+    for blocks in (True, False):
+        assert {r.object_id: r.unique_local_event_id for r in T.track_patches(df, blocks=blocks).collect()} == track_brute(rows, 2, 300.0)
 
 
 def test_chains_have_their_heads(spark):

@@ -6,8 +6,9 @@ acceptance finds it with proposals in any order: every row asks for its best can
 that asked, and whoever is turned down, now or later, asks for its next.  The result does not depend on when questions are asked.
 
 So the candidates are dealt to blocks by place and time.  A task settles all questions inside its block, one after the other; a row
-whose next candidate lives in another block goes there in the next round.  Blocks of odd and even rounds are shifted by half
-their size, so a chain of refusals seldom stops at a border twice.
+whose next candidate lives in another block goes there in the next round.  Rounds take turns with ``GRIDS`` divisions into blocks, each
+shifted by a third of a block against the one before: where two of them have a border, the third has none, so
+no row goes back and forth between neighbours.
 """
 
 from __future__ import annotations
@@ -21,29 +22,34 @@ from ..session import durable
 from . import graph
 
 
+GRIDS = ("grid0", "grid1", "grid2")
+
+
 def candidate_lists(pairs: DataFrame) -> DataFrame:
-    """(p, candidates) from (p, q, cost, tie, even, odd): candidates by cost, then ``tie``, then q, as many as lie within reach of p."""
-    each = F.struct("cost", "tie", "q", "even", "odd")
+    """(p, candidates) from (p, q, cost, tie, GRIDS): candidates by cost, then ``tie``, then q, as many as lie within reach of p."""
+    each = F.struct("cost", "tie", "q", *GRIDS)
     return pairs.groupBy("p").agg(F.array_sort(F.collect_list(each)).alias("candidates"))
 
 
 def settle(lists: DataFrame) -> DataFrame:
     """(p, at): place in its list of the candidate that each row gets; rows that get none are left out."""
-    names = ("q", "even", "odd")
+    names = ("q", *GRIDS)
     state = lists.select("p", *[F.col("candidates")[n].alias(n) for n in names], F.lit(0).alias("at"))
-    turn, done = 0, None
+    turn = 0
+    schema = ", ".join(["p long", *[f"{n} array<long>" for n in names], "at int, away boolean"])
     while True:
-        state = durable(state.withColumn("home", F.element_at(names[1 + turn % 2], F.col("at") + 1)).groupBy("home").applyInArrow(_block(names[1 + turn % 2]), "p long, q array<long>, even array<long>, odd array<long>, at int, away boolean"))
+        grid = GRIDS[turn % len(GRIDS)]
+        state = durable(state.withColumn("home", F.element_at(grid, F.col("at") + 1)).groupBy("home").applyInArrow(_block(grid), schema))
         if state.filter("away").isEmpty():
             return state.select("p", "at")
         state, turn = state.drop("away"), turn + 1
 
 
 def _block(grid: str) -> Callable[[pa.Table], pa.Table]:
-    kept = pa.schema([("p", pa.int64()), *[(n, pa.list_(pa.int64())) for n in ("q", "even", "odd")], ("at", pa.int32()), ("away", pa.bool_())])
+    kept = pa.schema([("p", pa.int64()), *[(n, pa.list_(pa.int64())) for n in ("q", *GRIDS)], ("at", pa.int32()), ("away", pa.bool_())])
 
     def run(rows: pa.Table) -> pa.Table:
-        rows = rows.combine_chunks()
+        rows = rows.sort_by("p").combine_chunks()  # the earliest ask first, so few are turned down later
         here, p, at = rows.column("home")[0].as_py(), rows.column("p").to_pylist(), rows.column("at").to_pylist()
         q, home = rows.column("q").to_pylist(), rows.column(grid).to_pylist()
         away, holder = [False] * len(p), {}
@@ -60,14 +66,14 @@ def _block(grid: str) -> Callable[[pa.Table], pa.Table]:
                         break
                     i = j
                 at[i] += 1
-        out = rows.select(["p", "q", "even", "odd"]).append_column("at", pa.array(at, pa.int32())).append_column("away", pa.array(away, pa.bool_()))
+        out = rows.select(["p", "q", *GRIDS]).append_column("at", pa.array(at, pa.int32())).append_column("away", pa.array(away, pa.bool_()))
         return out.filter(pa.array([a < len(c) for a, c in zip(at, q)], pa.bool_())).cast(kept)
 
     return run
 
 
 def first_come(pairs: DataFrame) -> DataFrame:
-    """(p, q, cost, head) of every row ``p`` that takes a row ``q`` of (p, q, cost, even, odd), p in ascending order.
+    """(p, q, cost, head) of every row ``p`` that takes a row ``q`` of (p, q, cost, GRIDS), p in ascending order.
 
     ``head`` is the first row of the chain of takings.  Of candidates at equal cost the one with the first head goes first.
     Heads are a result themselves, so candidates at equal cost are first ordered by q; if the heads that come out contradict
@@ -91,5 +97,5 @@ def first_come(pairs: DataFrame) -> DataFrame:
 
 
 def block_of(keys: Sequence, day, cell: Callable[[float], Sequence], days: int) -> tuple:
-    """Even and odd blocks of a row: ``keys``, a span of ``days`` days and a cell, the odd ones shifted by half a block."""
-    return tuple(F.xxhash64(*keys, F.floor(day / days + shift), *cell(shift)).alias(name) for name, shift in (("even", 0.0), ("odd", 0.5)))
+    """Blocks of a row in every grid: ``keys``, a span of ``days`` days and a cell, shifted by an equal part of a block from grid to grid."""
+    return tuple(F.xxhash64(*keys, F.floor(day / days + n / len(GRIDS)), *cell(n / len(GRIDS))).alias(name) for n, name in enumerate(GRIDS))

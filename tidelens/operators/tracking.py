@@ -1,9 +1,9 @@
 """Order-dependent linking: patches to events, events to clusters, centres to tracks.
 
 Patches and centres follow one another, so their links are a matching made first come, first
-served (``matching``).  Clusters move with all their members; their rule is sequential, and Spark
-cuts the events into units that cannot influence each other, sorts every unit and streams it
-through the rule; a task holds only the live clusters, never a whole unit.
+served (``matching``); patches are linked so on request.  Otherwise, and for clusters, which move with all
+their members, the rule is sequential: Spark cuts the rows into units that cannot influence each other,
+sorts every unit and streams it through the rule; a task holds only the live objects, never a whole unit.
 """
 
 from __future__ import annotations
@@ -112,25 +112,55 @@ def _first_come_links(rows: DataFrame, keys: Sequence[str], date: str, lon: str,
     wide = max(int(most), 1)
     day = S.day_number(date)
     slot = lambda d: F.floor(d / wide).cast("int")
-    blocks = M.block_of([F.lit(0), *keys], day, lambda shift: J.cube(lon, lat, 6 * km, shift), 16 * wide)
+    blocks = M.block_of([F.lit(0), *keys], day, lambda shift: J.cube(lon, lat, 8 * km, shift), 16 * wide)
     seen = rows.filter(F.col(lon).isNotNull() & F.col(lat).isNotNull())
     q = seen.select(*[F.col(k).alias(f"_q_{k}") for k in keys], F.col("_pos").alias("q"), day.alias("_qday"), F.col(lon).alias("_qlon"), F.col(lat).alias("_qlat"), slot(day).alias("_qslot"), *blocks)
     p = seen.select(*keys, F.col("_pos").alias("p"), day.alias("_day"), F.col(lon).alias("_lon"), F.col(lat).alias("_lat"), F.explode(F.sequence(slot(day - most), slot(day - least))).alias("_slot"))
     gap = F.col("_day") - F.col("_qday")
     pairs = J.radius_pairs(p, q, km, ("_lon", "_lat"), ("_qlon", "_qlat"), [(k, f"_q_{k}") for k in keys] + [("_slot", "_qslot")], "cost")
-    return M.first_come(pairs.filter((gap >= least) & (gap <= most) & (F.col("q") < F.col("p"))).select("p", "q", "cost", "even", "odd"))
+    return M.first_come(pairs.filter((gap >= least) & (gap <= most) & (F.col("q") < F.col("p"))).select("p", "q", "cost", *M.GRIDS))
 
 
-def track_patches(patches: DataFrame, days: int = 2, km: float = 300.0, keys: Sequence[str] = ("region",), id_prefix: str = "ULE") -> DataFrame:
+def _patch_rule(days: int, km: float):
+    def fresh():
+        live, today = _Live(), [None]
+
+        def step(row):
+            day, lon, lat = _day(row["date"]), row["centroid_lon"], row["centroid_lat"]
+            if day != today[0]:
+                live.keep([day - d <= days for d in live.days])
+                today[0] = day
+            n, _ = live.nearest(lon, lat, km)
+            if n is None:
+                live.ids.append(row["object_id"]); live.days.append(day); live.lon.append(lon); live.lat.append(lat)
+                return (row["object_id"],)
+            live.days[n], live.lon[n], live.lat[n] = day, lon, lat
+            return (live.ids[n],)
+
+        return step
+
+    return fresh
+
+
+def track_patches(patches: DataFrame, days: int = 2, km: float = 300.0, keys: Sequence[str] = ("region",), id_prefix: str = "ULE", blocks: bool = False) -> DataFrame:
     """SEQ-01: link daily patches to events; adds ``opener`` (first patch of the event) and ``unique_local_event_id``.
 
     Per key, in (date, loss descending, object id) order, a patch joins the nearest event
     whose last patch is at most ``days`` old and ``km`` away, else it opens an event.
     Patches of one day may chain into one event.  Ids number the openings over all keys.
-    An event is known by its last patch, and each patch is followed by one other at most, so
-    the links are a matching (``matching``), settled in blocks of space and time.
+
+    By default patches stream through the rule in units that cannot touch; a unit that percolates is one task.  With ``blocks``
+    the links are settled as a matching in blocks of space and time (``matching``): an event is known by its last patch, and each
+    patch is followed by one other at most.  Both give the same events; blocks do more work and split any catalogue.
     """
     keys = list(keys)
+    if not blocks:
+        order = ["date", F.col("cumulative_sic_loss").desc(), "object_id"]
+        units = proximity_units(patches, keys, "date", "centroid_lon", "centroid_lat", days, km)
+        linked = stream_units(units, [*keys, "unit"], order, _patch_rule(days, km), "opener string")
+        opened = linked.filter("opener = object_id").select(*keys, "date", "cumulative_sic_loss", "object_id")
+        numbers = ordered.row_numbers(opened, [], [*keys, *order], "_no").select(*keys, F.col("object_id").alias("opener"), S.numbered_id(id_prefix, "_no", 6).alias("unique_local_event_id"))
+        return linked.join(numbers, [*keys, "opener"]).drop("unit")
     order = [*keys, "date", F.col("cumulative_sic_loss").desc(), "object_id"]
     numbered = durable(ordered.row_numbers(patches, [], order, "_pos").drop("n_total"))
     links = _first_come_links(numbered.select(*keys, "_pos", "date", "centroid_lon", "centroid_lat"), keys, "date", "centroid_lon", "centroid_lat", (0, days), km)

@@ -198,6 +198,11 @@ def _(spark, sf):
     return tracked(spark, sf).select("object_id", "unique_local_event_id", "opener")
 
 
+@query("seq_01_patch_tracking_blocks", WK.NUMBERED + " SELECT object_id, unique_local_event_id, opener FROM lk")
+def _(spark, sf):
+    return T.track_patches(I.patches(spark, sf), blocks=True).select("object_id", "unique_local_event_id", "opener")
+
+
 @query("seq_01_membership_keys", I.with_ctes("patch") + " SELECT object_id, object_id || '|' || strftime(date, '%Y-%m-%d') || '|' || strftime(start_date, '%Y-%m-%d') || '|3|-0.1' AS patch_key FROM patch")
 def _(spark, sf):
     return T.membership(tracked(spark, sf)).select("object_id", "patch_key")
