@@ -3,8 +3,10 @@
 import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
+from xxhash import xxh64_intdigest
 
 from tidelens.llm import quality, scoring
 
@@ -70,25 +72,51 @@ def test_temperature_calibrates():
     assert 0.25 <= net.temperature <= 8 and abs(p[y == 1].mean() - p[y == 0].mean()) > 0.2
 
 
-def test_scores_are_plain_sums_of_masked_predictions(spark):
-    docs = messy(spark)
-    model = scoring.fit(docs)
-    got = sorted(((r["doc_id"], r["n_words"], r["log_likelihood"]) for r in scoring.score(docs, model).collect()), key=repr)
-    want = []
-    for i, t in texts_of(docs):
-        buckets = [zlib.crc32(w.encode()) % scoring.BUCKETS for w in scoring_words(t)]
-        kinds = [int(model.classes[b]) for b in buckets]
-        total = 0.0
-        for k, b in enumerate(buckets):
+def plain_codes(texts, corpus, model, own):
+    """Kind of prediction of every word by plain counting of words and neighbours."""
+    words, pairs = Counter(), Counter()
+    for t in corpus:
+        found = [None, *scoring_words(t), None]
+        if len(found) > 2:
+            words.update(found[:-1])
+            pairs.update(zip(found, found[1:]))
+    out = []
+    for t in texts:
+        found = scoring_words(t)
+        kinds = [int(model.classes[xxh64_intdigest(w) % scoring.BUCKETS]) for w in found]
+        codes = []
+        for k, w in enumerate(found):
             code = 0
             for step in (-2, -1, 1, 2):
                 code = code * scoring.CLASSES + (kinds[k + step] if 0 <= k + step < len(kinds) else 0)
-            total += model.table[code, kinds[k]] + model.share[b]
-        want.append((i, len(buckets), total))
-    want.sort(key=repr)
-    assert [(a, b) for a, b, _ in sorted(got, key=lambda r: (repr(r[0]), r[1], r[2]))] == [(a, b) for a, b, _ in sorted(want, key=lambda r: (repr(r[0]), r[1], r[2]))]
-    assert np.allclose(sorted(x for *_, x in got), sorted(x for *_, x in want))
-    assert scoring.score(empty(spark), model).collect() == []
+            left, right = found[k - 1] if k else None, found[k + 1] if k + 1 < len(found) else None
+            n_left, n_right = words[left] - own, words[right] - own
+            net = math.exp(model.table[code, kinds[k]]) * (words[w] - own) / max(1, model.mass[kinds[k]] - own)
+            p = np.array([net, (pairs[left, w] - own) / max(1, n_left), (pairs[w, right] - own) / max(1, n_right)])
+            steps = scoring.level(p)
+            size = scoring.magnitude(np.array([n_left, n_right]))
+            codes.append(int((((steps[0] * 32 + steps[1]) * 32 + steps[2]) * 8 + size[0]) * 8 + size[1]))
+        out.append(codes)
+    return out
+
+
+def plain_scores(rows, corpus, model, own):
+    codes = plain_codes([t for _, t in rows], corpus, model, own)
+    table = scoring.log_table(scoring.weigh(np.bincount([c for x in codes for c in x], minlength=scoring.KINDS)))
+    return sorted((repr(i), len(x), round(float(sum(table[c] for c in x)), 4)) for (i, _), x in zip(rows, codes))
+
+
+def test_scores_are_plain_sums_of_masked_predictions(spark):
+    docs = messy(spark).repartition(3)
+    rows = texts_of(docs)
+    model = scoring.fit(scoring.blocks(docs, "text", ()))
+    got = scoring.score(docs)
+    assert got.columns == ["doc_id", "n_words", "log_likelihood", "mean_log_prob"]
+    assert sorted((repr(r["doc_id"]), r["n_words"], round(r["log_likelihood"], 4)) for r in got.collect()) == plain_scores(rows, [t for _, t in rows], model, 1)
+    other = spark.createDataFrame([(1, prose(6, 500), "x"), (2, "never met", "y"), (3, None, "z")], "doc_id long, text string, rows string")
+    got = [(repr(r["doc_id"]), r["n_words"], round(r["log_likelihood"], 4)) for r in scoring.score(other, docs).collect()]
+    assert sorted(got) == plain_scores(texts_of(other), [t for _, t in rows], model, 0)
+    assert scoring.score(empty(spark)).collect() == []
 
 
 def scoring_words(text):
@@ -97,17 +125,38 @@ def scoring_words(text):
     return WORD.findall(text or "")
 
 
-def test_model_is_a_distribution_and_learns_order(spark):
-    texts = [("the cat sat on the mat and the dog lay on the rug " * 20, i) for i in range(20)]
-    docs = spark.createDataFrame(texts, "text string, doc_id long")
-    model = scoring.fit(docs)
-    assert np.allclose(np.exp(model.table).sum(1), 1) and math.isclose(sum(np.exp(model.share[model.classes == 1])), 1, rel_tol=1e-6)
-    order = spark.createDataFrame([(1, texts[0][0]), (2, " ".join(random.Random(1).sample(texts[0][0].split(), 240)))], "doc_id long, text string")
-    score = {r["doc_id"]: r["mean_log_prob"] for r in scoring.score(order, model).collect()}
-    assert score[1] > score[2] + 0.3
+def test_predictions_are_a_distribution(spark):
+    """Outside the corpus the experts other than the constant one sum to 1 over all words of the corpus, whatever the neighbours."""
+    text = "the cat sat on the mat and the dog lay on the rug"
+    docs = spark.createDataFrame([(i, text) for i in range(20)], "doc_id long, text string")
+    model = scoring.fit(scoring.blocks(docs, "text", ()))
+    words = Counter(w for _, t in texts_of(docs) for w in scoring_words(t))
+    assert np.allclose(np.exp(model.table).sum(1), 1) and model.mass.sum() == sum(words.values())
+    for c in set(model.classes[xxh64_intdigest(w) % scoring.BUCKETS] for w in words):
+        assert sum(n for w, n in words.items() if model.classes[xxh64_intdigest(w) % scoring.BUCKETS] == c) == model.mass[c]
+    weights = scoring.weigh(np.bincount([c for x in plain_codes([text], [text] * 20, model, 0) for c in x], minlength=scoring.KINDS))
+    assert weights.shape == (scoring.CONTEXT**2, 4) and np.allclose(weights.sum(1), 1)
+
+
+def test_words_of_equal_frequency_differ_by_context(spark):
+    """Swapping two words of one class in a text of the same words lowers its score; so does any shuffling."""
+    base = [f"red {a} runs on grass while blue {b} swims in water" for a, b in (("fox", "cod"), ("hen", "eel"))]
+    corpus = spark.createDataFrame([(i, base[i % 2]) for i in range(60)], "doc_id long, text string")
+    swapped = base[0].replace("fox", "?").replace("cod", "fox").replace("?", "cod")
+    mixed = " ".join(random.Random(1).sample(base[0].split(), 10))
+    docs = spark.createDataFrame([(1, base[0]), (2, swapped), (3, mixed)], "doc_id long, text string")
+    score = {r["doc_id"]: r["mean_log_prob"] for r in scoring.score(docs, corpus).collect()}
+    assert score[1] > score[2] + 0.3 and score[2] > score[3] + 0.3
+
+
+def test_copies_speak_for_each_other(spark):
+    """A text says nothing about its own words; one that occurs twice is predicted from its copy."""
+    once = [(i, prose(100 + i, 80)) for i in range(40)]
+    docs = spark.createDataFrame([*once, (40, once[0][1]), (41, once[1][1])], "doc_id long, text string")
+    score = {r["doc_id"]: r["mean_log_prob"] for r in scoring.score(docs).collect()}
+    assert min(score[i] for i in (0, 1, 40, 41)) > max(score[i] for i in range(2, 40)) + 1
 
 
 def test_empty_corpus_has_a_model(spark):
-    model = scoring.fit(empty(spark))
-    out = {r["doc_id"]: r["n_words"] for r in scoring.score(messy(spark), model).collect()}
+    out = {r["doc_id"]: r["n_words"] for r in scoring.score(messy(spark), empty(spark)).collect()}
     assert out[4] == 0 and out[8] == 2

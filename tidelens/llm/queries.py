@@ -102,8 +102,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op9_pseudo_likelihood")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    return scoring.score(docs, scoring.fit(docs))
+    return scoring.score(documents(spark, sf_dir))
 
 
 @query("op10_substrings")
