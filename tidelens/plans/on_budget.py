@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import scalar as S
+from ..functions import fixed, scalar as S
 from ..operators import budget as B, raster as RA
 from . import inputs as I, walks as WK
 from .on_raster import label_sql
@@ -200,7 +200,24 @@ def _(spark, sf):
     return B.component_spread(comp_table(spark, sf), ["date"], ellipsoid=False).select("date", "n_components", *rr(["top2_distance_km", "weighted_spread_km"], 4))
 
 
-@query("agg_24_component_spread_ellipsoid")
+#: Inverse geodesic in SQL: twenty steps of the longitude on the auxiliary sphere for every pair of ``pr``, then the series of the length.
+A_KM, FLAT = f"({fixed.WGS84_SEMI_MAJOR_M} / 1000.0)::DOUBLE", f"({fixed.WGS84_FLATTENING!r})::DOUBLE"
+ARC = """SELECT *, CASE WHEN ss > 0 THEN cos(u1) * cos(u2) * sin(lam) / ss ELSE 0 END AS sa FROM (SELECT *, atan2(ss, cs) AS sigma FROM (SELECT *,
+  sqrt(pow(cos(u2) * sin(lam), 2) + pow(cos(u1) * sin(u2) - sin(u1) * cos(u2) * cos(lam), 2)) AS ss, sin(u1) * sin(u2) + cos(u1) * cos(u2) * cos(lam) AS cs FROM it))"""
+BEND = f"SELECT *, CASE WHEN 1 - sa * sa > 1e-15 THEN cs - 2 * sin(u1) * sin(u2) / (1 - sa * sa) ELSE 0 END AS c2m, {FLAT} / 16 * (1 - sa * sa) * (4 + {FLAT} * (4 - 3 * (1 - sa * sa))) AS c FROM ({ARC})"
+GEODESIC = f"""g AS (SELECT *, atan((1 - {FLAT}) * tan(radians(lat1))) AS u1, atan((1 - {FLAT}) * tan(radians(lat2))) AS u2, radians(lon2 - lon1 + 360 - 360 * floor((lon2 - lon1 + 540) / 360)) AS far FROM pr),
+it AS (SELECT 0 AS i, k, date, w, u1, u2, far, far AS lam FROM g
+ UNION ALL SELECT i + 1, k, date, w, u1, u2, far, far + (1 - c) * {FLAT} * sa * (sigma + c * ss * (c2m + c * cs * (2 * c2m * c2m - 1))) FROM ({BEND}) WHERE i < 20),
+ln AS (SELECT *, (1 - sa * sa) * (1 / pow(1 - {FLAT}, 2) - 1) AS k2 FROM ({BEND}) WHERE i = 20),
+co AS (SELECT *, 1 + k2 / 16384 * (4096 + k2 * (-768 + k2 * (320 - 175 * k2))) AS big, k2 / 1024 * (256 + k2 * (-128 + k2 * (74 - 47 * k2))) AS small FROM ln),
+km AS (SELECT k, date, w, {A_KM} * (1 - {FLAT}) * big * (sigma - small * ss * (c2m + small / 4 * (cs * (2 * c2m * c2m - 1) - small / 6 * c2m * (4 * ss * ss - 3) * (4 * c2m * c2m - 3)))) AS km FROM co)"""
+
+
+@query("agg_24_component_spread_ellipsoid", COMP + f""", s AS (SELECT date, sum(loss * cos(radians(lat)) * cos(radians(lon))) AS x, sum(loss * cos(radians(lat)) * sin(radians(lon))) AS y, sum(loss * sin(radians(lat))) AS z FROM ct GROUP BY 1),
+c AS (SELECT date, degrees(atan2(y, x)) AS lon, degrees(atan2(z, sqrt(x * x + y * y))) AS lat FROM s), r AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY loss DESC, component) AS rn FROM ct),
+pr AS (SELECT 0 AS k, date, loss AS w, c.lon AS lon1, c.lat AS lat1, ct.lon AS lon2, ct.lat AS lat2 FROM ct JOIN c USING (date) UNION ALL SELECT 1, a.date, 0, a.lon, a.lat, b.lon, b.lat FROM r a JOIN r b ON a.date = b.date AND a.rn = 1 AND b.rn = 2),
+{GEODESIC}
+SELECT date, count(*) FILTER (k = 0) AS n_components, round(max(km) FILTER (k = 1), 4) + 0.0 AS top2_distance_km, CASE WHEN count(*) FILTER (k = 0) >= 2 THEN round(sqrt(sum(w * km * km) FILTER (k = 0) / sum(w)), 4) + 0.0 END AS weighted_spread_km FROM km GROUP BY 1""")
 def _(spark, sf):
     return B.component_spread(comp_table(spark, sf), ["date"]).select("date", "n_components", *rr(["top2_distance_km", "weighted_spread_km"], 4))
 
