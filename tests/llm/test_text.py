@@ -73,6 +73,15 @@ def test_token_files_have_equal_sequences_and_masks(spark):
         assert not file.sequence(0)[0].flags.owndata
 
 
+def test_encoder_forgets_chunks_and_keeps_ids(monkeypatch):
+    monkeypatch.setattr(token_files, "KNOWN", 50)
+    texts = [prose(i % 7, 30) + " x\ny  <|endoftext|>z 'll\t\u2028 ñu " for i in range(40)] + ["", " ", "\n", "\n\n"]
+    code, library = token_files.Encoder(BYTES), Tokenizer.from_file(BYTES)
+    got = [np.frombuffer(x, code.dtype).tolist() for lo in range(0, len(texts), 3) for x in code(texts[lo : lo + 3])]
+    assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(code.older) > 0
+
+
 def test_token_files_of_nothing(spark):
     assert token_files.read_crc(*token_files.write_tokens(empty(spark), BYTES)).collect() == []
 
@@ -113,6 +122,37 @@ def test_long_digit_free_and_broken_keys_are_secrets():
     assert secrets.find("the private key is\nnot_a_placeholder\nnot_the_password_\n" * 3000) == []
 
 
+@pytest.mark.parametrize("n", [24, 40, 128, 300, 2048])
+def test_strings_of_one_case_are_secrets_and_words_are_not(n):
+    r, before = random.Random(n), "please read the manual before you change any of these settings, since the service restarts; the credential is "
+    for letters, kind in ((string.ascii_lowercase, "novel"), (string.ascii_uppercase, "novel"), (string.digits, "hex"), (string.ascii_lowercase + string.digits, "novel")):
+        keys = ["".join(r.choices(letters, k=n)).replace("AKIA", "KAIA") for _ in range(20)]  # an access key is a base span
+        found = sum(secrets.find(before + k + " then") == [(kind, len(before), len(before) + n)] for k in keys)
+        assert found == 20 if n > 40 else found >= 18, (letters, found)
+    words = "please read manual before change settings since service restarts every evening after backup".split()
+    for sep in ("", "_", "-"):
+        assert all(secrets.find(before + sep.join(r.choices(words, k=n // 6)) + " then") == [] for _ in range(20)), sep
+
+
+def test_free_stretches_against_all_spans():
+    r = random.Random(8)
+    spans = [("x", a, a + r.randrange(1, 12)) for a in r.choices(range(2000), k=150)]
+    free = secrets.cover(spans)
+    for a in range(2020):
+        b = a + r.randrange(1, 9)
+        assert free(a, b) == (not any(x < b and a < y for _, x, y in spans))
+    assert secrets.cover([])(0, 5)
+
+
+def test_neighbours_of_candidates_against_all_spans():
+    r = random.Random(9)
+    text = "".join(r.choice(("call 555-123-4567 ", "x@y.example.org ", "10.0.0.1, ", "some more words here ", "and then a long stretch of other words without any of it " * 2)) for _ in range(300))
+    base = personal.base_spans(text)
+    for kind, a, b, pattern in personal.candidates(text, base):
+        near = any(0 < a - y <= 2 * personal.REACH or 0 < x - b <= 2 * personal.REACH for _, x, y in base if (x, y) != (a, b))
+        assert (pattern.split("|")[1][4] == "+") == near
+
+
 def test_secrets_are_replaced_and_columns_stay(spark):
     docs = messy(spark)
     out = secrets.redact(docs)

@@ -11,13 +11,14 @@ posteriors from the span's features.  Spans it is sure of are added.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .secrets import span_rows
+from .secrets import cover, span_rows
 
 #: Order of kinds and base patterns.  An email is found from its @, which no part before it may hold.
 KINDS = ("email", "ip", "card", "phone", "number", "mail", "person")
@@ -86,14 +87,15 @@ def candidates(text: str, base: Sequence[tuple[str, int, int]]) -> Iterator[tupl
     The pattern is the kind, the votes of the labelers (+, - or 0) and a class of the span's length.
     """
     spans = list(base)
-    free = lambda a, b: not any(x < b and a < y for _, x, y in base)
+    free = cover(base)
     if DIGIT.search(text):
         spans += [("number", m.start(), m.end()) for m in NUMBER.finditer(text) if 7 <= sum(c.isdigit() for c in m[0]) <= 19 and free(*m.span())]
     if "dot" in text:
         spans += [("mail", m.start(), m.end()) for m in MAIL.finditer(text) if free(*m.span())]
     if any(t in text for t in ("Mr", "Ms", "Dr", "Prof", "Herr", "Frau", "Mon", "Mad", "Mme", "Se", "Sr")):
         spans += [("person", m.start(), m.end()) for m in PERSON.finditer(text) if free(*m.span())]
-    where = sorted((a, b) for _, a, b in base)
+    starts, ends = sorted(a for _, a, _ in base), sorted(b for _, _, b in base)
+    some = lambda places, least, most: bisect_left(places, least) < bisect_right(places, most)
     for kind, a, b in spans:
         value, before = text[a:b], text[max(0, a - REACH) : a]
         digits = [c for c in value if c.isdigit()]
@@ -101,7 +103,7 @@ def candidates(text: str, base: Sequence[tuple[str, int, int]]) -> Iterator[tupl
         check = "+" if kind in BASE else "-" if kind == "number" and len(digits) >= 14 else "0"
         gazetteer = "+" if CONTACT.search(before) else "0"
         contrary = "-" if CONTRARY.search(before) or (kind == "number" and re.search(r"\d\s*[./]\s*\d{1,2}\s*[./]\s*(?:19|20)\d\d$", value)) else "0"
-        near = "+" if any(0 < a - y <= 2 * REACH or 0 < x - b <= 2 * REACH for x, y in where if (x, y) != (a, b)) else "0"
+        near = "+" if some(ends, a - 2 * REACH, a - 1) or some(starts, b + 1, b + 2 * REACH) else "0"
         yield kind, a, b, f"{kind}|{form}{check}{gazetteer}{contrary}{near}|{min(len(value) // 8, 4)}"
 
 

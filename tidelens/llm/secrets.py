@@ -13,7 +13,8 @@ from __future__ import annotations
 
 import random
 import re
-from collections.abc import Iterator, Sequence
+from bisect import bisect_left
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 
 import pyarrow as pa
@@ -55,6 +56,9 @@ HEAD = re.compile(rf"(?: BLOCK)?-----(?:{EOL}[A-Za-z][A-Za-z0-9-]*:[^\r\n\\]*)*(
 END = re.compile(EOL + "-----END ")
 #: Least marginal bytes per character of a reported string: words and paths cost 0.3 to 0.7, random letters and digits about 1.
 NOVELTY = 0.8
+#: Strings of small letters alone cost less, words run together 0.4 to 0.7 and random ones 0.7 to 0.8; from this length on they
+#: are told apart.  Shorter strings of few letters are numbers, dates and rules.
+LOWER, LONG = 0.7, 24
 
 
 def hints(text: str) -> bool:
@@ -63,6 +67,23 @@ def hints(text: str) -> bool:
     return any(x in low for x in ("pass", "secret", "token", "key", "credential", "bearer", "authorization"))
 
 
+def cover(spans: Sequence[tuple[str, int, int]]) -> Callable[[int, int], bool]:
+    """Whether a stretch touches none of ``spans``, by bisection in their union."""
+    starts, ends = [], []
+    for a, b in sorted((a, b) for _, a, b in spans):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+
+    def free(a: int, b: int) -> bool:
+        i = bisect_left(starts, b)
+        return i == 0 or ends[i - 1] <= a
+
+    return free
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """Leftmost non-overlapping spans of every base kind; matches that fail their test are dropped, not tried again."""
     out = []
@@ -90,6 +111,11 @@ def marginal(candidate: str, before: str, after: str, identifiers: str = IDENTIF
     return sum(len(size((before + candidate[a:b] + after).encode())) - known for a, b in zip(cuts, cuts[1:])) / len(candidate)
 
 
+def bar(value: str, least: float) -> float:
+    """Least marginal bytes per character for ``value`` to be novel."""
+    return min(least, LOWER) if len(value) >= LONG and value.isalpha() and value.islower() else least
+
+
 def wrapped(text: str, first: int, end: int) -> list[tuple[int, int]]:
     """Lines directly after the one from ``first`` to ``end`` that go on with its key: those of its width, and a shorter last one.
 
@@ -119,19 +145,19 @@ def block(text: str, word: re.Match) -> list[tuple[int, int]]:
 
 
 def novel_spans(text: str, taken: Sequence[tuple[str, int, int]], least: float = NOVELTY) -> list[tuple[str, int, int]]:
-    """Strings after a sensitive word that no base span touches, hold at least a quarter letters, are no mail address and novel, with the lines that go on with them.
+    """Strings after a sensitive word that no base span touches, are no mail address and novel, with the lines that go on with them; less than a quarter letters asks for LONG characters.
 
     Of a base span that goes on in further lines, these are reported; a key between BEGIN and END marks is reported when one of its lines is novel.
     """
     out, end = [], -1
     if not hints(text):
         return out
-    free = lambda a, b: not any(x < b and a < y for _, x, y in taken)
+    free = cover(taken)
     runs: dict[int, tuple[list[tuple[int, int]], int]] = {}
 
     def novel(a: int, b: int, first: int, last: int) -> bool:
         """Whether ``a`` to ``b`` is, given what stands around its key, which goes from ``first`` to ``last``."""
-        return marginal(text[a:b], text[max(0, first - CONTEXT) : first], text[last : last + CONTEXT]) >= least
+        return marginal(text[a:b], text[max(0, first - CONTEXT) : first], text[last : last + CONTEXT]) >= bar(text[a:b], least)
 
     for word in SENSITIVE.finditer(text):
         lines = block(text, word)
@@ -145,7 +171,7 @@ def novel_spans(text: str, taken: Sequence[tuple[str, int, int]], least: float =
             a, b = m.start(), m.end()
             if b == word.end() + REACH + 200:
                 b = CANDIDATE.match(text, a).end()
-            if a < end or 4 * sum(map(str.isalpha, text[a:b])) < b - a or ADDRESS.fullmatch(text, a, b):
+            if a < end or b - a < LONG and 4 * sum(map(str.isalpha, text[a:b])) < b - a or ADDRESS.fullmatch(text, a, b):
                 continue
             if a not in runs:  # each run of lines is followed once
                 lines = wrapped(text, a, b) if KEY.fullmatch(text, a, b) else []

@@ -24,48 +24,64 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 from tokenizers import Tokenizer
 
-from .common import shared_folder, staged
+from .common import shared_folder, staged, text_blocks
 
 #: White space as the pre-tokenizer's pattern understands it (fixed values).
 BLANKS = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A word of plain letters that ends before an ASCII sign or blank is a pre-token by itself; anything else runs to the next blank.
 CHUNK = re.compile(f"[ ]?[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[ -/:-@\\[-`{{-~\\n]|\\Z)|[{BLANKS}]*[^{BLANKS}]+|[{BLANKS}]+")
-#: Entries of a worker's table of known chunks before it starts anew.
+#: A chunk that is safe between line ends: at most one leading space and no other blank.
+NEAT = re.compile(f"[ ]?[^{BLANKS}]+")
+#: Entries of a worker's table of known chunks before it becomes the older one.
 KNOWN = 400_000
+#: Characters whose chunks are looked up at a time.
+LOOKUP = 1_000_000
 
 
 class Encoder:
-    """The library's ids, as bytes of ``dtype``, with a bounded table of chunks."""
+    """The library's ids, as bytes of ``dtype``, with a bounded table of chunks in two generations.
+
+    When the younger table is full it becomes the older one, so chunks in use move on and the others go.
+    """
 
     def __init__(self, path: str, separator: str = "<|endoftext|>"):
         self.library = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
-        self.separator, self.cut = separator, self.library.token_to_id(separator)
+        self.separator = separator
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def learn(self, words: list[str]) -> None:
-        """Encode new chunks in one call, parted by a special token, which the library never merges with its neighbours."""
-        plain = [w for w in words if self.separator not in w]
-        for w in set(words) - set(plain):
+        """Encode new chunks in few calls: parted by line ends where these stay pre-tokens by themselves, else by a special token."""
+        neat = [w for w in words if NEAT.fullmatch(w) and self.separator not in w]
+        rest = set(words).difference(neat)
+        held = {w for w in rest if self.separator in w}
+        for w in held:
             self.known[w] = np.array(self.library.encode(w, add_special_tokens=False).ids, self.dtype).tobytes()
-        for i in range(0, len(plain), 4000):
-            part = plain[i : i + 4000]
-            ids = np.array(self.library.encode_batch_fast([self.separator.join(part)], add_special_tokens=False)[0].ids, self.dtype)
-            data, size = ids.tobytes(), self.dtype.itemsize
-            lo = 0
-            for word, hi in zip(part, [*np.flatnonzero(ids == self.cut).tolist(), len(ids)]):
-                self.known[word] = data[lo * size : hi * size]
-                lo = hi + 1
-
-    def __call__(self, text: str) -> bytes:
-        parts = CHUNK.findall(text)
-        new = set(parts).difference(self.known)
+        for plain, mark in ((neat, "\n"), (list(rest - held), self.separator)):
+            (cut,) = self.library.encode(mark, add_special_tokens=False).ids
+            for i in range(0, len(plain), 4000):
+                part = plain[i : i + 4000]
+                ids = np.array(self.library.encode_batch_fast([mark.join(part)], add_special_tokens=False)[0].ids, self.dtype)
+                data, size = ids.tobytes(), self.dtype.itemsize
+                ends = [*np.flatnonzero(ids == cut).tolist(), len(ids)]
+                lo = 0
+                for word, hi in zip(part, ends, strict=True):
+                    self.known[word] = data[lo * size : hi * size]
+                    lo = hi + 1
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """Ids of every text; the chunks of all of them are looked up together."""
+        parts = [CHUNK.findall(t) for t in texts]
+        seen = set().union(*parts)
+        new = seen.difference(self.known)
+        if len(self.known) + len(new) > KNOWN:
+            self.known, self.older, new = {}, self.known, seen
         if new:
-            if len(self.known) > KNOWN:
-                self.known.clear()
-                new = set(parts)
-            self.learn(list(new))
-        return b"".join(map(self.known.__getitem__, parts))
+            again = new.intersection(self.older)
+            self.known.update((w, self.older[w]) for w in again)
+            self.learn(list(new - again))
+        return [b"".join(map(self.known.__getitem__, x)) for x in parts]
 
 
 @lru_cache(maxsize=2)
@@ -152,22 +168,19 @@ def _write(folder: str, path: str, end: int, length: int, batch: int):
         writer = sink = None
         at = 0
         temporary = f"{name}.{uuid.uuid4().hex}"
-        for rows in batches:
-            if rows.num_rows == 0:
-                continue
+        for _, rows, texts in text_blocks(batches, "text", LOOKUP):
             if writer is None:
                 fs.create_dir(root, recursive=True)
                 sink = fs.open_output_stream(temporary)
                 writer = SequenceWriter(sink, code.dtype, length, batch)
             starts, sizes = [], []
-            for text in rows.column("text"):
-                data = code(text.as_py() or "") + ends
-                writer.add(data)
+            for data in code(texts):
+                writer.add(data + ends)
                 starts.append(at)
-                sizes.append(len(data) // code.dtype.itemsize)
+                sizes.append(len(data) // code.dtype.itemsize + 1)
                 at += sizes[-1]
             n = rows.num_rows
-            yield pa.record_batch({"file": pa.array([part] * n, pa.int32()), "row": rows.column("row"), "first": pa.array(starts, pa.int64()), "n_tokens": pa.array(sizes, pa.int64())})
+            yield pa.record_batch({"file": pa.array([part] * n, pa.int32()), "row": rows.column("row").combine_chunks(), "first": pa.array(starts, pa.int64()), "n_tokens": pa.array(sizes, pa.int64())})
         if writer is not None:
             writer.close()
             sink.close()
