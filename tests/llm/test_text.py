@@ -77,9 +77,9 @@ def test_encoder_forgets_chunks_and_keeps_ids(monkeypatch):
     monkeypatch.setattr(token_files, "KNOWN", 50)
     texts = [prose(i % 7, 30) + " x\ny  <|endoftext|>z 'll\t\u2028 ñu " for i in range(40)] + ["", " ", "\n", "\n\n"]
     code, library = token_files.Encoder(BYTES), Tokenizer.from_file(BYTES)
-    got = [np.frombuffer(x, code.dtype).tolist() for lo in range(0, len(texts), 3) for x in code(texts[lo : lo + 3])]
+    got = [np.frombuffer(code(t), code.dtype).tolist() for t in texts]
     assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
-    assert len(code.older) > 0
+    assert 0 < len(code.known.older) and code.known.older.older == {}
 
 
 def test_token_files_of_nothing(spark):

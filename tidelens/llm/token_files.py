@@ -6,7 +6,8 @@ known place of the memory-mapped file and is read without a copy.  The last sequ
 table keeps the file, first token and length of every document; numbers over all files come from the files' totals.
 
 Text is cut where a blank follows another character and where a sign follows a letter, borders that the pre-tokenizer never
-crosses; a bounded table per worker keeps the ids of chunks seen before, and the tokenizers library encodes the rest.
+crosses; a bounded table per worker keeps the ids of chunks seen before.  The tokenizers library encodes the rest: its model alone where a
+chunk is a word, all of it otherwise.
 """
 
 from __future__ import annotations
@@ -30,12 +31,34 @@ from .common import shared_folder, staged, text_blocks
 BLANKS = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A word of plain letters that ends before an ASCII sign or blank is a pre-token by itself; anything else runs to the next blank.
 CHUNK = re.compile(f"[ ]?[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[ -/:-@\\[-`{{-~\\n]|\\Z)|[{BLANKS}]*[^{BLANKS}]+|[{BLANKS}]+")
-#: A chunk that is safe between line ends: at most one leading space and no other blank.
-NEAT = re.compile(f"[ ]?[^{BLANKS}]+")
+#: A chunk that is one pre-token, which the model can be given without the library's search for special tokens and borders.
+WORD = re.compile("[ ]?[A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: Signs that stand for bytes in the model's alphabet (fixed values): printable ones for themselves, the others from 256 on.
+PRINTED = (*range(33, 127), *range(161, 173), *range(174, 256))
+SIGNS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in PRINTED)}
 #: Entries of a worker's table of known chunks before it becomes the older one.
 KNOWN = 400_000
-#: Characters whose chunks are looked up at a time.
-LOOKUP = 1_000_000
+#: Characters of text whose ids are held at a time.
+HELD = 1_000_000
+
+
+class Chunks(dict):
+    """Ids of chunks as bytes; an unknown chunk is taken from the older table or encoded."""
+
+    def __init__(self, library: Tokenizer, size: int, older: dict[str, bytes]):
+        super().__init__()
+        self.library, self.model, self.size, self.older = library, library.model, size, older
+
+    def __missing__(self, chunk: str) -> bytes:
+        data = self.older.get(chunk)
+        if data is None:
+            if WORD.fullmatch(chunk):
+                ids = [t.id for t in self.model.tokenize(chunk.encode().decode("latin-1").translate(SIGNS))]
+            else:
+                ids = self.library.encode(chunk, add_special_tokens=False).ids
+            data = b"".join([i.to_bytes(self.size, "little") for i in ids])
+        self[chunk] = data
+        return data
 
 
 class Encoder:
@@ -44,44 +67,16 @@ class Encoder:
     When the younger table is full it becomes the older one, so chunks in use move on and the others go.
     """
 
-    def __init__(self, path: str, separator: str = "<|endoftext|>"):
+    def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
-        self.separator = separator
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def learn(self, words: list[str]) -> None:
-        """Encode new chunks in few calls: parted by line ends where these stay pre-tokens by themselves, else by a special token."""
-        neat = [w for w in words if NEAT.fullmatch(w) and self.separator not in w]
-        rest = set(words).difference(neat)
-        held = {w for w in rest if self.separator in w}
-        for w in held:
-            self.known[w] = np.array(self.library.encode(w, add_special_tokens=False).ids, self.dtype).tobytes()
-        for plain, mark in ((neat, "\n"), (list(rest - held), self.separator)):
-            (cut,) = self.library.encode(mark, add_special_tokens=False).ids
-            for i in range(0, len(plain), 4000):
-                part = plain[i : i + 4000]
-                ids = np.array(self.library.encode_batch_fast([mark.join(part)], add_special_tokens=False)[0].ids, self.dtype)
-                data, size = ids.tobytes(), self.dtype.itemsize
-                ends = [*np.flatnonzero(ids == cut).tolist(), len(ids)]
-                lo = 0
-                for word, hi in zip(part, ends, strict=True):
-                    self.known[word] = data[lo * size : hi * size]
-                    lo = hi + 1
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """Ids of every text; the chunks of all of them are looked up together."""
-        parts = [CHUNK.findall(t) for t in texts]
-        seen = set().union(*parts)
-        new = seen.difference(self.known)
-        if len(self.known) + len(new) > KNOWN:
-            self.known, self.older, new = {}, self.known, seen
-        if new:
-            again = new.intersection(self.older)
-            self.known.update((w, self.older[w]) for w in again)
-            self.learn(list(new - again))
-        return [b"".join(map(self.known.__getitem__, x)) for x in parts]
+        self.known = Chunks(self.library, self.dtype.itemsize, {})
+
+    def __call__(self, text: str) -> bytes:
+        if len(self.known) > KNOWN:
+            older, self.known.older = self.known, {}
+            self.known = Chunks(self.library, self.dtype.itemsize, older)
+        return b"".join(map(self.known.__getitem__, CHUNK.findall(text)))
 
 
 @lru_cache(maxsize=2)
@@ -168,13 +163,13 @@ def _write(folder: str, path: str, end: int, length: int, batch: int):
         writer = sink = None
         at = 0
         temporary = f"{name}.{uuid.uuid4().hex}"
-        for _, rows, texts in text_blocks(batches, "text", LOOKUP):
+        for _, rows, texts in text_blocks(batches, "text", HELD):
             if writer is None:
                 fs.create_dir(root, recursive=True)
                 sink = fs.open_output_stream(temporary)
                 writer = SequenceWriter(sink, code.dtype, length, batch)
             starts, sizes = [], []
-            for data in code(texts):
+            for data in map(code, texts):
                 writer.add(data + ends)
                 starts.append(at)
                 sizes.append(len(data) // code.dtype.itemsize + 1)
