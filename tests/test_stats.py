@@ -139,3 +139,12 @@ def test_spearman_against_pandas(spark):
     r = np.random.default_rng(9)
     pdf = pd.DataFrame({"k": ["x"] * 40, "a": r.integers(0, 9, 40).astype(float), "b": r.normal(size=40)})
     assert B.spearman(spark.createDataFrame(pdf), ["k"], "a", "b").first().rho == pytest.approx(np.corrcoef(pdf.a.rank(), pdf.b.rank())[0, 1])
+
+
+def test_draws_do_not_depend_on_the_stride(spark, monkeypatch):
+    df = spark.createDataFrame([(g, f"{i:04d}", float(i * i % 17)) for g, n in (("a", 1), ("b", 90), ("c", 333)) for i in range(n)], "g string, u string, v double")
+    means = lambda: sorted(map(tuple, RS.resampled_means(df, ["g"], "v", "u", 7, 3, page=50).collect()))
+    whole = means()
+    assert len(whole) == 21
+    monkeypatch.setattr(RS, "STRIDE", 8)
+    assert [(g, r, round(m, 9)) for g, r, m in means()] == [(g, r, round(m, 9)) for g, r, m in whole]

@@ -19,6 +19,8 @@ from . import ordered
 
 #: Units on a page.
 PAGE = 1024
+#: Blocks of draws that one row lists at a time, so that no array grows in step with a group.
+STRIDE = 16_384
 
 
 def _replicates(groups: DataFrame, reps: int, slots: Column) -> DataFrame:
@@ -27,7 +29,9 @@ def _replicates(groups: DataFrame, reps: int, slots: Column) -> DataFrame:
     chunks = min(reps, 4 * n)
     spread = groups.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).repartition(n, "_chunk")
     rep = spread.withColumn("rep", F.explode(F.filter(F.sequence(F.col("_chunk"), F.lit(reps - 1), F.lit(chunks)), lambda v: v < reps)))
-    return rep.withColumn("_block", F.explode(F.sequence(F.lit(0), F.floor((slots - 1) / 4).cast("int")))).drop("_chunk")
+    last = F.floor((slots - 1) / 4).cast("int")
+    strides = rep.withColumn("_from", F.explode(F.sequence(F.lit(0), last, F.lit(STRIDE))))
+    return strides.withColumn("_block", F.explode(F.sequence("_from", F.least(F.col("_from") + (STRIDE - 1), last)))).drop("_chunk", "_from")
 
 
 def _text(keys: Sequence[str]) -> list[Column]:
