@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import fixed, geometry as G, scalar as S
-from ..session import durable
+from ..session import durable, shuffled
 from . import graph, ordered
 
 TILE = 128
@@ -94,7 +94,7 @@ def closed_mask(mask: DataFrame, valid: DataFrame, keys: Sequence[str], y="y", x
     bounds = (valid if grid is None else grid).select(F.max(y).alias("my"), F.max(x).alias("mx")).select(F.struct("my", "mx")).scalar()
     grown = grown.withColumn("_b", bounds).filter((F.col(y) >= 0) & (F.col(x) >= 0) & (F.col(y) <= F.col("_b.my")) & (F.col(x) <= F.col("_b.mx"))).drop("_b")
     shrunk = _filled(grown, keys, 1, y, x, "is_set").filter("is_set and n_near = 8").select(*keys, y, x)
-    return shrunk.join(valid.select(*keys, y, x, *carry), [*keys, y, x])
+    return shuffled(shrunk).join(valid.select(*keys, y, x, *carry), [*keys, y, x])
 
 
 def strict_minima(df: DataFrame, keys: Sequence[str], value: str, y="y", x="x") -> DataFrame:
@@ -311,7 +311,7 @@ def detect_patches(delta: DataFrame, grid: DataFrame, threshold: float, min_cell
     if closing:
         mask = closed_mask(mask, delta, keys, grid=grid, carry=[value])
     cells = label(mask, keys, connectivity, carry=[value])
-    return cells.join(raster_numbers(cells, keys, min_cells, strict_size), [*keys, "component"]).join(grid, ["y", "x"])
+    return cells.join(raster_numbers(cells, keys, min_cells, strict_size), [*keys, "component"]).join(shuffled(grid), ["y", "x"])
 
 
 # ---- medoid, perimeter -----------------------------------------------------------
