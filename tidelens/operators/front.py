@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import fixed, geometry as G, scalar as S
+from ..session import shuffled
 from . import joins as J, raster as RA
 
 
@@ -33,7 +34,7 @@ def dense_field(field: DataFrame, grid: DataFrame) -> DataFrame:
     """Every grid cell of every date; a cell without a value is null, so it can block a slope."""
     days = field.select("date").distinct().agg(F.array_sort(F.collect_set("date")).alias("d")).scalar()
     cells = grid.withColumn("date", F.explode(days))
-    return cells.join(field.select("date", "y", "x", "value"), ["date", "y", "x"], "left")
+    return cells.join(shuffled(field.select("date", "y", "x", "value")), ["date", "y", "x"], "left")
 
 
 def edge_cells(field: DataFrame, grid: DataFrame, st: FrontSettings, ny: int, nx: int) -> DataFrame:
@@ -44,9 +45,9 @@ def edge_cells(field: DataFrame, grid: DataFrame, st: FrontSettings, ny: int, nx
     low = d.filter(F.col("ocean") & (F.col("value") < st.threshold))
     near = RA.neighbour_count(low, ["date"], ny, nx).filter("n_near > 0").select("date", "y", "x")
     high = d.filter(F.col("ocean") & (F.col("value") >= st.threshold)).select("date", "y", "x")
-    edge = high.join(near, ["date", "y", "x"], "left_semi").join(coast, ["y", "x"], "left_anti")
+    edge = high.join(shuffled(near), ["date", "y", "x"], "left_semi").join(shuffled(coast), ["y", "x"], "left_anti")
     slope = RA.gradient(d.select("date", "y", "x", "value", "x_m", "y_m", "lon", "lat"), ["date"], "value")
-    return slope.join(edge, ["date", "y", "x"], "left_semi")
+    return slope.join(shuffled(edge), ["date", "y", "x"], "left_semi")
 
 
 def extract(asks: DataFrame, field: DataFrame, grid: DataFrame, st: FrontSettings, ny: int, nx: int, x0: float, y0: float, step_x: float, step_y: float) -> tuple[DataFrame, DataFrame]:
@@ -66,7 +67,7 @@ def extract(asks: DataFrame, field: DataFrame, grid: DataFrame, st: FrontSetting
     norm = F.hypot("grad_x", "grad_y")
     main = main.withColumn("_n", norm).filter(F.col("_n") > 0).withColumn("nx", -F.col("grad_x") / F.col("_n")).withColumn("ny", -F.col("grad_y") / F.col("_n"))
 
-    values = field.join(grid.select("y", "x", "region_code"), ["y", "x"]).filter(F.col("region_code").isin(*fixed.OCEAN_CODES) & F.col("value").isNotNull()).select("date", "y", "x", "value")
+    values = field.join(shuffled(grid.select("y", "x", "region_code")), ["y", "x"]).filter(F.col("region_code").isin(*fixed.OCEAN_CODES) & F.col("value").isNotNull()).select("date", "y", "x", "value")
     out = main
     for side, sign in (("plus", 1), ("minus", -1)):
         yy, xx = J.nearest_projected_cell(F.col("x_m") + sign * st.sample_m * F.col("nx"), F.col("y_m") + sign * st.sample_m * F.col("ny"), x0, y0, step_x, step_y)
