@@ -23,23 +23,23 @@ DAY_MS = 86_400_000
 def _linked(rows: list[list], live: list[list], days: int, km: float) -> tuple[list[tuple], list[list]]:
     """Openers of rows (day, -loss, id, lon, lat) taken in order, and the objects (opener, day, lon, lat) alive after them."""
     at = _Live()
-    for name, values in zip(("ids", "days", "lon", "lat"), zip(*live)):
-        setattr(at, name, list(values))
+    for known in live:
+        at.open(*known)
     out, today = [], None
     for day, loss, ident, lon, lat in sorted(rows):
         if day != today:
-            at.keep([day - d <= days for d in at.days])
+            at.drop_before(day - days)
             today = day
         place = lon is not None and lat is not None
-        n, _ = at.nearest(lon, lat, km) if place else (None, 0.0)
+        n = at.nearest(lon, lat, km) if place else None
         if n is None:
             if place:
-                at.ids.append(ident), at.days.append(day), at.lon.append(lon), at.lat.append(lat)
+                at.open(ident, day, lon, lat)
             out.append((ident, day, ident))
         else:
-            at.days[n], at.lon[n], at.lat[n] = day, lon, lat
+            at.move(n, day, lon, lat)
             out.append((ident, day, at.ids[n]))
-    return out, [list(v) for v in zip(at.ids, at.days, at.lon, at.lat)]
+    return out, [[i, d, *p] for i, d, p in zip(at.ids, at.days, at.places)]
 
 
 def track_patch_stream(patches: DataFrame, days: int = 2, km: float = 300.0, keys: Sequence[str] = ("region",), delay: str = "0 seconds") -> DataFrame:
