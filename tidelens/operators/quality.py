@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import scalar as S
+from ..session import durable, shuffled
 
 
 def subset_gate(a: DataFrame, b: DataFrame, gate: str) -> DataFrame:
@@ -94,10 +97,27 @@ def key_coverage(expected: DataFrame, actual: DataFrame, keys: Sequence[str]) ->
 
 
 def sparse_store(cells: DataFrame, ny: int | Column, nx: int | Column, keys: Sequence[str] = ("object_id",)) -> DataFrame:
-    """QA-07: doubled cells, cells outside the grid and missing values, as one row."""
-    per = cells.groupBy(*keys, "y", "x").agg(F.count(F.lit(1)).alias("_n"), F.count_if(F.col("delta").isNull() | F.isnan("delta")).alias("_bad"))
+    """QA-07: doubled cells, cells outside the grid and missing values, as one row.
+
+    Cells are first summed in blocks of 8 x 8 with a bit for each cell, which combines before the exchange; only blocks
+    that hold more cells than bits are counted cell by cell.
+    """
+    keys = list(keys)
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.pmod(F.col("y"), F.lit(8)) * 8 + F.pmod(F.col("x"), F.lit(8))).cast("int"))
     out = (F.col("y") < 0) | (F.col("x") < 0) | (F.col("y") >= ny) | (F.col("x") >= nx)
-    return per.agg(F.count_if(F.col("_n") > 1).alias("duplicate_cells"), F.count_if(out).alias("outside_grid"), F.sum("_bad").alias("missing_values"), F.sum("_n").alias("cells"))
+    bad = F.col("delta").isNull() | F.isnan("delta")
+    placed = cells.withColumn("_by", F.floor(F.col("y") / 8)).withColumn("_bx", F.floor(F.col("x") / 8))
+    block = [*keys, "_by", "_bx"]
+    blocks = durable(placed.groupBy(*block).agg(F.count(F.lit(1)).alias("_n"), F.bit_count(F.coalesce(F.bit_or(bit), F.lit(0))).alias("_seen"),
+                                                F.bit_count(F.coalesce(F.bit_or(F.when(out, bit)), F.lit(0))).alias("_out"), F.count_if(bad).alias("_bad")))
+    crowded = F.col("_n") > F.col("_seen")
+    plain = blocks.filter(~crowded).select(F.lit(0).cast("long").alias("_twice"), F.col("_out").cast("long").alias("_out"), "_bad", "_n")
+    if not blocks.filter(crowded).isEmpty():
+        wanted = blocks.filter(crowded).select(*[F.col(k).alias(f"_w_{k}") for k in block])
+        same = functools.reduce(operator.and_, [F.col(k).eqNullSafe(F.col(f"_w_{k}")) for k in block])
+        per = placed.join(shuffled(wanted), same, "left_semi").groupBy(*keys, "y", "x").agg(F.count(F.lit(1)).alias("_n"), F.count_if(bad).alias("_bad"))
+        plain = plain.unionByName(per.select((F.col("_n") > 1).cast("long").alias("_twice"), F.coalesce(out, F.lit(False)).cast("long").alias("_out"), "_bad", "_n"))
+    return plain.agg(F.coalesce(F.sum("_twice"), F.lit(0)).alias("duplicate_cells"), F.coalesce(F.sum("_out"), F.lit(0)).alias("outside_grid"), F.sum("_bad").alias("missing_values"), F.sum("_n").alias("cells"))
 
 
 def contiguous_offsets(index: DataFrame, keys: Sequence[str], order: Sequence[str], start: str, count: str) -> DataFrame:
