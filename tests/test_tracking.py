@@ -216,3 +216,12 @@ def test_edges_of_a_hub_are_not_shuffled_to_one_task(spark):
     sizes = [r["n"] for r in both.filter("u = 50000").groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()]
     assert max(sizes) < 20_000 / 2
     assert {r.root for r in graph.components(star, "u", "v").collect()} == {1}
+
+
+def test_linked_rows_are_stored_before_their_openings_are_numbered(spark):
+    """The sequential rule of a unit runs once, not again for every reader of its result."""
+    rows, df = patches(spark, 40, 5, 60.0, 6, 2)
+    e = spark.createDataFrame([(f"E{i:02d}", "R0", D0 + dt.timedelta(i % 7), 5.0 * i, 70.0, 1.0) for i in range(20)],
+                              "unique_local_event_id string, dominant_region string, event_start date, track_centroid_lon double, track_centroid_lat double, cumulative_loss double")
+    for out in (T.track_patches(df), T.cluster_events(e, {"R0": ()})):
+        assert "MapInArrow" not in out._jdf.queryExecution().toString()
