@@ -184,3 +184,25 @@ def test_composition_values(spark):
     rows = {r.k: r for r in B.composition(df, ["k"], "v").collect()}
     assert set(rows) == {"a"}
     assert rows["a"].effective_number == pytest.approx(256 / 88) and rows["a"].largest_share == 0.5 and rows["a"].top_share == 0.875
+
+
+def test_closing_of_words_equals_closing_of_cells_on_random_masks(spark):
+    """Words of columns meet their neighbours at both sides, and cells outside the bounds count as unset."""
+    g = np.random.default_rng(21)
+    w = RA.WORD
+    cells = {(k, int(y), int(x)) for k, share in ((0, 0.3), (1, 0.6), (2, 0.97)) for y, x in np.argwhere(g.random((7, 2 * w + 5)) < share)}
+    ny, nx = 7, 2 * w + 5
+    near = lambda y, x: [(y + a, x + b) for a in (-1, 0, 1) for b in (-1, 0, 1)]
+    grown = {(k, a, b) for k, y, x in cells for a, b in near(y, x) if 0 <= a < ny and 0 <= b < nx}
+    want = {(k, y, x) for k, y, x in grown if all((k, a, b) in grown for a, b in near(y, x))}
+    mask = spark.createDataFrame(sorted(cells), "k int, y int, x int")
+    valid = spark.createDataFrame([(k, y, x) for k in range(3) for y in range(ny) for x in range(nx)], "k int, y int, x int")
+    out = RA.closed_mask(mask, valid, ["k"])
+    assert {(r.k, r.y, r.x) for r in out.collect()} == want
+    assert "inline" not in out._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_tiles_are_dealt_over_more_tasks_than_a_plain_shuffle(spark):
+    df = spark.createDataFrame([(k, y, x, float(k * y + x)) for k in range(40) for y in range(3) for x in range(3)], "k int, y int, x int, value double")
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert RA.with_halo(df, ["k"], 1).select(F.spark_partition_id().alias("p")).distinct().count() > width

@@ -14,10 +14,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import fixed, geometry as G, scalar as S
-from ..session import durable, shuffled
+from ..session import durable, shuffle_width, shuffled
 from . import graph, ordered
 
 TILE = 128
+SPREAD = 8
 
 
 # ---- differences ----------------------------------------------------------
@@ -41,7 +42,10 @@ def window_difference(field: DataFrame, days: int, dates: DataFrame | None = Non
 # ---- stencils ---------------------------------------------------------------
 
 def with_halo(df: DataFrame, keys: Sequence[str], reach: int, y="y", x="x", tile: int = TILE) -> DataFrame:
-    """Copy each cell to every tile it can influence within ``reach``; ``_core`` marks the owner's copy."""
+    """Copy each cell to every tile it can influence within ``reach``; ``_core`` marks the owner's copy.
+
+    Tiles are many and small, and every window over them sorts what its task holds, so they are dealt over ``SPREAD`` times the usual tasks.
+    """
     def tiles(c):
         at = F.col(c)
         lo, hi = F.floor((at - reach) / tile), F.floor((at + reach) / tile)
@@ -49,7 +53,7 @@ def with_halo(df: DataFrame, keys: Sequence[str], reach: int, y="y", x="x", tile
 
     spread = df.withColumn("_ty", F.explode(tiles(y))).withColumn("_tx", F.explode(tiles(x)))
     core = (F.floor(F.col(y) / tile) == F.col("_ty")) & (F.floor(F.col(x) / tile) == F.col("_tx"))
-    return spread.withColumn("_core", core).repartition(*keys, "_ty", "_tx")
+    return spread.withColumn("_core", core).repartition(SPREAD * shuffle_width(df), *keys, "_ty", "_tx")
 
 
 def _row(keys, y, x, lo, hi):
@@ -83,17 +87,52 @@ def expand_mask(mask: DataFrame, keys: Sequence[str], steps: int, ny: int, nx: i
     return out
 
 
+#: Columns of a row in one word; the word also holds two columns on either side, as far as a closing reaches.
+WORD = 56
+
+
+def _packed(mask: DataFrame, keys: Sequence[str], y: str, x: str) -> DataFrame:
+    """(keys, y, ``_w``, ``_m``): the set cells of each word, bit 2 being its first column."""
+    at = F.floor(F.col(x) / WORD)
+    near = F.array_distinct(F.array(F.floor((F.col(x) - 2) / WORD), at, F.floor((F.col(x) + 2) / WORD)))
+    bit = F.expr(f"shiftleft(1L, cast({x} - _w * {WORD} + 2 as int))")
+    return mask.select(*keys, y, x, F.explode(near).alias("_w")).groupBy(*keys, y, "_w").agg(F.bit_or(bit).alias("_m"))
+
+
+def _ones(n: Column) -> Column:
+    """Word whose ``n`` lowest bits are set."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), n.cast("int")) - F.lit(1).cast("long")
+
+
+def _to_rows_beside(words: DataFrame, y: str) -> DataFrame:
+    """Every word in its own row and in the rows above and below."""
+    return words.withColumn(y, F.explode(F.array(F.col(y) - 1, F.col(y), F.col(y) + 1)))
+
+
 def closed_mask(mask: DataFrame, valid: DataFrame, keys: Sequence[str], y="y", x="x", grid: DataFrame | None = None, carry: Sequence[str] = ()) -> DataFrame:
     """RAS-02: 3 x 3 closing of a cell set; outside the grid counts as unset, so the border erodes.
 
     ``valid`` holds the cells that may stay (finite and inside the domain) with the frame
     keys; ``carry`` names its columns to return.  The static ``grid`` gives the bounds
     without another pass over the field.
+
+    Cells travel as words of ``WORD`` columns of a row, so both passes shuffle rows of words and not nine copies of every cell.
     """
-    grown = _filled(mask.select(*keys, y, x), keys, 1, y, x, "s").select(*keys, y, x)
+    keys = list(keys)
     bounds = (valid if grid is None else grid).select(F.max(y).alias("my"), F.max(x).alias("mx")).select(F.struct("my", "mx")).scalar()
-    grown = grown.withColumn("_b", bounds).filter((F.col(y) >= 0) & (F.col(x) >= 0) & (F.col(y) <= F.col("_b.my")) & (F.col(x) <= F.col("_b.mx"))).drop("_b")
-    shrunk = _filled(grown, keys, 1, y, x, "is_set").filter("is_set and n_near = 8").select(*keys, y, x)
+    first = (F.col("_w") * WORD - 2).cast("int")  # column of the lowest bit
+    low = F.greatest(F.lit(0), F.least(F.lit(WORD + 4), -first))
+    high = F.greatest(F.lit(0), F.least(F.lit(WORD + 4), F.col("_b.mx") - first + 1))
+    inside = _ones(high).bitwiseAND(F.bitwise_not(_ones(low)))
+    up, down = lambda v: F.shiftleft(v, 1), lambda v: F.shiftright(v, 1)
+    bits = _packed(mask.select(*keys, y, x), keys, y, x)
+    wide = bits.select(*keys, y, "_w", F.col("_m").bitwiseOR(up(F.col("_m"))).bitwiseOR(down(F.col("_m"))).alias("_m"))
+    grown = _to_rows_beside(wide, y).groupBy(*keys, y, "_w").agg(F.bit_or("_m").alias("_m")).withColumn("_b", bounds)
+    grown = grown.filter((F.col(y) >= 0) & (F.col(y) <= F.col("_b.my"))).withColumn("_m", F.col("_m").bitwiseAND(inside)).drop("_b")
+    thin = grown.select(*keys, y, "_w", F.col("_m").bitwiseAND(up(F.col("_m"))).bitwiseAND(down(F.col("_m"))).alias("_m")).filter("_m <> 0")
+    kept = _to_rows_beside(thin, y).groupBy(*keys, y, "_w").agg(F.bit_and("_m").alias("_m"), F.count(F.lit(1)).alias("_n")).filter("_n = 3")
+    spots = F.filter(F.sequence(F.lit(0), F.lit(WORD - 1)), lambda i: F.getbit("_m", (i + 2).cast("int")) == 1)
+    shrunk = kept.select(*keys, y, "_w", F.explode(spots).alias("_i")).select(*keys, y, (F.col("_w") * WORD + F.col("_i")).cast(mask.schema[x].dataType).alias(x))
     return shuffled(shrunk).join(valid.select(*keys, y, x, *carry), [*keys, y, x])
 
 
