@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import fixed, geometry as G, scalar as S
-from ..session import shuffled
+from ..session import durable, shuffled
 from ..sources.catalog import first_per_group
 from . import joins as J, ordered, raster as RA
 
@@ -344,6 +344,7 @@ def scenario_summary(rows: DataFrame, keys: Sequence[str], metrics: Sequence[str
     """AGG-30: seven quantiles per scenario and metric, rank correlation of the first metric with the primary scenario, change of the median."""
     keys = list(keys)
     flat = rows.select(*keys, unit, F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in metrics])))
+    flat = durable(flat)  # one row per scenario, unit and metric; read three times below, each time anew from the field otherwise
     probs = {"min": 0.0, "p10": 0.1, "q25": 0.25, "median": 0.5, "q75": 0.75, "p90": 0.9, "max": 1.0}
     q = ordered.quantiles(flat, [*keys, "metric"], "v", probs)
     is_primary = F.lit(True)
