@@ -148,3 +148,30 @@ def test_draws_do_not_depend_on_the_stride(spark, monkeypatch):
     assert len(whole) == 21
     monkeypatch.setattr(RS, "STRIDE", 8)
     assert [(g, r, round(m, 9)) for g, r, m in means()] == [(g, r, round(m, 9)) for g, r, m in whole]
+
+
+def test_dealt_draws_against_hashlib_and_shelves(spark, monkeypatch):
+    import hashlib
+    draws = lambda t: [int(hashlib.md5(t.encode()).hexdigest()[8 * p:8 * p + 8], 16) for p in range(4)]
+    for text in ("", "11|R0|100|v1|", "y" * 53, "y" * 61, "q" * 130):
+        n = np.arange(95, 100)
+        got = ST.md5_draws(ST.md5_words([text.encode(), ST.decimal_bytes(n, 2)]), len(n))
+        assert [list(c) for c in got.T] == [draws(f"{text}{v}") for v in n]
+    sizes = (("a", 1), ("b", 90), ("é", 333))
+    rows = [(g, f"{i:04d}", float(i * i % 17)) for g, n in sizes for i in range(n)]
+    df = spark.createDataFrame(rows, "g string, u string, v double").repartition(3)
+    want = {}
+    for g, n in sizes:
+        v = [r[2] for r in rows if r[0] == g]
+        for rep in range(12):
+            want[g, rep] = np.mean([v[draws(f"3|{g}|{rep}|{i // 4}")[i % 4] % n] for i in range(n)])
+    for shelf in (RS.SHELF, 2):
+        monkeypatch.setattr(RS, "SHELF", shelf)
+        got = {(r.g, r.rep): r["mean"] for r in RS.resampled_means(df, ["g"], "v", "u", 12, 3, page=20).collect()}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+    flips = {(r.g, r.rep): r["mean"] for r in RS.sign_flip_means(df, ["g"], "v", "u", 45, 3).collect()}
+    for g, n in sizes:
+        for rep in range(45):
+            signed = [r[2] * (draws(f"3|{g}|s|{r[1]}|{rep // 4}")[rep % 4] % 2 * 2 - 1) for r in rows if r[0] == g]
+            assert flips[g, rep] == pytest.approx(np.mean(signed), abs=1e-9)
+    assert "_picks" not in RS.resampled_means(df, ["g"], "v", "u", 12, 3)._jdf.queryExecution().toString()
