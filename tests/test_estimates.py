@@ -24,7 +24,7 @@ def broadcasts(df):
     return out
 
 
-CELLS = ["ras_12_class_partition_cdr", "ras_12_class_partition_detector", "ras_13_overlap_audit", "agg_20_class_budget_field", "agg_26_union_footprint", "agg_29_start_diagnostics"]
+CELLS = ["ras_12_class_partition_cdr", "ras_12_class_partition_detector", "ras_13_overlap_audit", "agg_20_class_budget_field", "agg_26_union_footprint", "agg_29_start_diagnostics", "sta_14_normalised_contrasts", "sta_21_reverse_window_metrics"]
 
 
 @pytest.mark.parametrize("name", CELLS)

@@ -68,7 +68,7 @@ def domain_budgets(events: DataFrame, region_budget: DataFrame, own_cells: DataF
         *[F.sum(c).alias(f"global_{c}") for c in ("loss", "gain", "valid_area", "initial")],
         *[F.sum(F.when(F.col("region_code").between(1, 18), F.col(c)).otherwise(0.0)).alias(f"named_{c}") for c in ("loss", "gain", "valid_area", "initial")])
     a = F.col("area_km2")
-    own = own_cells.select(id_col, "date", "y", "x").distinct().join(cells.select("date", "y", "x", "loss", "gain", "start_value", "area_km2"), ["date", "y", "x"])
+    own = own_cells.select(id_col, "date", "y", "x").distinct().join(shuffled(cells.select("date", "y", "x", "loss", "gain", "start_value", "area_km2")), ["date", "y", "x"])
     local = own.groupBy(id_col).agg(F.sum(F.col("loss") * a).alias("local_loss"), F.sum(F.col("gain") * a).alias("local_gain"), F.sum(a).alias("local_valid_area"), F.sum(F.col("start_value") * a).alias("local_initial"))
     src = events.select(id_col, F.col(date).alias("date")).join(source_codes.select(id_col, "region_code").distinct(), id_col)
     src = src.join(region_budget, ["date", "region_code"]).groupBy(id_col).agg(*[F.sum(c).alias(f"source_{c}") for c in ("loss", "gain", "valid_area", "initial")])
