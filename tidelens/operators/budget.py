@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import fixed, geometry as G, scalar as S
-from ..session import durable, shuffled
+from ..session import durable, shuffle_width, shuffled
 from ..sources.catalog import first_per_group
 from . import joins as J, ordered, raster as RA
 
@@ -260,6 +260,11 @@ def footprint_components(prints: DataFrame, components: DataFrame, cells: DataFr
     p = prints.select("date", "unique_local_event_id", "y", "x").join(g, ["y", "x"]).join(comp.select("date", "y", "x", "component", "lw"), ["date", "y", "x"], "left")
     a = p.groupBy("date", "unique_local_event_id", "component").agg(F.count(F.lit(1)).alias("intersection_cells"), F.sum("area_km2").alias("intersection_area_km2"), F.sum(F.coalesce("lw", F.lit(0.0))).alias("intersection_loss"))
     a = a.withColumn("own_area", F.sum("intersection_area_km2").over(W.partitionBy("date", "unique_local_event_id")))
+    return overlaps(a, ctot)
+
+
+def overlaps(a: DataFrame, ctot: DataFrame) -> DataFrame:
+    """IoU, capture fractions and loss-weighted overlap of each (date, local event, component)."""
     r = a.filter("component is not null").join(ctot, ["date", "component"])
     i = F.col("intersection_area_km2")
     return r.select("date", "unique_local_event_id", "component", "intersection_cells", "intersection_area_km2", "intersection_loss",
@@ -267,6 +272,73 @@ def footprint_components(prints: DataFrame, components: DataFrame, cells: DataFr
                     S.ratio("intersection_loss", "comp_loss").alias("loss_weighted_overlap"))
 
 
+#: Cells along a side of a tile whose 64 cells are the bits of one number.
+SIDE = 8
+
+
+def on_tile() -> list[Column]:
+    """Tile of a cell and the cell's bit in it."""
+    y, x = F.col("y").cast("bigint"), F.col("x").cast("bigint")
+    place = F.pmod(y, F.lit(SIDE)) * SIDE + F.pmod(x, F.lit(SIDE))
+    return [F.floor(y / SIDE).alias("_ty"), F.floor(x / SIDE).alias("_tx"), F.call_function("shiftleft", F.lit(1).cast("bigint"), place.cast("int")).alias("_bit")]
+
+
+def footprint_tiles(dates: DataFrame, members: DataFrame, patch_cells: DataFrame, track: str = "cdr") -> DataFrame:
+    """Cells of each (event date, local event) as a mask per tile: (date, unique_local_event_id, _ty, _tx, _mask).
+
+    An object's cells become masks first, and its tiles go to their event before they are repeated for
+    every window that holds them, so windows and cells are never exchanged.
+    """
+    before, after = fixed.TRACKS[track]
+    # distinct event dates only: bounded by the calendar
+    days = dates.select(F.array_sort(F.collect_set("date"))).scalar()
+    masks = patch_cells.select("object_id", *on_tile()).groupBy("object_id", "_ty", "_tx").agg(F.bit_or("_bit").alias("_mask"))
+    tiles = members.select("unique_local_event_id", "object_id", F.col("date").alias("_d"), F.col("start_date").alias("_s")).join(shuffled(masks), "object_id")
+    tiles = tiles.select("unique_local_event_id", "_ty", "_tx", "_mask", "_d", "_s").repartition(shuffle_width(members), "unique_local_event_id", "_ty", "_tx")
+    near = tiles.withColumn("date", F.explode(F.sequence(F.date_sub("_d", after), F.date_add("_d", before))))
+    held = near.filter((F.col("_s") <= F.date_add("date", after)) & F.array_contains(days, F.col("date")))
+    return held.groupBy("date", "unique_local_event_id", "_ty", "_tx").agg(F.bit_or("_mask").alias("_mask"))
+
+
+def grid_tiles(grid: DataFrame, dates: DataFrame) -> DataFrame:
+    """Areas of the grid's cells by tile, for every date: (date, _ty, _tx, _cells of (_bit, area, loss, gain)) without loss and gain."""
+    none = F.lit(None).cast("double")
+    days = dates.select(F.array_sort(F.collect_set("date"))).scalar()
+    cell = F.struct("_bit", F.col("area_km2").cast("double").alias("area"), none.alias("loss"), none.alias("gain"))
+    return grid.select("area_km2", *on_tile()).groupBy("_ty", "_tx").agg(F.collect_list(cell).alias("_cells")).withColumn("date", F.explode(days))
+
+
+def on_cells_of(prints: DataFrame, tiles: DataFrame) -> DataFrame:
+    """Cells of the tiles that lie in the footprints."""
+    met = prints.join(shuffled(tiles), ["date", "_ty", "_tx"])
+    return met.select("unique_local_event_id", "_mask", *[c for c in tiles.columns if c not in ("_ty", "_tx", "_cells")], F.inline("_cells")).filter(F.col("_mask").bitwiseAND(F.col("_bit")) != 0)
+
+
+def tile_sums(prints: DataFrame, cells: DataFrame, grid: DataFrame, dates: DataFrame) -> DataFrame:
+    """AGG-26 per (date, local event) from masks: cells, area, loss and gain of the footprint's grid cells."""
+    a = F.col("area_km2")
+    # a cell of the grid counts and has an area; its loss and gain come from the row of the change
+    cell = F.struct("_bit", F.lit(None).cast("double").alias("area"), (F.col("loss") * a).alias("loss"), (F.col("gain") * a).alias("gain"))
+    change = cells.select("date", "loss", "gain", "area_km2", *on_tile()).groupBy("date", "_ty", "_tx").agg(F.collect_list(cell).alias("_cells"))
+    hit = on_cells_of(prints, grid_tiles(grid, dates).unionByName(change))
+    s = hit.groupBy("date", "unique_local_event_id").agg(F.count("area").alias("cells"), F.sum("area").alias("area_km2"), F.sum("loss").alias("loss"), F.sum("gain").alias("gain"))
+    return s.filter("cells > 0").fillna(0.0, ["loss", "gain"])
+
+
+def tile_components(prints: DataFrame, components: DataFrame, grid: DataFrame, dates: DataFrame) -> DataFrame:
+    """JOI-22 / AGG-27 from masks: intersection of footprints with components that bring ``loss`` and ``area_km2``."""
+    comp = components.select("date", "component", "area_km2", (F.col("loss") * F.col("area_km2")).alias("lw"), *on_tile())
+    ctot = comp.groupBy("date", "component").agg(F.sum("area_km2").alias("comp_area"), F.sum(F.coalesce("lw", F.lit(0.0))).alias("comp_loss"))
+    cell = F.struct("_bit", F.col("area_km2").cast("double").alias("area"), F.col("lw").alias("loss"), F.lit(None).cast("double").alias("gain"))
+    parts = comp.groupBy("date", "component", "_ty", "_tx").agg(F.collect_list(cell).alias("_cells"))
+    # the grid is one more component, without a name: its share of a footprint is the footprint's own area
+    whole = grid_tiles(grid, dates).withColumn("component", F.lit(None).cast(comp.schema["component"].dataType))
+    a = on_cells_of(prints, parts.unionByName(whole)).groupBy("date", "unique_local_event_id", "component").agg(
+        F.count(F.lit(1)).alias("intersection_cells"), F.sum("area").alias("intersection_area_km2"), F.sum(F.coalesce("loss", F.lit(0.0))).alias("intersection_loss"))
+    own = F.max(F.when(F.col("component").isNull(), F.col("intersection_area_km2")))
+    return overlaps(a.withColumn("own_area", own.over(W.partitionBy("date", "unique_local_event_id"))), ctot)
+
+
 # ---- start-value bins and scenarios ---------------------------------------------------------
 
 BINS = (("lt_0.15", None, 0.15), ("0.15_0.30", 0.15, 0.30), ("ge_0.30", 0.30, None))

@@ -240,8 +240,8 @@ def _(spark, sf):
 @query("agg_26_event_footprints", BASE2 + CDR + FP + """ SELECT fp.date, unique_local_event_id, count(*) AS cells, sum(g.area_km2) AS area_km2, round(sum(coalesce(loss * g.area_km2, 0)), 6) + 0.0 AS loss, round(sum(coalesce(gain * g.area_km2, 0)), 6) + 0.0 AS gain
  FROM fp JOIN grid g ON g.y = fp.y AND g.x = fp.x LEFT JOIN cc ON cc.date = fp.date AND cc.y = fp.y AND cc.x = fp.x GROUP BY 1, 2""")
 def _(spark, sf):
-    fp = B.footprints(dates(spark, sf), I.members(spark, sf), I.patch_cells(spark, sf))
-    s = B.footprint_sums(fp, cells(spark, sf), I.grid(spark, sf), ["date", "unique_local_event_id"])
+    days = dates(spark, sf)
+    s = B.tile_sums(B.footprint_tiles(days, I.members(spark, sf), I.patch_cells(spark, sf)), cells(spark, sf), I.grid(spark, sf), days)
     return s.select("date", "unique_local_event_id", "cells", "area_km2", *rr(["loss", "gain"]))
 
 
@@ -251,10 +251,10 @@ h AS (SELECT fp.date, unique_local_event_id, component, count(*) AS n, sum(area_
 SELECT h.date, h.unique_local_event_id, h.component, n AS intersection_cells, a AS intersection_area_km2, round(lw, 6) + 0.0 AS intersection_loss, round(a / (pa + ca - a), 6) + 0.0 AS iou, round(a / pa, 6) + 0.0 AS local_capture, round(a / ca, 6) + 0.0 AS component_capture, round(lw / cl, 6) + 0.0 AS loss_weighted_overlap
 FROM h JOIN c1 ON c1.date = h.date AND c1.component = h.component JOIN p1 ON p1.date = h.date AND p1.unique_local_event_id = h.unique_local_event_id""")
 def _(spark, sf):
-    fp = B.footprints(dates(spark, sf), I.members(spark, sf), I.patch_cells(spark, sf))
+    fp = B.footprint_tiles(dates(spark, sf), I.members(spark, sf), I.patch_cells(spark, sf))
     c = comps(spark, sf)
     big = c.groupBy("date", "component").agg(F.count(F.lit(1)).alias("n")).filter("n > 2")
-    out = B.footprint_components(fp, c.join(big, ["date", "component"], "left_semi"), None, I.grid(spark, sf))
+    out = B.tile_components(fp, c.join(big, ["date", "component"], "left_semi"), I.grid(spark, sf), dates(spark, sf))
     return out.select("date", "unique_local_event_id", "component", "intersection_cells", "intersection_area_km2", *rr(["intersection_loss", "iou", "local_capture", "component_capture", "loss_weighted_overlap"]))
 
 
