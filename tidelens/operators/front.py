@@ -59,11 +59,11 @@ def extract(asks: DataFrame, field: DataFrame, grid: DataFrame, st: FrontSetting
     keys = ["point_id", "date"]
     edges = edge_cells(field.join(asks.select("date").distinct(), "date", "left_semi"), grid, st, ny, nx)
     pairs = J.plane_pairs(asks.select("point_id", "px_m", "py_m").distinct(), grid, st.search_km)
-    mine = asks.select(*keys).distinct().join(pairs.select("point_id", "y", "x"), "point_id").join(edges, ["date", "y", "x"])
+    mine = asks.select(*keys).distinct().join(shuffled(pairs.select("point_id", "y", "x")), "point_id").join(shuffled(edges), ["date", "y", "x"])
     lab = RA.label(mine, keys, 8, tile=st.tile)
     sizes = lab.groupBy(*keys, "component").agg(F.count(F.lit(1)).alias("n"))
     dom = sizes.groupBy(*keys).agg(F.max_by("component", F.struct("n", -F.col("component"))).alias("component"), F.max("n").alias("dominant_cells"), F.sum("n").alias("total_edge_cells"))
-    main = lab.join(dom.select(*keys, "component"), [*keys, "component"], "left_semi").select(*keys, "y", "x").join(mine, [*keys, "y", "x"])
+    main = lab.join(shuffled(dom.select(*keys, "component")), [*keys, "component"], "left_semi").select(*keys, "y", "x").join(shuffled(mine), [*keys, "y", "x"])
     norm = F.hypot("grad_x", "grad_y")
     main = main.withColumn("_n", norm).filter(F.col("_n") > 0).withColumn("nx", -F.col("grad_x") / F.col("_n")).withColumn("ny", -F.col("grad_y") / F.col("_n"))
 
@@ -72,7 +72,7 @@ def extract(asks: DataFrame, field: DataFrame, grid: DataFrame, st: FrontSetting
     for side, sign in (("plus", 1), ("minus", -1)):
         yy, xx = J.nearest_projected_cell(F.col("x_m") + sign * st.sample_m * F.col("nx"), F.col("y_m") + sign * st.sample_m * F.col("ny"), x0, y0, step_x, step_y)
         v = values.select(F.col("date").alias("_d"), F.col("y").alias("_y"), F.col("x").alias("_x"), F.col("value").alias(f"v_{side}"))
-        out = out.withColumn("_yy", yy).withColumn("_xx", xx).join(v, (F.col("date") == F.col("_d")) & (F.col("_yy") == F.col("_y")) & (F.col("_xx") == F.col("_x")), "left").drop("_d", "_y", "_x", "_yy", "_xx")
+        out = out.withColumn("_yy", yy).withColumn("_xx", xx).join(shuffled(v), (F.col("date") == F.col("_d")) & (F.col("_yy") == F.col("_y")) & (F.col("_xx") == F.col("_x")), "left").drop("_d", "_y", "_x", "_yy", "_xx")
     diff = F.col("v_minus") - F.col("v_plus")
     out = out.withColumn("orientation_diff", diff).withColumn("oriented", diff.isNotNull())
     flip = F.coalesce(F.col("orientation_diff") < 0, F.lit(False))
@@ -89,7 +89,7 @@ def extract(asks: DataFrame, field: DataFrame, grid: DataFrame, st: FrontSetting
     per = out.groupBy(*keys).agg(F.count(F.lit(1)).alias("orientation_total_cells"), F.count_if("oriented").alias("orientation_valid_cells"), F.count_if(F.coalesce(contrast >= st.min_difference, F.lit(False))).alias("orientation_strong_cells"),
                                  F.count_if("flip").alias("orientation_flip_cells"), F.count_if(F.coalesce(good, F.lit(False))).alias("edge_cells"),
                                  F.avg(F.when(F.col("oriented"), high_side)).alias("mean_high_side"), F.avg(F.when(F.col("oriented"), low_side)).alias("mean_low_side"), F.avg(contrast).alias("mean_contrast"))
-    qa = asks.select(*keys).distinct().join(dom.drop("component"), keys, "left").join(per, keys, "left")
+    qa = asks.select(*keys).distinct().join(shuffled(dom.drop("component")), keys, "left").join(shuffled(per), keys, "left")
     qa = qa.withColumn("component_fraction", S.ratio("dominant_cells", "total_edge_cells")).withColumn("valid_orientation_fraction", S.ratio("orientation_valid_cells", "orientation_total_cells"))
     qa = qa.withColumn("strong_orientation_fraction", S.ratio("orientation_strong_cells", "orientation_valid_cells")).withColumn("flip_fraction", S.ratio("orientation_flip_cells", "orientation_valid_cells"))
     broken = F.col("component_fraction") < st.component_fraction
@@ -108,7 +108,7 @@ def extract(asks: DataFrame, field: DataFrame, grid: DataFrame, st: FrontSetting
     for c, _ in [*early, *late]:
         stop = stop | F.coalesce(c, F.lit(False))
     qa = qa.withColumn("qa_status", F.when(stop, "reject").otherwise(S.worst_status("_topo", "_orient"))).drop("_topo", "_orient")
-    rows = out.filter(good).join(qa.filter("qa_status <> 'reject'").select(*keys, "qa_status"), keys)
+    rows = out.filter(good).join(shuffled(qa.filter("qa_status <> 'reject'").select(*keys, "qa_status")), keys)
     rows = rows.select(*keys, "y", "x", F.col("lon").alias("edge_lon"), F.col("lat").alias("edge_lat"), F.col("value").alias("edge_value"), (F.col("_e") / F.col("_l")).alias("normal_east"), (F.col("_o") / F.col("_l")).alias("normal_north"), "qa_status")
     return rows, qa
 
