@@ -37,3 +37,14 @@ def test_exploded_patch_cells_are_not_broadcast(spark, sf, name):
 def test_exploded_grid_is_not_broadcast(spark, sf, name):
     found = broadcasts(queries()[name](spark, sf))
     assert not [b for b in found if "p_partkey" in b and "Generate" in b]
+
+
+@pytest.mark.parametrize("name", ["ras_10_front_quality", "top_04_ras_10_front_rows", "ras_11_relative_wind"])
+def test_fronts_of_points_are_not_broadcast(spark, sf, name):
+    found = broadcasts(queries()[name](spark, sf))
+    assert not [b for b in found if "grad_x" in b or "component" in b or "qa_status" in b]
+
+
+def test_start_diagnostics_read_the_cells_once(spark, sf):
+    plan = queries()["agg_29_start_diagnostics"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "object_area_cells" not in plan

@@ -49,3 +49,20 @@ def test_cells_of_footprints_are_not_exchanged(spark, sf):
     for name in ("agg_26_event_footprints", "joi_22_agg_27_footprint_components"):
         plan = queries()[name](spark, sf)._jdf.queryExecution().sparkPlan().toString()
         assert "bit_or" in plan
+
+
+def test_start_diagnostics_from_counts(spark):
+    r = np.random.default_rng(5)
+    rows = [(f"E{int(r.integers(0, 4))}", None if r.random() < 0.2 else float(r.integers(0, 16)) / 32, float(r.integers(1, 9)) / 4) for _ in range(200)] + [("E9", None, 1.0)]
+    got = {x.e: x for x in B.start_diagnostics(spark.createDataFrame(rows, "e string, start_value double, w double"), ["e"]).collect()}
+    for e in {x[0] for x in rows}:
+        mine = [x for x in rows if x[0] == e]
+        seen = [x for x in mine if x[1] is not None]
+        assert got[e].observations == len(mine)
+        if not seen:
+            assert got[e].median is None and got[e].total_loss == 0 and got[e]["cell_fraction_lt_0.15"] is None
+            continue
+        v, w = np.array([x[1] for x in seen]), np.array([x[2] for x in seen])
+        assert np.allclose([got[e][c] for c in ("p10", "q25", "median", "q75", "p90")], np.quantile(v, [0.1, 0.25, 0.5, 0.75, 0.9]))
+        assert np.isclose(got[e].weighted_mean_start, (v * w).sum() / sum(x[2] for x in mine))
+        assert np.isclose(got[e]["cell_fraction_lt_0.15"], (v < 0.15).mean()) and np.isclose(got[e]["loss_fraction_ge_0.30"], w[v >= 0.3].sum() / w.sum())

@@ -371,12 +371,21 @@ def start_state(patch_cells: DataFrame, field: DataFrame, grid: DataFrame) -> Da
 
 
 def start_diagnostics(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """AGG-29: five quantiles, weighted mean and bins of the start value per event."""
+    """AGG-29: five quantiles, weighted mean and bins of the start value per event.
+
+    Everything follows from how often a start value occurs in an event and the loss at it, so cells are exchanged once.
+    """
     keys = list(keys)
-    q = ordered.quantiles(cells, keys, "start_value", {"p10": 0.1, "q25": 0.25, "median": 0.5, "q75": 0.75, "p90": 0.9}).drop("n_values")
-    m = cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("observations"), F.sum("w").alias("_t"), F.sum(F.col("start_value") * F.col("w")).alias("_s"))
-    b = bin_fractions(cells, keys).drop("n_cells")
-    return m.withColumn("weighted_mean_start", S.ratio("_s", "_t")).drop("_t", "_s").join(q, keys, "left").join(b, keys)
+    per = durable(cells.groupBy(*keys, "start_value").agg(F.count(F.lit(1)).alias("_n"), F.sum("w").alias("w")))
+    q = ordered.quantiles(per, keys, "start_value", {"p10": 0.1, "q25": 0.25, "median": 0.5, "q75": 0.75, "p90": 0.9}, "_n").drop("n_values")
+    s, w, n = F.col("start_value"), F.col("w"), F.col("_n")
+    aggs = [F.sum(n).alias("observations"), F.sum(w).alias("_t"), F.sum(s * w).alias("_s"), F.coalesce(F.sum(F.when(s.isNotNull(), n)), F.lit(0)).alias("_seen"), F.sum(F.when(s.isNotNull(), w).otherwise(0.0)).alias("total_loss")]
+    for name, lo, hi in BINS:
+        aggs += [F.sum(F.when(in_bin(s, lo, hi), n).otherwise(0)).alias(f"_n_{name}"), F.sum(F.when(in_bin(s, lo, hi), w).otherwise(0.0)).alias(f"loss_{name}")]
+    m = per.groupBy(*keys).agg(*aggs)
+    for name, *_ in BINS:
+        m = m.withColumn(f"cell_fraction_{name}", S.ratio(F.col(f"`_n_{name}`"), "_seen")).withColumn(f"loss_fraction_{name}", S.ratio(F.col(f"`loss_{name}`"), "total_loss")).drop(f"_n_{name}")
+    return m.withColumn("weighted_mean_start", S.ratio("_s", "_t")).drop("_t", "_s", "_seen").join(q, keys, "left")
 
 
 def start_summary(event_level: DataFrame, regions: Sequence[int], level="level") -> DataFrame:
