@@ -31,3 +31,12 @@ def test_the_floor_scenario_is_checked_on_its_own_samples(spark, sf, monkeypatch
     rows = [r for r in QUERIES["evi_04_stable_specificity"](spark, sf).collect() if r.variable == "v2"]
     assert rows and all(r.primary_confirmed for r in rows)
     assert not any(r.floor_confirmed or r.floor_specific or r.stable_spatial_specificity for r in rows)
+
+
+def test_a_summary_makes_each_table_of_tests_once(spark, sf, monkeypatch):
+    made = []
+    for name in ("location_tests", "paired_specificity", "front_tests", "proximity_tests"):
+        plain = getattr(E, name)
+        monkeypatch.setattr(E, name, lambda *a, _p=plain, _n=name, **k: made.append(_n) or _p(*a, **k))
+    QUERIES["evi_02_region_summary"](spark, sf)
+    assert made == ["location_tests", "paired_specificity"]
